@@ -19,7 +19,7 @@ def message_digest(message: Column) -> Column:
 def stitch_sessions(requests: DataFrame, ttl: int = TTL_SECS) -> DataFrame:
     """Assign each request to a session: ``session_id`` and whether it opened it.
 
-    ``requests``: ``request_id, at_secs, first_message``.  A request joins the live
+    ``requests``: ``request_id, seq, at_secs, first_message``.  A request joins the live
     session that shares the longest prefix of its messages.  Sharing any prefix means
     sharing the first message, and while such a session lives every such request joins
     it, so no second one can start.  A session is therefore a run of requests with one
@@ -35,7 +35,7 @@ def stitch_sessions(requests: DataFrame, ttl: int = TTL_SECS) -> DataFrame:
     slots = started.groupBy("__k", "__slot").agg(
         F.min("at_secs").alias("__from"),
         F.max("at_secs").alias("__to"),
-        F.min(F.struct("at_secs", "request_id")).alias("__first"),
+        F.min(F.struct("seq", "request_id")).alias("__first"),
     )
     by_key = Window.partitionBy("__k").orderBy("__slot")
     gap = F.col("__from") - F.lag("__to").over(by_key) > ttl

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convlytics.functions import text as tx
 from convlytics.operators.content import content_class
@@ -217,7 +218,7 @@ def with_receipts(turns: DataFrame) -> DataFrame:
 
     Turns need a boolean ``conversation_start``.
     """
-    none = F.array().cast(f"array<struct<{_struct_ddl()}>>")
+    none = F.array().cast(T.ArrayType(RECEIPT))
     attached = (
         F.when(
             F.col("role") == "user",
@@ -229,10 +230,6 @@ def with_receipts(turns: DataFrame) -> DataFrame:
     return turns.withColumn("receipts", attached)
 
 
-def _struct_ddl() -> str:
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in RECEIPT.fields)
-
-
 def injects(session_id: Column) -> Column:
     """The stable arm: an even code of the first hex digit of the session's hash."""
     return F.ascii(F.substring(F.sha2(session_id.cast("binary"), 256), 1, 1)) % 2 == 0
@@ -284,7 +281,7 @@ def advisory_receipts(turns: DataFrame, arms: DataFrame) -> DataFrame:
         ).alias("__advisory"),
     )
     joined = turns.join(extra, ["session_id", "seq"], "left")
-    none = F.array().cast(f"array<struct<{_struct_ddl()}>>")
+    none = F.array().cast(T.ArrayType(RECEIPT))
     return joined.withColumn(
         "receipts", F.concat("receipts", F.coalesce("__advisory", none))
     ).drop("__advisory")

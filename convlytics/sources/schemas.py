@@ -8,43 +8,76 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FINDING = T.StructType.fromDDL("rule STRING, message STRING, heuristic BOOLEAN, line BIGINT")
+STRING, INT, BIGINT = T.StringType(), T.IntegerType(), T.LongType()
+DOUBLE, BOOLEAN = T.DoubleType(), T.BooleanType()
 
-SLOTS = (
-    "STRUCT<task: STRING, target_artifact: STRING, success_criterion: STRING,"
-    " constraints: STRING, environment_reproduction: STRING, unresolved_unknowns: STRING>"
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+FINDING = struct(rule=STRING, message=STRING, heuristic=BOOLEAN, line=BIGINT)
+
+SLOTS = struct(
+    task=STRING,
+    target_artifact=STRING,
+    success_criterion=STRING,
+    constraints=STRING,
+    environment_reproduction=STRING,
+    unresolved_unknowns=STRING,
 )
 
-RECEIPT_DDL = (
-    "signal STRING, schema_version INT, variant STRING, conversation_start BOOLEAN, score INT,"
-    f" slots {SLOTS}, reasons ARRAY<STRING>, state STRING, arm STRING, template_version INT,"
-    " injected BOOLEAN, exact_repeated_tool_results BIGINT,"
-    " expensive_exact_repeated_tool_results BIGINT,"
-    " wire_cheap_exact_repeated_tool_results BIGINT, near_repeated_tool_calls BIGINT,"
-    " edit_fail_edit_cycles BIGINT"
+# One struct covers readiness, terminal, advisory and thrash receipts.
+RECEIPT = struct(
+    signal=STRING,
+    schema_version=INT,
+    variant=STRING,
+    conversation_start=BOOLEAN,
+    score=INT,
+    slots=SLOTS,
+    reasons=T.ArrayType(STRING),
+    state=STRING,
+    arm=STRING,
+    template_version=INT,
+    injected=BOOLEAN,
+    exact_repeated_tool_results=BIGINT,
+    expensive_exact_repeated_tool_results=BIGINT,
+    wire_cheap_exact_repeated_tool_results=BIGINT,
+    near_repeated_tool_calls=BIGINT,
+    edit_fail_edit_cycles=BIGINT,
 )
-RECEIPT = T.StructType.fromDDL(RECEIPT_DDL)
 
-TURN = T.StructType.fromDDL(
-    "schema_version INT, timestamp STRING, session_id STRING, session_turn BIGINT, role STRING,"
-    " content STRING, skill_version STRING,"
-    " lint ARRAY<STRUCT<rule: STRING, message: STRING, heuristic: BOOLEAN, line: BIGINT>>"
-).add("receipts", T.ArrayType(RECEIPT))
+TURN = struct(
+    schema_version=INT,
+    timestamp=STRING,
+    session_id=STRING,
+    session_turn=BIGINT,
+    role=STRING,
+    content=STRING,
+    skill_version=STRING,
+    lint=T.ArrayType(FINDING),
+    receipts=T.ArrayType(RECEIPT),
+)
 
-USAGE = T.StructType.fromDDL(
-    "input_tokens BIGINT, output_tokens BIGINT, total_tokens BIGINT, cache_read_tokens BIGINT,"
-    " cache_creation_tokens BIGINT"
+USAGE = struct(
+    input_tokens=BIGINT,
+    output_tokens=BIGINT,
+    total_tokens=BIGINT,
+    cache_read_tokens=BIGINT,
+    cache_creation_tokens=BIGINT,
 )
 
-COST = (
-    T.StructType.fromDDL(
-        "schema_version INT, provider STRING, model STRING, recorded_at_secs BIGINT,"
-        " session_id STRING, session_turn BIGINT"
-    )
-    .add("usage", USAGE)
-    .add("observed_billing_usd", T.DoubleType())
-    .add("estimated_savings_usd", T.DoubleType())
-    .add("compressor", T.StringType())
+COST = struct(
+    schema_version=INT,
+    provider=STRING,
+    model=STRING,
+    recorded_at_secs=BIGINT,
+    session_id=STRING,
+    session_turn=BIGINT,
+    usage=USAGE,
+    observed_billing_usd=DOUBLE,
+    estimated_savings_usd=DOUBLE,
+    compressor=STRING,
 )
 
 HEALTH_COUNTERS = [
@@ -55,31 +88,38 @@ HEALTH_COUNTERS = [
     "table_runs",
     "malformed_table_runs",
 ]
-HEALTH = T.StructType.fromDDL(
-    "schema_version INT, provider STRING, model STRING, skill_version STRING, session_id STRING,"
-    " session_turn BIGINT"
+HEALTH = struct(
+    schema_version=INT,
+    provider=STRING,
+    model=STRING,
+    skill_version=STRING,
+    session_id=STRING,
+    session_turn=BIGINT,
+    **{counter: BIGINT for counter in HEALTH_COUNTERS},
 )
-for _counter in HEALTH_COUNTERS:
-    HEALTH.add(_counter, T.LongType())
 
-LABEL = T.StructType.fromDDL("session_id STRING, completed BOOLEAN, correct BOOLEAN")
+LABEL = struct(session_id=STRING, completed=BOOLEAN, correct=BOOLEAN)
 
-PRICING = T.StructType.fromDDL(
-    "provider STRING, input_per_million_usd DOUBLE, output_per_million_usd DOUBLE,"
-    " cache_read_per_million_usd DOUBLE, cache_write_per_million_usd DOUBLE"
+PRICING = struct(
+    provider=STRING,
+    input_per_million_usd=DOUBLE,
+    output_per_million_usd=DOUBLE,
+    cache_read_per_million_usd=DOUBLE,
+    cache_write_per_million_usd=DOUBLE,
 )
 
-SERVED = T.StructType.fromDDL("digest STRING, served_at_secs BIGINT")
+SERVED = struct(digest=STRING, served_at_secs=BIGINT)
 
-TRANSFORM_RECEIPT = T.StructType.fromDDL(
-    "digest STRING, transform STRING, original_bytes BIGINT, at_secs BIGINT"
-)
+TRANSFORM_RECEIPT = struct(digest=STRING, transform=STRING, original_bytes=BIGINT, at_secs=BIGINT)
 
-EVAL_CORPUS = T.StructType.fromDDL(
-    "corpus_version STRING, tasks ARRAY<STRUCT<id: STRING, prompt: STRING,"
-    " expected_outcome: STRING, follow_up_classification: STRING>>"
+EVAL_CORPUS = struct(
+    corpus_version=STRING,
+    tasks=T.ArrayType(
+        struct(id=STRING, prompt=STRING, expected_outcome=STRING, follow_up_classification=STRING)
+    ),
 )
-EVAL_CASES = T.StructType.fromDDL(
-    "cases ARRAY<STRUCT<id: STRING, prompt: STRING, required_terms: ARRAY<STRING>,"
-    " expected_structure: STRING>>"
+EVAL_CASES = struct(
+    cases=T.ArrayType(
+        struct(id=STRING, prompt=STRING, required_terms=T.ArrayType(STRING), expected_structure=STRING)
+    )
 )
