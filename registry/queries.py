@@ -28,11 +28,13 @@ from registry.views import (
     fx_labels,
     fx_messages,
     fx_pricing,
+    fx_prose,
     fx_requests,
     fx_tool_events,
     fx_turns,
     fx_turns_long,
     table,
+    text_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,7 +169,11 @@ def cost_burn(spark, sf):
 
 
 def gate_messages(spark, sf) -> DataFrame:
-    normalized = content.normalize_prose(fx_requests(spark, sf))
+    messages = fx_requests(spark, sf).withColumn(
+        "text",
+        F.expr("CASE WHEN expected_session % 3 = 0 AND pos >= 2 THEN 'please  ' || text || ' ;' ELSE text END"),
+    )
+    normalized = content.normalize_prose(messages)
     user = F.col("role") == "user"
     return normalized.select(
         F.col("request_seq").alias("request_id"),
@@ -265,13 +271,13 @@ def content_classes(spark, sf):
 
 @query
 def page_classes(spark, sf):
-    out = content.classify_content(table(spark, sf, "pages"), "html")
+    out = content.classify_content(text_table(spark, sf, "pages", "page_id"), "html")
     return out.select("page_id", "content_class")
 
 
 @query
 def raw_document_classes(spark, sf):
-    return content.classify_content(table(spark, sf, "documents")).select("doc_id", "content_class")
+    return content.classify_content(text_table(spark, sf, "documents", "doc_id")).select("doc_id", "content_class")
 
 
 @query
@@ -298,13 +304,13 @@ def safety_verdicts(spark, sf):
 
 @query
 def normalize_prose(spark, sf):
-    out = content.normalize_prose(fx_docs(spark, sf))
+    out = content.normalize_prose(fx_prose(spark, sf))
     return out.select("doc_id", "normalized", "bytes_before", "bytes_after", "changed")
 
 
 @query
 def normalization_savings(spark, sf):
-    out = content.normalize_prose(table(spark, sf, "documents"))
+    out = content.normalize_prose(fx_prose(spark, sf))
     return content.normalization_savings(out, ["source"])
 
 
@@ -321,7 +327,7 @@ def redact_turns(spark, sf):
 
 @query
 def secret_counts(spark, sf):
-    return content.secret_counts(table(spark, sf, "documents"), ["source"], "text")
+    return content.secret_counts(text_table(spark, sf, "documents", "doc_id"), ["source"], "text")
 
 
 def tool_results(spark, sf) -> DataFrame:
@@ -405,7 +411,7 @@ def blob_lookup(spark, sf):
 @query
 def recovery_map(spark, sf):
     """Recovery keys of normalised prose: the first original of a key holds it."""
-    out = content.normalize_prose(table(spark, sf, "documents")).where("changed").selectExpr(
+    out = content.normalize_prose(fx_prose(spark, sf)).where("changed").selectExpr(
         "doc_id AS seq", "normalized AS text", "text AS original"
     )
     kept = store.put_originals(out, "fail_closed")
@@ -474,7 +480,7 @@ def lint_findings(spark, sf):
 @query
 def lint_raw_documents(spark, sf):
     """Findings per rule over the whole documents."""
-    found = lint.lint_documents(table(spark, sf, "documents"), ["doc_id"])
+    found = lint.lint_documents(text_table(spark, sf, "documents", "doc_id"), ["doc_id"])
     return found.groupBy("rule").agg(
         F.count(F.lit(1)).alias("findings"), F.count_distinct("doc_id").alias("docs"),
         F.sum(F.coalesce("line", F.lit(0))).alias("line_sum"),
@@ -501,7 +507,7 @@ def readiness(spark, sf):
 
 @query
 def trailing_prose(spark, sf):
-    return signals.trailing_prose(table(spark, sf, "documents").withColumnRenamed("text", "content")).select(
+    return signals.trailing_prose(text_table(spark, sf, "documents", "doc_id").withColumnRenamed("text", "content")).select(
         "doc_id", F.octet_length("prose").alias("prose_bytes"), F.sha2(F.col("prose").cast("binary"), 256).alias("prose_hash"), "fallback"
     )
 

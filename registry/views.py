@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlytics.plans.ordered import number_rows, running_sum
+from convlytics.plans.storage import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A text table, spread by its unique id when it arrives in fewer pieces than cores."""
+    return spread(table(spark, sf, name), key)
+
+
 TURN_CONTENT = r"""
 CASE WHEN role = 'user' THEN CASE (conv_id * 3 + turn) % 5
        WHEN 0 THEN 'Fix the bug in src/lib.rs. Done when tests pass. ' || text
@@ -64,7 +70,7 @@ def fx_turns(spark: SparkSession, sf: str) -> DataFrame:
 def fx_messages(spark: SparkSession, sf: str) -> DataFrame:
     """As ``fx_turns`` but without turn numbers, for work that needs no order."""
     rows = table(spark, sf, "conversations").where("role IN ('user', 'assistant')")
-    return rows.selectExpr(
+    return spread(rows, "conv_id", "turn").selectExpr(
         "CAST(conv_id AS STRING) AS session_id",
         "conv_id * 1000 + turn AS seq",
         "role",
@@ -154,11 +160,27 @@ CASE doc_id % 10
 
 
 def fx_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(
+    return text_table(spark, sf, "documents", "doc_id").selectExpr(
         "doc_id", "source", "lang", f"{DOC_TEXT} AS text"
     )
 
 
+PROSE_TEXT = r"""
+CASE doc_id % 4
+  WHEN 0 THEN 'Please   look:  ' || text || ' thanks to ' || source || ', thanks;'
+  WHEN 1 THEN text || chr(10) || chr(10) || chr(10) || '  Thank you for this damned  note:, '
+  WHEN 2 THEN replace(text, '. ', '.   ') || ' thx'
+  ELSE text END
+"""
+
+
+def fx_prose(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole documents with filler words, loose spacing and stray line endings."""
+    return text_table(spark, sf, "documents", "doc_id").selectExpr(
+        "doc_id", "source", f"{PROSE_TEXT} AS text"
+    )
+
+
 def fx_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Exploded request histories: each user turn re-sends the turns before it."""
     raw = table(spark, sf, "conversations")
