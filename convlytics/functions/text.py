@@ -1,8 +1,9 @@
 """Column helpers for line- and word-oriented text work.
 
 Everything here is a native Catalyst expression: text is read where the row lives and
-nothing is exploded or shuffled.  Java regular expressions are written so that they run
-in linear time without deep recursion (possessive or single-character loops only).
+nothing is exploded or shuffled.  Plain byte searches (``contains``, ``trim``, ``split``
+on one character) do the common work; regular expressions run only where a cheap test
+says they can match, and are written to be linear and without deep recursion.
 """
 
 from __future__ import annotations
@@ -16,6 +17,13 @@ WS = r"\p{IsWhite_Space}"
 HSPACE = rf"[{WS}&&[^\n]]"
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 
+# The code points with the Unicode White_Space property.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # A code fence from its opening line to its closing line, or to the end of the text.
@@ -28,11 +36,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<![{WS}])[{WS}]++\z", "")
+    return F.rtrim(text, F.lit(WS_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -45,8 +53,20 @@ def ascii_lower(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ending; no extra empty line after a final newline."""
-    pieces = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(pieces)
+
+
+    def unix(pieces: Column) -> Column:
+        return F.when(
+            text.endswith("\n") | (text == ""), F.slice(pieces, 1, F.size(pieces) - 1)
+        ).otherwise(pieces)
+
+    mixed = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
+    return F.when(text.contains("\r\n"), mixed).otherwise(let(F.split(text, "\n"), unix))
+
+
+def fold_case(text: Column) -> Column:
+    """Case-insensitive form: both directions, so that no special letter is missed."""
+    return F.lower(F.upper(text))
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
@@ -67,7 +87,7 @@ def starts_with_any(text: Column, needles: Iterable[str]) -> Column:
 
 def without_code_spans(text: Column) -> Column:
     """Blank out back-ticked spans; an unclosed one runs to the end."""
-    return F.regexp_replace(text, r"`[^`]*+(?:`|\z)", " ")
+    return F.when(text.contains("`"), F.regexp_replace(text, r"`[^`]*+(?:`|\z)", " ")).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -83,13 +103,12 @@ def has_marker_line(text: Column, markers: str) -> Column:
 
 def last_nonblank_line(text: Column) -> Column:
     """The last line with a visible character ('' when there is none)."""
-    body = trim_end(text)
-    return F.regexp_extract(body, r"[^\n]*+\z", 0)
+    return F.substring_index(trim_end(text), "\n", -1)
 
 
 def without_fences(text: Column) -> Column:
     """Replace each fenced block by a neutral, non-blank line."""
-    return F.regexp_replace(text, FENCE, "`")
+    return F.when(text.contains("```"), F.regexp_replace(text, FENCE, "`")).otherwise(text)
 
 
 def normalized_hash(text: Column) -> Column:

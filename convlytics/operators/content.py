@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlytics.functions import text as tx
+from convlytics.plans.once import evaluate_once
 
 # --------------------------------------------------------------------- classification
 
@@ -28,37 +29,68 @@ COMMANDS = [
 ]
 ACTION_SENSITIVE = ["code", "diff", "terminal", "json"]
 
-_DIFF = rf"(?md)\Adiff --git|^{tx.HSPACE}*+@@ |^(?:\+\+\+|---) "
-_LOG = rf"(?isu)^(?:{'|'.join(LOG_LEVELS)})|^\[.*\]"
 _LOG_TIME = r"(?s)^.{4}-.{2}-.{2} .{2}:"
-_SEARCH = rf"^(?!http)[{tx.ALNUM}./\-_~]++:++[0-9]*+(?:[:{tx.WS}]|\z)"
-_CODE = (
-    r"(?s)^```|=>|::|->|[;{}]"
-    rf"|^(?:{'|'.join(CODE_KEYWORDS + COMMANDS)})(?:[{tx.WS}]|\z)"
-    r"|^(?!http).*/"
-)
+_SEARCH = rf"\A[{tx.ALNUM}./\-_~]++:++[0-9]*+(?:[:{tx.WS}]|\z)"
+_CODE_SYMBOLS = ["=>", "::", "->", ";", "{", "}"]
+_CODE_OPENING = rf"\A(?:{'|'.join(CODE_KEYWORDS + COMMANDS)})(?:[{tx.WS}]|\z)"
+
+
+def _log_line(line: Column) -> Column:
+    """A level word, an ISO time or a bracketed tag opens the line."""
+    level = tx.starts_with_any(F.upper(F.substring(line, 1, 5)), [w.upper() for w in LOG_LEVELS])
+    dated = (
+        (F.substring(line, 5, 1) == "-")
+        & (F.octet_length(line) >= 19)
+        & F.substring(line, 1, 14).rlike(_LOG_TIME)
+    )
+    return level | dated | (line.startswith("[") & line.contains("]"))
+
+
+def _search_line(line: Column) -> Column:
+    return (
+        line.contains(":")
+        & (F.octet_length(line) <= 300)
+        & ~line.startswith("http")
+        & line.rlike(_SEARCH)
+    )
+
+
+def _code_line(line: Column) -> Column:
+    # The longest opening word has eight letters, so its end shows in twelve.
+    return (
+        tx.contains_any(line, _CODE_SYMBOLS)
+        | line.startswith("```")
+        | (line.contains("/") & ~line.startswith("http"))
+        | F.substring(line, 1, 12).rlike(_CODE_OPENING)
+    )
+
+
+def _commas(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(","), F.lit("")))
 
 
 def content_class(text: Column) -> Column:
     """One of terminal, text, json, diff, log, search-result, tabular, code."""
 
-    def by_lines(ls: Column) -> Column:
+    def by_lines(raw: Column, ls: Column) -> Column:
         total = F.size(ls)
 
         def share(test) -> Column:
             return F.size(F.filter(ls, test)) / total
 
-        log = share(
-            lambda l: l.rlike(_LOG) | ((F.octet_length(l) >= 19) & l.rlike(_LOG_TIME))
+        diff = F.exists(ls, lambda l: l.startswith("@@ ")) | F.exists(
+            raw, lambda l: l.startswith("+++ ") | l.startswith("--- ")
         )
-        search = share(lambda l: (F.octet_length(l) <= 300) & l.rlike(_SEARCH))
-        pipes = share(lambda l: l.contains("|"))
-        commas = share(lambda l: l.rlike(r"^(?:[^,]*+,){3}"))
         return (
-            F.when((total <= 200) & (log > 0.5), "log")
-            .when(search > 0.5, "search-result")
-            .when((total >= 2) & ((pipes > 0.7) | (commas > 0.6)), "tabular")
-            .when(share(lambda l: l.rlike(_CODE)) > 0.4, "code")
+            F.when(F.get(raw, F.lit(0)).startswith("diff --git") | diff, "diff")
+            .when((total <= 200) & (share(_log_line) > 0.5), "log")
+            .when(share(_search_line) > 0.5, "search-result")
+            .when(
+                (total >= 2)
+                & ((share(lambda l: l.contains("|")) > 0.7) | (share(lambda l: _commas(l) >= 3) > 0.6)),
+                "tabular",
+            )
+            .when(share(_code_line) > 0.4, "code")
             .otherwise("text")
         )
 
@@ -66,10 +98,14 @@ def content_class(text: Column) -> Column:
         return (
             F.when(s.contains("\x1b"), "terminal")
             .when(s.startswith("<") & (s.contains("</") | s.contains("/>")), "text")
-            .when(s.rlike(r"^[{\[]") & tx.is_json(s), "json")
+            .when((s.startswith("{") | s.startswith("[")) & tx.is_json(s), "json")
             .when(s == "", "text")
-            .when(s.rlike(_DIFF), "diff")
-            .otherwise(tx.let(F.transform(tx.lines(s), tx.trim), by_lines))
+            .otherwise(
+                tx.let(
+                    tx.lines(s),
+                    lambda raw: tx.let(F.transform(raw, tx.trim), lambda ls: by_lines(raw, ls)),
+                )
+            )
         )
 
     return tx.let(tx.trim(text), of)
@@ -77,9 +113,8 @@ def content_class(text: Column) -> Column:
 
 def classify_content(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``content_class`` and whether its exact tokens carry meaning."""
-    return docs.withColumn("content_class", content_class(F.col(text_col))).withColumn(
-        "action_sensitive", F.col("content_class").isin(ACTION_SENSITIVE)
-    )
+    classed = evaluate_once(docs, {"content_class": content_class(F.col(text_col))})
+    return classed.withColumn("action_sensitive", F.col("content_class").isin(ACTION_SENSITIVE))
 
 
 def content_census(docs: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
@@ -130,6 +165,7 @@ def safety_verdict(transforms: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- normalisation
 
 # Filler words in removal order, and the profanity pattern.
+PROFANE_STEMS = ["fuck", "shit", "bitch", "damn", "piss"]
 POLITE = ["please", "thanks", "thank you", "thx", "ty"]
 PROFANITY = (
     r"(?iU)\b(?:fuck(?:ing|ed|er)?|shit(?:ty|s)?|bitch(?:es|ing)?|damn(?:ed|it)?|piss(?:ed|ing)?)\b"
@@ -138,7 +174,13 @@ PROFANITY = (
 
 def collapse_whitespace(text: Column) -> Column:
     """One space inside a line, indentation kept, at most two newlines in a run."""
-    inner = F.regexp_replace(text, rf"(?<=[^{tx.WS}]){tx.HSPACE}++", " ")
+    # A single plain space needs no change, so only other runs are matched.
+    odd = rf"[{tx.HSPACE}&&[^ ]]"
+    run = rf"(?: {tx.HSPACE}++|{odd}{tx.HSPACE}*+)"
+    inner = F.when(
+        text.contains("  ") | text.rlike(odd),
+        F.regexp_replace(text, rf"(?<=[^{tx.WS}]){run}", " "),
+    ).otherwise(text)
     extra_newline = rf"(?:(?!\A)\G({tx.HSPACE}*+)|(\n{tx.HSPACE}*+\n{tx.HSPACE}*+))\n"
     return F.regexp_replace(inner, extra_newline, "$1$2")
 
@@ -150,17 +192,23 @@ def strip_politeness(text: Column, whole_words: bool = False) -> Column:
     ``whole_words`` closes them.
     """
     close = r"\b" if whole_words else ""
+    out = text
     for word in POLITE:
         keep = r"(?!(?-i:to ))" if word == "thanks" else ""
-        text = F.regexp_replace(text, rf"(?iU)\b{word}{close}\s*+{keep}", "")
-    return text
+        out = F.regexp_replace(out, rf"(?iU)\b{word}{close}\s*+{keep}", "")
+    return F.when(tx.let(tx.fold_case(text), lambda low: tx.contains_any(low, POLITE)), out).otherwise(
+        text
+    )
+
+
+def replace_profanity(text: Column) -> Column:
+    found = tx.let(tx.fold_case(text), lambda low: tx.contains_any(low, PROFANE_STEMS))
+    return F.when(found, F.regexp_replace(text, PROFANITY, "@%")).otherwise(text)
 
 
 def _trim_line_edges(text: Column) -> Column:
     def edge(line: Column) -> Column:
-        return F.when(
-            line.rlike("[^;:, \t]"), F.regexp_replace(line, r"(?<![;:, \t])[;:, \t]++\z", "")
-        ).otherwise(line)
+        return F.coalesce(F.nullif(F.rtrim(line, F.lit(";:, \t")), F.lit("")), line)
 
     return F.array_join(F.transform(tx.lines(text), lambda l: tx.let(tx.trim_end(l), edge)), "\n")
 
@@ -169,7 +217,7 @@ def normalize_text(
     text: Column, politeness: bool = True, profanity: bool = True, whole_words: bool = False
 ) -> Column:
     """Clean prose; callers check the class first."""
-    out = collapse_whitespace(text)
+    out = tx.let(text, collapse_whitespace)
     if politeness:
         out = tx.let(
             out,
@@ -179,7 +227,7 @@ def normalize_text(
             ),
         )
     if profanity:
-        out = F.regexp_replace(out, PROFANITY, "@%")
+        out = tx.let(out, replace_profanity)
     return tx.trim(_trim_line_edges(out))
 
 
@@ -188,7 +236,7 @@ def normalize_prose(docs: DataFrame, text_col: str = "text", **options: bool) ->
     cleaned = F.when(
         content_class(F.col(text_col)) == "text", normalize_text(F.col(text_col), **options)
     ).otherwise(F.col(text_col))
-    out = docs.withColumn("normalized", cleaned)
+    out = evaluate_once(docs, {"normalized": cleaned})
     return out.select(
         "*",
         F.octet_length(text_col).alias("bytes_before"),
@@ -236,10 +284,19 @@ _PEM_OR_LINE = (
 )
 
 
+# Every pattern needs one of these substrings; most lines hold none and skip them all.
+_SECRET_HINTS = ["authorization", "cookie", "session", "api", "token", "password", "secret", "://"]
+
+
+def _may_hold_secret(text: Column) -> Column:
+    return tx.let(F.lower(text), lambda low: tx.contains_any(low, _SECRET_HINTS))
+
+
 def _mask_line(line: Column) -> Column:
+    masked = line
     for _, pattern, tail in REDACTIONS:
-        line = F.regexp_replace(line, pattern, "$1" + MASK + tail)
-    return line
+        masked = F.regexp_replace(masked, pattern, "$1" + MASK + tail)
+    return F.when(_may_hold_secret(line), masked).otherwise(line)
 
 
 _PY_REDACTIONS = [(re.compile(p), rf"\g<1>{MASK}{t}") for _, p, t in REDACTIONS]
@@ -288,10 +345,10 @@ def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> D
         )
 
     parts = F.regexp_extract_all(F.regexp_replace(F.col(text_col), "\r\n", "\n"), F.lit(_PEM_OR_LINE), F.lit(0))
-    found = F.filter("__parts", looks_json)
-    staged = df.withColumn(
-        "__parts", F.transform(parts, lambda p: F.regexp_replace(p, r"\n\z", ""))
-    ).withColumn("__json", F.array_distinct(found))
+    staged = evaluate_once(
+        df, {"__parts": F.transform(parts, lambda p: F.regexp_replace(p, r"\n\z", ""))}
+    )
+    staged = evaluate_once(staged, {"__json": F.array_distinct(F.filter("__parts", looks_json))})
     masked = F.when(F.size("__json") > 0, F.map_from_arrays("__json", _mask_json_lines("__json")))
     staged = staged.withColumn("__masked", masked)
     result = F.array_join(
@@ -303,7 +360,7 @@ def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> D
         ),
         "\n",
     )
-    return staged.withColumn(out, result).drop("__parts", "__json", "__masked")
+    return evaluate_once(staged, {out: result}).drop("__parts", "__json", "__masked")
 
 
 def _on_mask(pattern: str) -> str:
@@ -321,9 +378,17 @@ def secret_counts(df: DataFrame, by: list[str], text_col: str = "content") -> Da
         masked = F.regexp_count(rest, F.lit(_on_mask(pattern)))
         counts.append((F.regexp_count(rest, F.lit(pattern)) - masked).alias(kind))
         rest = F.regexp_replace(rest, pattern, "$1" + MASK + tail)
-    counts.append(F.regexp_count(F.col(text_col), F.lit(rf"(?m){_PEM_BEGIN}")).alias("private_key"))
-    kinds = [kind for kind, _, _ in REDACTIONS] + ["private_key"]
-    return df.select(*by, *counts).groupBy(*by).agg(*[F.sum(k).alias(k) for k in kinds])
+    hinted = F.when(_may_hold_secret(F.col(text_col)), F.struct(*counts))
+    keys = F.when(
+        F.contains(text_col, F.lit("PRIVATE KEY")),
+        F.regexp_count(F.col(text_col), F.lit(rf"(?m){_PEM_BEGIN}")),
+    )
+    counted = evaluate_once(df, {"__c": hinted, "__keys": keys})
+    kinds = [kind for kind, _, _ in REDACTIONS]
+    return counted.groupBy(*by).agg(
+        *[F.coalesce(F.sum(f"__c.{k}"), F.lit(0)).alias(k) for k in kinds],
+        F.coalesce(F.sum("__keys"), F.lit(0)).alias("private_key"),
+    )
 
 
 # ------------------------------------------------------------- tool-result compaction
@@ -346,7 +411,7 @@ def select_tool_results(results: DataFrame, now: Column | int, max_age: int = 30
         .when((kind == "log") & agreed, "repeated_log")
         .when((kind == "file_read") & ~F.col("in_recent_window"), "file_reference"),
     )
-    return results.withColumn("transform", transform)
+    return evaluate_once(results, {"transform": transform})
 
 
 def compact_structured(results: DataFrame, tag: str = "convlytics", text_col: str = "text") -> DataFrame:
@@ -355,9 +420,8 @@ def compact_structured(results: DataFrame, tag: str = "convlytics", text_col: st
     minified = F.when(tx.is_json(text), F.to_json(F.try_parse_json(text)))
     trimmed = F.array_join(F.transform(tx.lines(text), tx.trim), "\n")
     head = F.concat(F.lit(f"[{tag}:toon:"), F.sha2(text.cast("binary"), 256), F.lit("]\n"))
-    return results.withColumn(
-        "compacted", F.concat(head, F.coalesce(minified, trimmed), F.lit("\n"))
-    )
+    body = F.coalesce(minified, trimmed)
+    return evaluate_once(results, {"compacted": F.concat(head, body, F.lit("\n"))})
 
 
 def collapse_runs(text: Column, tag: str) -> Column:
@@ -393,4 +457,4 @@ def collapse_repeats(logs: DataFrame, tag: str = "convlytics", text_col: str = "
     """Add ``collapsed``: the log with each repeated line written once and counted."""
     text = F.col(text_col)
     head = F.concat(F.lit(f"[{tag}:log:"), F.sha2(text.cast("binary"), 256), F.lit("]\n"))
-    return logs.withColumn("collapsed", F.concat(head, collapse_runs(text, tag)))
+    return evaluate_once(logs, {"collapsed": F.concat(head, collapse_runs(text, tag))})

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlytics.functions import text as tx
+from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import carry_last, running_sum
 
 MIN_RUNS_FOR_INTERVAL = 5
@@ -105,16 +107,25 @@ def bootstrap_median_ci(
 
 def term_coverage(responses: DataFrame, cases: DataFrame) -> DataFrame:
     """Per response: required terms found, the quality floor and structure lines."""
-    low = F.lower("content")
-    found = F.size(F.filter("required_terms", lambda t: low.contains(F.lower(t))))
+    found = tx.let(
+        F.lower("content"),
+        lambda low: F.size(F.filter("required_terms", lambda t: low.contains(F.lower(t)))),
+    )
     structure = r"(?md)^[ \t\r\f\x0b]*+(?:[§!>~]|-#?[ \t\r\f\x0b]|[0-9]++[.)][ \t\r\f\x0b])"
     joined = responses.join(cases.select("case_id", "required_terms"), "case_id")
-    return joined.select(
+    facts = evaluate_once(
+        joined,
+        {
+            "required_found": found,
+            "structure_lines": F.regexp_count("content", F.lit(structure)),
+        },
+    )
+    return facts.select(
         *responses.columns,
         F.size("required_terms").alias("required_terms"),
-        found.alias("required_found"),
-        F.regexp_count("content", F.lit(structure)).alias("structure_lines"),
-        (found == F.size("required_terms")).alias("quality_floor_passed"),
+        "required_found",
+        "structure_lines",
+        (F.col("required_found") == F.size("required_terms")).alias("quality_floor_passed"),
     )
 
 

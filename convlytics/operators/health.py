@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
+from convlytics.plans.once import evaluate_once
 from convlytics.sources.schemas import HEALTH_COUNTERS
 
 # Comparison thresholds between two versions.
@@ -38,37 +39,51 @@ def table_is_valid(run: Column) -> Column:
     return tx.let(rows, of) & ~run.endswith("\r")
 
 
-def uses_markers(content: Column) -> Column:
-    """Does the text hold at least one recognised marker outside its code fences?"""
+def _marked(body: Column, valid_tables: Column) -> Column:
+    prose = F.regexp_replace(body, r"(?md)^\|[^\n]*+", "|")
+    prose = F.regexp_replace(prose, r"`[^`\n]*+(?:`|(?=\n)|\z)", "`")
+    return (
+        (valid_tables > 0)
+        | body.rlike(_MARKER_LINES)
+        | body.rlike(_FINAL_TERMINAL)
+        | (body.contains("*") & prose.rlike(_EMPHASIS))
+    )
 
-    def of(body: Column) -> Column:
-        tables = F.regexp_extract_all(body, F.lit(TABLE_RUN), F.lit(0))
-        prose = F.regexp_replace(body, r"(?md)^\|[^\n]*+", "|")
-        prose = F.regexp_replace(prose, r"`[^`\n]*+(?:`|(?=\n)|\z)", "`")
-        return (
-            body.rlike(_MARKER_LINES)
-            | body.rlike(_FINAL_TERMINAL)
-            | F.exists(tables, table_is_valid)
-            | prose.rlike(_EMPHASIS)
-        )
 
-    return tx.let(tx.without_fences(content), of)
+def counters(content: Column) -> Column:
+    """Table runs, valid ones, and whether any marker stands outside the code fences."""
+
+    def of_body(body: Column) -> Column:
+        def of_runs(runs: Column) -> Column:
+            valid = F.size(F.filter(runs, table_is_valid))
+            return F.struct(
+                F.size(runs).alias("runs"), valid.alias("valid"), _marked(body, valid).alias("marked")
+            )
+
+        return tx.let(F.regexp_extract_all(body, F.lit(TABLE_RUN), F.lit(0)), of_runs)
+
+    return tx.let(tx.without_fences(content), of_body)
+
+
+def uses_markers(content: Column) -> Column:
+    """Does the text hold at least one recognised marker outside its code fences?"""
+    return counters(content)["marked"]
 
 
 def format_counters(responses: DataFrame, text_col: str = "content") -> DataFrame:
     """Add the four per-response format counters."""
-    text = F.col(text_col)
-    tables = F.regexp_extract_all(tx.without_fences(text), F.lit(TABLE_RUN), F.lit(0))
+    present = F.col(text_col) != ""
     return (
-        responses.withColumn("__runs", tables)
-        .withColumn("text_responses", (text != "").cast("bigint"))
-        .withColumn("zero_sigil_responses", ((text != "") & ~uses_markers(text)).cast("bigint"))
-        .withColumn("table_runs", F.size("__runs").cast("bigint"))
-        .withColumn(
-            "malformed_table_runs",
-            F.size(F.filter("__runs", lambda r: ~table_is_valid(r))).cast("bigint"),
+        evaluate_once(responses, {"__c": counters(F.col(text_col))})
+        .withColumns(
+            {
+                "text_responses": present.cast("bigint"),
+                "zero_sigil_responses": (present & ~F.col("__c.marked")).cast("bigint"),
+                "table_runs": F.col("__c.runs").cast("bigint"),
+                "malformed_table_runs": (F.col("__c.runs") - F.col("__c.valid")).cast("bigint"),
+            }
         )
-        .drop("__runs")
+        .drop("__c")
     )
 
 
@@ -151,9 +166,8 @@ _PROBE_FINAL = rf"(?:\A|\n)[.?x](?:{tx.HSPACE}[^\n]*+)?(?:\n[{tx.WS}]*+)?\z"
 
 def probe_compliance(responses: DataFrame, text_col: str = "content") -> DataFrame:
     """Per response: marker lines, terminals and the kinds of malformed structure."""
-    text = F.regexp_replace(F.col(text_col), _BREAKS, "\n")
-    body = tx.without_fences(text)
-    staged = responses.withColumn("__t", text).withColumn("__b", body)
+    staged = evaluate_once(responses, {"__t": F.regexp_replace(F.col(text_col), _BREAKS, "\n")})
+    staged = evaluate_once(staged, {"__b": tx.without_fences(F.col("__t"))})
     markers = F.regexp_count("__b", F.lit(_PROBE_MARKER))
     terminals = F.regexp_count("__b", F.lit(_PROBE_TERMINAL))
     final = F.col("__b").rlike(_PROBE_FINAL)

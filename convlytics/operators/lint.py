@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
+from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import carry_last
 
 # Rule phrases.
@@ -38,7 +39,7 @@ def _first_line(text: Column) -> Column:
 def _parallel_prose(text: Column) -> Column:
     """First line of the smallest opening word pair that three prose lines share."""
     # A fenced block becomes as many empty lines as it has, so line numbers stay right.
-    unfenced = F.array_join(
+    blanked = F.array_join(
         F.transform(
             F.regexp_extract_all(
                 text, F.lit(r"(?d)```(?s:.*?)(?:\n```[^\n]*+|\z)\n?+|[^\n]*+\n|[^\n]++"), F.lit(0)
@@ -47,6 +48,7 @@ def _parallel_prose(text: Column) -> Column:
         ),
         "",
     )
+    unfenced = F.when(text.contains("```"), blanked).otherwise(text)
 
     def opening(line: Column, i: Column) -> Column:
         return tx.let(
@@ -147,11 +149,10 @@ def turn_overlap(turns: DataFrame, per_session: bool = True) -> DataFrame:
     ``per_session=False`` compares across session boundaries, in append order.
     """
     keys = ["session_id"] if per_session else []
-    spoken = turns.where("role = 'assistant'").select(
-        "session_id",
-        "seq",
-        F.array_distinct(tx.words(tx.without_code_spans(F.col("content")))).alias("words"),
-    )
+    spoken = evaluate_once(
+        turns.where("role = 'assistant'").select("session_id", "seq", "content"),
+        {"words": F.array_distinct(tx.words(tx.without_code_spans(F.col("content"))))},
+    ).drop("content")
     paired = carry_last(spoken, keys, "seq", {"before": F.col("words")}, inclusive=False)
     shared = F.size(F.array_intersect("words", "before"))
     return paired.where(shared >= 3).select("session_id", "seq", shared.alias("shared_words"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from convlytics.functions import text as tx
 from convlytics.operators.health import table_is_valid
 from convlytics.operators.store import put_originals
+from convlytics.plans.once import evaluate_once
 
 SEGMENTS = (
     r"```(?s:.*?)(?:\n```[^\n]*+|\z)\n?+"
@@ -156,7 +157,7 @@ def render(content: Column) -> Column:
 
 
 def render_responses(responses: DataFrame, text_col: str = "content") -> DataFrame:
-    return responses.withColumn("rendered", render(F.col(text_col)))
+    return evaluate_once(responses, {"rendered": render(F.col(text_col))})
 
 
 def restore_originals(
@@ -167,7 +168,7 @@ def restore_originals(
     Misses keep their text.  A very frequent text is one hot join key against a single
     row, which adaptive execution splits.
     """
-    keyed = messages.withColumn("__key", tx.normalized_hash(F.col(text_col)))
+    keyed = evaluate_once(messages, {"__key": tx.normalized_hash(F.col(text_col))})
     lookup = originals.select(F.col("key").alias("__key"), F.col("original").alias("__original"))
     joined = keyed.join(lookup, "__key", "left")
     return joined.select(

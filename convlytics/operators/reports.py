@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convlytics.functions.stats import held_out, pearson
 from convlytics.operators.signals import SLOTS, VARIANTS, blocked_cause, terminal_state
 from convlytics.operators.usage import session_costs, turn_costs
+from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import carry_last, number_rows, running_sum
 
 # How much evidence a conclusion needs.
@@ -340,12 +341,9 @@ def terminal_trajectories(turns: DataFrame, costs: DataFrame, labels: DataFrame)
     Runs of decisions are numbered by a running count of the other terminals, which is
     carried across blocks, so a very long session is spread over many tasks.
     """
-    spoken = terminal_state(turns.where("role = 'assistant'")).select(
-        "session_id",
-        "seq",
-        "state",
-        F.when(F.col("state") == "blocked", blocked_cause(F.col("content"))).alias("cause"),
-    )
+    spoken = terminal_state(turns.where("role = 'assistant'"))
+    cause = F.when(F.col("state") == "blocked", blocked_cause(F.col("content")))
+    spoken = evaluate_once(spoken, {"cause": cause}).select("session_id", "seq", "state", "cause")
     runs = running_sum(
         spoken, ["session_id"], "seq", {"run": (F.col("state") != "decision").cast("bigint")}
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
+from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import SPAN, number_rows
 
 TTL_SECS = 3600
@@ -30,7 +31,7 @@ def stitch_sessions(requests: DataFrame, ttl: int = TTL_SECS) -> DataFrame:
     (requests in one slot are never more than ``ttl`` apart), not on the requests.
     """
     slot = F.floor(F.col("at_secs") / F.lit(max(ttl, 1))).cast("bigint")
-    keyed = requests.withColumn("__k", message_digest(F.col("first_message"))).withColumn("__slot", slot)
+    keyed = evaluate_once(requests, {"__k": message_digest(F.col("first_message")), "__slot": slot})
     started = keyed.where("__k IS NOT NULL")
     slots = started.groupBy("__k", "__slot").agg(
         F.min("at_secs").alias("__from"),

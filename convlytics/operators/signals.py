@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from convlytics.functions import text as tx
 from convlytics.operators.content import content_class
+from convlytics.plans.once import evaluate_once
 from convlytics.sources.schemas import RECEIPT
 
 SCHEMA_VERSION = 1
@@ -96,7 +97,7 @@ def last_prose_block(content: Column) -> Column:
 
 def trailing_prose(turns: DataFrame) -> DataFrame:
     """Add ``prose`` (all content as a fallback) and whether the fallback was used."""
-    found = turns.withColumn("__p", last_prose_block(F.col("content")))
+    found = evaluate_once(turns, {"__p": last_prose_block(F.col("content"))})
     return found.select(
         *turns.columns,
         F.coalesce("__p", "content").alias("prose"),
@@ -153,7 +154,7 @@ def terminal_state(turns: DataFrame) -> DataFrame:
     if "receipts" in turns.columns:
         stored = F.filter("receipts", lambda r: r["signal"] == "terminal")
         state = F.coalesce(F.get(stored, F.lit(0))["state"], state)
-    return turns.withColumn("state", state)
+    return evaluate_once(turns, {"state": state})
 
 
 def blocked_cause(content: Column) -> Column:
@@ -213,10 +214,25 @@ def terminal_receipts(content: Column) -> Column:
     )
 
 
-def with_receipts(turns: DataFrame) -> DataFrame:
+def advisory_receipts() -> Column:
+    """The advisory receipt of an attempt turn, from the columns of ``assign_arms``."""
+    return F.array(
+        receipt(
+            signal=F.lit("advisory"),
+            schema_version=F.lit(SCHEMA_VERSION),
+            variant=F.col("variant"),
+            arm=F.col("arm"),
+            template_version=F.col("template_version"),
+            injected=F.col("injected"),
+        )
+    )
+
+
+def with_receipts(turns: DataFrame, arms: DataFrame | None = None) -> DataFrame:
     """Attach readiness receipts to user turns and terminal receipts to assistant turns.
 
-    Turns need a boolean ``conversation_start``.
+    Turns need a boolean ``conversation_start``.  With ``arms``, the attempt turn of each
+    session also gets its advisory receipt.
     """
     none = F.array().cast(T.ArrayType(RECEIPT))
     attached = (
@@ -227,7 +243,12 @@ def with_receipts(turns: DataFrame) -> DataFrame:
         .when(F.col("role") == "assistant", terminal_receipts(F.col("content")))
         .otherwise(none)
     )
-    return turns.withColumn("receipts", attached)
+    if arms is None:
+        return evaluate_once(turns, {"receipts": attached})
+    marked = turns.join(arms, ["session_id", "seq"], "left")
+    advisory = F.when(F.col("arm").isNotNull(), advisory_receipts()).otherwise(none)
+    both = evaluate_once(marked, {"receipts": F.concat(attached, advisory)})
+    return both.select(*turns.columns, "receipts")
 
 
 def injects(session_id: Column) -> Column:
@@ -262,28 +283,3 @@ def assign_arms(
         F.lit(template_version).alias("template_version"),
         assigned.alias("injected"),
     )
-
-
-def advisory_receipts(turns: DataFrame, arms: DataFrame) -> DataFrame:
-    """Append the advisory receipt to each session's attempt turn."""
-    extra = arms.select(
-        "session_id",
-        "seq",
-        F.array(
-            receipt(
-                signal=F.lit("advisory"),
-                schema_version=F.lit(SCHEMA_VERSION),
-                variant=F.col("variant"),
-                arm=F.col("arm"),
-                template_version=F.col("template_version"),
-                injected=F.col("injected"),
-            )
-        ).alias("__advisory"),
-    )
-    joined = turns.join(extra, ["session_id", "seq"], "left")
-    none = F.array().cast(T.ArrayType(RECEIPT))
-    return joined.withColumn(
-        "receipts", F.concat("receipts", F.coalesce("__advisory", none))
-    ).drop("__advisory")
-
-

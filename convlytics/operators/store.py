@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
+from convlytics.plans.once import evaluate_once
 
 DIGEST = "^[0-9a-fA-F]{64}$"
 RETENTION_SECS = 30 * 24 * 3600
@@ -25,9 +26,9 @@ def put_blobs(incoming: DataFrame, existing: DataFrame | None = None, value_col:
 
     Copies collapse on the digest before the bytes are compared with the store.
     """
-    fresh = incoming.select(
-        digest(F.col(value_col)).alias("digest"), F.col(value_col).cast("binary").alias("bytes")
-    ).dropDuplicates(["digest"])
+    keyed = evaluate_once(incoming, {"digest": digest(F.col(value_col))})
+    fresh = keyed.select("digest", F.col(value_col).cast("binary").alias("bytes"))
+    fresh = fresh.dropDuplicates(["digest"])
     return fresh if existing is None else fresh.join(existing.select("digest"), "digest", "left_anti")
 
 
@@ -55,7 +56,7 @@ def put_originals(df: DataFrame, policy: str = "first_wins") -> DataFrame:
     ``first_wins`` keeps the first original of a key.  ``fail_closed`` returns the rows
     that agree with the first one, and marks the others as rejected.
     """
-    keyed = df.withColumn("key", tx.normalized_hash(F.col("text")))
+    keyed = evaluate_once(df, {"key": tx.normalized_hash(F.col("text"))})
     first = keyed.groupBy("key").agg(F.min(F.struct("seq", "original")).alias("__first"))
     first = first.select("key", "__first.seq", "__first.original")
     if policy == "first_wins":
@@ -79,7 +80,7 @@ def dedup_repeat_reads(
     Columns of ``results``: ``session_id, seq, bytes``.  Bytes that were served within
     ``max_age`` seconds stay verbatim.
     """
-    keyed = results.withColumn("digest", digest(F.col("bytes")))
+    keyed = evaluate_once(results, {"digest": digest(F.col("bytes"))})
     first = keyed.groupBy("session_id", "digest").agg(F.min("seq").alias("__first"))
     opening = keyed.groupBy("session_id").agg(F.min("seq").alias("__open"))
     recent = (
@@ -161,5 +162,5 @@ def join_attestations(
         .where("__n = 1")
         .drop("__n")
     )
-    keyed = results.withColumn("digest", digest(F.col(value_col)))
+    keyed = evaluate_once(results, {"digest": digest(F.col(value_col))})
     return keyed.join(usable, ["digest", *location])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import SPAN, lower_median
 
 USAGE_FIELDS = [
@@ -31,7 +32,7 @@ def _count(column: Column) -> Column:
 def normalize_usage(df: DataFrame, provider_col: str = "provider", usage_col: str = "usage") -> DataFrame:
     """Turn provider usage JSON into one ``usage`` struct; rows without counts are dropped."""
     raw = F.from_json(F.col(usage_col), _RAW_USAGE)
-    df = df.withColumn("__u", raw)
+    df = evaluate_once(df, {"__u": raw})
     cached = _count(F.col("__u.prompt_tokens_details.cached_tokens"))
     prompt = _count(F.col("__u.prompt_tokens"))
     direct_in, direct_out = _count(F.col("__u.input_tokens")), _count(F.col("__u.output_tokens"))
@@ -263,16 +264,19 @@ def cost_burn(costs: DataFrame, now: Column | int, window: int = 3600) -> DataFr
         & (at <= now)
         & (now - at <= window)
     ).select("session_id", _positive_cost().alias("price"))
-    totals = active.groupBy("session_id").agg(F.sum("price").alias("total"))
+    # Decimal sums do not depend on the order of the rows, so the comparison is stable.
+    exact = F.col("price").cast("decimal(38,12)")
+    totals = active.groupBy("session_id").agg(F.sum(exact).cast("double").alias("total"))
     medians = lower_median(active, ["session_id"], "price", "median")
     overall = lower_median(totals, [], "total", "overall")
     next_turn = medians.agg(F.sum("median").alias("next_turn"))
     spent = totals.join(overall, F.lit(True), "left").agg(
         F.count(F.lit(1)).alias("active_cost_sessions"),
         F.max("overall").alias("session_median_observed_billing_usd"),
-        F.count_if((F.col("overall") > 0) & (F.col("total") > F.col("overall") * 3.0)).alias(
-            "sessions_above_three_x_median"
-        ),
+        F.count_if(
+            (F.col("overall") > 0)
+            & (F.col("total").cast("decimal(38,12)") > F.col("overall").cast("decimal(38,12)") * 3)
+        ).alias("sessions_above_three_x_median"),
         F.sum("total").alias("spent"),
     )
     return spent.join(next_turn, F.lit(True)).select(

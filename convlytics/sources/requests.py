@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
 from convlytics.operators.repeats import is_edit_tool
+from convlytics.plans.once import evaluate_once
 
 CACHE_SLOTS = 4
 
@@ -42,7 +43,7 @@ def _is_false(value: Column, path: str) -> Column:
 
 def parse_requests(requests: DataFrame) -> DataFrame:
     """Add ``body`` (VARIANT); payloads that are not JSON are dropped."""
-    return requests.withColumn("body", F.try_parse_json("payload")).where("body IS NOT NULL")
+    return evaluate_once(requests, {"body": F.try_parse_json("payload")}).where("body IS NOT NULL")
 
 
 def content_text(content: Column) -> Column:

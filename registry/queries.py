@@ -518,8 +518,7 @@ def receipt_turns(spark, sf) -> DataFrame:
         "conversation_start",
         (F.col("role") == "user") & (F.col("session_turn") == 1) & (F.col("seq") % 3 != 2),
     )
-    turns = signals.with_receipts(turns)
-    return signals.advisory_receipts(turns, signals.assign_arms(turns, "raw_composite"))
+    return signals.with_receipts(turns, signals.assign_arms(turns, "raw_composite"))
 
 
 @query

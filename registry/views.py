@@ -187,7 +187,7 @@ def fx_requests(spark: SparkSession, sf: str) -> DataFrame:
     ends = raw.where("role = 'user'").selectExpr(
         "conv_id AS expected_session", "turn AS last_turn"
     )
-    messages = raw.selectExpr("conv_id", "turn AS pos", "role", "text")
+    messages = spread(raw, "conv_id", "turn").selectExpr("conv_id", "turn AS pos", "role", "text")
     return (
         ends.join(
             messages,
