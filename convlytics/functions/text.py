@@ -54,14 +54,14 @@ def ascii_lower(text: Column) -> Column:
 def lines(text: Column) -> Column:
     """Lines without their ending; no extra empty line after a final newline."""
 
+    def of(t: Column) -> Column:
+        # The piece after a final newline, and the one piece of an empty text, are dropped.
+        extra = (t.endswith("\n") | (t == "")).cast("int")
+        mixed = F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n")
+        unix = let(F.split(t, "\n"), lambda p: F.slice(p, 1, F.size(p) - extra))
+        return F.when(t.contains("\r\n"), mixed).otherwise(unix)
 
-    def unix(pieces: Column) -> Column:
-        return F.when(
-            text.endswith("\n") | (text == ""), F.slice(pieces, 1, F.size(pieces) - 1)
-        ).otherwise(pieces)
-
-    mixed = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
-    return F.when(text.contains("\r\n"), mixed).otherwise(let(F.split(text, "\n"), unix))
+    return let(text, of)
 
 
 def fold_case(text: Column) -> Column:
@@ -87,7 +87,10 @@ def starts_with_any(text: Column, needles: Iterable[str]) -> Column:
 
 def without_code_spans(text: Column) -> Column:
     """Blank out back-ticked spans; an unclosed one runs to the end."""
-    return F.when(text.contains("`"), F.regexp_replace(text, r"`[^`]*+(?:`|\z)", " ")).otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(t.contains("`"), F.regexp_replace(t, r"`[^`]*+(?:`|\z)", " ")).otherwise(t),
+    )
 
 
 def words(text: Column) -> Column:
@@ -108,7 +111,9 @@ def last_nonblank_line(text: Column) -> Column:
 
 def without_fences(text: Column) -> Column:
     """Replace each fenced block by a neutral, non-blank line."""
-    return F.when(text.contains("```"), F.regexp_replace(text, FENCE, "`")).otherwise(text)
+    return let(
+        text, lambda t: F.when(t.contains("```"), F.regexp_replace(t, FENCE, "`")).otherwise(t)
+    )
 
 
 def normalized_hash(text: Column) -> Column:
@@ -123,6 +128,13 @@ def is_json(text: Column) -> Column:
     bracket can satisfy one of the wrappers but never both.
     """
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
-    in_object = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", options)
-    return F.coalesce((F.size(in_array) == 1) & (F.size(in_object) == 1), F.lit(False))
+
+    def parses_once(before: str, body: Column, after: str, schema: str) -> Column:
+        wrapped = F.concat(F.lit(before), body, F.lit(after))
+        return F.coalesce(F.size(F.from_json(wrapped, schema, options)) == 1, F.lit(False))
+
+    return let(
+        text,
+        lambda t: parses_once("[", t, "]", "array<string>")
+        & parses_once('{"v":', t, "}", "map<string,string>"),
+    )

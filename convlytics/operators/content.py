@@ -219,6 +219,7 @@ def normalize_text(
     """Clean prose; callers check the class first."""
     out = tx.let(text, collapse_whitespace)
     if politeness:
+        # Only removing a word can leave blanks to collapse again.
         out = tx.let(
             out,
             lambda t: tx.let(
@@ -228,7 +229,7 @@ def normalize_text(
         )
     if profanity:
         out = tx.let(out, replace_profanity)
-    return tx.trim(_trim_line_edges(out))
+    return tx.trim(tx.let(out, _trim_line_edges))
 
 
 def normalize_prose(docs: DataFrame, text_col: str = "text", **options: bool) -> DataFrame:
