@@ -130,27 +130,27 @@ def _table(run: Column) -> Column:
     return F.when(table_is_valid(run), tx.let(rows, of)).otherwise(run)
 
 
+def render_segment(part: Column, final: Column) -> Column:
+    """Markdown of one segment; ``final`` = it holds the last visible line."""
+    ending = F.when(part.endswith("\n"), "\n").otherwise("")
+    return (
+        F.when(part.startswith("```"), part)
+        .when(part.startswith("|"), _table(part))
+        .when(part.startswith("-"), _dash_run(part))
+        .otherwise(
+            F.concat(tx.let(F.regexp_replace(part, r"\n\z", ""), lambda l: _line(l, final)), ending)
+        )
+    )
+
+
 def render(content: Column) -> Column:
     """Markdown of a marker-formatted text; anything malformed stays as it is."""
 
-    def segment(part: Column, final: Column) -> Column:
-        ending = F.when(part.endswith("\n"), "\n").otherwise("")
-        return (
-            F.when(part.startswith("```"), part)
-            .when(part.startswith("|"), _table(part))
-            .when(part.startswith("-"), _dash_run(part))
-            .otherwise(
-                F.concat(
-                    tx.let(F.regexp_replace(part, r"\n\z", ""), lambda l: _line(l, final)), ending
-                )
-            )
-        )
-
     def of(parts: Column) -> Column:
         last = F.array_max(F.transform(parts, lambda p, i: F.when(~tx.is_blank(p), i)))
         return tx.let(
             last,
-            lambda final: F.array_join(F.transform(parts, lambda p, i: segment(p, i == final)), ""),
+            lambda final: F.array_join(F.transform(parts, lambda p, i: render_segment(p, i == final)), ""),
         )
 
     return tx.let(F.regexp_extract_all(content, F.lit(SEGMENTS), F.lit(0)), of)

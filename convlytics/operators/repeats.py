@@ -149,10 +149,14 @@ def edit_fail_edit(events: DataFrame) -> DataFrame:
 def thrash_receipts(events: DataFrame) -> DataFrame:
     """Per request with any repetition: the three counts and their sum."""
     clean = link_results(drop_replays(events))
+    return receipts_from(exact_repeats(clean), near_repeats(clean), edit_fail_edit(clean))
+
+
+def receipts_from(exact: DataFrame, near: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Put the three kinds of repetition together per request."""
     keys = ["session_id", "session_turn"]
-    exact = exact_repeats(clean)
-    near = near_repeats(clean).groupBy(*keys).agg(F.count(F.lit(1)).alias("near_repeated_tool_calls"))
-    cycles = edit_fail_edit(clean).groupBy(*keys).agg(F.count(F.lit(1)).alias("edit_fail_edit_cycles"))
+    near = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("near_repeated_tool_calls"))
+    cycles = cycles.groupBy(*keys).agg(F.count(F.lit(1)).alias("edit_fail_edit_cycles"))
     joined = exact.join(near, keys, "full").join(cycles, keys, "full")
     counts = [c for c in joined.columns if c not in keys]
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

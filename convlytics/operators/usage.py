@@ -158,7 +158,8 @@ def transcript_cost_report(turns: DataFrame, costs: DataFrame) -> DataFrame:
     return transcript.join(cost, F.lit(True))
 
 
-def _positive_cost() -> Column:
+def session_price() -> Column:
+    """The price of a row; unknown, negative and non-finite ones are zero."""
     price = F.col("observed_billing_usd")
     ok = price.isNotNull() & ~F.isnan(price) & (price > 0) & (price < F.lit(float("inf")))
     return F.when(ok, price).otherwise(0.0)
@@ -176,7 +177,7 @@ def cache_health(costs: DataFrame, span: int = SPAN) -> DataFrame:
         "session_id",
         read.alias("read"),
         (F.coalesce("usage.input_tokens", F.lit(0)) + read).alias("cacheable"),
-        _positive_cost().alias("price"),
+        session_price().alias("price"),
         F.floor(F.col("seq") / F.lit(span)).cast("bigint").alias("block"),
     )
     blocks = observed.groupBy("block").agg(
@@ -263,7 +264,7 @@ def cost_burn(costs: DataFrame, now: Column | int, window: int = 3600) -> DataFr
         & F.col("observed_billing_usd").isNotNull()
         & (at <= now)
         & (now - at <= window)
-    ).select("session_id", _positive_cost().alias("price"))
+    ).select("session_id", session_price().alias("price"))
     # Decimal sums do not depend on the order of the rows, so the comparison is stable.
     exact = F.col("price").cast("decimal(38,12)")
     totals = active.groupBy("session_id").agg(F.sum(exact).cast("double").alias("total"))

@@ -1168,3 +1168,38 @@ oracle(
     """SELECT provider, model, COUNT(*) AS records, ROUND(SUM(observed_billing_usd), 6) AS usd,
       CAST(SUM(input_tokens) AS BIGINT) AS input_tokens FROM costs WHERE seq % 10 <> 0 GROUP BY provider, model""",
 )
+
+# ---------------------------------------------------------------------------- streaming
+
+oracle(
+    "cost_burn_stream",
+    with_(COSTS),
+    """SELECT window_start, session_id, COUNT(*) AS priced_turns, ROUND(SUM(GREATEST(observed_billing_usd, 0)), 6) AS observed_billing_usd
+    FROM (SELECT *, UNNEST(list_transform(range(0, 12), lambda i: recorded_at_secs // 300 * 300 - i * 300)) AS window_start
+      FROM costs WHERE observed_billing_usd IS NOT NULL)
+    GROUP BY window_start, session_id""",
+)
+oracle(
+    "health_stream",
+    with_(TURNS, SPOKEN, counters("spoken", "seq", "content")),
+    f"""SELECT seq // 1000 * 60 // 3600 * 3600 AS window_start, provider, model, {sums(*COUNTERS.split(', '))}
+    FROM counted GROUP BY ALL""",
+)
+oracle(
+    "session_stream",
+    with_(REQUESTS),
+    """SELECT MIN(request_seq // 1000000 * 600 + expected_session * 100000) AS started, COUNT(*) AS requests,
+      MIN(request_seq) AS first_seq
+    FROM requests WHERE pos = 0 GROUP BY expected_session""",
+)
+oracle(
+    "assembled_stream",
+    with_(TURNS, SPOKEN, RENDERED),
+    "SELECT seq AS stream_id, content, rendered FROM rendered WHERE content <> ''",
+)
+oracle("thrash_stream", ORACLES["thrash_receipts"])
+oracle(
+    "replay_stream",
+    """SELECT CAST(user_id AS VARCHAR) AS session_id, COUNT(*) AS events, CAST(SUM(event_id) AS BIGINT) AS event_sum
+    FROM events GROUP BY user_id""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlytics.operators import (
@@ -20,8 +20,13 @@ from convlytics.operators import (
     store,
     usage,
 )
+from convlytics.plans.storage import fresh_path
 from convlytics.sources import ledgers
 from convlytics.sources import requests as rq
+from convlytics.streaming import assemble, windows
+from convlytics.streaming import repeats as thrash
+from convlytics.streaming.sink import run_available, stateful_session
+from registry import views
 from registry.views import (
     fx_costs,
     fx_docs,
@@ -888,13 +893,123 @@ def budget_cutoff(spark, sf):
     return rounded(evaluate.cutoff_summary(flagged, ["run"]), "spent_within_cap")
 
 
+# ---------------------------------------------------------------------------- streaming
+
+def streamed(spark, frame: DataFrame, files: int, order: str) -> DataFrame:
+    """Replay a table as a stream: equal ranges of ``order``, one after the other.
+
+    The file source takes files by age, so the ranges are written in turn, each as one
+    file, and every trigger reads one.
+    """
+    path = fresh_path(spark, "stream-input")
+    place = F.col(order).cast("double")
+    low, high = frame.agg(F.min(place), F.max(place)).first()
+    part = F.least(F.floor((place - low) / (high - low + 1e-9) * files), F.lit(files - 1))
+    for number in range(files):
+        frame.where(part == number).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def cost_burn_stream(spark, sf):
+    """Sliding hours of spend, updated as the ledger arrives."""
+    costs = fx_costs(spark, sf).select(
+        "seq", "session_id", "observed_billing_usd", F.timestamp_seconds("recorded_at_secs").alias("event_time")
+    )
+    path = run_available(windows.cost_burn_stream(streamed(spark, costs, 3, "seq")), "burn", "update")
+    out = windows.latest_rows(spark.read.parquet(path), ["window_start", "session_id"])
+    out = out.withColumn("window_start", F.unix_seconds("window_start"))
+    return rounded(out, "observed_billing_usd")
+
+
+def timed_responses(spark, sf) -> DataFrame:
+    return fx_messages(spark, sf).where("role = 'assistant'").selectExpr(
+        "seq", "content", "provider", "model", "timestamp_seconds(seq div 1000 * 60) AS event_time"
+    )
+
+
+@query
+def health_stream(spark, sf):
+    responses = timed_responses(spark, sf)
+    path = run_available(windows.health_stream(streamed(spark, responses, 3, "seq")), "health", "update")
+    out = windows.latest_rows(spark.read.parquet(path), ["window_start", "provider", "model"])
+    return out.withColumn("window_start", F.unix_seconds("window_start"))
+
+
+@query
+def session_stream(spark, sf):
+    requests = fx_requests(spark, sf).where("pos = 0").selectExpr(
+        "request_seq AS seq", "role || chr(10) || text AS first_message",
+        "timestamp_seconds(request_seq div 1000000 * 600 + expected_session * 100000) AS event_time",
+    )
+    path = run_available(windows.session_stream(streamed(spark, requests, 1, "event_time")), "sessions", "complete")
+    rows = spark.read.parquet(path)
+    # Complete mode repeats the whole result in every batch: the newest one holds it.
+    newest = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(newest, "batch").selectExpr("unix_seconds(started) AS started", "requests", "first_seq")
+
+
+def response_chunks(spark, sf) -> DataFrame:
+    """The assistant texts as server-sent event text, cut into chunks."""
+    deltas = views.fx_chunks(spark, sf)
+    last = Window.partitionBy("stream_id")
+    event = F.concat(
+        F.lit("data: "),
+        F.to_json(F.struct(F.array(F.struct(F.struct(F.col("delta").alias("content")).alias("delta"))).alias("choices"))),
+        F.lit("\n\n"),
+    )
+    return deltas.select(
+        "stream_id",
+        "chunk_seq",
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("stream_id") / 1000)).alias("event_time"),
+        F.lit("openai").alias("provider"),
+        event.alias("data"),
+        (F.col("chunk_seq") == F.max("chunk_seq").over(last)).alias("closed"),
+    )
+
+
+@query
+def assembled_stream(spark, sf):
+    """Reassembled texts of the response streams, and how many pieces settled."""
+    session = stateful_session(spark)
+    chunks = streamed(session, response_chunks(session, sf), 2, "stream_id")
+    path = run_available(assemble.assemble_stream(chunks), "assembled")
+    rows = spark.read.parquet(path)
+    pieces = assemble.render_pieces(rows)
+    rendered = pieces.groupBy("stream_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("piece", "rendered"))), lambda p: p["rendered"]), ""
+        ).alias("rendered")
+    )
+    return rows.where("kind = 'record'").select("stream_id", F.col("text").alias("content")).join(rendered, "stream_id")
+
+
+@query
+def thrash_stream(spark, sf):
+    path = thrash.thrash_stream(streamed(spark, digested_events(spark, sf), 3, "seq"))
+    out = spark.read.parquet(path).drop("batch")
+    counts = [c for c in out.columns if c not in ("session_id", "session_turn")]
+    return out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+@query
+def replay_stream(spark, sf):
+    """Each event sent twice close together: the copies are dropped."""
+    events = table(spark, sf, "events").selectExpr(
+        "CAST(user_id AS STRING) AS session_id", "'e' || CAST(event_id AS STRING) AS event_key",
+        "event_id", "explode(array(0, 1)) AS copy",
+    ).selectExpr("*", "timestamp_seconds(event_id * 10 + copy) AS event_time")
+    path = run_available(windows.unique_events(streamed(spark, events, 3, "event_time")), "replays")
+    return spark.read.parquet(path).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("event_sum")
+    )
+
+
 # ------------------------------------------------------------------------------ ledgers
 
 @query
 def cost_ledger(spark, sf):
     """Append the costs as JSON lines, read them back and total them."""
-    from convlytics.plans.storage import fresh_path
-
     path = fresh_path(spark, "cost-ledger")
     rows = fx_costs(spark, sf).selectExpr(
         "2 AS schema_version",
