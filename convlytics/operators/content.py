@@ -333,7 +333,8 @@ def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> D
     """Add ``out``: the text without recognised secrets; the number of lines is kept."""
 
     def looks_json(line: Column) -> Column:
-        return line.rlike(r'^\s*[{\["\-0-9tfn]') & tx.is_json(line)
+        opens = line.rlike(r'^\s*(?:[{\["]|-?[0-9]|(?:true|false|null)\s*$)')
+        return opens & tx.is_json(line)
 
     def mask_block(block: Column) -> Column:
         """Mask the body of a private-key block: every line but its BEGIN and END."""

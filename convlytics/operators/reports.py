@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convlytics.functions.stats import held_out, pearson
 from convlytics.operators.signals import SLOTS, VARIANTS, blocked_cause, terminal_state
 from convlytics.operators.usage import session_costs, turn_costs
-from convlytics.plans.once import evaluate_once
+from convlytics.plans.once import attach_row, evaluate_once
 from convlytics.plans.ordered import carry_last, number_rows, running_sum
 
 # How much evidence a conclusion needs.
@@ -123,7 +123,7 @@ def held_out_analysis(observations: DataFrame) -> DataFrame:
         .when(F.col("best").isNull(), "stop_no_predictive_variant")
         .otherwise(F.concat(F.lit("select_"), F.col("best.variant")))
     )
-    return sizes.join(best, F.lit(True)).select(
+    return attach_row(sizes, best).select(
         "training_sessions", "held_out_sessions", "labelled_held_out_sessions", decision.alias("decision")
     )
 
@@ -323,8 +323,7 @@ def clarification_summary(turns: DataFrame, costs: DataFrame, labels: DataFrame)
         ),
         pearson(delta, F.col("correct").cast("double")).alias("score_delta_correctness_correlation"),
     )
-    # Three one-row aggregates.
-    return counts.join(legacy, F.lit(True)).join(links, F.lit(True))
+    return attach_row(attach_row(counts, legacy), links)
 
 
 # ----------------------------------------------------------------------- trajectories

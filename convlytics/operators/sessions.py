@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
 from convlytics.plans.once import evaluate_once
-from convlytics.plans.ordered import SPAN, number_rows
+from convlytics.plans.ordered import SPAN, number_rows, running_sum
 
 TTL_SECS = 3600
 MAX_SESSIONS = 1024
@@ -56,46 +56,42 @@ def stitch_sessions(requests: DataFrame, ttl: int = TTL_SECS) -> DataFrame:
     )
 
 
-def prefix_hashes(history: Column) -> Column:
-    """A chained hash for every prefix of a message list."""
-    return F.aggregate(
-        history,
-        F.array().cast("array<string>"),
-        lambda acc, m: F.concat(
-            acc,
-            F.array(
-                F.sha2(
-                    F.concat(
-                        F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), message_digest(m)
-                    ).cast("binary"),
-                    256,
-                )
-            ),
-        ),
+def prefix_keys(messages: DataFrame, owner: str, span: int = SPAN) -> DataFrame:
+    """One row per message with a key of the history up to and including it.
+
+    ``messages``: ``owner, pos, message`` with ``pos`` from 0.  The key is two running
+    sums of 60-bit hashes of (position, message): equal histories have equal keys, and
+    sums, unlike chained hashes, can be carried across blocks of a long history.
+    """
+    hashed = evaluate_once(
+        messages.select(owner, "pos", "message"),
+        {"h": F.sha2(F.concat(F.col("pos").cast("string"), F.lit("\n"), "message").cast("binary"), 256)},
     )
 
+    def part(start: int) -> Column:
+        return F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(20,0)")
+
+    sums = running_sum(hashed, [owner], "pos", {"a": part(1), "b": part(16)}, span)
+    return sums.select(owner, "pos", "a", "b")
+
 
 def match_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Match request histories against a table of live session histories.
 
-    The unique longest common prefix wins; a tie is a collision and opens a new session.
-    Sessions are counted per prefix first, so a shared prefix is one row, not a pair per
-    session.
+    ``requests``: ``request_id, pos, message``; ``sessions``: ``session_id, pos,
+    message``.  The unique longest common prefix wins; a tie is a collision and opens a
+    new session.  Sessions are counted per prefix first, so a prefix shared by many
+    sessions is one row and no pairs are formed.
     """
-    stored = sessions.select(
-        F.col("session_id"), F.explode(prefix_hashes(F.col("history"))).alias("prefix")
-    )
-    counted = stored.groupBy("prefix").agg(
+    prefix = ["pos", "a", "b"]
+    counted = prefix_keys(sessions, "session_id").groupBy(*prefix).agg(
         F.count(F.lit(1)).alias("__n"), F.min("session_id").alias("__session")
     )
-    asked = requests.select(
-        "request_id", F.posexplode(prefix_hashes(F.col("history"))).alias("__len", "prefix")
-    )
-    best = asked.join(counted, "prefix").groupBy("request_id").agg(
-        F.max(F.struct("__len", "__n", "__session")).alias("__best")
-    )
+    asked = prefix_keys(requests, "request_id").join(counted, prefix, "left")
+    found = F.when(F.col("__n").isNotNull(), F.struct("pos", "__n", "__session"))
+    best = asked.groupBy("request_id").agg(F.max(found).alias("__best"))
     unique = F.col("__best.__n") == 1
-    return requests.select("request_id").join(best, "request_id", "left").select(
+    return best.select(
         "request_id",
         F.when(unique, F.col("__best.__session")).alias("session_id"),
         F.coalesce(~unique, F.lit(False)).alias("collision"),

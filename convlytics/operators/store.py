@@ -78,11 +78,11 @@ def dedup_repeat_reads(
     """Turn a file read into a reference when its session has already read the same bytes.
 
     Columns of ``results``: ``session_id, seq, bytes``.  Bytes that were served within
-    ``max_age`` seconds stay verbatim.
+    ``max_age`` seconds stay verbatim.  With a ``session_turn`` column, the reads of the
+    request that opened a session are never referenced: the session did not exist yet.
     """
     keyed = evaluate_once(results, {"digest": digest(F.col("bytes"))})
     first = keyed.groupBy("session_id", "digest").agg(F.min("seq").alias("__first"))
-    opening = keyed.groupBy("session_id").agg(F.min("seq").alias("__open"))
     recent = (
         served.where(_recent(F.col("served_at_secs"), now, max_age))
         .select(F.col("digest").alias("__served"))
@@ -90,12 +90,12 @@ def dedup_repeat_reads(
     )
     # The first read of a digest is found by grouping, so nothing is ordered per session;
     # the lookup rows are one per (session, digest).
-    slots = first.join(opening, "session_id").select(
-        F.col("session_id").alias("__s"), F.col("digest").alias("__d"), "__first"
-    )
+    slots = first.select(F.col("session_id").alias("__s"), F.col("digest").alias("__d"), "__first")
     slots = slots.join(recent, F.col("__d") == F.col("__served"), "left")
     joined = keyed.join(slots, (F.col("session_id") == F.col("__s")) & (F.col("digest") == F.col("__d")))
     referenced = (F.col("seq") > F.col("__first")) & F.col("__served").isNull()
+    if "session_turn" in results.columns:
+        referenced = referenced & (F.col("session_turn") > 1)
     return joined.select(
         *results.columns,
         "digest",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlytics.plans.once import evaluate_once
+from convlytics.plans.once import attach_row, evaluate_once
 from convlytics.plans.ordered import SPAN, lower_median
 
 USAGE_FIELDS = [
@@ -154,8 +154,7 @@ def transcript_cost_report(turns: DataFrame, costs: DataFrame) -> DataFrame:
         ),
         F.coalesce(F.sum(F.when(~found, F.col("records"))), F.lit(0)).alias("cost_records_excluded"),
     )
-    # Both sides are one-row aggregates.
-    return transcript.join(cost, F.lit(True))
+    return attach_row(transcript, cost)
 
 
 def session_price() -> Column:
@@ -229,8 +228,7 @@ def cache_health(costs: DataFrame, span: int = SPAN) -> DataFrame:
         )
         .agg(F.count_if(F.col("first_read") < F.col("last_miss")).alias("cache_read_to_miss_sessions"))
     )
-    # All three sides are one-row aggregates.
-    joined = totals.join(in_cut, F.lit(True)).join(churn, F.lit(True))
+    joined = attach_row(attach_row(totals, in_cut), churn)
     early_read = F.col("early_read") + F.col("cut_read")
     early_all = F.col("early_cacheable") + F.col("cut_cacheable")
     late_rate = (F.col("cache_read_tokens") - early_read) / F.nullif(
@@ -271,7 +269,7 @@ def cost_burn(costs: DataFrame, now: Column | int, window: int = 3600) -> DataFr
     medians = lower_median(active, ["session_id"], "price", "median")
     overall = lower_median(totals, [], "total", "overall")
     next_turn = medians.agg(F.sum("median").alias("next_turn"))
-    spent = totals.join(overall, F.lit(True), "left").agg(
+    spent = attach_row(totals, overall).agg(
         F.count(F.lit(1)).alias("active_cost_sessions"),
         F.max("overall").alias("session_median_observed_billing_usd"),
         F.count_if(
@@ -280,7 +278,7 @@ def cost_burn(costs: DataFrame, now: Column | int, window: int = 3600) -> DataFr
         ).alias("sessions_above_three_x_median"),
         F.sum("total").alias("spent"),
     )
-    return spent.join(next_turn, F.lit(True)).select(
+    return attach_row(spent, next_turn).select(
         "active_cost_sessions",
         "session_median_observed_billing_usd",
         "sessions_above_three_x_median",
@@ -323,10 +321,9 @@ def transform_gate(
         F.first("cache_hit_rate").alias("hit_rate"),
         F.first("cache_break_cost_per_token_usd").alias("break_cost"),
     )
+    sized = keyed.join(suffix, "request_id", "left")
     joined = (
-        keyed.join(suffix, "request_id", "left")
-        .join(price, F.lit(True))
-        .join(settings, F.lit(True))
+        attach_row(attach_row(sized, price), settings)
         .withColumn("savings_usd", F.coalesce(F.col("saved_bytes") / 4.0 * F.col("price") / 1_000_000.0, F.lit(0.0)))
         .withColumn("invalidated_tokens", F.expr("coalesce(suffix_bytes, 0) div 4"))
     )

@@ -17,3 +17,13 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (a global aggregate) to every row of ``df``.
+
+    The frame becomes a scalar subquery: it runs once and no join takes place.  Without a
+    row the columns are NULL.
+    """
+    packed = row.select(F.struct(*row.columns).alias("row")).scalar()
+    return df.withColumn("__row", packed).select(*df.columns, "__row.*")

@@ -5,6 +5,8 @@ Readers give every row a ``seq`` in append order: files by name, then lines by o
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +29,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+_FILE_SHIFT = 1 << 44
+_ROW_IN_PARTITION = (1 << 33) - 1
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/+", "file:/", path)
+
+
+def _append_order(path: str) -> tuple[str, bool]:
+    """By name; the rotated ``.1`` backup comes before its ledger."""
+    return path.removesuffix(".1"), not path.endswith(".1")
+
+
 def _with_order(df: DataFrame) -> DataFrame:
-    """``seq`` from Spark's own row ids, which follow file splits and lines."""
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    """``seq`` in append order: file, then place in the file.
+
+    A row's place is the start of its split plus its index among the rows read by the
+    task.  A row takes at least two bytes, so the index never reaches the next split.
+    """
+    files = sorted({_plain(f) for f in df.inputFiles()}, key=_append_order)
+    ranks = df.sparkSession.createDataFrame(list(enumerate(files)), "__rank bigint, __file string")
+    index = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_PARTITION))
+    placed = df.select(
+        *df.columns,
+        F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__file"),
+        (F.col("_metadata.file_block_start") + index).alias("__place"),
+    )
+    seq = F.col("__rank") * F.lit(_FILE_SHIFT) + F.col("__place")
+    return placed.join(ranks, "__file").withColumn("seq", seq).drop("__file", "__rank", "__place")
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
     if not _exists(spark, path):
-        return _with_order(spark.createDataFrame([], schema))
+        return spark.createDataFrame([], schema).withColumn("seq", F.lit(0).cast("bigint"))
     return _with_order(spark.read.schema(schema).option("mode", mode).json(path))
 
 
@@ -78,7 +106,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     rows = _with_order(
         spark.read.schema(schemas.LABEL).option("multiLine", True).option("mode", "FAILFAST").json(path)
     )
-    last = rows.groupBy("session_id").agg(F.max(F.struct("seq", "completed", "correct")).alias("l"))
+    last = rows.groupBy("session_id").agg(
+        F.max(F.struct("seq", "completed", "correct")).alias("l")
+    )
     return last.select("session_id", "l.completed", "l.correct")
 
 

@@ -68,14 +68,6 @@ tools AS (
 DOCS = f"docs AS (SELECT doc_id, source, lang, {views.DOC_TEXT} AS text FROM documents)"
 PROSE = f"prose AS (SELECT doc_id, source, {views.PROSE_TEXT} AS text FROM documents)"
 
-REQUESTS = """
-requests AS (
-  SELECT c.turn * 1000000 + c.conv_id AS request_seq, c.conv_id AS expected_session,
-    m.turn AS pos, m.role AS role, m.text AS text
-  FROM conversations c JOIN conversations m ON m.conv_id = c.conv_id AND m.turn <= c.turn
-  WHERE c.role = 'user')"""
-
-
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
@@ -379,18 +371,17 @@ oracle(
 oracle(
     "transform_gate",
     with_(
-        REQUESTS,
-        """gate_rows AS (SELECT request_seq, pos, role, CASE WHEN expected_session % 3 = 0 AND pos >= 2
-              THEN 'please  ' || text || ' ;' ELSE text END AS text FROM requests)""",
+        """gate_rows AS (SELECT conv_id AS request_id, turn AS pos, role, CASE WHEN conv_id % 3 = 0 AND turn >= 2
+              THEN 'please  ' || text || ' ;' ELSE text END AS text FROM conversations)""",
         classes("gate_rows", "classed"),
         f"cleaned AS (SELECT *, CASE WHEN class = 'text' THEN {normalized('text')} ELSE text END AS clean FROM classed)",
-        """marked AS (SELECT request_seq, pos, strlen(to_json({'content': text, 'role': role})) AS bytes,
+        """marked AS (SELECT request_id, pos, strlen(to_json({'content': text, 'role': role})) AS bytes,
               CASE WHEN role = 'user' THEN GREATEST(strlen(text) - strlen(clean), 0) ELSE 0 END AS saved,
               role = 'user' AND clean <> text AS changed FROM cleaned)""",
-        "firsts AS (SELECT request_seq, MIN(pos) AS first_pos FROM marked WHERE changed GROUP BY request_seq)",
-        """sums AS (SELECT request_seq AS request_id, CAST(SUM(saved) AS BIGINT) AS saved_bytes,
+        "firsts AS (SELECT request_id, MIN(pos) AS first_pos FROM marked WHERE changed GROUP BY request_id)",
+        """sums AS (SELECT request_id, CAST(SUM(saved) AS BIGINT) AS saved_bytes,
               CAST(COALESCE(SUM(bytes) FILTER (WHERE pos >= first_pos), 0) AS BIGINT) // 4 AS invalidated_tokens
-              FROM marked LEFT JOIN firsts USING (request_seq) GROUP BY request_seq)""",
+              FROM marked LEFT JOIN firsts USING (request_id) GROUP BY request_id)""",
     ),
     """SELECT request_id, saved_bytes, ROUND(saved_bytes / 4.0 * 2.0 / 1000000.0, 12)::DOUBLE AS savings_usd, invalidated_tokens,
       CASE WHEN saved_bytes / 4.0 * 2.0 / 1000000.0 > invalidated_tokens * 0.5 * 0.000000001 THEN 'allowed' ELSE 'denied' END AS verdict
@@ -645,10 +636,11 @@ oracle(
     "dedup_reads",
     with_(
         SERVED,
-        """reads AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS session_id, a.again * 1000000000 + doc_id AS seq, text,
+        """reads AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS session_id, a.again * 1000000000 + doc_id AS seq,
+              1 + (a.again * 7 + doc_id) % 3 AS session_turn, text,
               sha256(text) AS digest FROM documents, (SELECT UNNEST([0, 1]) AS again) a)""",
         """ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, digest ORDER BY seq) > 1
-              AND digest NOT IN (SELECT digest FROM recent) AS referenced FROM reads)""",
+              AND session_turn > 1 AND digest NOT IN (SELECT digest FROM recent) AS referenced FROM reads)""",
     ),
     """SELECT session_id, seq, digest, referenced,
       CASE WHEN referenced THEN strlen('[convlytics:file-ref:]') + 64 + 1 ELSE strlen(text) END AS rendered_bytes FROM ranked""",
@@ -991,13 +983,16 @@ oracle(
 
 # ----------------------------------------------------------------------------- sessions
 
+RECENT = """
+requests AS (SELECT c.turn * 1000000 + c.conv_id AS request_id, c.conv_id, m.turn AS pos, m.role, m.text
+  FROM conversations c JOIN conversations m ON m.conv_id = c.conv_id AND m.turn IN (c.turn, c.turn - 1) WHERE c.role = 'user')"""
+
 oracle(
     "stitched_sessions",
-    with_(REQUESTS),
-    """SELECT request_seq AS request_id, expected_session,
-      sha256(CAST(MIN(request_seq) OVER (PARTITION BY expected_session) AS VARCHAR)) AS session_id,
-      request_seq = MIN(request_seq) OVER (PARTITION BY expected_session) AS opened
-    FROM requests WHERE pos = 0""",
+    """SELECT turn * 1000000 + conv_id AS request_id, conv_id AS expected_session,
+      sha256(CAST(MIN(turn * 1000000 + conv_id) OVER (PARTITION BY conv_id) AS VARCHAR)) AS session_id,
+      turn = MIN(turn) OVER (PARTITION BY conv_id) AS opened
+    FROM conversations WHERE role = 'user'""",
 )
 oracle(
     "session_gaps",
@@ -1032,16 +1027,16 @@ oracle(
 )
 oracle(
     "conversation_start",
-    with_(REQUESTS),
-    """SELECT request_seq AS request_id, COUNT(*) FILTER (WHERE role = 'user') = 1
-      AND COUNT(*) FILTER (WHERE role = 'assistant') = 0 AS conversation_start FROM requests GROUP BY request_seq""",
+    with_(RECENT),
+    """SELECT request_id, COUNT(*) FILTER (WHERE role = 'user') = 1
+      AND COUNT(*) FILTER (WHERE role = 'assistant') = 0 AS conversation_start FROM requests GROUP BY request_id""",
 )
 oracle(
     "last_user_text",
-    with_(REQUESTS),
-    f"""SELECT request_id, text FROM (SELECT request_seq AS request_id, expected_session, ARG_MAX(role, pos) AS role, ARG_MAX(text, pos) AS text
-      FROM requests GROUP BY request_seq, expected_session)
-    WHERE role = 'user' AND (expected_session % 2 = 0 OR {strip('text')} <> '')""",
+    with_(RECENT),
+    f"""SELECT request_id, text FROM (SELECT request_id, conv_id, ARG_MAX(role, pos) AS role, ARG_MAX(text, pos) AS text
+      FROM requests GROUP BY request_id, conv_id)
+    WHERE role = 'user' AND (CASE WHEN conv_id % 2 = 0 THEN conv_id % 3 <> 1 ELSE {strip('text')} <> '' END)""",
 )
 
 # ----------------------------------------------------------------------------- payloads
@@ -1187,10 +1182,9 @@ oracle(
 )
 oracle(
     "session_stream",
-    with_(REQUESTS),
-    """SELECT MIN(request_seq // 1000000 * 600 + expected_session * 100000) AS started, COUNT(*) AS requests,
-      MIN(request_seq) AS first_seq
-    FROM requests WHERE pos = 0 GROUP BY expected_session""",
+    """SELECT MIN(turn * 600 + conv_id * 100000) AS started, COUNT(*) AS requests,
+      MIN(turn * 1000000 + conv_id) AS first_seq
+    FROM conversations WHERE role = 'user' GROUP BY conv_id""",
 )
 oracle(
     "assembled_stream",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlytics.operators import (
@@ -20,7 +20,7 @@ from convlytics.operators import (
     store,
     usage,
 )
-from convlytics.plans.storage import fresh_path
+from convlytics.plans.storage import fresh_path, spread
 from convlytics.sources import ledgers
 from convlytics.sources import requests as rq
 from convlytics.streaming import assemble, windows
@@ -34,7 +34,6 @@ from registry.views import (
     fx_messages,
     fx_pricing,
     fx_prose,
-    fx_requests,
     fx_tool_events,
     fx_turns,
     fx_turns_long,
@@ -162,9 +161,8 @@ def cache_health(spark, sf):
 @query
 def cost_burn(spark, sf):
     costs = fx_costs(spark, sf)
-    latest = costs.agg(F.max("recorded_at_secs").alias("now"))
-    # One row: the newest ledger time.
-    out = usage.cost_burn(costs.join(latest, F.lit(True)), F.col("now"), window=24 * 3600)
+    latest = costs.agg(F.max("recorded_at_secs")).scalar()
+    out = usage.cost_burn(costs, latest, window=24 * 3600)
     return rounded(
         out,
         "session_median_observed_billing_usd",
@@ -174,14 +172,15 @@ def cost_burn(spark, sf):
 
 
 def gate_messages(spark, sf) -> DataFrame:
-    messages = fx_requests(spark, sf).withColumn(
-        "text",
-        F.expr("CASE WHEN expected_session % 3 = 0 AND pos >= 2 THEN 'please  ' || text || ' ;' ELSE text END"),
+    """Each conversation as one request; some user texts hold filler words."""
+    messages = spread(table(spark, sf, "conversations"), "conv_id", "turn").selectExpr(
+        "conv_id AS request_id", "turn AS pos", "role",
+        "CASE WHEN conv_id % 3 = 0 AND turn >= 2 THEN 'please  ' || text || ' ;' ELSE text END AS text",
     )
     normalized = content.normalize_prose(messages)
     user = F.col("role") == "user"
     return normalized.select(
-        F.col("request_seq").alias("request_id"),
+        "request_id",
         "pos",
         F.octet_length(F.to_json(F.struct(F.col("text").alias("content"), "role"))).alias("message_bytes"),
         F.when(user, F.col("bytes_before")).alias("bytes_before"),
@@ -376,7 +375,10 @@ def file_reads(spark, sf) -> DataFrame:
         "explode(sequence(0, 1)) AS again",
         "doc_id",
         "text",
-    ).selectExpr("session_id", "again * 1000000000 + doc_id AS seq", "CAST(text AS BINARY) AS bytes")
+    ).selectExpr(
+        "session_id", "again * 1000000000 + doc_id AS seq", "1 + (again * 7 + doc_id) % 3 AS session_turn",
+        "CAST(text AS BINARY) AS bytes",
+    )
 
 
 def served_log(spark, sf) -> DataFrame:
@@ -680,10 +682,8 @@ def thrash_report(spark, sf):
 @query
 def stitched_sessions(spark, sf):
     """Requests of the same conversation share their first message: one session each."""
-    messages = fx_requests(spark, sf)
-    first = messages.where("pos = 0").selectExpr(
-        "request_seq AS request_id", "request_seq AS seq", "request_seq div 1000000 AS at_secs",
-        "expected_session", "role || chr(10) || text AS first_message",
+    first = views.fx_first_messages(spark, sf).withColumns(
+        {"seq": F.col("request_id"), "at_secs": F.col("turn")}
     )
     out = sessions.stitch_sessions(first)
     return out.select("request_id", "expected_session", "session_id", "opened")
@@ -703,22 +703,19 @@ def session_gaps(spark, sf):
 @query
 def match_sessions(spark, sf):
     """Match every request against the histories of the even conversations."""
-    raw = table(spark, sf, "conversations")
-    turns = raw.selectExpr("conv_id", "turn", "role || ':' || CAST(length(text) % 7 AS STRING) AS message")
-    histories = turns.groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "message"))), lambda t: t["message"]).alias("history")
+    turns = table(spark, sf, "conversations").selectExpr(
+        "conv_id AS request_id", "CAST(conv_id AS STRING) AS session_id", "turn AS pos",
+        "role || ':' || CAST(length(text) % 7 AS STRING) AS message",
     )
-    stored = histories.where("conv_id % 2 = 0").select(F.col("conv_id").cast("string").alias("session_id"), "history")
-    asked = histories.select(F.col("conv_id").alias("request_id"), "history")
-    return sessions.match_sessions(asked, stored)
+    stored = turns.where("request_id % 2 = 0").drop("request_id")
+    return sessions.match_sessions(turns.drop("session_id"), stored)
 
 
 @query
 def live_sessions(spark, sf):
     accesses = fx_costs(spark, sf).selectExpr("session_id", "recorded_at_secs AS at_secs")
-    latest = accesses.agg(F.max("at_secs").alias("now"))
-    # One row: the newest access.
-    return sessions.live_sessions(accesses.join(latest, F.lit(True)), F.col("now"), ttl=24 * 3600, cap=1024)
+    latest = accesses.agg(F.max("at_secs")).scalar()
+    return sessions.live_sessions(accesses, latest, ttl=24 * 3600, cap=1024)
 
 
 @query
@@ -728,14 +725,15 @@ def number_turns(spark, sf):
 
 @query
 def conversation_start(spark, sf):
-    return sessions.conversation_start(fx_requests(spark, sf).withColumnRenamed("request_seq", "request_id"))
+    return sessions.conversation_start(views.fx_recent_requests(spark, sf))
 
 
 @query
 def last_user_text(spark, sf):
-    messages = fx_requests(spark, sf).selectExpr(
-        "request_seq AS request_id", "pos", "role", "text",
-        "CASE WHEN expected_session % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider", "true AS is_plain_text",
+    messages = views.fx_recent_requests(spark, sf).selectExpr(
+        "request_id", "pos", "role", "text",
+        "CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider",
+        "conv_id % 3 <> 1 AS is_plain_text",
     )
     return sessions.last_user_text(messages)
 
@@ -938,9 +936,9 @@ def health_stream(spark, sf):
 
 @query
 def session_stream(spark, sf):
-    requests = fx_requests(spark, sf).where("pos = 0").selectExpr(
-        "request_seq AS seq", "role || chr(10) || text AS first_message",
-        "timestamp_seconds(request_seq div 1000000 * 600 + expected_session * 100000) AS event_time",
+    requests = views.fx_first_messages(spark, sf).selectExpr(
+        "request_id AS seq", "first_message",
+        "timestamp_seconds(turn * 600 + expected_session * 100000) AS event_time",
     )
     path = run_available(windows.session_stream(streamed(spark, requests, 1, "event_time")), "sessions", "complete")
     rows = spark.read.parquet(path)
@@ -952,7 +950,6 @@ def session_stream(spark, sf):
 def response_chunks(spark, sf) -> DataFrame:
     """The assistant texts as server-sent event text, cut into chunks."""
     deltas = views.fx_chunks(spark, sf)
-    last = Window.partitionBy("stream_id")
     event = F.concat(
         F.lit("data: "),
         F.to_json(F.struct(F.array(F.struct(F.struct(F.col("delta").alias("content")).alias("delta"))).alias("choices"))),
@@ -964,7 +961,7 @@ def response_chunks(spark, sf) -> DataFrame:
         F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("stream_id") / 1000)).alias("event_time"),
         F.lit("openai").alias("provider"),
         event.alias("data"),
-        (F.col("chunk_seq") == F.max("chunk_seq").over(last)).alias("closed"),
+        "closed",
     )
 
 

@@ -181,25 +181,24 @@ def fx_prose(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def fx_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Exploded request histories: each user turn re-sends the turns before it."""
+def fx_first_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per user turn, with the first message of its conversation."""
     raw = table(spark, sf, "conversations")
-    ends = raw.where("role = 'user'").selectExpr(
-        "conv_id AS expected_session", "turn AS last_turn"
+    first = raw.where("turn = 0").selectExpr(
+        "conv_id", "role || chr(10) || text AS first_message"
     )
-    messages = spread(raw, "conv_id", "turn").selectExpr("conv_id", "turn AS pos", "role", "text")
-    return (
-        ends.join(
-            messages,
-            (F.col("expected_session") == F.col("conv_id")) & (F.col("pos") <= F.col("last_turn")),
-        )
-        .selectExpr(
-            "last_turn * 1000000 + expected_session AS request_seq",
-            "expected_session",
-            "pos",
-            "role",
-            "text",
-        )
+    return raw.where("role = 'user'").select("conv_id", "turn").join(first, "conv_id").selectExpr(
+        "turn * 1000000 + conv_id AS request_id", "conv_id AS expected_session", "turn", "first_message"
+    )
+
+
+def fx_recent_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per user turn, holding that turn and the one before it."""
+    raw = table(spark, sf, "conversations")
+    asked = raw.where("role = 'user'").selectExpr("conv_id", "turn AS last_turn")
+    sent = raw.select("conv_id", "turn", "role", "text", F.explode(F.expr("array(turn, turn + 1)")).alias("last_turn"))
+    return sent.join(asked, ["conv_id", "last_turn"]).selectExpr(
+        "last_turn * 1000000 + conv_id AS request_id", "conv_id", "turn AS pos", "role", "text"
     )
 
 
@@ -212,6 +211,7 @@ def fx_chunks(spark: SparkSession, sf: str) -> DataFrame:
         F.explode(F.expr("sequence(0, (length(content) - 1) div 16)")).alias("i"),
     ).selectExpr(
         "stream_id",
+        "i = (length(content) - 1) div 16 AS closed",
         "CAST(i AS BIGINT) AS chunk_seq",
         "substring(content, CAST(1 + 16 * i AS INT), 16) AS delta",
     )
