@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
 from convlytics.plans.once import evaluate_once
-from convlytics.plans.ordered import carry_last, running_sum
+from convlytics.plans.ordered import Nearest, carry, running_sum
 
 MIN_RUNS_FOR_INTERVAL = 5
 
@@ -92,7 +92,7 @@ def bootstrap_median_ci(
             "grp", (F.col("rank") * 2).alias("at"), F.lit(None).cast("double").alias("value"), "rep"
         )
     )
-    looked_up = carry_last(points, ["grp"], "at", {"found": F.col("value")}, forward=True)
+    looked_up = carry(points, ["grp"], "at", {"found": Nearest(F.col("value"), forward=True)})
     medians = (
         looked_up.where("rep IS NOT NULL").groupBy("grp", "rep").agg(F.avg("found").alias("median"))
     )

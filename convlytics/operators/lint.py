@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
 from convlytics.plans.once import evaluate_once
-from convlytics.plans.ordered import carry_last
+from convlytics.plans.ordered import Nearest, carry
 
 # Rule phrases.
 NOISE = ["got it", "sounds good", "great question", "thanks for"]
@@ -153,7 +153,7 @@ def turn_overlap(turns: DataFrame, per_session: bool = True) -> DataFrame:
         turns.where("role = 'assistant'").select("session_id", "seq", "content"),
         {"words": F.array_distinct(tx.words(tx.without_code_spans(F.col("content"))))},
     ).drop("content")
-    paired = carry_last(spoken, keys, "seq", {"before": F.col("words")}, inclusive=False)
+    paired = carry(spoken, keys, "seq", {"before": Nearest(F.col("words"), inclusive=False)})
     shared = F.size(F.array_intersect("words", "before"))
     return paired.where(shared >= 3).select("session_id", "seq", shared.alias("shared_words"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlytics.plans.ordered import SPAN, carry_last, number_rows, running_sum, with_halo
+from convlytics.plans.ordered import SPAN, Nearest, carry, number_rows, running_sum, with_halo
 
 PRIOR_CALLS = 128
 SIMILARITY = 0.60
@@ -30,13 +30,8 @@ def drop_replays(events: DataFrame) -> DataFrame:
 
 def link_results(events: DataFrame, span: int = SPAN) -> DataFrame:
     """Results without a call key belong to the latest call of their session."""
-    placed = carry_last(
-        events,
-        ["session_id"],
-        "seq",
-        {"__latest": F.when(F.col("kind") == "call", F.col("call_key"))},
-        span=span,
-    )
+    calls = Nearest(F.when(F.col("kind") == "call", F.col("call_key")))
+    placed = carry(events, ["session_id"], "seq", {"__latest": calls}, span)
     return placed.withColumn("call_key", F.coalesce("call_key", "__latest")).drop("__latest")
 
 
@@ -148,8 +143,10 @@ def edit_fail_edit(events: DataFrame) -> DataFrame:
 
 def thrash_receipts(events: DataFrame) -> DataFrame:
     """Per request with any repetition: the three counts and their sum."""
-    clean = link_results(drop_replays(events))
-    return receipts_from(exact_repeats(clean), near_repeats(clean), edit_fail_edit(clean))
+    clean = drop_replays(events)
+    # Only the edit cycles look at which call a result belongs to.
+    cycles = edit_fail_edit(link_results(clean))
+    return receipts_from(exact_repeats(clean), near_repeats(clean), cycles)
 
 
 def receipts_from(exact: DataFrame, near: DataFrame, cycles: DataFrame) -> DataFrame:

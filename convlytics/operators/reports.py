@@ -9,7 +9,7 @@ from convlytics.functions.stats import held_out, pearson
 from convlytics.operators.signals import SLOTS, VARIANTS, blocked_cause, terminal_state
 from convlytics.operators.usage import session_costs, turn_costs
 from convlytics.plans.once import attach_row, evaluate_once
-from convlytics.plans.ordered import carry_last, number_rows, running_sum
+from convlytics.plans.ordered import Nearest, carry, number_rows, running_sum
 
 # How much evidence a conclusion needs.
 MIN_LABELLED_HELD_OUT = 8
@@ -237,44 +237,33 @@ def _question_pairs(turns: DataFrame) -> DataFrame:
     user = F.when(
         F.col("is_user"), F.struct(F.col("session_turn").alias("turn"), *[F.col(v) for v in VARIANTS])
     )
-    placed = carry_last(by_turn, ["session_id"], "session_turn", {"before": user})
-    placed = carry_last(
-        placed, ["session_id"], "session_turn", {"after": user}, inclusive=False, forward=True
+    placed = carry(
+        by_turn,
+        ["session_id"],
+        "session_turn",
+        {"before": Nearest(user), "after": Nearest(user, inclusive=False, forward=True)},
     )
     return placed.where("is_question").select("session_id", "session_turn", "before", "after")
 
 
-def clarifications(turns: DataFrame, costs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per decision turn and variant: what the user's reply filled in, and its cost."""
-    pairs = _question_pairs(turns).where("before IS NOT NULL AND after IS NOT NULL")
-    both = pairs.select(
+def _replies(turns: DataFrame, costs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every question twice, once per variant, with what could be measured of its reply."""
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(v).alias("variant"),
+                F.col(f"before.{v}").alias("before_slots"),
+                F.col(f"after.{v}").alias("after_slots"),
+            )
+            for v in VARIANTS
+        ]
+    )
+    rows = _question_pairs(turns).select(
         "session_id",
         F.col("session_turn").alias("question_turn"),
         F.col("after.turn").alias("reply_turn"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(v).alias("variant"),
-                        F.col(f"before.{v}").alias("before"),
-                        F.col(f"after.{v}").alias("after"),
-                    )
-                    for v in VARIANTS
-                ]
-            )
-        ),
-    ).where("before IS NOT NULL AND after IS NOT NULL")
-    filled, resolved = slot_delta(F.col("before.slots"), F.col("after.slots"))
-    rows = both.select(
-        "session_id",
-        "question_turn",
-        "reply_turn",
-        "variant",
-        F.col("before.score").alias("before_score"),
-        F.col("after.score").alias("after_score"),
-        (F.col("after.score") - F.col("before.score")).alias("score_delta"),
-        filled.alias("filled_slots"),
-        resolved.alias("resolved_unresolved_unknowns"),
+        F.col("before").isNotNull().alias("has_before"),
+        F.inline(sides),
     )
     spent = turn_costs(costs).select(
         "session_id",
@@ -286,44 +275,55 @@ def clarifications(turns: DataFrame, costs: DataFrame, labels: DataFrame) -> Dat
         F.col("priced_cost_records").alias("reply_turn_priced_cost_records"),
     )
     outcome = labels.select("session_id", "completed", "correct")
+    measured = F.col("before_slots").isNotNull() & F.col("after_slots").isNotNull()
     return (
         rows.join(spent, ["session_id", "reply_turn"], "left")
         .join(outcome, "session_id", "left")
-        .withColumns(
-            {
-                c: F.coalesce(c, F.lit(0))
-                for c in ("reply_turn_cost_records", "reply_turn_priced_cost_records")
-            }
-        )
+        .withColumn("measured", measured)
+        .withColumn("before_score", F.col("before_slots.score"))
+        .withColumn("after_score", F.col("after_slots.score"))
+        .withColumn("score_delta", F.col("after_score") - F.col("before_score"))
+    )
+
+
+def clarifications(turns: DataFrame, costs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per decision turn and variant: what the user's reply filled in, and its cost."""
+    filled, resolved = slot_delta(F.col("before_slots.slots"), F.col("after_slots.slots"))
+    records = ["reply_turn_cost_records", "reply_turn_priced_cost_records"]
+    return _replies(turns, costs, labels).where("measured").select(
+        "session_id",
+        "question_turn",
+        "reply_turn",
+        "variant",
+        "before_score",
+        "after_score",
+        "score_delta",
+        filled.alias("filled_slots"),
+        resolved.alias("resolved_unresolved_unknowns"),
+        "reply_turn_observed_billing_usd",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in records],
+        "completed",
+        "correct",
     )
 
 
 def clarification_summary(turns: DataFrame, costs: DataFrame, labels: DataFrame) -> DataFrame:
     """Questions that could not be measured, and two correlations, as one row."""
-    before, after = F.col("before").isNotNull(), F.col("after").isNotNull()
-    gaps = sum(
-        (
-            (F.col(f"before.{v}").isNull() | F.col(f"after.{v}").isNull()).cast("bigint")
-            for v in VARIANTS
-        ),
-        F.lit(0),
-    )
-    counts = _question_pairs(turns).agg(
-        F.count_if(~after).alias("unpaired_decision_turns"),
-        F.coalesce(
-            F.sum(F.when(~before & after, 1).when(before & after, gaps).otherwise(0)), F.lit(0)
-        ).alias("incomplete_readiness_pairs"),
-    )
+    once = F.col("variant") == VARIANTS[0]
+    answered = F.col("reply_turn").isNotNull()
+    gap = F.when(F.col("has_before"), ~F.col("measured")).otherwise(once)
+    delta = F.when(F.col("measured"), F.col("score_delta").cast("double"))
     legacy = turns.agg(F.count_if(F.col("session_turn").isNull()).alias("legacy_records_excluded"))
-    delta = F.col("score_delta").cast("double")
-    links = clarifications(turns, costs, labels).agg(
-        F.count(F.lit(1)).alias("observations"),
+    facts = _replies(turns, costs, labels).agg(
+        F.count_if(once & ~answered).alias("unpaired_decision_turns"),
+        F.count_if(answered & gap).alias("incomplete_readiness_pairs"),
+        F.count_if("measured").alias("observations"),
         pearson(delta, F.col("reply_turn_observed_billing_usd")).alias(
             "score_delta_reply_turn_cost_correlation"
         ),
         pearson(delta, F.col("correct").cast("double")).alias("score_delta_correctness_correlation"),
     )
-    return attach_row(attach_row(counts, legacy), links)
+    return attach_row(facts, legacy)
 
 
 # ----------------------------------------------------------------------- trajectories

@@ -10,6 +10,7 @@ back on (key, block), which is the partitioning the rows already have.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,46 +73,52 @@ def number_rows(
     return running_sum(df, keys, order, {out: F.lit(1).cast("bigint")}, span)
 
 
-def carry_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, Column],
-    inclusive: bool = True,
-    forward: bool = False,
-    span: int = SPAN,
+@dataclass(frozen=True)
+class Nearest:
+    """A value to look up in neighbouring rows.
+
+    The nearest earlier (or, with ``forward``, later) row where ``value`` is not null;
+    ``inclusive`` lets the row's own value count.
+    """
+
+    value: Column
+    inclusive: bool = True
+    forward: bool = False
+
+
+def carry(
+    df: DataFrame, keys: Sequence[str], order: str, lookups: dict[str, Nearest], span: int = SPAN
 ) -> DataFrame:
-    """Add, per row, the nearest earlier (or, with ``forward``, later) non-null value.
+    """Add, per row, the nearest non-null value of each lookup in both directions.
 
-    ``inclusive`` lets the row's own value count.  This is an as-of lookup without
-    pairing rows: both sides live in one table ordered by ``order``.
+    This is an as-of lookup without pairing rows: both sides live in one table ordered
+    by ``order``.
     """
-    rows = _blocked(df, order, span).withColumns({f"__v_{n}": e for n, e in values.items()})
-    pick = F.min_by if forward else F.max_by
-    summary = rows.groupBy(*keys, _BLOCK).agg(
-        *[
-            pick(
-                f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))
-            ).alias(f"__s_{n}")
-            for n in values
-        ]
-    )
-    outer = _ordered(keys, _BLOCK, forward).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *keys,
-        _BLOCK,
-        *[F.last(f"__s_{n}", ignorenulls=True).over(outer).alias(f"__k_{n}") for n in values],
-    )
-    inside = _ordered([*keys, _BLOCK], order, forward).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
+    rows = _blocked(df, order, span).withColumns(
+        {f"__v_{n}": look.value for n, look in lookups.items()}
     )
-    local = rows.withColumns(
-        {n: F.last(f"__v_{n}", ignorenulls=True).over(inside) for n in values}
-    )
-    joined = _join_carry(local, carry, keys)
-    found = {n: F.coalesce(F.col(n), F.col(f"__k_{n}")) for n in values}
+
+    def edge(name: str, look: Nearest) -> Column:
+        pick = F.min_by if look.forward else F.max_by
+        known = F.when(F.col(f"__v_{name}").isNotNull(), F.col(order))
+        return pick(f"__v_{name}", known).alias(f"__s_{name}")
+
+    def beyond(name: str, look: Nearest) -> Column:
+        outer = _ordered(keys, _BLOCK, look.forward).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(f"__s_{name}", ignorenulls=True).over(outer).alias(f"__k_{name}")
+
+    def inside(name: str, look: Nearest) -> Column:
+        end = 0 if look.inclusive else -1
+        near = _ordered([*keys, _BLOCK], order, look.forward).rowsBetween(Window.unboundedPreceding, end)
+        return F.last(f"__v_{name}", ignorenulls=True).over(near)
+
+    summary = rows.groupBy(*keys, _BLOCK).agg(*[edge(n, look) for n, look in lookups.items()])
+    edges = summary.select(*keys, _BLOCK, *[beyond(n, look) for n, look in lookups.items()])
+    local = rows.withColumns({n: inside(n, look) for n, look in lookups.items()})
+    joined = _join_carry(local, edges, keys)
+    found = {n: F.coalesce(F.col(n), F.col(f"__k_{n}")) for n in lookups}
     return joined.withColumns(found).drop(
-        _BLOCK, *[f"__{kind}_{n}" for kind in "vk" for n in values]
+        _BLOCK, *[f"__{kind}_{n}" for kind in "vk" for n in lookups]
     )
 
 

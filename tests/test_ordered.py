@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from convlytics.plans.ordered import carry_last, lower_median, number_rows, running_sum, with_halo
+from convlytics.plans.ordered import Nearest, carry, lower_median, number_rows, running_sum, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -39,10 +39,10 @@ def test_number_rows(skewed):
 
 @pytest.mark.parametrize("inclusive", [True, False])
 @pytest.mark.parametrize("forward", [True, False])
-def test_carry_last(skewed, inclusive, forward):
+def test_carry(skewed, inclusive, forward):
     order = F.col("seq").desc() if forward else F.col("seq")
     w = Window.partitionBy("k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    got = carry_last(skewed, ["k"], "seq", {"c": F.col("v")}, inclusive, forward, span=40)
+    got = carry(skewed, ["k"], "seq", {"c": Nearest(F.col("v"), inclusive, forward)}, span=40)
     same(got, skewed.withColumn("c", F.last("v", ignorenulls=True).over(w)))
 
 
