@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from convlytics.functions import text as tx
+from convlytics.plans.dimensions import small
 from convlytics.plans.once import evaluate_once
 
 # --------------------------------------------------------------------- classification
@@ -159,7 +160,7 @@ def safety_verdict(transforms: DataFrame) -> DataFrame:
         .when(F.col("ccr_available"), "allowed_with_ccr")
         .otherwise("denied")
     )
-    return transforms.join(contract, "safety_class").withColumn("verdict", verdict)
+    return transforms.join(small(contract), "safety_class").withColumn("verdict", verdict)
 
 
 # ---------------------------------------------------------------------- normalisation

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
+from convlytics.plans.dimensions import small
 from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import Nearest, carry, running_sum
 
@@ -112,7 +113,7 @@ def term_coverage(responses: DataFrame, cases: DataFrame) -> DataFrame:
         lambda low: F.size(F.filter("required_terms", lambda t: low.contains(F.lower(t)))),
     )
     structure = r"(?md)^[ \t\r\f\x0b]*+(?:[§!>~]|-#?[ \t\r\f\x0b]|[0-9]++[.)][ \t\r\f\x0b])"
-    joined = responses.join(cases.select("case_id", "required_terms"), "case_id")
+    joined = responses.join(small(cases.select("case_id", "required_terms")), "case_id")
     facts = evaluate_once(
         joined,
         {

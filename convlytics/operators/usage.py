@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlytics.plans.dimensions import small
 from convlytics.plans.once import attach_row, evaluate_once
 from convlytics.plans.ordered import SPAN, lower_median
 
@@ -85,7 +86,8 @@ def bill_usage(costs: DataFrame, pricing: DataFrame) -> DataFrame:
         + tokens("cache_read_tokens") * F.col("__read")
         + tokens("cache_creation_tokens") * F.col("__write")
     ) / F.lit(1_000_000.0)
-    joined = costs.join(price, F.col("provider") == F.col("__p"), "left")
+    # Few providers, so a shuffle by provider would put a third of the ledger in one task.
+    joined = costs.join(small(price), F.col("provider") == F.col("__p"), "left")
     return joined.withColumn("observed_billing_usd", dollars).drop(
         "__p", "__in", "__out", "__read", "__write"
     )

@@ -1,0 +1,18 @@
+"""Small configuration tables in joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 100_000
+
+
+def small(table: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Mark a table for broadcast if a check shows that it is small.
+
+    The check reads at most ``max_rows + 1`` rows.  A larger table is returned as it is:
+    the join then shuffles, and adaptive execution splits its skewed keys.
+    """
+    rows = table.limit(max_rows + 1).count()
+    return F.broadcast(table) if rows <= max_rows else table

@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master, where driver and executors are one process, may fall back to a
     temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):

@@ -5,13 +5,17 @@ Readers give every row a ``seq`` in append order: files by name, then lines by o
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from convlytics.operators.store import DIGEST
+from convlytics.plans.dimensions import MAX_ROWS
+from convlytics.plans.storage import shared_dir
 from convlytics.sources import schemas
 
 
@@ -57,7 +61,8 @@ def _with_order(df: DataFrame) -> DataFrame:
         (F.col("_metadata.file_block_start") + index).alias("__place"),
     )
     seq = F.col("__rank") * F.lit(_FILE_SHIFT) + F.col("__place")
-    return placed.join(ranks, "__file").withColumn("seq", seq).drop("__file", "__rank", "__place")
+    known = F.broadcast(ranks) if len(files) <= MAX_ROWS else ranks
+    return placed.join(known, "__file").withColumn("seq", seq).drop("__file", "__rank", "__place")
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
@@ -139,14 +144,16 @@ def pricing_dim(spark: SparkSession, prices: dict[str, dict[str, float]]) -> Dat
     return spark.createDataFrame(rows, schemas.PRICING)
 
 
-def append_ledger(df: DataFrame, path: str, fmt: str = "json"):
-    """Append rows to a ledger; a streaming frame appends through a checkpointed sink."""
+def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery | None:
+    """Append rows to a ledger; a streaming frame appends through a checkpointed sink.
+
+    The checkpoint belongs to the ledger, so a restarted query goes on where it stopped.
+    """
     if not df.isStreaming:
         df.write.mode("append").format(fmt).save(path)
         return None
-    from convlytics.plans.storage import fresh_path
-
-    checkpoint = fresh_path(df.sparkSession, "ledger-checkpoint")
+    name = hashlib.sha256(path.encode()).hexdigest()[:16]
+    checkpoint = f"{shared_dir(df.sparkSession)}/ledger-{name}"
     return (
         df.writeStream.format(fmt)
         .outputMode("append")
@@ -155,3 +162,9 @@ def append_ledger(df: DataFrame, path: str, fmt: str = "json"):
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_response_chunks(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Stream response chunks from JSON files; the assembler splits them into records."""
+    reader = spark.readStream.schema(schemas.CHUNK).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.json(path)

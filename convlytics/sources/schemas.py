@@ -123,3 +123,12 @@ EVAL_CASES = struct(
         struct(id=STRING, prompt=STRING, required_terms=T.ArrayType(STRING), expected_structure=STRING)
     )
 )
+
+CHUNK = struct(
+    stream_id=BIGINT,
+    chunk_seq=BIGINT,
+    event_time=T.TimestampType(),
+    provider=STRING,
+    data=STRING,
+    closed=BOOLEAN,
+)

@@ -810,16 +810,6 @@ sizes AS (SELECT session_id, COUNT(*) AS turns FROM turns GROUP BY session_id),
 observed AS (SELECT s.session_id, z.turns, s.variant, s.score, COALESCE(b.usd, 0.0) AS usd, COALESCE(b.n, 0) AS cost_n,
   {outcome('o')} FROM firsts f JOIN scored s USING (seq) JOIN sizes z ON z.session_id = s.session_id
   LEFT JOIN billed b ON b.session_id = s.session_id LEFT JOIN outcomes o ON o.session_id = s.session_id)"""
-oracle(
-    "build_transcript",
-    with_(TURNS, SPOKEN, findings("spoken", "seq", "content"),
-          f"firsts AS (SELECT session_id, MIN(seq) AS seq FROM turns WHERE {STARTS} GROUP BY session_id)",
-          "lint_counts AS (SELECT seq, COUNT(*) AS n FROM findings GROUP BY seq)"),
-    f"""SELECT t.session_id, session_turn, t.seq, role, strlen({no_final_newline(masked('content'))}) AS content_bytes, COALESCE(n, 0) AS findings,
-      CASE WHEN role = 'assistant' THEN 'terminal' WHEN f.seq IS NOT NULL THEN 'readiness,readiness,advisory'
-        ELSE 'readiness,readiness' END AS signals
-    FROM turns t LEFT JOIN lint_counts USING (seq) LEFT JOIN firsts f ON f.seq = t.seq""",
-)
 oracle(
     "readiness_observations",
     REPORT,
@@ -968,6 +958,18 @@ THRASH = with_(
           FULL JOIN (SELECT session_id, session_turn, COUNT(*) AS k FROM cycles GROUP BY ALL) USING (session_id, session_turn))""",
 )
 oracle("thrash_receipts", THRASH, "SELECT * FROM thrash")
+oracle(
+    "build_transcript",
+    THRASH, f""", {TURNS}, {SPOKEN}, {findings("spoken", "seq", "content")},
+    firsts AS (SELECT session_id, MIN(seq) AS seq FROM turns WHERE {STARTS} GROUP BY session_id),
+    lint_counts AS (SELECT seq, COUNT(*) AS n FROM findings GROUP BY seq)
+    SELECT t.session_id, t.session_turn, t.seq, role, strlen({no_final_newline(masked('content'))}) AS content_bytes,
+      COALESCE(l.n, 0) AS findings,
+      CASE WHEN role = 'assistant' AND h.session_id IS NOT NULL THEN 'thrash,terminal' WHEN role = 'assistant' THEN 'terminal'
+        WHEN f.seq IS NOT NULL THEN 'readiness,readiness,advisory' ELSE 'readiness,readiness' END AS signals
+    FROM turns t LEFT JOIN lint_counts l USING (seq) LEFT JOIN firsts f ON f.seq = t.seq
+    LEFT JOIN thrash h ON h.session_id = t.session_id AND h.session_turn = t.session_turn""",
+)
 THRASH_FIELDS = (
     "score", "exact_repeated_tool_results", "expensive_exact_repeated_tool_results",
     "wire_cheap_exact_repeated_tool_results", "near_repeated_tool_calls", "edit_fail_edit_cycles",

@@ -18,6 +18,7 @@ from convlytics.operators import (
     sessions,
     signals,
     store,
+    transcript,
     usage,
 )
 from convlytics.plans.storage import fresh_path, spread
@@ -519,12 +520,16 @@ def trailing_prose(spark, sf):
     )
 
 
-def receipt_turns(spark, sf) -> DataFrame:
-    """Turns with readiness, terminal and advisory receipts."""
-    turns = fx_turns(spark, sf).withColumn(
+def started_turns(spark, sf) -> DataFrame:
+    return fx_turns(spark, sf).withColumn(
         "conversation_start",
         (F.col("role") == "user") & (F.col("session_turn") == 1) & (F.col("seq") % 3 != 2),
     )
+
+
+def receipt_turns(spark, sf) -> DataFrame:
+    """Turns with readiness, terminal and advisory receipts."""
+    turns = started_turns(spark, sf)
     return signals.with_receipts(turns, signals.assign_arms(turns, "raw_composite"))
 
 
@@ -538,17 +543,16 @@ def experiment_arms(spark, sf):
 
 @query
 def build_transcript(spark, sf):
-    """Redacted rows with lint and receipts, summarised per session and role."""
-    turns = receipt_turns(spark, sf)
-    none = F.array().cast("array<struct<rule: string, message: string, heuristic: boolean, line: bigint>>")
-    turns = turns.withColumn(
-        "lint",
-        F.when(F.col("role") == "assistant", lint.lint_findings(F.col("content"))).otherwise(none),
+    """Redacted rows with lint and receipts; tool events share the sessions' ids."""
+    turns = started_turns(spark, sf)
+    rows = transcript.build_transcript(
+        turns,
+        signals.assign_arms(turns, "raw_composite"),
+        repeats.thrash_receipts(digested_events(spark, sf)),
     )
-    rows = content.redact(turns, "content", "redacted")
     return rows.select(
         "session_id", "session_turn", "seq", "role",
-        F.octet_length("redacted").alias("content_bytes"),
+        F.octet_length("content").alias("content_bytes"),
         F.size("lint").alias("findings"),
         F.array_join(F.transform("receipts", lambda r: r["signal"]), ",").alias("signals"),
     )
