@@ -21,11 +21,14 @@ EDIT_WORDS = ["edit", "write", "patch", "apply", "replace", "update"]
 def drop_replays(events: DataFrame) -> DataFrame:
     """Keep the first event of each key per session.
 
-    Keys repeat when a request re-sends its history, so the copies are counted away
-    before the rows are joined.
+    Keys repeat when a request re-sends its history; the copies collapse before the
+    shuffle.
     """
-    first = events.groupBy("session_id", "event_key").agg(F.min("seq").alias("seq"))
-    return events.join(first, ["session_id", "event_key", "seq"], "left_semi")
+    rest = [c for c in events.columns if c not in ("session_id", "event_key")]
+    first = events.groupBy("session_id", "event_key").agg(
+        F.min_by(F.struct(*rest), "seq").alias("first")
+    )
+    return first.select("session_id", "event_key", "first.*").select(*events.columns)
 
 
 def link_results(events: DataFrame, span: int = SPAN) -> DataFrame:
@@ -145,7 +148,8 @@ def thrash_receipts(events: DataFrame) -> DataFrame:
     """Per request with any repetition: the three counts and their sum."""
     clean = drop_replays(events)
     # Only the edit cycles look at which call a result belongs to.
-    cycles = edit_fail_edit(link_results(clean))
+    used = ["session_id", "seq", "session_turn", "kind", "call_key", "is_edit", "failed"]
+    cycles = edit_fail_edit(link_results(clean.select(*used)))
     return receipts_from(exact_repeats(clean), near_repeats(clean), cycles)
 
 

@@ -344,7 +344,10 @@ def terminal_trajectories(turns: DataFrame, costs: DataFrame, labels: DataFrame)
     cause = F.when(F.col("state") == "blocked", blocked_cause(F.col("content")))
     spoken = evaluate_once(spoken, {"cause": cause}).select("session_id", "seq", "state", "cause")
     runs = running_sum(
-        spoken, ["session_id"], "seq", {"run": (F.col("state") != "decision").cast("bigint")}
+        spoken.drop("cause"),
+        ["session_id"],
+        "seq",
+        {"run": (F.col("state") != "decision").cast("bigint")},
     )
     # Counting per (session, run, state) first keeps the per-session step small.
     by_run = runs.groupBy("session_id", "run").agg(

@@ -41,24 +41,33 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(renamed, condition, "left").drop(*[f"__c_{k}" for k in (*keys, _BLOCK)])
 
 
+def _block_ends(scanned: DataFrame, keys: Sequence[str], order: str, reverse: bool = False) -> DataFrame:
+    """The last row of each block in scan order.
+
+    Looking at all columns of the next row keeps this branch on the very shuffle that the
+    scan itself uses, so the input is read and moved once.
+    """
+    within = _ordered([*keys, _BLOCK], order, reverse)
+    following = F.lead(F.struct(*scanned.columns)).over(within)
+    return scanned.withColumn("__next", following).where("__next IS NULL")
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], span: int = SPAN
 ) -> DataFrame:
-    """Add inclusive running sums per key, in ``order``."""
+    """Add inclusive running sums per key, in ``order``.
+
+    Select the columns you need first: the scan keeps all of them.
+    """
     inputs = {f"__v_{name}": F.coalesce(expr, F.lit(0)) for name, expr in sums.items()}
     rows = _blocked(df, order, span).withColumns(inputs)
-    summary = rows.groupBy(*keys, _BLOCK).agg(
-        *[F.sum(f"__v_{name}").alias(f"__s_{name}") for name in sums]
-    )
-    before = _ordered(keys, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *keys,
-        _BLOCK,
-        *[F.sum(f"__s_{name}").over(before).alias(f"__k_{name}") for name in sums],
-    )
     inside = _ordered([*keys, _BLOCK], order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({name: F.sum(f"__v_{name}").over(inside) for name in sums})
-    joined = _join_carry(local, carry, keys)
+    before = _ordered(keys, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    edges = _block_ends(local, keys, order).select(
+        *keys, _BLOCK, *[F.sum(name).over(before).alias(f"__k_{name}") for name in sums]
+    )
+    joined = _join_carry(local, edges, keys)
     total = {
         name: F.col(name) + F.coalesce(F.col(f"__k_{name}"), F.lit(0)) for name in sums
     }
@@ -98,23 +107,27 @@ def carry(
         {f"__v_{n}": look.value for n, look in lookups.items()}
     )
 
-    def edge(name: str, look: Nearest) -> Column:
-        pick = F.min_by if look.forward else F.max_by
-        known = F.when(F.col(f"__v_{name}").isNotNull(), F.col(order))
-        return pick(f"__v_{name}", known).alias(f"__s_{name}")
-
     def beyond(name: str, look: Nearest) -> Column:
         outer = _ordered(keys, _BLOCK, look.forward).rowsBetween(Window.unboundedPreceding, -1)
         return F.last(f"__s_{name}", ignorenulls=True).over(outer).alias(f"__k_{name}")
 
-    def inside(name: str, look: Nearest) -> Column:
-        end = 0 if look.inclusive else -1
+    def inside(name: str, look: Nearest, end: int) -> Column:
         near = _ordered([*keys, _BLOCK], order, look.forward).rowsBetween(Window.unboundedPreceding, end)
         return F.last(f"__v_{name}", ignorenulls=True).over(near)
 
-    summary = rows.groupBy(*keys, _BLOCK).agg(*[edge(n, look) for n, look in lookups.items()])
-    edges = summary.select(*keys, _BLOCK, *[beyond(n, look) for n, look in lookups.items()])
-    local = rows.withColumns({n: inside(n, look) for n, look in lookups.items()})
+    # A block hands on the last value seen at its end in the direction of the lookup.
+    whole = Window.partitionBy(*keys, _BLOCK)
+    handed = {
+        f"__s_{n}": (F.min_by if look.forward else F.max_by)(
+            f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))
+        ).over(whole)
+        for n, look in lookups.items()
+    }
+    ends = _block_ends(rows.withColumns(handed), keys, order)
+    edges = ends.select(*keys, _BLOCK, *[beyond(n, look) for n, look in lookups.items()])
+    local = rows.withColumns(
+        {n: inside(n, look, 0 if look.inclusive else -1) for n, look in lookups.items()}
+    )
     joined = _join_carry(local, edges, keys)
     found = {n: F.coalesce(F.col(n), F.col(f"__k_{n}")) for n in lookups}
     return joined.withColumns(found).drop(

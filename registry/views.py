@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.plans.ordered import number_rows, running_sum
+from convlytics.plans.ordered import running_sum
 from convlytics.plans.storage import spread
 
 
@@ -83,11 +83,8 @@ def fx_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def fx_turns_long(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of conversations as one session, so that longer runs occur."""
-    rows = fx_messages(spark, sf).withColumn(
-        "session_id", F.expr("CAST(CAST(FLOOR(seq / 2000.0) AS BIGINT) AS STRING)")
-    )
-    return number_rows(
-        rows.select("session_id", "seq", "role", "content"), ["session_id"], "seq", "session_turn"
+    return fx_messages(spark, sf).selectExpr(
+        "CAST(CAST(FLOOR(seq / 2000.0) AS BIGINT) AS STRING) AS session_id", "seq", "role", "content"
     )
 
 

@@ -1,6 +1,7 @@
 """The blocked scans must equal plain windows, also when one key holds most rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -70,8 +71,19 @@ def test_lower_median(spark):
 
 
 def test_no_window_over_a_whole_key(skewed):
-    """Every window that sees input rows is partitioned by the block as well."""
-    plan = running_sum(skewed, ["k"], "seq", {"s": F.col("v")})._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert len(windows) == 2
-    assert sum("[k#" in w and "__block" in w for w in windows) >= 1
+    """Windows are partitioned by the block, or run over one row per block."""
+    for df in (running_sum(skewed, ["k"], "seq", {"s": F.col("v")}), carry(skewed, ["k"], "seq", {"c": Nearest(F.col("v"))})):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows
+        for line in windows:
+            specs = re.findall(r"\[[^\[\]]*\]", line)
+            assert any("__block" in spec for spec in specs[-2:]), line
+
+
+def test_the_input_is_read_once(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "t"))
+    df = number_rows(spark.read.parquet(str(tmp_path / "t")), ["k"], "seq", "p")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
