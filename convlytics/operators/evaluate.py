@@ -70,7 +70,7 @@ def bootstrap_median_ci(
     work is ``reps`` rows per group and one pass over the counted values, whatever the
     number of observations.
     """
-    known = observations.where(F.col(value).isNotNull())
+    known = observations.where(F.col(value).isNotNull()).withColumn(by, F.col(by).cast("string"))
     counted = known.groupBy(F.col(by).alias("grp"), F.col(value).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
