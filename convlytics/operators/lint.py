@@ -36,9 +36,8 @@ def _first_line(text: Column) -> Column:
     return F.regexp_extract(text, r"\A[^\n]*+", 0)
 
 
-def _parallel_prose(text: Column) -> Column:
-    """First line of the smallest opening word pair that three prose lines share."""
-    # A fenced block becomes as many empty lines as it has, so line numbers stay right.
+def _unfenced(text: Column) -> Column:
+    """The text with every line of a fenced block emptied, so line numbers stay right."""
     blanked = F.array_join(
         F.transform(
             F.regexp_extract_all(
@@ -48,50 +47,63 @@ def _parallel_prose(text: Column) -> Column:
         ),
         "",
     )
-    unfenced = F.when(text.contains("```"), blanked).otherwise(text)
+    return F.when(text.contains("```"), blanked).otherwise(text)
+
+
+def _long_lines(text: Column) -> Column:
+    """Number, text, words and fence state of the lines with four words or more."""
 
-    def opening(line: Column, i: Column) -> Column:
+    def facts(line: Column, i: Column, outside: Column) -> Column:
         return tx.let(
             tx.words(tx.without_code_spans(line)),
             lambda w: F.when(
-                (F.size(w) >= 4) & ~line.rlike(STRUCTURED),
+                F.size(w) >= 4,
                 F.struct(
-                    F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b"), (i + 1).alias("n")
+                    (i + 1).alias("n"),
+                    line.alias("line"),
+                    w.alias("words"),
+                    (F.get(outside, i) == line).alias("open"),
                 ),
             ),
         )
 
-    def first_shared(pairs: Column) -> Column:
-        hits = F.filter(
-            F.transform(
-                pairs,
-                lambda p, i: F.when(
-                    (F.get(pairs, i + 2)["a"] == p["a"]) & (F.get(pairs, i + 2)["b"] == p["b"]),
-                    p["n"],
-                ),
+    return tx.let(
+        tx.lines(_unfenced(text)),
+        lambda outside: F.array_compact(
+            F.transform(tx.lines(text), lambda line, i: facts(line, i, outside))
+        ),
+    )
+
+
+def _parallel_prose(long_lines: Column) -> Column:
+    """First line of the smallest opening word pair that three prose lines share."""
+    pairs = F.array_sort(
+        F.transform(
+            F.filter(long_lines, lambda r: r["open"] & ~r["line"].rlike(STRUCTURED)),
+            lambda r: F.struct(
+                F.get(r["words"], F.lit(0)).alias("a"), F.get(r["words"], F.lit(1)).alias("b"), r["n"].alias("n")
             ),
-            lambda n: n.isNotNull(),
         )
-        return F.get(hits, F.lit(0))
+    )
 
-    pairs = F.array_sort(F.array_compact(F.transform(tx.lines(unfenced), opening)))
-    return tx.let(pairs, first_shared)
+    def first_shared(ps: Column) -> Column:
+        third = lambda i: F.get(ps, i + 2)
+        hits = F.transform(
+            ps,
+            lambda p, i: F.when((third(i)["a"] == p["a"]) & (third(i)["b"] == p["b"]), p["n"]),
+        )
+        return F.get(F.array_compact(hits), F.lit(0))
 
+    return tx.let(pairs, first_shared)
 
-def _verbless_lines(text: Column) -> Column:
-    def suspect(line: Column, i: Column) -> Column:
-        quoted = line.rlike(rf"^[{tx.WS}]*+`")
-        return tx.let(
-            tx.words(tx.without_code_spans(line)),
-            lambda w: F.when(
-                ~quoted
-                & (F.size(w) >= 4)
-                & ~F.arrays_overlap(w, F.array(*[F.lit(v) for v in VERBS])),
-                i + 1,
-            ),
-        )
 
-    return F.array_compact(F.transform(tx.lines(text), suspect))
+def _verbless_lines(long_lines: Column) -> Column:
+    verbs = F.array(*[F.lit(v) for v in VERBS])
+    suspects = F.filter(
+        long_lines,
+        lambda r: ~r["line"].rlike(rf"^[{tx.WS}]*+`") & ~F.arrays_overlap(r["words"], verbs),
+    )
+    return F.transform(suspects, lambda r: r["n"])
 
 
 def lint_findings(text: Column) -> Column:
@@ -101,11 +113,10 @@ def lint_findings(text: Column) -> Column:
     def one(condition: Column, finding: Column) -> Column:
         return F.when(condition, F.array(finding).cast(f"array<{_FINDING}>")).otherwise(none)
 
-    def of(low: Column) -> Column:
+    def of(low: Column, long_lines: Column) -> Column:
         opening = _first_line(low)
         hedges = sum((low.contains(h).cast("int") for h in HEDGES), F.lit(0))
         labelled = tx.has_marker_line(text, "!~")
-        shared = _parallel_prose(text)
         return F.concat(
             one(
                 opening.contains("here's") | opening.startswith("sure"),
@@ -121,13 +132,13 @@ def lint_findings(text: Column) -> Column:
                 _finding("R3", "actionable statement lacks severity label"),
             ),
             F.transform(
-                _verbless_lines(text),
+                _verbless_lines(long_lines),
                 lambda n: _finding(
                     "B5", "retained sentence may lack a finite verb (heuristic)", True, n
                 ),
             ).cast(f"array<{_FINDING}>"),
             tx.let(
-                shared,
+                _parallel_prose(long_lines),
                 lambda n: one(
                     n.isNotNull(),
                     _finding("F4", "parallel prose may be clearer as bullets (heuristic)", True, n),
@@ -135,7 +146,7 @@ def lint_findings(text: Column) -> Column:
             ),
         )
 
-    return tx.let(F.lower(text), of)
+    return tx.let(F.lower(text), lambda low: tx.let(_long_lines(text), lambda ls: of(low, ls)))
 
 
 def lint_documents(docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:

@@ -119,7 +119,8 @@ def collectable_blobs(
 ) -> DataFrame:
     """Blobs that no live session has seen and that were not served recently."""
     pinned = session_blobs.join(live.select("session_id"), "session_id", "left_semi").select("digest")
-    pins = pinned.union(recently_served(served, now, window))
+    # One row per digest: a content that everyone has seen must not load one task.
+    pins = pinned.union(recently_served(served, now, window)).distinct()
     return blobs.where(F.col("digest").rlike(DIGEST)).join(pins, "digest", "left_anti")
 
 

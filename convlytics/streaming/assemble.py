@@ -233,7 +233,10 @@ class Assembler(StatefulProcessor):
 
 
 def assemble_stream(chunks: DataFrame, delay: str = "10 minutes", timeout_secs: int = 3600) -> DataFrame:
-    """Settled pieces (``kind = 'text'``) and finished responses (``kind = 'record'``)."""
+    """Settled pieces (``kind = 'text'``) and finished responses (``kind = 'record'``).
+
+    Start it from ``stateful_session``: the keyed state needs the RocksDB store.
+    """
     keyed = chunks.withWatermark("event_time", delay).groupBy("stream_id")
     return keyed.transformWithStateInPandas(
         Assembler(timeout_secs * 1000), OUTPUT, outputMode="Append", timeMode="EventTime"

@@ -31,18 +31,22 @@ _EVENT = (
 
 
 class CarriedState:
-    """Tables that grow by appending a folder per batch, or are replaced by each batch."""
+    """Tables that grow by appending a folder per batch, or are replaced by each batch.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path
+    ``keep_batches`` bounds what is remembered, as an idle timeout would: keys, digests
+    and edit calls of older batches are forgotten, and their folders are not read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep_batches: int | None = None):
+        self._spark, self._path, self._keep = spark, path, keep_batches
 
     def appended(self, name: str, before: int, schema: str) -> DataFrame:
-        """Rows of all batches before ``before``."""
-        empty = self._spark.createDataFrame([], f"{schema}, batch int")
+        """Rows of the remembered batches before ``before``."""
         if before == 0:
-            return empty.drop("batch")
+            return self._spark.createDataFrame([], schema)
+        first = 0 if self._keep is None else max(before - self._keep, 0)
         whole = self._spark.read.schema(f"{schema}, batch int").parquet(f"{self._path}/{name}")
-        return whole.where(F.col("batch") < before).drop("batch")
+        return whole.where((F.col("batch") >= first) & (F.col("batch") < before)).drop("batch")
 
     def replaced(self, name: str, before: int, schema: str) -> DataFrame:
         """The version that the batch just before ``before`` left."""
@@ -50,8 +54,11 @@ class CarriedState:
             return self._spark.createDataFrame([], schema)
         return self._spark.read.schema(schema).parquet(f"{self._path}/{name}/batch={before - 1}")
 
-    def write(self, name: str, number: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self._path}/{name}/batch={number}")
+    def write(self, name: str, number: int, rows: DataFrame) -> DataFrame:
+        """Store a batch's version and return it as read back."""
+        path = f"{self._path}/{name}/batch={number}"
+        rows.write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(rows.schema).parquet(path)
 
 
 def _as_events(rows: DataFrame, **known) -> DataFrame:
@@ -70,12 +77,10 @@ def _as_events(rows: DataFrame, **known) -> DataFrame:
 
 def thrash_batch(state: CarriedState, batch: DataFrame, number: int) -> DataFrame:
     """Receipts of one micro-batch, and the state for the next one."""
-    spark = batch.sparkSession
     keys = state.appended("keys", number, "session_id string, event_key string")
     fresh_events = drop_replays(batch).join(keys, ["session_id", "event_key"], "left_anti")
     # Written once, so that the steps below do not repeat the input's work.
-    state.write("events", number, fresh_events)
-    new = spark.read.schema(_EVENT).parquet(f"{state._path}/events/batch={number}")
+    new = state.write("events", number, fresh_events.select(*batch.columns))
     sessions = new.select("session_id").distinct()
 
     tail = state.replaced("tail", number, _EVENT)
@@ -151,10 +156,10 @@ def pending_failures(story: DataFrame, pending: DataFrame, sessions: DataFrame)
     return pending.join(sessions, "session_id", "left_anti").unionByName(failed)
 
 
-def thrash_stream(events: DataFrame) -> str:
+def thrash_stream(events: DataFrame, keep_batches: int | None = None) -> str:
     """Process the available events and return the folder of receipts."""
     spark = events.sparkSession
-    state = CarriedState(spark, fresh_path(spark, "thrash-state"))
+    state = CarriedState(spark, fresh_path(spark, "thrash-state"), keep_batches)
     return run_available(
         events, "thrash", transform=lambda batch, number: thrash_batch(state, batch, number)
     )
