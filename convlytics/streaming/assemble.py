@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,6 +239,9 @@ def assemble_stream(chunks: DataFrame, delay: str = "10 minutes", timeout_secs:
 
     Start it from ``stateful_session``: the keyed state needs the RocksDB store.
     """
+    # The worker that prepares the state store does not see files added to the session,
+    # so the processor travels by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keyed = chunks.withWatermark("event_time", delay).groupBy("stream_id")
     return keyed.transformWithStateInPandas(
         Assembler(timeout_secs * 1000), OUTPUT, outputMode="Append", timeMode="EventTime"

@@ -897,6 +897,15 @@ def budget_cutoff(spark, sf):
 
 # ---------------------------------------------------------------------------- streaming
 
+def stream_session(spark) -> SparkSession:
+    """State partitions are fixed when a stream starts: no more of them than cores here."""
+    session = stateful_session(spark)
+    cores = spark.sparkContext.defaultParallelism
+    parts = min(int(session.conf.get("spark.sql.shuffle.partitions")), cores)
+    session.conf.set("spark.sql.shuffle.partitions", str(parts))
+    return session
+
+
 def streamed(spark, frame: DataFrame, files: int, order: str) -> DataFrame:
     """Replay a table as a stream: equal ranges of ``order``, one after the other.
 
@@ -915,10 +924,11 @@ def streamed(spark, frame: DataFrame, files: int, order: str) -> DataFrame:
 @query
 def cost_burn_stream(spark, sf):
     """Sliding hours of spend, updated as the ledger arrives."""
-    costs = fx_costs(spark, sf).select(
+    session = stream_session(spark)
+    costs = fx_costs(session, sf).select(
         "seq", "session_id", "observed_billing_usd", F.timestamp_seconds("recorded_at_secs").alias("event_time")
     )
-    path = run_available(windows.cost_burn_stream(streamed(spark, costs, 3, "seq")), "burn", "update")
+    path = run_available(windows.cost_burn_stream(streamed(session, costs, 3, "seq")), "burn", "update")
     out = windows.latest_rows(spark.read.parquet(path), ["window_start", "session_id"])
     out = out.withColumn("window_start", F.unix_seconds("window_start"))
     return rounded(out, "observed_billing_usd")
@@ -932,19 +942,21 @@ def timed_responses(spark, sf) -> DataFrame:
 
 @query
 def health_stream(spark, sf):
-    responses = timed_responses(spark, sf)
-    path = run_available(windows.health_stream(streamed(spark, responses, 3, "seq")), "health", "update")
+    session = stream_session(spark)
+    responses = timed_responses(session, sf)
+    path = run_available(windows.health_stream(streamed(session, responses, 3, "seq")), "health", "update")
     out = windows.latest_rows(spark.read.parquet(path), ["window_start", "provider", "model"])
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 
 @query
 def session_stream(spark, sf):
-    requests = views.fx_first_messages(spark, sf).selectExpr(
+    session = stream_session(spark)
+    requests = views.fx_first_messages(session, sf).selectExpr(
         "request_id AS seq", "first_message",
         "timestamp_seconds(turn * 600 + expected_session * 100000) AS event_time",
     )
-    path = run_available(windows.session_stream(streamed(spark, requests, 1, "event_time")), "sessions", "complete")
+    path = run_available(windows.session_stream(streamed(session, requests, 1, "event_time")), "sessions", "complete")
     rows = spark.read.parquet(path)
     # Complete mode repeats the whole result in every batch: the newest one holds it.
     newest = rows.agg(F.max("batch").alias("batch"))
@@ -972,7 +984,7 @@ def response_chunks(spark, sf) -> DataFrame:
 @query
 def assembled_stream(spark, sf):
     """Reassembled texts of the response streams, and how many pieces settled."""
-    session = stateful_session(spark)
+    session = stream_session(spark)
     chunks = streamed(session, response_chunks(session, sf), 2, "stream_id")
     path = run_available(assemble.assemble_stream(chunks), "assembled")
     rows = spark.read.parquet(path)
@@ -987,7 +999,8 @@ def assembled_stream(spark, sf):
 
 @query
 def thrash_stream(spark, sf):
-    path = thrash.thrash_stream(streamed(spark, digested_events(spark, sf), 3, "seq"))
+    session = stream_session(spark)
+    path = thrash.thrash_stream(streamed(session, digested_events(session, sf), 3, "seq"))
     out = spark.read.parquet(path).drop("batch")
     counts = [c for c in out.columns if c not in ("session_id", "session_turn")]
     return out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in counts])
@@ -996,11 +1009,12 @@ def thrash_stream(spark, sf):
 @query
 def replay_stream(spark, sf):
     """Each event sent twice close together: the copies are dropped."""
-    events = table(spark, sf, "events").selectExpr(
+    session = stream_session(spark)
+    events = table(session, sf, "events").selectExpr(
         "CAST(user_id AS STRING) AS session_id", "'e' || CAST(event_id AS STRING) AS event_key",
         "event_id", "explode(array(0, 1)) AS copy",
     ).selectExpr("*", "timestamp_seconds(event_id * 10 + copy) AS event_time")
-    path = run_available(windows.unique_events(streamed(spark, events, 3, "event_time")), "replays")
+    path = run_available(windows.unique_events(streamed(session, events, 3, "event_time")), "replays")
     return spark.read.parquet(path).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("event_sum")
     )
