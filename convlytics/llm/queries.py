@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convlytics.llm import exact_dedup
+from convlytics.llm import exact_dedup, jaccard_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {fn.__name__: fn for fn in (op4_exact_dedup,)}
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {fn.__name__: fn for fn in (op4_exact_dedup, op5_jaccard_join, op9_packing)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
