@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convlytics.llm import exact_dedup, jaccard_join, packing
+from convlytics.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+
+#: The key of the registered queries; a real run passes its own secret.
+PSEUDONYM_KEY = "convlytics-demo-key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its personal values replaced: ``doc_id, text, n_replaced``."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -20,11 +28,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {fn.__name__: fn for fn in (op4_exact_dedup, op5_jaccard_join, op9_packing)}
+QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op7_toxicity, op9_packing)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""

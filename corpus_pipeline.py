@@ -1,19 +1,60 @@
-"""A corpus pipeline: each stage reads what the one before it kept."""
+"""From raw documents to packed sequences: each stage works on all that the one before kept.
+
+Toxic documents go, of equal texts one stays, of each group of near copies one stays, personal
+values get pseudonyms, and what is left is packed.  Every stage but the last returns the columns
+of ``documents``; each is written to the shared folder and read again, so a lost executor costs
+tasks of one stage only.  Empty tables, NULL texts, repeated rows and extra columns pass as the
+operators say.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convlytics.llm import exact_dedup
+from convlytics.llm import exact_dedup, jaccard_join, packing, pii, toxicity
 from convlytics.llm.common import cut
+from convlytics.llm.queries import PSEUDONYM_KEY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores below 0.5."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without blanks, the longest with the smallest id."""
     return exact_dedup.without_copies(docs)
 
 
-STAGES = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 over five words, the smallest id."""
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
+
+
+def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values replaced by pseudonyms; ``n_chars`` follows the new text."""
+    hidden = pii.pseudonymise(docs, PSEUDONYM_KEY, count_col="__n_replaced").drop("__n_replaced")
+    if "n_chars" not in docs.columns:
+        return hidden
+    return hidden.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4,096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("pii", hide_persons),
+    ("packing", pack),
+]
 
+#: Trees, pseudonyms and packing can't be said in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
