@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from convlytics.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, packing, pii, toxicity
 
 #: The key of the registered queries; a real run passes its own secret.
 PSEUDONYM_KEY = "convlytics-demo-key"
@@ -36,7 +36,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op7_toxicity, op9_packing)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op7_toxicity, op9_packing, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
