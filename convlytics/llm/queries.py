@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, packing, pii, toxicity
+from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, packing, pii, toxicity
 
 #: The key of the registered queries; a real run passes its own secret.
 PSEUDONYM_KEY = "convlytics-demo-key"
@@ -32,6 +33,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,7 +46,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op7_toxicity, op9_packing, op10_byte_bpe)}
+QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
