@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, packing, pii, toxicity
+from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, packing, pii, toxicity, warc
 
 #: The key of the registered queries; a real run passes its own secret.
 PSEUDONYM_KEY = "convlytics-demo-key"
@@ -29,6 +29,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
