@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, packing, pii, toxicity, warc
+from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, licences, packing, pii, toxicity, warc
 
 #: The key of the registered queries; a real run passes its own secret.
 PSEUDONYM_KEY = "convlytics-demo-key"
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_matches(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its personal values replaced: ``doc_id, text, n_replaced``."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
@@ -50,9 +54,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+QUERIES = {fn.__name__: fn for fn in (op2_licences, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+
+
+def _licence_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, licences.bigrams(licences.normal_words(text))))}])" for name, text in licences.TEMPLATES.items())
+    return rf"""
+        WITH templates(licence, known) AS (VALUES {known}), units AS (
+            SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS unit
+            FROM documents
+        ), words AS (
+            SELECT doc_id, regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:[.\-][a-z0-9]+)*') AS w
+            FROM units WHERE length(unit) > 2
+        ), grams AS (
+            SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM words WHERE len(w) > 1
+        ), pairs AS (
+            SELECT doc_id, licence, len(list_intersect(g, known)) AS shared, len(g) + len(known) AS united
+            FROM grams JOIN templates ON len(g) * 3 >= len(known) * 2 AND len(g) * 2 <= len(known) * 3
+        )
+        SELECT doc_id, licence, arg_max(shared, shared / united - united * 1e-9) AS shared, arg_max(united, shared / united - united * 1e-9) AS united, count(*) AS units
+        FROM pairs WHERE shared * 200 >= united * {licences.PERCENT} GROUP BY doc_id, licence
+    """
+
 
 ORACLES: dict[str, str] = {
+    "op2_licences": _licence_sql(),
     "op4_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
