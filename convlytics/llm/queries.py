@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, licences, packing, pii, toxicity, warc
+from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, licences, lm_score, packing, pii, toxicity, warc
 
 #: The key of the registered queries; a real run passes its own secret.
 PSEUDONYM_KEY = "convlytics-demo-key"
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_matches(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op2_licences, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op2_licences, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
 
 
 def _licence_sql() -> str:
