@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from convlytics.plans.packaging import ship_package
 from convlytics.plans.storage import fresh_path
@@ -19,6 +20,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked_ids(ids: DataFrame, id_col: str, bits: int = 1 << 24) -> DataFrame:
+    """Bitmap of hashed ids: at most ``bits / 32768`` rows of 4 KB, so 2 MB whatever the input."""
+    place = _place(F.col(id_col), bits)
+    return ids.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+
+
+def maybe_marked(rows: DataFrame, id_col: str, marks: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose id is marked, and a few others: a filter before a join that moves wide rows.
+
+    The bitmap's size is fixed, so it is broadcast; where it is full, all rows pass.
+    """
+    place = _place(F.col(id_col), bits)
+    met = rows.withColumn("__place", place).join(F.broadcast(marks), F.bitmap_bucket_number("__place") == F.col("__bucket"))
+    at = F.bitmap_bit_position("__place")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__place", "__bucket", "__bits")
+
+
+def _place(value: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(bits).cast("long"))
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship_package(df.sparkSession)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlytics.llm.common import cut, in_pieces, map_arrow, runs
+from convlytics.llm.common import cut, in_pieces, map_arrow, marked_ids, maybe_marked, runs
 from convlytics.llm.components import components
 from convlytics.llm.shingles import mix, shingle_sets
 
@@ -257,7 +257,9 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, families
             tokens = [s.tobytes() for s in shingle_sets(piece.column("text"), words)]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "family", "n")), pa.array(tokens, pa.binary())], names=["doc_id", "family", "n", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(families, "doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Few documents are in families: the others' texts need not move to find that out.
+    rows = maybe_marked(rows, "doc_id", marked_ids(families, "doc_id")).join(families, "doc_id")
     return map_arrow(rows.select("doc_id", "family", "n", "text"), run, "doc_id long, family long, n long, tokens binary")
 
 
@@ -273,7 +275,7 @@ def _blocks(full: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     shape = salts.groupBy("family").agg(
         F.map_from_entries(F.collect_list(F.struct("k", "salts"))).alias("salts"), F.sum("sets").alias("sets"), F.sum("tokens").alias("total")
     )
-    rows = full.join(shape, "family").withColumn("k", _k(F.col("n"), percent))
+    rows = full.join(cut(shape, "shape"), "family").withColumn("k", _k(F.col("n"), percent))
     small = (F.col("sets") <= BLOCK_SETS) & (F.col("total") <= BLOCK_TOKENS)
     at = lambda k: F.coalesce(F.try_element_at("salts", k), F.lit(0))
     salt = F.pmod(F.xxhash64("doc_id"), at(F.col("k"))).cast("int")
