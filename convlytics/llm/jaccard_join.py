@@ -101,7 +101,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     return map_arrow(rows, run, "doc_id long, n long, d1 long, d2 long, early array<long>, late array<long>")
 
 
-def _signatures(n: int, own: int, shared: list[tuple[int, int, int]], percent: int) -> list[int]:
+def _signatures(n: int, own: int, shared: list[tuple[int, int, int]], percent: int, frequent: int = FREQUENT) -> list[int]:
     """Index entries of a set: ``own`` tokens of level 0 are in no other set; ``shared`` is sorted
     (level, df, token), where df 1 stands for tokens of level 1 that no other set has."""
     found: list[int] = []
@@ -114,7 +114,7 @@ def _signatures(n: int, own: int, shared: list[tuple[int, int, int]], percent: i
         for _, df, token in shared:
             if cover >= least:
                 break
-            if df <= FREQUENT:
+            if df <= frequent:
                 cover += 1
                 if df > 1:
                     rare.append(token)
@@ -131,7 +131,7 @@ def _signatures(n: int, own: int, shared: list[tuple[int, int, int]], percent: i
     return list(set(found))
 
 
-def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+def _candidates(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
     """``sig, doc_id`` of the classes that may have a similar partner."""
     tokens = sets.select("doc_id", F.explode(F.concat("early", "late")).alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
@@ -153,7 +153,7 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
             for row in batch.to_pylist():
                 unsigned = [(s["level"], s["df"], s["token"] & 0xFFFFFFFFFFFFFFFF) for s in row["shared"]]
                 unsigned += [(1, 1, t & 0xFFFFFFFFFFFFFFFF) for t in row["alone"]]
-                found = _signatures(row["n"], row["own"], sorted(unsigned), percent)
+                found = _signatures(row["n"], row["own"], sorted(unsigned), percent, frequent)
                 sigs.extend(found)
                 docs.extend([row["doc_id"]] * len(found))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(docs, pa.int64())], names=["sig", "doc_id"])
@@ -309,7 +309,7 @@ def _k(n, percent: int):
     return F.floor(F.log(n) / -math.log(percent / 100) + 1e-9).cast("int")
 
 
-def similar_texts(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, class_id``.
 
     Two documents are linked when 100 * shared >= percent * united shingles of ``words``
@@ -325,7 +325,7 @@ def similar_texts(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
     keys = ["n", "d1", "d2"]
     classes = sets.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id"))
     firsts = sets.filter("n > 0 and doc_id is not null").join(classes.select(F.col("class_id").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi")
-    entries = cut(_candidates(firsts, percent), "entries")
+    entries = cut(_candidates(firsts, percent, frequent), "entries")
     family = _families(entries).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     sizes = cut(family.join(sets.select("doc_id", "n"), "doc_id").distinct(), "families")
     full = _full_sets(docs, id_col, text_col, words, sizes)

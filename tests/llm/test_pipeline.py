@@ -1,0 +1,57 @@
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from convlytics.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """What each stage returned, in order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out.append(corpus_pipeline.cut(stage(spark, out[-1], SF), name))
+    return out
+
+
+def ids(frame):
+    return sorted(r.doc_id for r in frame.select("doc_id").collect())
+
+
+def test_stages_return_the_columns_of_documents(steps):
+    assert all(s.schema == steps[0].schema for s in steps)
+
+
+def test_each_stage_follows_its_operator(steps, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r.doc_id for r in toxicity.toxic_scores(steps[0], labels).filter("predicted = 1").collect()}
+    assert ids(steps[1]) == [d for d in ids(steps[0]) if d not in toxic]
+    assert ids(steps[2]) == sorted(r.doc_id for r in exact_dedup.exact_duplicates(steps[1]).filter("kept").collect())
+    assert ids(steps[3]) == sorted(r.doc_id for r in jaccard_join.similar_texts(steps[2]).filter("doc_id = component_id").collect())
+    assert ids(steps[4]) == ids(steps[3])
+    hidden = {r.doc_id: r.text for r in pii.pseudonymise(steps[3], corpus_pipeline.PSEUDONYM_KEY).collect()}
+    assert {r.doc_id: r.text for r in steps[4].collect()} == hidden
+    assert all(r.n_chars == len(r.text) for r in steps[4].collect() if r.text is not None)
+    assert len(ids(steps[2])) < len(ids(steps[1])) <= len(ids(steps[0]))
+
+
+def test_whole_run(steps, spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    want = packing.pack_documents(steps[4], public_tokenizers.path("word_bpe_49k.json")).collect()
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    total = lambda some: {r.doc_id: r.doc_tokens for r in some}
+    assert total(rows) == total(want) and set(rows[0].asDict()) >= set(key)
+
+
+def test_awkward_and_empty_tables_pass(awkward, nothing, spark):
+    for start in (awkward, nothing):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == start.columns
+            docs = corpus_pipeline.cut(docs, "awkward")
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert bool(packed) == (start is awkward)
