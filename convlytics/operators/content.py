@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from convlytics.functions import text as tx
 from convlytics.plans.dimensions import small
 from convlytics.plans.once import evaluate_once
+from convlytics.plans.packaging import ship_package
 
 # --------------------------------------------------------------------- classification
 
@@ -267,21 +268,20 @@ SECRET_KEYS = [
 ]
 _NAMES = r"(?:x-api-key|api[_-]?key|access[_-]?token|token|password|secret)"
 REDACTIONS = [
-    ("authorization", r"""(?i)((?:["']?(?:proxy-)?authorization["']?\s*[:=]\s*["']?)(?:bearer\s+)?)[^\s,;"'}]+""", ""),
-    ("cookie", r"""(?i)((?:["']?(?:set-cookie|cookie|session(?:[_-]?(?:id|token))?)["']?\s*[:=]\s*["']?))[^"'\r\n]+""", ""),
-    ("double_quoted", rf"""(?i)("?{_NAMES}"?\s*[:=]\s*")[^"\r\n]*\"""", '"'),
-    ("single_quoted", rf"""(?i)('?{_NAMES}'?\s*[:=]\s*')[^'\r\n]*'""", "'"),
-    ("named", rf"""(?i)((?:["']?{_NAMES}["']?\s*[:=]\s*["']?))[^\s,;&"'}}]+""", ""),
-    ("uri_userinfo", r"(?i)\b(https?://)[^/\s@]+@", "@"),
+    ("authorization", r"""(?iU)((?:["']?(?:proxy-)?authorization["']?\s*[:=]\s*["']?)(?:bearer\s+)?)[^\s,;"'}]+""", ""),
+    ("cookie", r"""(?iU)((?:["']?(?:set-cookie|cookie|session(?:[_-]?(?:id|token))?)["']?\s*[:=]\s*["']?))[^"'\r\n]+""", ""),
+    ("double_quoted", rf"""(?iU)("?{_NAMES}"?\s*[:=]\s*")[^"\r\n]*\"""", '"'),
+    ("single_quoted", rf"""(?iU)('?{_NAMES}'?\s*[:=]\s*')[^'\r\n]*'""", "'"),
+    ("named", rf"""(?iU)((?:["']?{_NAMES}["']?\s*[:=]\s*["']?))[^\s,;&"'}}]+""", ""),
+    ("uri_userinfo", r"(?iU)\b(https?://)[^/\s@]+@", "@"),
 ]
 MASK = "[REDACTED]"
-_PEM_LABEL = r"(?:[A-Z0-9 ]+ )?PRIVATE KEY-----\s*"
-_PEM_BEGIN = rf"^\s*-----BEGIN {_PEM_LABEL}$"
-_PEM_END = rf"^\s*-----END {_PEM_LABEL}$"
+_PEM_LABEL = rf"(?:[A-Z0-9 ]+ )?PRIVATE KEY-----{tx.HSPACE}*+"
+_PEM_BEGIN = rf"{tx.HSPACE}*+-----BEGIN {_PEM_LABEL}"
+_PEM_END = rf"{tx.HSPACE}*+-----END {_PEM_LABEL}"
 # One private-key block (to its END line or the end of the text), or one other line.
 _PEM_OR_LINE = (
-    rf"(?d)[\s&&[^\n]]*+-----BEGIN {_PEM_LABEL.replace(chr(92) + 's*', '')}[\s&&[^\n]]*+(?:\n|\z)"
-    rf"(?s:.*?)(?:(?<=\n)[\s&&[^\n]]*+-----END {_PEM_LABEL.replace(chr(92) + 's*', '')}[\s&&[^\n]]*+(?=\n|\z)|\z)\n?+"
+    rf"(?d){_PEM_BEGIN}(?:\n|\z)(?s:.*?)(?:(?<=\n){_PEM_END}(?=\n|\z)|\z)\n?+"
     r"|[^\n]*+\n|[^\n]++"
 )
 
@@ -291,7 +291,7 @@ _SECRET_HINTS = ["authorization", "cookie", "session", "api", "token", "password
 
 
 def _may_hold_secret(text: Column) -> Column:
-    return tx.let(F.lower(text), lambda low: tx.contains_any(low, _SECRET_HINTS))
+    return tx.let(tx.fold_case(text), lambda low: tx.contains_any(low, _SECRET_HINTS))
 
 
 def _mask_line(line: Column) -> Column:
@@ -301,16 +301,32 @@ def _mask_line(line: Column) -> Column:
     return F.when(_may_hold_secret(line), masked).otherwise(line)
 
 
-_PY_REDACTIONS = [(re.compile(p), rf"\g<1>{MASK}{t}") for _, p, t in REDACTIONS]
+# The same patterns for strings inside JSON; white space is Unicode's, as in the columns.
+_PY_REDACTIONS = [
+    (re.compile(p.replace("(?iU)", "(?i)").replace(r"[^\s", f"[^{tx.WS_CHARS}").replace(r"/\s@", f"/{tx.WS_CHARS}@").replace(r"\s", f"[{tx.WS_CHARS}]")), rf"\g<1>{MASK}{t}")
+    for _, p, t in REDACTIONS
+]
+_ASCII_LOWER = str.maketrans(tx.ASCII_UPPER + "-", tx.ASCII_UPPER.lower() + "_")
+# Fixed value: JSON nested deeper than this is not taken as JSON.
+_MOST_DEPTH = 127
+
+
+def _depth(line: str) -> int:
+    """How deep brackets nest outside of strings."""
+    deepest = depth = 0
+    for bracket in re.sub(r'"(?:[^"\\]|\\.)*"', "", line):
+        if bracket in "[{":
+            depth += 1
+            deepest = max(deepest, depth)
+        elif bracket in "]}":
+            depth -= 1
+    return deepest
 
 
 def _mask_json(value):
     """Mask secret keys and the strings of one parsed JSON value."""
     if isinstance(value, dict):
-        return {
-            k: MASK if k.lower().replace("-", "_") in SECRET_KEYS else _mask_json(v)
-            for k, v in sorted(value.items())
-        }
+        return {k: MASK if k.translate(_ASCII_LOWER) in SECRET_KEYS else _mask_json(v) for k, v in sorted(value.items())}
     if isinstance(value, list):
         return [_mask_json(v) for v in value]
     if isinstance(value, str):
@@ -319,51 +335,54 @@ def _mask_json(value):
     return value
 
 
-def _mask_json_text(line: str) -> str:
-    return json.dumps(_mask_json(json.loads(line)), ensure_ascii=False, separators=(",", ":"))
+def _mask_json_text(line: str | None) -> str | None:
+    """The masked line; None for what is no JSON: nested too deep, or with half of a surrogate pair."""
+    if line is None or (line.count("[") + line.count("{") > _MOST_DEPTH and _depth(line) > _MOST_DEPTH):
+        return None
+    try:
+        masked = json.dumps(_mask_json(json.loads(line)), ensure_ascii=False, separators=(",", ":"))
+        masked.encode()
+    except ValueError:  # a UnicodeEncodeError too
+        return None
+    return masked
+
 
+def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> DataFrame:
+    """Add ``out``: the text without recognised secrets; the number of lines is kept.
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _mask_json_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JSON nests without limit, which no column expression can walk."""
-    for batch in batches:
-        yield batch.map(lambda found: [_mask_json_text(line) for line in found])
+    Only texts with a line that may be JSON pass through Python, which walks values of any
+    shape; a line that turns out to be none is masked like any other.
+    """
+    ship_package(df.sparkSession)
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def mask_json_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda found: [_mask_json_text(line) for line in found])
 
-def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> DataFrame:
-    """Add ``out``: the text without recognised secrets; the number of lines is kept."""
+    opens = r'[ \t\r]*(?:[{\["]|-?[0-9]|(?:true|false|null)\s*$)'
 
     def looks_json(line: Column) -> Column:
-        opens = line.rlike(r'^\s*(?:[{\["]|-?[0-9]|(?:true|false|null)\s*$)')
-        return opens & tx.is_json(line)
+        return line.rlike(f"^{opens}") & tx.is_json(line)
 
     def mask_block(block: Column) -> Column:
         """Mask the body of a private-key block: every line but its BEGIN and END."""
-        return F.array_join(
-            F.transform(
-                tx.lines(block),
-                lambda l: F.when(l.rlike(_PEM_BEGIN) | l.rlike(_PEM_END), l).otherwise(MASK),
-            ),
-            "\n",
-        )
+        edge = rf"\A(?:{_PEM_BEGIN}|{_PEM_END})\z"
+        return F.array_join(F.transform(tx.lines(block), lambda l: F.when(l.rlike(edge), l).otherwise(MASK)), "\n")
 
-    parts = F.regexp_extract_all(F.regexp_replace(F.col(text_col), "\r\n", "\n"), F.lit(_PEM_OR_LINE), F.lit(0))
-    staged = evaluate_once(
-        df, {"__parts": F.transform(parts, lambda p: F.regexp_replace(p, r"\n\z", ""))}
-    )
-    staged = evaluate_once(staged, {"__json": F.array_distinct(F.filter("__parts", looks_json))})
-    masked = F.when(F.size("__json") > 0, F.map_from_arrays("__json", _mask_json_lines("__json")))
-    staged = staged.withColumn("__masked", masked)
-    result = F.array_join(
-        F.transform(
-            "__parts",
-            lambda p: F.when(p.rlike(rf"(?m){_PEM_BEGIN}"), mask_block(p)).otherwise(
-                F.coalesce(F.try_element_at("__masked", p), _mask_line(p))
-            ),
-        ),
-        "\n",
-    )
-    return evaluate_once(staged, {out: result}).drop("__parts", "__json", "__masked")
+    def plain(part: Column) -> Column:
+        return F.when(part.rlike(rf"\A{_PEM_BEGIN}(?:\n|\z)"), mask_block(part)).otherwise(_mask_line(part))
+
+    text = F.col(text_col)
+    parts = F.regexp_extract_all(F.regexp_replace(text, "\r\n", "\n"), F.lit(_PEM_OR_LINE), F.lit(0))
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"\n\z", ""))
+    walks = F.coalesce(text.rlike(f"(?md)^{opens}"), F.lit(False))
+
+    without = evaluate_once(df.filter(~walks), {out: F.array_join(F.transform(parts, plain), "\n")})
+    staged = evaluate_once(df.filter(walks), {"__parts": parts})
+    staged = staged.withColumn("__masked", mask_json_lines(F.transform("__parts", lambda p: F.when(looks_json(p), p))))
+    result = F.array_join(F.zip_with("__parts", "__masked", lambda p, m: F.coalesce(m, plain(p))), "\n")
+    return without.union(evaluate_once(staged, {out: result}).select(*without.columns))
 
 
 def _on_mask(pattern: str) -> str:
@@ -384,7 +403,7 @@ def secret_counts(df: DataFrame, by: list[str], text_col: str = "content") -> Da
     hinted = F.when(_may_hold_secret(F.col(text_col)), F.struct(*counts))
     keys = F.when(
         F.contains(text_col, F.lit("PRIVATE KEY")),
-        F.regexp_count(F.col(text_col), F.lit(rf"(?m){_PEM_BEGIN}")),
+        F.regexp_count(F.col(text_col), F.lit(rf"(?md)^{_PEM_BEGIN}$")),
     )
     counted = evaluate_once(df, {"__c": hinted, "__keys": keys})
     kinds = [kind for kind, _, _ in REDACTIONS]
