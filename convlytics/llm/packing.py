@@ -129,7 +129,7 @@ class VectorPacker:
             self.items.pop()
 
 
-def _pack(columns: list[str], encode: Callable[..., tuple[bytes, int]], limits: Limits):
+def _pack(columns: list[str], encode: Callable[..., Iterator[tuple[bytes, int]]], limits: Limits):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,8 +138,9 @@ def _pack(columns: list[str], encode: Callable[..., tuple[bytes, int]], limits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, rows = VectorPacker(limits, TaskContext.get().partitionId() << 36), []
         for piece in in_pieces(batches, columns[-1], _PIECE_BYTES):
-            for doc, *texts in zip(*(piece.column(c).to_pylist() for c in columns), strict=True):
-                rows.extend(packer.add(doc, *encode(*texts)))
+            docs, *texts = (piece.column(c).to_pylist() for c in columns)
+            for doc, (ids, loss_from) in zip(docs, encode(*texts), strict=True):
+                rows.extend(packer.add(doc, ids, loss_from))
             if rows:
                 yield out(rows)
                 rows = []
@@ -159,8 +160,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     """
     end = END_ID.to_bytes(4, "little")
 
-    def encode(text: str | None) -> tuple[bytes, int]:
-        return chunk_ids(vocabulary).encode(text or "") + end, 0
+    def encode(texts: list[str | None]) -> Iterator[tuple[bytes, int]]:
+        return ((ids + end, 0) for ids in chunk_ids(vocabulary).encode(texts))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, _pack(["doc_id", "text"], encode, limits), SCHEMA)
@@ -170,10 +171,9 @@ def pack_examples(examples: DataFrame, vocabulary: str, *, id_col: str, prompt_c
     """Instruction data: only the tokens of the response and the end id bear loss."""
     end = END_ID.to_bytes(4, "little")
 
-    def encode(prompt: str | None, response: str | None) -> tuple[bytes, int]:
+    def encode(prompts: list[str | None], responses: list[str | None]) -> Iterator[tuple[bytes, int]]:
         ids = chunk_ids(vocabulary)
-        asked = ids.encode(prompt or "")
-        return asked + ids.encode(response or "") + end, len(asked) // 4
+        return ((asked + said + end, len(asked) // 4) for asked, said in zip(ids.encode(prompts), ids.encode(responses), strict=True))
 
     rows = examples.select(F.col(id_col).cast("long").alias("doc_id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"))
     return map_arrow(rows, _pack(["doc_id", "prompt", "response"], encode, limits), SCHEMA)
