@@ -10,7 +10,6 @@ from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import SPAN, number_rows, running_sum
 
 TTL_SECS = 3600
-MAX_SESSIONS = 1024
 
 
 def message_digest(message: Column) -> Column:
@@ -99,11 +98,11 @@ def match_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def live_sessions(
-    accesses: DataFrame, now: Column | int, ttl: int = TTL_SECS, cap: int = MAX_SESSIONS
+    accesses: DataFrame, now: Column | int, ttl: int = TTL_SECS, cap: int | None = None
 ) -> DataFrame:
-    """Sessions idle for at most ``ttl``; above ``cap`` the least recently used go.
+    """Sessions idle for at most ``ttl``; with a ``cap``, that many of the last used ones.
 
-    The cap is a top-k over one row per session.
+    The cap is a top-k report over one row per session; without it all live sessions return.
     """
     now = now if isinstance(now, Column) else F.lit(now)
     last = accesses.groupBy("session_id").agg(
@@ -111,6 +110,8 @@ def live_sessions(
     )
     idle = F.greatest(F.col("__now") - F.col("last_access_secs"), F.lit(0))
     live = last.where(idle <= ttl).drop("__now")
+    if cap is None:
+        return live
     return live.orderBy(F.desc("last_access_secs"), F.desc("session_id")).limit(cap)
 
 

@@ -256,14 +256,23 @@ def injects(session_id: Column) -> Column:
     return F.ascii(F.substring(F.sha2(session_id.cast("binary"), 256), 1, 1)) % 2 == 0
 
 
+#: Fixed value: the version of the advisory template that may be injected.
+INJECTED_TEMPLATE = 1
+
+
 def assign_arms(
     turns: DataFrame,
     selected_variant: str | None,
     randomized: bool = True,
     injection_enabled: bool = True,
-    template_version: int = 1,
+    template_version: int = INJECTED_TEMPLATE,
+    evidence_id: str | None = None,
 ) -> DataFrame:
-    """One advisory attempt per session, on its first conversation-start user turn."""
+    """One advisory attempt per session, on its first conversation-start user turn.
+
+    Text is injected only for template version 1 and with the id of the evidence that allows
+    it; otherwise every attempt is recorded only.
+    """
     if selected_variant is None:
         return turns.sparkSession.createDataFrame(
             [],
@@ -274,7 +283,8 @@ def assign_arms(
         .groupBy("session_id")
         .agg(F.min("seq").alias("seq"))
     )
-    assigned = injects(F.col("session_id")) & F.lit(randomized and injection_enabled)
+    allowed = randomized and injection_enabled and template_version == INJECTED_TEMPLATE and bool((evidence_id or "").strip())
+    assigned = injects(F.col("session_id")) & F.lit(allowed)
     return starts.select(
         "session_id",
         "seq",

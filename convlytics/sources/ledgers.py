@@ -1,20 +1,19 @@
 """Read and append the JSON ledgers.
 
-Readers give every row a ``seq`` in append order: files by name, then lines by offset.
+Readers give every row a ``seq`` in append order: appends by time, files by name, lines by offset.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from convlytics.operators.store import DIGEST
-from convlytics.plans.dimensions import MAX_ROWS
 from convlytics.plans.storage import shared_dir
 from convlytics.sources import schemas
 
@@ -33,42 +32,47 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-_FILE_SHIFT = 1 << 44
 _ROW_IN_PARTITION = (1 << 33) - 1
+_BATCH = "append-"
 
 
-def _plain(path: str) -> str:
-    return re.sub(r"^file:/+", "file:/", path)
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _append_order(path: str) -> tuple[str, bool]:
-    """By name; the rotated ``.1`` backup comes before its ledger."""
-    return path.removesuffix(".1"), not path.endswith(".1")
+def _file_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """``__file, __first``: the first ``seq`` of each file, in append order.
+
+    Batches of ``append_ledger`` carry their time in the name of their folder; other files
+    count by the time they were last changed.  Files of one time go by name, and the rotated
+    ``.1`` backup comes before its ledger.  The listing reads no content, and the running sum
+    has one narrow row per file; a file takes its size and 2^33 places, so a billion fit.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    batch = F.regexp_extract("path", rf"/{_BATCH}(\d{{20}})/[^/]*$", 1)
+    when = F.when(batch != "", batch.cast("bigint")).otherwise(F.unix_micros("modificationTime"))
+    order = Window.orderBy(when, F.regexp_replace("path", r"\.1$", ""), F.when(F.col("path").endswith(".1"), 0).otherwise(1))
+    before = F.sum(F.col("length") + F.lit(_ROW_IN_PARTITION + 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return files.select(_plain(F.col("path")).alias("__file"), F.coalesce(before, F.lit(0)).alias("__first"))
 
 
-def _with_order(df: DataFrame) -> DataFrame:
+def _with_order(df: DataFrame, path: str) -> DataFrame:
     """``seq`` in append order: file, then place in the file.
 
     A row's place is the start of its split plus its index among the rows read by the
     task.  A row takes at least two bytes, so the index never reaches the next split.
     """
-    files = sorted({_plain(f) for f in df.inputFiles()}, key=_append_order)
-    ranks = df.sparkSession.createDataFrame(list(enumerate(files)), "__rank bigint, __file string")
     index = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_IN_PARTITION))
-    placed = df.select(
-        *df.columns,
-        F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__file"),
-        (F.col("_metadata.file_block_start") + index).alias("__place"),
-    )
-    seq = F.col("__rank") * F.lit(_FILE_SHIFT) + F.col("__place")
-    known = F.broadcast(ranks) if len(files) <= MAX_ROWS else ranks
-    return placed.join(known, "__file").withColumn("seq", seq).drop("__file", "__rank", "__place")
+    placed = df.select(*df.columns, _plain(F.col("_metadata.file_path")).alias("__file"), (F.col("_metadata.file_block_start") + index).alias("__place"))
+    ranged = placed.join(_file_ranges(df.sparkSession, path), "__file")
+    return ranged.withColumn("seq", F.col("__first") + F.col("__place")).drop("__file", "__first", "__place")
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, mode: str) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("seq", F.lit(0).cast("bigint"))
-    return _with_order(spark.read.schema(schema).option("mode", mode).json(path))
+    reader = spark.read.schema(schema).option("mode", mode).option("recursiveFileLookup", True)
+    return _with_order(reader.json(path), path)
 
 
 def _required(df: DataFrame, names: list[str]) -> DataFrame:
@@ -108,9 +112,8 @@ def read_health(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Outcome labels; the last entry of a session wins."""
-    rows = _with_order(
-        spark.read.schema(schemas.LABEL).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    )
+    reader = spark.read.schema(schemas.LABEL).option("multiLine", True).option("recursiveFileLookup", True)
+    rows = _with_order(reader.option("mode", "FAILFAST").json(path), path)
     last = rows.groupBy("session_id").agg(
         F.max(F.struct("seq", "completed", "correct")).alias("l")
     )
@@ -147,10 +150,12 @@ def pricing_dim(spark: SparkSession, prices: dict[str, dict[str, float]]) -> Dat
 def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery | None:
     """Append rows to a ledger; a streaming frame appends through a checkpointed sink.
 
-    The checkpoint belongs to the ledger, so a restarted query goes on where it stopped.
+    Each append is a folder of its own, named by its time, so readers see appends in their
+    order and the rows of one append in the order of its partitions.  The checkpoint of a
+    stream belongs to the ledger, so a restarted query goes on where it stopped.
     """
     if not df.isStreaming:
-        df.write.mode("append").format(fmt).save(path)
+        df.write.format(fmt).save(f"{path.rstrip('/')}/{_BATCH}{time.time_ns() // 1000:020d}")
         return None
     name = hashlib.sha256(path.encode()).hexdigest()[:16]
     checkpoint = f"{shared_dir(df.sparkSession)}/ledger-{name}"
@@ -167,4 +172,4 @@ def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery
 def read_response_chunks(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Stream response chunks from JSON files; the assembler splits them into records."""
     reader = spark.readStream.schema(schemas.CHUNK).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return reader.option("recursiveFileLookup", True).json(path)

@@ -46,7 +46,8 @@ OUTPUT = T.StructType(
 def record_data(record: str) -> str | None:
     """The single ``data:`` value of a record; None when it is malformed or has none."""
     values = []
-    for line in record.splitlines():
+    for line in record.split("\n"):
+        line = line.removesuffix("\r")
         if line and not _FIELD.match(line):
             return None
         if line.startswith("data:"):

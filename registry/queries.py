@@ -530,7 +530,7 @@ def started_turns(spark, sf) -> DataFrame:
 def receipt_turns(spark, sf) -> DataFrame:
     """Turns with readiness, terminal and advisory receipts."""
     turns = started_turns(spark, sf)
-    return signals.with_receipts(turns, signals.assign_arms(turns, "raw_composite"))
+    return signals.with_receipts(turns, signals.assign_arms(turns, "raw_composite", evidence_id="stage-1"))
 
 
 @query
@@ -538,7 +538,7 @@ def experiment_arms(spark, sf):
     turns = fx_turns(spark, sf).withColumn(
         "conversation_start", (F.col("role") == "user") & (F.col("session_turn") == 1)
     )
-    return signals.assign_arms(turns, "raw_composite")
+    return signals.assign_arms(turns, "raw_composite", evidence_id="stage-1")
 
 
 @query
@@ -547,7 +547,7 @@ def build_transcript(spark, sf):
     turns = started_turns(spark, sf)
     rows = transcript.build_transcript(
         turns,
-        signals.assign_arms(turns, "raw_composite"),
+        signals.assign_arms(turns, "raw_composite", evidence_id="stage-1"),
         repeats.thrash_receipts(digested_events(spark, sf)),
     )
     return rows.select(

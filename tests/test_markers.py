@@ -188,10 +188,11 @@ def test_arms_follow_the_hash(spark):
 
     rows = [(f"s{i}", i, "user", True) for i in range(40)] + [(f"s{i}", 100 + i, "user", True) for i in range(40)]
     df = spark.createDataFrame(rows, "session_id string, seq bigint, role string, conversation_start boolean")
-    got = {r.session_id: r for r in signals.assign_arms(df, "raw_composite").collect()}
+    got = {r.session_id: r for r in signals.assign_arms(df, "raw_composite", evidence_id="stage-1").collect()}
     assert len(got) == 40 and all(r.seq < 40 for r in got.values())
     for name, r in got.items():
         even = ord(hashlib.sha256(name.encode()).hexdigest()[0]) % 2 == 0
         assert r.injected == even and r.arm == ("inject" if even else "record_only")
-    assert signals.assign_arms(df, "raw_composite", injection_enabled=False).where("injected").count() == 0
+    for refused in ({"injection_enabled": False}, {"randomized": False}, {"template_version": 2}, {"evidence_id": None}, {"evidence_id": " "}):
+        assert signals.assign_arms(df, "raw_composite", **{"evidence_id": "stage-1", **refused}).where("injected").count() == 0
     assert signals.assign_arms(df, None).count() == 0

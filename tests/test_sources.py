@@ -27,8 +27,8 @@ def test_order_follows_files_and_lines(spark, tmp_path):
     def row(i):
         return {"schema_version": 1, "provider": "anthropic", "model": str(i), "usage": USAGE}
 
-    write(tmp_path / "ledger.jsonl", [row(i) for i in range(100, 400)])
     write(tmp_path / "ledger.jsonl.1", [row(i) for i in range(100)])
+    write(tmp_path / "ledger.jsonl", [row(i) for i in range(100, 400)])
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
@@ -76,11 +76,32 @@ def test_append_and_read_back(spark, tmp_path):
     ledgers.append_ledger(df, path)
     ledgers.append_ledger(df, path)
     assert ledgers.read_costs(spark, path).count() == 2
-    stream = spark.readStream.schema(df.schema).json(path)
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).json(path)
     ledgers.append_ledger(stream, str(tmp_path / "copy")).awaitTermination()
     assert spark.read.json(str(tmp_path / "copy")).count() == 2
 
 
+@pytest.mark.parametrize("appends", [3, 5])
+def test_appends_keep_their_order(spark, tmp_path, appends):
+    schema = "schema_version int, provider string, model string, usage struct<input_tokens:bigint,output_tokens:bigint>"
+    path = str(tmp_path / "ledger")
+    for batch in range(appends):
+        rows = [(1, "anthropic", str(batch * 10 + i), (1, 2)) for i in range(10)]
+        ledgers.append_ledger(spark.createDataFrame(rows, schema).repartitionByRange(3, "model"), path)
+    read = ledgers.read_costs(spark, path).orderBy("seq").collect()
+    assert [int(r.model) for r in read] == list(range(10 * appends))
+
+
+def test_files_of_others_go_by_time_and_name(spark, tmp_path):
+    import os
+
+    for name, when, model in (("a.jsonl", 300, "3"), ("b.jsonl", 100, "1"), ("c.jsonl", 200, "2"), ("d.jsonl", 300, "4")):
+        path = write(tmp_path / name, [{"schema_version": 1, "provider": "anthropic", "model": model, "usage": USAGE}])
+        os.utime(path, (when, when))
+    rows = ledgers.read_costs(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.model for r in rows] == ["1", "2", "3", "4"]
+
+
 def requests(spark, items):
     rows = [(i, p, x if isinstance(x, str) else json.dumps(x)) for i, (p, x) in enumerate(items)]
     return spark.createDataFrame(rows, "request_id bigint, provider string, payload string")

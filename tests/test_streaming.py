@@ -78,3 +78,12 @@ def test_settling_holds_what_may_change():
     pieces, rest, _ = assemble.settle(". done\n\nmore", False, False)
     assert pieces == [(". done\n", False, False), ("\n", False, False)] and rest == "more"
     assert assemble.settle("```\n. x\n", False, False) == ([("```\n", True, False), (". x\n", True, False)], "", True)
+
+
+def test_record_lines_end_at_line_feeds_only():
+    from convlytics.streaming.assemble import record_data
+
+    for inside in (" ", "\u0085", "\x0b", "\x1c"):
+        assert record_data('event: x\r\ndata: {"t":"a%sb"}\r' % inside) == '{"t":"a%sb"}' % inside
+    assert record_data("data: 1\ndata: 2") is None
+    assert record_data("data: 1\nother") is None

@@ -20,7 +20,7 @@ def test_rows_are_redacted_linted_and_receipted(spark):
         " expensive_exact_repeated_tool_results bigint, wire_cheap_exact_repeated_tool_results bigint,"
         " near_repeated_tool_calls bigint, edit_fail_edit_cycles bigint",
     )
-    out = build_transcript(turns, signals.assign_arms(turns, "raw_composite"), thrash)
+    out = build_transcript(turns, signals.assign_arms(turns, "raw_composite", evidence_id="stage-1"), thrash)
     got = {r.seq: r for r in out.orderBy("seq").collect()}
     assert got[1].content == "must fix token=[REDACTED] now" and got[1].lint == []
     assert [r.signal for r in got[1].receipts] == ["readiness", "readiness", "advisory"]
