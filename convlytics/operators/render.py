@@ -74,12 +74,14 @@ def _dash_run(run: Column) -> Column:
     depths = F.transform(
         ls, lambda l: F.length(F.regexp_extract(l, rf"^-++(?=[#>!~]?(?:[{tx.WS}]|\z))", 0))
     )
-    accepted = F.aggregate(
+    # A depth is accepted or 0, so the fold keeps one character per line and not an array.
+    fold = F.aggregate(
         depths,
-        F.array(F.lit(0)),
-        lambda acc, d: F.concat(
-            acc, F.array(F.when(d <= F.element_at(acc, -1) + 1, d).otherwise(F.lit(0)))
-        ),
+        F.struct(F.lit(0).alias("last"), F.lit("").alias("flags")),
+        lambda acc, d: F.when(
+            d <= acc["last"] + 1, F.struct(d.alias("last"), F.concat(acc["flags"], F.lit("1")).alias("flags"))
+        ).otherwise(F.struct(F.lit(0).alias("last"), F.concat(acc["flags"], F.lit("0")).alias("flags"))),
+        lambda acc: F.split(acc["flags"], ""),
     )
 
     def item(line: Column, depth: Column) -> Column:
@@ -92,9 +94,8 @@ def _dash_run(run: Column) -> Column:
             depth > 0, F.concat(F.repeat(F.lit("  "), depth - 1), prefix, _nested_inline(body))
         ).otherwise(inline(line))
 
-    rendered = tx.let(
-        accepted, lambda a: F.transform(ls, lambda l, i: item(l, F.get(a, i + 1)))
-    )
+    accepted = F.zip_with(depths, fold, lambda d, flag: F.when(flag == "1", d).otherwise(F.lit(0)))
+    rendered = F.zip_with(ls, accepted, item)
     ending = F.when(run.endswith("\n"), "\n").otherwise("")
     return F.concat(F.array_join(rendered, "\n"), ending)
 

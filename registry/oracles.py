@@ -65,7 +65,7 @@ tools AS (
     CASE WHEN event_type IN ('error', 'signup') THEN 'r' || CAST(event_id % 50 AS VARCHAR) END AS result_text
   FROM events)"""
 
-DOCS = f"docs AS (SELECT doc_id, source, lang, {views.DOC_TEXT} AS text FROM documents)"
+DOCS = f"docs AS (SELECT doc_id, source, lang, text AS raw, {views.DOC_TEXT_SQL} AS text FROM documents)"
 PROSE = f"prose AS (SELECT doc_id, source, {views.PROSE_TEXT} AS text FROM documents)"
 
 def with_(*ctes: str) -> str:
@@ -568,10 +568,23 @@ def no_final_newline(x: str) -> str:
     return f"regexp_replace({x}, '\\n$', '')"
 
 
+def escaped(x: str) -> str:
+    """A string as JSON writes it."""
+    marks = {"'\\'": "'\\\\'", "'\"'": "'\\\"'", "chr(10)": "'\\n'", "chr(13)": "'\\r'", "chr(9)": "'\\t'"}
+    for plain, written in marks.items():
+        x = f"replace({x}, {plain}, {written})"
+    return x
+
+
+def sorted_json(text: str) -> str:
+    """The generated JSON documents, minified with their keys sorted."""
+    return f"""'{{"a":[1,2],"b":' || CAST(doc_id AS VARCHAR) || ',"text":"' || {escaped(text)} || '"}}'"""
+
+
 oracle(
     "redact_secrets",
     with_(DOCS),
-    f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '{{"a":[1,2],"b":' || CAST(doc_id AS VARCHAR) || '}}'
+    f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN {sorted_json(masked('raw'))}
       ELSE {no_final_newline(masked('text'))} END AS redacted FROM docs""",
 )
 oracle("redact_turns", with_(TURNS), f"SELECT seq, {no_final_newline(masked('content'))} AS redacted FROM turns")
@@ -583,7 +596,7 @@ oracle(
       0 AS private_key FROM documents GROUP BY source""",
 )
 RESULTS = """
-results AS (SELECT doc_id, source AS origin, text, CAST(doc_id % 40 AS VARCHAR) AS session_id,
+results AS (SELECT doc_id, source AS origin, text, raw, CAST(doc_id % 40 AS VARCHAR) AS session_id,
   CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE 'tool_result' END AS source,
   CASE doc_id % 10 WHEN 0 THEN 'json' WHEN 1 THEN 'log' WHEN 4 THEN 'tabular' WHEN 2 THEN 'json' ELSE 'file_read' END AS kind,
   CASE WHEN doc_id % 17 = 0 THEN NULL ELSE 1000000 - doc_id % 400 + CASE WHEN doc_id % 19 = 0 THEN 1000 ELSE 0 END END AS captured,
@@ -604,7 +617,7 @@ oracle(
 def compacted(x: str) -> str:
     """Only the generated JSON documents need their keys sorted."""
     body = (
-        f"CASE WHEN doc_id % 10 = 0 THEN '{{\"a\":[1,2],\"b\":' || CAST(doc_id AS VARCHAR) || '}}'"
+        f"CASE WHEN doc_id % 10 = 0 THEN {sorted_json('raw')}"
         f" ELSE array_to_string(list_transform({lines(x)}, lambda l: {strip('l')}), {NL}) END"
     )
     return f"'[convlytics:toon:' || sha256({x}) || ']' || {NL} || {body} || {NL}"
@@ -613,7 +626,7 @@ def compacted(x: str) -> str:
 oracle(
     "compact_structured",
     with_(DOCS),
-    f"SELECT doc_id, {compacted('text')} AS compacted FROM docs WHERE doc_id % 10 IN (0, 1, 4, 8, 9)",
+    f"SELECT doc_id, {compacted('text')} AS compacted FROM docs",
 )
 COLLAPSED = f"""
 pieces AS (SELECT doc_id, p || CASE WHEN n < total OR ends_with(text, {NL}) THEN {NL} ELSE '' END AS piece, n FROM (
@@ -986,9 +999,9 @@ oracle(
 # ----------------------------------------------------------------------------- sessions
 
 RECENT = """
-requests AS (SELECT c.turn * 1000000 + c.conv_id AS request_id, c.conv_id, m.turn AS pos, m.role, m.text
-  FROM conversations c JOIN conversations m ON m.conv_id = c.conv_id AND m.turn IN (c.turn, c.turn - 1) WHERE c.role = 'user')"""
-
+requests AS (SELECT conv_id AS request_id, conv_id, turn AS pos, role, text
+  FROM conversations JOIN (SELECT conv_id, MAX(turn) AS last_turn FROM conversations GROUP BY conv_id) USING (conv_id)
+  WHERE turn <= last_turn - conv_id % 2)"""
 oracle(
     "stitched_sessions",
     """SELECT turn * 1000000 + conv_id AS request_id, conv_id AS expected_session,
@@ -1006,7 +1019,7 @@ oracle(
 )
 oracle(
     "match_sessions",
-    """WITH h AS (SELECT conv_id, list(role || ':' || CAST(length(text) % 7 AS VARCHAR) ORDER BY turn) AS history FROM conversations GROUP BY conv_id),
+    """WITH h AS (SELECT conv_id, list(role || ':' || CASE WHEN turn < conv_id % 3 THEN CAST(conv_id % 7 AS VARCHAR) ELSE text END ORDER BY turn) AS history FROM conversations GROUP BY conv_id),
     pairs AS (SELECT a.conv_id AS request_id, b.conv_id AS other,
       (SELECT MAX(k) FROM range(1, LEAST(len(a.history), len(b.history)) + 1) t(k) WHERE a.history[1:k] = b.history[1:k]) AS common
       FROM h a JOIN h b ON b.conv_id % 2 = 0),

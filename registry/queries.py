@@ -358,7 +358,7 @@ def eligible_results(spark, sf):
 
 @query
 def compact_structured(spark, sf):
-    out = content.compact_structured(fx_docs(spark, sf).where("doc_id % 10 IN (0, 1, 4, 8, 9)"))
+    out = content.compact_structured(fx_docs(spark, sf))
     return out.select("doc_id", "compacted")
 
 
@@ -709,7 +709,7 @@ def match_sessions(spark, sf):
     """Match every request against the histories of the even conversations."""
     turns = table(spark, sf, "conversations").selectExpr(
         "conv_id AS request_id", "CAST(conv_id AS STRING) AS session_id", "turn AS pos",
-        "role || ':' || CAST(length(text) % 7 AS STRING) AS message",
+        "role || ':' || CASE WHEN turn < conv_id % 3 THEN CAST(conv_id % 7 AS STRING) ELSE text END AS message",
     )
     stored = turns.where("request_id % 2 = 0").drop("request_id")
     return sessions.match_sessions(turns.drop("session_id"), stored)
@@ -729,12 +729,12 @@ def number_turns(spark, sf):
 
 @query
 def conversation_start(spark, sf):
-    return sessions.conversation_start(views.fx_recent_requests(spark, sf))
+    return sessions.conversation_start(views.fx_whole_requests(spark, sf))
 
 
 @query
 def last_user_text(spark, sf):
-    messages = views.fx_recent_requests(spark, sf).selectExpr(
+    messages = views.fx_whole_requests(spark, sf).selectExpr(
         "request_id", "pos", "role", "text",
         "CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider",
         "conv_id % 3 <> 1 AS is_plain_text",

@@ -142,20 +142,31 @@ def fx_tool_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-DOC_TEXT = r"""
+# Each shape holds the whole text of its document.
+_ESCAPED = r"""replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"""
+_LINE = "replace(text, chr(10), chr(10) || '{}')"
+
+
+def doc_text(escaped: str) -> str:
+    return rf"""
 CASE doc_id % 10
-  WHEN 0 THEN '{"b":' || CAST(doc_id AS STRING) || ',"a":[1,2]}'
-  WHEN 1 THEN 'INFO start' || chr(10) || 'INFO start' || chr(10) || 'WARN slow' || chr(10) || 'WARN slow' || chr(10) || 'INFO end'
-  WHEN 2 THEN 'fn main() {' || chr(10) || '    let x = 1;' || chr(10) || '}'
-  WHEN 3 THEN 'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -1 +1 @@'
-  WHEN 4 THEN 'a,b,c,d' || chr(10) || '1,2,3,' || CAST(doc_id AS STRING)
-  WHEN 5 THEN 'src/lib.rs:10: let x' || chr(10) || 'src/lib.rs:12: let y'
-  WHEN 6 THEN chr(27) || '[31mred'
-  WHEN 7 THEN 'please   fix the  ' || source || ', thank you' || chr(10) || chr(10) || chr(10) || chr(10) || '   now;'
+  WHEN 0 THEN '{{"b":' || CAST(doc_id AS STRING) || ',"a":[1,2],"text":"' || {escaped} || '"}}'
+  WHEN 1 THEN 'INFO start' || chr(10) || 'INFO start' || chr(10) || 'WARN ' || {_LINE.format("WARN ")} || chr(10) || 'INFO end' || chr(10) || 'INFO end'
+  WHEN 2 THEN 'fn main() {{' || chr(10) || '    let x = 1;' || chr(10) || '}}; ' || {_LINE.format("return ")}
+  WHEN 3 THEN 'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+' || {_LINE.format("+")}
+  WHEN 4 THEN 'a,b,c,d' || chr(10) || '1,2,3,' || {_LINE.format("1,2,3,")} || chr(10) || '1,2,3,' || CAST(doc_id AS STRING)
+  WHEN 5 THEN 'src/part.rs:10: ' || {_LINE.format("src/part.rs:12: ")}
+  WHEN 6 THEN chr(27) || '[31mred ' || text
+  WHEN 7 THEN 'please   fix the  ' || source || ', thank you' || chr(10) || chr(10) || chr(10) || chr(10) || '   now;  ' || text
   ELSE text END
 """
 
 
+#: Spark's string literals read a backslash as an escape, SQL's own do not.
+DOC_TEXT = doc_text(_ESCAPED)
+DOC_TEXT_SQL = doc_text(_ESCAPED.replace("\\\\", "\\"))
+
+
 def fx_docs(spark: SparkSession, sf: str) -> DataFrame:
     return text_table(spark, sf, "documents", "doc_id").selectExpr(
         "doc_id", "source", "lang", f"{DOC_TEXT} AS text"
@@ -189,13 +200,12 @@ def fx_first_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def fx_recent_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """One request per user turn, holding that turn and the one before it."""
+def fx_whole_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per conversation with its whole history; every second one lacks the last turn."""
     raw = table(spark, sf, "conversations")
-    asked = raw.where("role = 'user'").selectExpr("conv_id", "turn AS last_turn")
-    sent = raw.select("conv_id", "turn", "role", "text", F.explode(F.expr("array(turn, turn + 1)")).alias("last_turn"))
-    return sent.join(asked, ["conv_id", "last_turn"]).selectExpr(
-        "last_turn * 1000000 + conv_id AS request_id", "conv_id", "turn AS pos", "role", "text"
+    last = raw.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    return raw.join(last, "conv_id").where("turn <= last_turn - conv_id % 2").selectExpr(
+        "conv_id AS request_id", "conv_id", "turn AS pos", "role", "text"
     )
 
 
