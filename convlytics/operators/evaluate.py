@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
@@ -18,21 +18,51 @@ from convlytics.plans.ordered import Nearest, carry, running_sum
 MIN_RUNS_FOR_INTERVAL = 5
 
 
+#: Relative rank error of the sketch that brackets a percentile, and how many errors wide it is.
+_SKETCH, _MARGIN = 10_000, 3
+
+
 def percentile_linear(df: DataFrame, by: list[str], value: str, probability: float, out: str) -> DataFrame:
-    """Exact percentile with linear interpolation; equal values are counted first."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.groupBy(*by).agg(F.percentile(value, F.lit(probability), F.col("__n")).alias(out))
+    """Exact percentile with linear interpolation.
 
+    A mergeable sketch brackets the rank; only the values inside the bracket, a few
+    ten-thousandths of a group, are put in order, so no task holds the values of a group.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    ends = [max(0.0, probability - _MARGIN / _SKETCH), min(1.0, probability + _MARGIN / _SKETCH)]
+    box = known.groupBy(*by).agg(F.percentile_approx("__v", ends, _SKETCH).alias("__box"), F.count(F.lit(1)).alias("__all"))
+    placed = known.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")).join(box, by)
+    low, high = F.get("__box", F.lit(0)), F.get("__box", F.lit(1))
+    below = placed.groupBy(*by).agg(F.sum(F.when(F.col("__v") < low, F.col("__n")).otherwise(0)).alias("__below"))
+    inside = placed.where(F.col("__v").between(low, high)).join(below, by)
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__v")) + F.col("__below")
+    place = F.lit(probability) * (F.col("__all") - 1)
+    ranked = inside.withColumns({"__upto": upto, "__at": F.floor(place), "__part": place - F.floor(place)})
+    found = ranked.groupBy(*by).agg(
+        F.min(F.when(F.col("__upto") > F.col("__at"), F.col("__v"))).alias("__a"),
+        F.min(F.when(F.col("__upto") > F.col("__at") + 1, F.col("__v"))).alias("__b"),
+        F.max("__part").alias("__part"),
+    )
+    return found.select(*by, (F.col("__a") + (F.coalesce("__b", "__a") - F.col("__a")) * F.col("__part")).alias(out))
 
-def paired_summary(observations: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per arm: runs, median tokens and total estimated dollars (NULL when none is priced)."""
+
+def paired_summary(observations: DataFrame, by: list[str] | None = None, interval: bool = False) -> DataFrame:
+    """Per arm: runs, median tokens and total estimated dollars (NULL when none is priced).
+
+    With ``interval`` also ``low`` and ``high``, the bootstrap interval of the median; this
+    takes one grouping column.
+    """
     by = by or ["arm"]
     totals = observations.groupBy(*by).agg(
         F.count(F.lit(1)).alias("runs"),
         F.sum("estimated_cost").alias("total_estimated_cost"),
     )
     medians = percentile_linear(observations, by, "tokens", 0.5, "median_tokens")
-    return totals.join(medians, by, "left")
+    summary = totals.join(medians, by, "left")
+    if not interval:
+        return summary
+    (arm,) = by
+    return summary.join(bootstrap_median_ci(observations, arm).select(arm, "low", "high"), by, "left")
 
 
 def _draw_middle_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

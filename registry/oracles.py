@@ -1138,6 +1138,12 @@ oracle(
     """SELECT arm, COUNT(*) AS runs, ROUND(SUM(estimated_cost), 6) AS total_estimated_cost,
       ROUND(quantile_cont(tokens, 0.5), 6) AS median_tokens FROM runs GROUP BY arm""",
 )
+oracle(
+    "bootstrap_ci",
+    with_(COSTS, RUNS),
+    """SELECT arm, COUNT(*) AS runs, COUNT(tokens) AS n, ROUND(quantile_cont(tokens, 0.5), 6) AS median_tokens,
+      TRUE AS low_in_band, TRUE AS high_in_band FROM runs GROUP BY arm""",
+)
 oracle(
     "token_percentiles",
     with_(COSTS, RUNS),

@@ -850,7 +850,21 @@ def token_percentiles(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    return evaluate.bootstrap_median_ci(paired_runs(spark, sf))
+    """The bounds are random: whether their ranks lie where the median's spread puts them is not."""
+    runs = paired_runs(spark, sf)
+    summary = evaluate.paired_summary(runs, interval=True)
+    known = runs.where("tokens IS NOT NULL").join(summary.select("arm", "low", "high"), "arm")
+    ranks = known.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.expr(f"tokens {test} {end}")).alias(f"{end}_{name}") for end in ("low", "high") for name, test in (("under", "<"), ("upto", "<="))],
+    )
+
+    def within(end: str, sign: int) -> Column:
+        wide, narrow = F.col("n") / 2 + sign * (1.3 * F.sqrt("n") + 2), F.col("n") / 2 + sign * (0.65 * F.sqrt("n") - 2)
+        return (F.col(f"{end}_under") <= F.greatest(wide, narrow)) & (F.col(f"{end}_upto") >= F.least(wide, narrow))
+
+    out = summary.join(ranks, "arm").select("arm", "runs", "n", "median_tokens", within("low", -1).alias("low_in_band"), within("high", 1).alias("high_in_band"))
+    return rounded(out, "median_tokens")
 
 
 def eval_responses(spark, sf) -> DataFrame:
