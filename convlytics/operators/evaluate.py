@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
-from convlytics.plans.dimensions import small
 from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import Nearest, carry, running_sum
+from convlytics.plans.packaging import ship_package
 
 MIN_RUNS_FOR_INTERVAL = 5
 
@@ -100,6 +100,7 @@ def bootstrap_median_ci(
     work is ``reps`` rows per group and one pass over the counted values, whatever the
     number of observations.
     """
+    ship_package(observations.sparkSession)
     known = observations.where(F.col(value).isNotNull()).withColumn(by, F.col(by).cast("string"))
     counted = known.groupBy(F.col(by).alias("grp"), F.col(value).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
@@ -143,7 +144,7 @@ def term_coverage(responses: DataFrame, cases: DataFrame) -> DataFrame:
         lambda low: F.size(F.filter("required_terms", lambda t: low.contains(F.lower(t)))),
     )
     structure = r"(?md)^[ \t\r\f\x0b]*+(?:[§!>~]|-#?[ \t\r\f\x0b]|[0-9]++[.)][ \t\r\f\x0b])"
-    joined = responses.join(small(cases.select("case_id", "required_terms")), "case_id")
+    joined = responses.join(cases.select("case_id", "required_terms"), "case_id")
     facts = evaluate_once(
         joined,
         {

@@ -17,6 +17,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = pathlib.Path(__file__).resolve().parents[1]
+    # The driver serves this file to the executors for as long as the application runs.
     archive = pathlib.Path(tempfile.mkdtemp(prefix="convlytics-")) / "convlytics.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(root.rglob("*.py")):

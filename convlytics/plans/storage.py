@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local master, where driver and executors are one process, may fall back to a
-    temporary folder.
-    """
+    """The folder the cluster names in ``spark.checkpoint.dir``; all executors reach it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="convlytics-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return named.rstrip("/")
+
+
+def use_folder_if_unset(spark: SparkSession, folder: str) -> None:
+    """For tests and single-process runs: name a folder where the session names none."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

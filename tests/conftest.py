@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
@@ -19,6 +19,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     from convlytics.plans.packaging import ship_package
+    from convlytics.plans.storage import use_folder_if_unset
+
+    use_folder_if_unset(session, str(tmp_path_factory.mktemp("shared")))
 
     ship_package(session)
     yield session
