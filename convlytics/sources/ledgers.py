@@ -49,7 +49,7 @@ def _file_ranges(spark: SparkSession, path: str) -> DataFrame:
     has one narrow row per file; a file takes its size and 2^33 places, so a billion fit.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    batch = F.regexp_extract("path", rf"/{_BATCH}(\d{{20}})/[^/]*$", 1)
+    batch = F.regexp_extract("path", rf"/{_BATCH}(\d{{20}})/", 1)
     when = F.when(batch != "", batch.cast("bigint")).otherwise(F.unix_micros("modificationTime"))
     order = Window.orderBy(when, F.regexp_replace("path", r"\.1$", ""), F.when(F.col("path").endswith(".1"), 0).otherwise(1))
     before = F.sum(F.col("length") + F.lit(_ROW_IN_PARTITION + 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -147,6 +147,11 @@ def pricing_dim(spark: SparkSession, prices: dict[str, dict[str, float]]) -> Dat
     return spark.createDataFrame(rows, schemas.PRICING)
 
 
+def append_folder(path: str) -> str:
+    """The folder of an append that starts now."""
+    return f"{path.rstrip('/')}/{_BATCH}{time.time_ns() // 1000:020d}"
+
+
 def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery | None:
     """Append rows to a ledger; a streaming frame appends through a checkpointed sink.
 
@@ -155,7 +160,7 @@ def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery
     stream belongs to the ledger, so a restarted query goes on where it stopped.
     """
     if not df.isStreaming:
-        df.write.format(fmt).save(f"{path.rstrip('/')}/{_BATCH}{time.time_ns() // 1000:020d}")
+        df.write.format(fmt).save(append_folder(path))
         return None
     name = hashlib.sha256(path.encode()).hexdigest()[:16]
     checkpoint = f"{shared_dir(df.sparkSession)}/ledger-{name}"

@@ -1185,6 +1185,37 @@ oracle(
       CAST(SUM(input_tokens) AS BIGINT) AS input_tokens FROM costs WHERE seq % 10 <> 0 GROUP BY provider, model""",
 )
 
+oracle(
+    "ledger_order",
+    with_(COSTS),
+    """SELECT session_id, model, COUNT(*) AS records, arg_min(recorded_at_secs, seq) AS first_secs, arg_min(input_tokens, seq) AS first_input,
+      arg_max(recorded_at_secs, seq) AS last_secs, arg_max(input_tokens, seq) AS last_input FROM costs GROUP BY session_id, model""",
+)
+oracle(
+    "transcript_ledger",
+    with_(TURNS),
+    """SELECT session_id, COUNT(*) AS turns, CAST(SUM(strlen(content)) AS BIGINT) AS bytes, CAST(MIN(seq) AS VARCHAR) AS first,
+      CAST(MAX(seq) AS VARCHAR) AS last, 0 AS notes FROM turns GROUP BY session_id""",
+)
+oracle(
+    "health_ledger",
+    with_(COSTS),
+    """SELECT provider, model, COUNT(*) AS records, CAST(SUM(seq % 5) AS BIGINT) AS text_responses,
+      CAST(SUM(CASE WHEN seq % 3 = 0 THEN 0 ELSE seq % 2 END) AS BIGINT) AS table_runs, 0 AS zero_sigil_responses,
+      arg_max(session_id, seq) AS last_session FROM costs WHERE seq % 10 <> 0 GROUP BY provider, model""",
+)
+oracle(
+    "label_ledger",
+    """SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, (conv_id % 3 = 0) <> (conv_id % 2 = 0) AS completed,
+      (conv_id % 4 = 0) <> (conv_id % 2 = 0) AS correct FROM conversations""",
+)
+oracle(
+    "served_ledger",
+    with_(SERVED),
+    """SELECT digest, COUNT(*) AS entries, MAX(served_at_secs) AS last_served FROM served
+    WHERE served_at_secs IS NULL OR served_at_secs <> 999900 GROUP BY digest""",
+)
+
 # ---------------------------------------------------------------------------- streaming
 
 oracle(

@@ -909,6 +909,80 @@ def budget_cutoff(spark, sf):
     return rounded(evaluate.cutoff_summary(flagged, ["run"]), "spent_within_cap")
 
 
+def appended(spark, rows: DataFrame, order: str, name: str, appends: int = 3) -> str:
+    """A ledger written by several appends, each an equal range of ``order``; returns its path."""
+    path = fresh_path(spark, name)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    place = (F.col(order).cast("double") - float(low)) / (float(high) - float(low) + 1)
+    part = F.least(F.floor(place * appends), F.lit(appends - 1))
+    for number in range(appends):
+        batch = rows.where(part == number).repartitionByRange(order).sortWithinPartitions(order)
+        ledgers.append_ledger(batch.drop(order), path)
+    return path
+
+
+@query
+def ledger_order(spark, sf):
+    """The first and last entry of each session and model by the ledger's own order."""
+    costs = fx_costs(spark, sf).withColumnRenamed("seq", "n").withColumn("schema_version", F.lit(1))
+    back = ledgers.read_costs(spark, appended(spark, costs, "n", "order-ledger"))
+    ends = [f(F.struct("recorded_at_secs", "usage.input_tokens"), "seq") for f in (F.min_by, F.max_by)]
+    out = back.groupBy("session_id", "model").agg(F.count(F.lit(1)).alias("records"), ends[0].alias("a"), ends[1].alias("b"))
+    return out.selectExpr(
+        "session_id", "model", "records", "a.recorded_at_secs AS first_secs", "a.input_tokens AS first_input",
+        "b.recorded_at_secs AS last_secs", "b.input_tokens AS last_input",
+    )
+
+
+@query
+def transcript_ledger(spark, sf):
+    turns = fx_turns(spark, sf).selectExpr(
+        "seq AS n", "1 AS schema_version", "CAST(seq AS STRING) AS timestamp", "session_id", "session_turn", "role", "content", "skill_version"
+    )
+    back = ledgers.read_transcripts(spark, appended(spark, turns, "n", "transcripts"))
+    out = back.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.sum(F.octet_length("content")).alias("bytes"),
+        F.min_by("timestamp", "seq").alias("first"), F.max_by("timestamp", "seq").alias("last"), F.max(F.size("lint") + F.size("receipts")).alias("notes"),
+    )
+    return out.withColumn("notes", F.col("notes").cast("bigint"))
+
+
+@query
+def health_ledger(spark, sf):
+    entries = fx_costs(spark, sf).selectExpr(
+        "seq AS n", "1 AS schema_version", "CASE provider WHEN 'openai' THEN 'open_ai' ELSE provider END AS provider",
+        "CASE WHEN seq % 10 = 0 THEN NULL ELSE model END AS model", "session_id", "session_turn",
+        "seq % 5 AS text_responses", "CASE WHEN seq % 3 = 0 THEN NULL ELSE seq % 2 END AS table_runs",
+    )
+    back = ledgers.read_health(spark, appended(spark, entries, "n", "health"))
+    return back.groupBy("provider", "model").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("text_responses").alias("text_responses"), F.sum("table_runs").alias("table_runs"),
+        F.sum("zero_sigil_responses").alias("zero_sigil_responses"), F.max_by("session_id", "seq").alias("last_session"),
+    )
+
+
+@query
+def label_ledger(spark, sf):
+    """Two label files per range of conversations; the later one wins."""
+    path = fresh_path(spark, "labels")
+    labels = table(spark, sf, "conversations").select("conv_id").distinct().selectExpr(
+        "conv_id div 50 AS bucket", "CAST(conv_id AS STRING) AS session_id", "conv_id % 3 = 0 AS completed", "conv_id % 4 = 0 AS correct", "conv_id"
+    )
+    for flipped in (False, True):
+        rows = labels.where("conv_id % 2 = 0") if flipped else labels
+        entry = F.struct("session_id", *[(~F.col(c) if flipped else F.col(c)).alias(c) for c in ("completed", "correct")])
+        document = rows.groupBy("bucket").agg(F.to_json(F.collect_list(entry)).alias("value"))
+        document.write.partitionBy("bucket").text(ledgers.append_folder(path))
+    return ledgers.read_labels(spark, path)
+
+
+@query
+def served_ledger(spark, sf):
+    served = served_log(spark, sf).selectExpr("xxhash64(digest, served_at_secs) AS n", "CASE WHEN served_at_secs = 999900 THEN 'no digest' ELSE digest END AS digest", "served_at_secs")
+    back = ledgers.read_served(spark, appended(spark, served, "n", "served"))
+    return back.groupBy("digest").agg(F.count(F.lit(1)).alias("entries"), F.max("served_at_secs").alias("last_served"))
+
+
 # ---------------------------------------------------------------------------- streaming
 
 def stream_session(spark) -> SparkSession:
