@@ -21,14 +21,12 @@ EDIT_WORDS = ["edit", "write", "patch", "apply", "replace", "update"]
 def drop_replays(events: DataFrame) -> DataFrame:
     """Keep the first event of each key per session.
 
-    Keys repeat when a request re-sends its history; the copies collapse before the
-    shuffle.
+    Keys repeat when a request re-sends its history.  The first place of each key is a hash
+    aggregate of numbers; the events themselves move once, to meet it.
     """
-    rest = [c for c in events.columns if c not in ("session_id", "event_key")]
-    first = events.groupBy("session_id", "event_key").agg(
-        F.min_by(F.struct(*rest), "seq").alias("first")
-    )
-    return first.select("session_id", "event_key", "first.*").select(*events.columns)
+    first = events.groupBy(F.col("session_id").alias("__s"), F.col("event_key").alias("__k")).agg(F.min("seq").alias("__seq"))
+    same = F.col("session_id").eqNullSafe(F.col("__s")) & F.col("event_key").eqNullSafe(F.col("__k")) & (F.col("seq") == F.col("__seq"))
+    return events.join(first, same, "left_semi")
 
 
 def link_results(events: DataFrame, span: int = SPAN) -> DataFrame:

@@ -34,15 +34,16 @@ def put_blobs(incoming: DataFrame, existing: DataFrame | None = None, value_col:
 
 def get_blobs(refs: DataFrame, blobs: DataFrame) -> DataFrame:
     """Look references up: found, unknown, corrupt or invalid_digest."""
-    stored = blobs.select(F.col("digest").alias("__d"), "bytes")
+    # Each blob is hashed once, however many references it has.
+    stored = evaluate_once(blobs.select(F.col("digest").alias("__d"), "bytes"), {"__whole": digest(F.col("bytes")) == F.col("__d")})
     joined = refs.join(stored, F.col("digest") == F.col("__d"), "left")
     status = (
         F.when(~F.col("digest").rlike(DIGEST), "invalid_digest")
         .when(F.col("__d").isNull(), "unknown")
-        .when(digest(F.col("bytes")) != F.col("digest"), "corrupt")
+        .when(~F.col("__whole"), "corrupt")
         .otherwise("found")
     )
-    return joined.withColumn("status", status).drop("__d")
+    return joined.withColumn("status", status).drop("__d", "__whole")
 
 
 def verify_blobs(blobs: DataFrame) -> DataFrame:
@@ -57,8 +58,9 @@ def put_originals(df: DataFrame, policy: str = "first_wins") -> DataFrame:
     that agree with the first one, and marks the others as rejected.
     """
     keyed = evaluate_once(df, {"key": tx.normalized_hash(F.col("text"))})
-    first = keyed.groupBy("key").agg(F.min(F.struct("seq", "original")).alias("__first"))
-    first = first.select("key", "__first.seq", "__first.original")
+    # The place of the first original is a hash aggregate of numbers; then one text per key is fetched.
+    places = keyed.groupBy("key").agg(F.min("seq").alias("seq"))
+    first = keyed.join(places, ["key", "seq"], "left_semi").select("key", "seq", "original")
     if policy == "first_wins":
         return first
     if policy != "fail_closed":
