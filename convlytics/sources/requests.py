@@ -223,6 +223,27 @@ def tool_events(requests: DataFrame) -> DataFrame:
     return events.withColumn("call_key", F.coalesce("call_key", latest))
 
 
+def session_tool_events(requests: DataFrame, stitched: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
+    """The tool events of requests as the repetition operators take them.
+
+    ``stitched``: ``request_id, session_id, session_turn`` of each request.  ``seq`` orders a
+    session's events by request, message and block.  ``replaced``: ``session_id, event_key`` of
+    results that went out as references; they are marked as cheap.
+    """
+    events = tool_events(requests).join(stitched.select("request_id", "session_id", "session_turn"), "request_id")
+    place = F.shiftleft(F.col("session_turn").cast("bigint"), 40) + F.shiftleft(F.col("pos").cast("bigint"), 16) + F.col("index")
+    if replaced is None:
+        cheap = F.lit(False)
+    else:
+        marks = replaced.select("session_id", "event_key").distinct().withColumn("__cheap", F.lit(True))
+        events = events.join(marks, ["session_id", "event_key"], "left")
+        cheap = F.coalesce("__cheap", F.lit(False)) & (F.col("kind") == "result")
+    return events.select(
+        "session_id", place.alias("seq"), "session_turn", "event_key", "kind", "call_key", "tool", "tokens", "is_edit", "digest", "failed",
+        cheap.alias("wire_cheap"),
+    )
+
+
 # ---------------------------------------------------------------------- prompt audits
 
 def cache_slot_audit(requests: DataFrame) -> DataFrame:

@@ -1112,6 +1112,27 @@ oracle(
       {opaque("'anthropic'", "'call-link'", "'u' || t")}, NULL, NULL, FALSE, sha256('out ' || CAST(turn % 3 AS VARCHAR)), turn % 2 = 0
       FROM keys WHERE provider = 'anthropic'""",
 )
+HISTORY = """
+fresh AS (SELECT sha256(CAST(conv_id * 2 AS VARCHAR)) AS session_id, CASE WHEN turn <= last_turn // 2 THEN 1 ELSE 2 END AS session_turn, turn
+  FROM conversations JOIN (SELECT conv_id, MAX(turn) AS last_turn FROM conversations GROUP BY conv_id) USING (conv_id))"""
+oracle(
+    "session_events",
+    with_(HISTORY),
+    """SELECT session_id, session_turn, kind, COUNT(*) AS events, COUNT(*) AS places,
+      COUNT(*) FILTER (WHERE kind = 'result' AND turn % 3 = 0) AS cheap,
+      MAX(CASE WHEN kind = 'result' THEN sha256('out ' || CAST(turn % 3 AS VARCHAR)) END) AS last_digest
+    FROM fresh, (SELECT UNNEST(['call', 'result']) AS kind) GROUP BY session_id, session_turn, kind""",
+)
+oracle(
+    "request_thrash",
+    with_(
+        HISTORY,
+        "seen AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, turn % 3 ORDER BY turn) > 1 AS again FROM fresh)",
+    ),
+    """SELECT session_id, session_turn, COUNT(*) FILTER (WHERE again) AS exact_repeated_tool_results,
+      COUNT(*) FILTER (WHERE again AND turn % 3 = 0) AS wire_cheap_exact_repeated_tool_results, 0 AS near_repeated_tool_calls,
+      0 AS edit_fail_edit_cycles, COUNT(*) FILTER (WHERE again) AS score FROM seen GROUP BY session_id, session_turn HAVING bool_or(again)""",
+)
 oracle(
     "cache_slots",
     with_(TURN_KEYS),

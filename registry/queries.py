@@ -812,6 +812,52 @@ def tool_events(spark, sf):
     )
 
 
+def history_requests(spark, sf) -> DataFrame:
+    """Two requests per conversation, with the first half and then all of its turns as tool use."""
+    turns = table(spark, sf, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.min_by("text", "turn").alias("opening"))
+    openai = """array(named_struct('role', 'user', 'content', text, 'tool_calls', NULL, 'tool_call_id', NULL),
+        named_struct('role', 'assistant', 'content', CAST(NULL AS STRING), 'tool_calls', array(named_struct('id', 'c' || CAST(turn AS STRING), 'function',
+          named_struct('name', 'search', 'arguments', '{"q' || CAST(turn AS STRING) || '":"w' || CAST(turn AS STRING) || '"}'))), 'tool_call_id', NULL),
+        named_struct('role', 'tool', 'content', 'out ' || CAST(turn % 3 AS STRING), 'tool_calls', NULL, 'tool_call_id', 'c' || CAST(turn AS STRING)))"""
+    sent = turns.join(last, "conv_id").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).where("part = 1 OR turn <= last_turn div 2")
+    grouped = sent.groupBy("conv_id", "part", "opening").agg(F.array_sort(F.collect_list(F.struct("turn", F.expr(openai).alias("messages")))).alias("turns"))
+    messages = F.flatten(F.transform("turns", lambda t: t["messages"]))
+    return grouped.select(
+        (F.col("conv_id") * 2 + F.col("part")).alias("request_id"), F.lit("openai").alias("provider"),
+        F.to_json(F.struct(messages.alias("messages"))).alias("payload"), F.concat_ws(":", "conv_id", "opening").alias("first_message"), F.col("part").alias("at_secs"),
+    )
+
+
+def history_events(spark, sf) -> DataFrame:
+    requests = history_requests(spark, sf).withColumn("seq", F.col("request_id"))
+    stitched = sessions.stitch_sessions(requests.select("request_id", "seq", "at_secs", "first_message"))
+    numbered = sessions.number_turns(stitched)
+    found = rq.session_tool_events(requests, numbered)
+    zero = F.sha2(F.lit("out 0").cast("binary"), 256)
+    events = rq.session_tool_events(requests, numbered, found.where(F.col("digest") == zero))
+    # Several scans follow: the payloads are parsed for them once.
+    path = fresh_path(spark, "tool-events")
+    events.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def session_events(spark, sf):
+    """The events of stitched sessions without replayed history."""
+    return repeats.drop_replays(history_events(spark, sf)).groupBy("session_id", "session_turn", "kind").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("seq").alias("places"), F.count_if("wire_cheap").alias("cheap"),
+        F.max("digest").alias("last_digest"),
+    )
+
+
+@query
+def request_thrash(spark, sf):
+    """From payloads to repetition: results that a session has seen before."""
+    out = repeats.thrash_receipts(history_events(spark, sf))
+    return out.select("session_id", "session_turn", "exact_repeated_tool_results", "wire_cheap_exact_repeated_tool_results", "near_repeated_tool_calls", "edit_fail_edit_cycles", "score")
+
+
 @query
 def cache_slots(spark, sf):
     return rq.cache_slot_summary(rq.cache_slot_audit(payloads(spark, sf)))
