@@ -478,6 +478,14 @@ oracle(
         CASE WHEN misplaced THEN 'terminal is missing, duplicated, or not final' END,
         CASE WHEN closed THEN 'trailing table separator' END) AS reasons FROM probed""",
 )
+oracle(
+    "probe_planted",
+    PROBE.replace(TURNS.strip() + ",\n" + SPOKEN, f"spoken AS (SELECT doc_id AS seq, 'p' AS provider, 'm' AS model, {views.PROBE_TEXT} AS content FROM documents)"),
+    """SELECT reasons, reasons <> '' AS malformed, COUNT(*) AS responses, CAST(SUM(seq) AS BIGINT) AS doc_sum, CAST(SUM(sigil_line_count) AS BIGINT) AS marker_lines
+    FROM (SELECT *, concat_ws(',', CASE WHEN dash THEN 'ambiguous dash prefix' END,
+        CASE WHEN misplaced THEN 'terminal is missing, duplicated, or not final' END,
+        CASE WHEN closed THEN 'trailing table separator' END, CASE WHEN seq % 8 = 5 THEN 'unterminated fence' END) AS reasons FROM probed) GROUP BY reasons""",
+)
 oracle(
     "compliance_rates",
     PROBE,
@@ -711,6 +719,11 @@ oracle(
     """SELECT rule, COUNT(*) AS findings, COUNT(DISTINCT doc_id) AS docs, CAST(SUM(COALESCE(line, 0)) AS BIGINT) AS line_sum
     FROM findings GROUP BY rule""",
 )
+oracle(
+    "lint_planted",
+    with_(f"planted AS (SELECT doc_id, {views.LINT_TEXT} AS text FROM documents)", findings("planted", "doc_id", "text")),
+    "SELECT rule, message, COUNT(*) AS findings, CAST(SUM(doc_id) AS BIGINT) AS doc_sum FROM findings GROUP BY rule, message",
+)
 oracle(
     "lint_overlap",
     with_(

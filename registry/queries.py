@@ -242,6 +242,15 @@ def probe_compliance(spark, sf):
     )
 
 
+@query
+def probe_planted(spark, sf):
+    """Each reason for a malformed answer, and their combinations."""
+    out = health.probe_compliance(views.fx_planted(spark, sf, views.PROBE_TEXT), "text")
+    return out.groupBy(joined("malformed_reasons").alias("reasons"), "malformed").agg(
+        F.count(F.lit(1)).alias("responses"), F.sum("doc_id").alias("doc_sum"), F.sum("sigil_line_count").cast("bigint").alias("marker_lines"),
+    )
+
+
 @query
 def compliance_rates(spark, sf):
     probed = health.probe_compliance(fx_messages(spark, sf).where("role = 'assistant'"))
@@ -495,6 +504,13 @@ def lint_raw_documents(spark, sf):
     )
 
 
+@query
+def lint_planted(spark, sf):
+    """Every document rule on whole documents that hold what it looks for."""
+    found = lint.lint_documents(views.fx_planted(spark, sf, views.LINT_TEXT), ["doc_id"])
+    return found.groupBy("rule", "message").agg(F.count(F.lit(1)).alias("findings"), F.sum("doc_id").alias("doc_sum"))
+
+
 @query
 def lint_overlap(spark, sf):
     return lint.turn_overlap(fx_turns_long(spark, sf))

@@ -200,6 +200,33 @@ def fx_first_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Whole documents with what each document rule looks for, and with each kind of malformed answer.
+LINT_TEXT = r"""
+CASE doc_id % 6
+  WHEN 0 THEN 'Here' || chr(39) || 's the text' || chr(10) || text
+  WHEN 1 THEN 'Sure thing' || chr(10) || text
+  WHEN 2 THEN text || chr(10) || 'Got it, thanks for that. Great question, sounds good.'
+  WHEN 3 THEN text || chr(10) || 'Perhaps it works, maybe not; it might, possibly.'
+  WHEN 4 THEN text || chr(10) || 'You must fix this' || chr(10) || '! now'
+  ELSE text || chr(10) || '. done' END
+"""
+PROBE_TEXT = r"""
+CASE doc_id % 8
+  WHEN 0 THEN text || chr(10) || '. done'
+  WHEN 1 THEN '-dash line' || chr(10) || text || chr(10) || '. done'
+  WHEN 2 THEN '. early' || chr(10) || text
+  WHEN 3 THEN '. one' || chr(10) || text || chr(10) || '. two'
+  WHEN 4 THEN text || chr(10) || '|a|b|' || chr(10) || '. done'
+  WHEN 5 THEN text || chr(10) || '```'
+  WHEN 6 THEN '-x' || chr(10) || '|a|' || chr(10) || '? q' || chr(10) || text
+  ELSE text END
+"""
+
+
+def fx_planted(spark: SparkSession, sf: str, planted: str) -> DataFrame:
+    return text_table(spark, sf, "documents", "doc_id").selectExpr("doc_id", f"{planted} AS text")
+
+
 def fx_whole_requests(spark: SparkSession, sf: str) -> DataFrame:
     """One request per conversation with its whole history; every second one lacks the last turn."""
     raw = table(spark, sf, "conversations")
