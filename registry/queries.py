@@ -26,7 +26,7 @@ from convlytics.sources import ledgers
 from convlytics.sources import requests as rq
 from convlytics.streaming import assemble, windows
 from convlytics.streaming import repeats as thrash
-from convlytics.streaming.sink import run_available, stateful_session
+from convlytics.streaming.sink import stateful_session, write_batches
 from registry import views
 from registry.views import (
     fx_costs,
@@ -1056,19 +1056,28 @@ def stream_session(spark) -> SparkSession:
     return session
 
 
-def streamed(spark, frame: DataFrame, files: int, order: str) -> DataFrame:
-    """Replay a table as a stream: equal ranges of ``order``, one after the other.
+def replayed(spark, frame: DataFrame, ranges: int, order: str, step: Callable[[DataFrame], None]) -> None:
+    """Let a table arrive in equal ranges of ``order``; ``step`` runs the stream over what is new.
 
-    The file source takes files by age, so the ranges are written in turn, each as one
-    file, and every trigger reads one.
+    A range arrives as the files that its own tasks write, and is read by as many tasks.
     """
     path = fresh_path(spark, "stream-input")
     place = F.col(order).cast("double")
     low, high = frame.agg(F.min(place), F.max(place)).first()
-    part = F.least(F.floor((place - low) / (high - low + 1e-9) * files), F.lit(files - 1))
-    for number in range(files):
-        frame.where(part == number).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    part = F.least(F.floor((place - low) / (high - low + 1e-9) * ranges), F.lit(ranges - 1))
+    for number in range(ranges):
+        arrive(spark, frame.where(part == number), path, step)
+
+
+def arrive(spark, rows: DataFrame, path: str, step: Callable[[DataFrame], None]) -> None:
+    rows.write.mode("append").parquet(path)
+    step(spark.readStream.schema(rows.schema).parquet(path))
+
+
+def stored(spark, name: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", transform: Callable | None = None):
+    """The folder of a stream's batches, and the step that continues them."""
+    path = fresh_path(spark, name)
+    return path, lambda stream: write_batches(build(stream), path, mode, transform).awaitTermination()
 
 
 @query
@@ -1078,7 +1087,8 @@ def cost_burn_stream(spark, sf):
     costs = fx_costs(session, sf).select(
         "seq", "session_id", "observed_billing_usd", F.timestamp_seconds("recorded_at_secs").alias("event_time")
     )
-    path = run_available(windows.cost_burn_stream(streamed(session, costs, 3, "seq")), "burn", "update")
+    path, step = stored(session, "burn", windows.cost_burn_stream, "update")
+    replayed(session, costs, 3, "seq", step)
     out = windows.latest_rows(spark.read.parquet(path), ["window_start", "session_id"])
     out = out.withColumn("window_start", F.unix_seconds("window_start"))
     return rounded(out, "observed_billing_usd")
@@ -1094,7 +1104,8 @@ def timed_responses(spark, sf) -> DataFrame:
 def health_stream(spark, sf):
     session = stream_session(spark)
     responses = timed_responses(session, sf)
-    path = run_available(windows.health_stream(streamed(session, responses, 3, "seq")), "health", "update")
+    path, step = stored(session, "health", windows.health_stream, "update")
+    replayed(session, responses, 3, "seq", step)
     out = windows.latest_rows(spark.read.parquet(path), ["window_start", "provider", "model"])
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
@@ -1106,11 +1117,15 @@ def session_stream(spark, sf):
         "request_id AS seq", "first_message",
         "timestamp_seconds(turn * 600 + expected_session * 100000) AS event_time",
     )
-    path = run_available(windows.session_stream(streamed(session, requests, 1, "event_time")), "sessions", "complete")
-    rows = spark.read.parquet(path)
-    # Complete mode repeats the whole result in every batch: the newest one holds it.
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(newest, "batch").selectExpr("unix_seconds(started) AS started", "requests", "first_seq")
+    path, step = stored(session, "sessions", windows.session_stream)
+    source = fresh_path(session, "stream-input")
+    arrive(session, requests, source, step)
+    # Sessions are final when the watermark has passed them: later requests move it on.
+    latest = requests.agg(F.max("event_time")).first()[0]
+    for days in (10, 20):
+        later = session.range(1).select(F.lit(-1).cast("bigint").alias("seq"), F.lit("later").alias("first_message"), (F.lit(latest) + F.make_dt_interval(F.lit(days))).alias("event_time"))
+        arrive(session, later, source, step)
+    return spark.read.parquet(path).where("first_seq >= 0").selectExpr("unix_seconds(started) AS started", "requests", "first_seq")
 
 
 def response_chunks(spark, sf) -> DataFrame:
@@ -1135,8 +1150,8 @@ def response_chunks(spark, sf) -> DataFrame:
 def assembled_stream(spark, sf):
     """Reassembled texts of the response streams, and how many pieces settled."""
     session = stream_session(spark)
-    chunks = streamed(session, response_chunks(session, sf), 2, "stream_id")
-    path = run_available(assemble.assemble_stream(chunks), "assembled")
+    path, step = stored(session, "assembled", assemble.assemble_stream)
+    replayed(session, response_chunks(session, sf), 2, "stream_id", step)
     rows = spark.read.parquet(path)
     pieces = assemble.render_pieces(rows)
     rendered = pieces.groupBy("stream_id").agg(
@@ -1150,7 +1165,9 @@ def assembled_stream(spark, sf):
 @query
 def thrash_stream(spark, sf):
     session = stream_session(spark)
-    path = thrash.thrash_stream(streamed(session, digested_events(session, sf), 3, "seq"))
+    state = thrash.CarriedState(session, fresh_path(session, "thrash-state"))
+    path, step = stored(session, "thrash", lambda events: events, transform=lambda batch, number: thrash.thrash_batch(state, batch, number))
+    replayed(session, digested_events(session, sf), 3, "seq", step)
     out = spark.read.parquet(path).drop("batch")
     counts = [c for c in out.columns if c not in ("session_id", "session_turn")]
     return out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in counts])
@@ -1164,7 +1181,8 @@ def replay_stream(spark, sf):
         "CAST(user_id AS STRING) AS session_id", "'e' || CAST(event_id AS STRING) AS event_key",
         "event_id", "explode(array(0, 1)) AS copy",
     ).selectExpr("*", "timestamp_seconds(event_id * 10 + copy) AS event_time")
-    path = run_available(windows.unique_events(streamed(session, events, 3, "event_time")), "replays")
+    path, step = stored(session, "replays", windows.unique_events)
+    replayed(session, events, 3, "event_time", step)
     return spark.read.parquet(path).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("event_sum")
     )
