@@ -17,7 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.backoff_scores(_table(spark, sf_dir, "documents"))
+    scores = lm_score.backoff_scores(_table(spark, sf_dir, "documents"))
+    # Sums of floats depend on their order in the last digits.
+    return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")])
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +36,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    found = jaccard_join.similar_texts(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(_table(spark, sf_dir, "pages"))
+    index = warc.archived(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +86,68 @@ def _licence_sql() -> str:
     """
 
 
+_WORDS = r"""
+    words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    )"""
+
 ORACLES: dict[str, str] = {
+    "op1_lm_score": rf"""
+        WITH {_WORDS}, places AS (
+            SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM words
+        ), pairs AS (
+            SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM places
+        ), one AS (SELECT x, count(*) AS n FROM places GROUP BY x),
+        own_one AS (SELECT doc_id, x, count(*) AS n FROM places GROUP BY doc_id, x),
+        two AS (SELECT p, x, count(*) AS n FROM pairs WHERE p IS NOT NULL GROUP BY p, x),
+        own_two AS (SELECT doc_id, p, x, count(*) AS n FROM pairs GROUP BY doc_id, p, x),
+        sized AS (SELECT doc_id, len(w) AS n_words, greatest((SELECT sum(len(w)) FROM words) - len(w), 1) AS others FROM words),
+        scored AS (
+            SELECT o.doc_id, o.n * CASE
+                WHEN o.p IS NOT NULL AND t.n > o.n THEN ln((t.n - o.n) / (b.n - ob.n))
+                WHEN a.n > oa.n THEN ln((a.n - oa.n) / others) + CASE WHEN o.p IS NULL THEN 0 ELSE ln(0.4) END
+                ELSE -ln(others) + CASE WHEN o.p IS NULL THEN 1 ELSE 2 END * ln(0.4) END AS s
+            FROM own_two o JOIN sized z ON z.doc_id = o.doc_id JOIN one a ON a.x = o.x JOIN own_one oa ON oa.doc_id = o.doc_id AND oa.x = o.x
+            LEFT JOIN two t ON t.p = o.p AND t.x = o.x LEFT JOIN one b ON b.x = o.p LEFT JOIN own_one ob ON ob.doc_id = o.doc_id AND ob.x = o.p
+        ), summed AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
+        SELECT z.doc_id, n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 4) END AS mean_log_score
+        FROM sized z LEFT JOIN summed u ON u.doc_id = z.doc_id
+    """,
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE {_WORDS}, sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS g
+            FROM words
+        ), grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM sets UNION SELECT doc_id, b FROM reach JOIN links ON a = other
+        )
+        SELECT s.doc_id, len(g) AS n_shingles, least_id AS component_id
+        FROM sets s JOIN (SELECT doc_id, min(other) AS least_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id
+    """,
+    "op6_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        firsts AS (SELECT h AS same, min(page_id) AS first FROM payloads WHERE strlen(h) >= 100 GROUP BY h)
+        SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+            CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM payloads LEFT JOIN firsts ON same = h
+    """,
+    "op8_kd_search": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), places AS (SELECT vec_id, len(e) AS dim, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM whole),
+        scores AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(sum(q.x * v.x) AS BIGINT) AS score
+            FROM places q JOIN places v ON v.i = q.i AND v.dim = q.dim AND v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, v.vec_id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op2_licences": _licence_sql(),
     "op4_exact_dedup": r"""
         WITH normal AS (
