@@ -18,7 +18,7 @@ from convlytics.plans.packaging import ship_package
 # --------------------------------------------------------------------- classification
 
 # The words that open a log line, a code line and a command line.
-LOG_LEVELS = ["trace", "debug", "info", "warn", "error", "fatal", "panic"]
+LOG_LEVELS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "PANIC"]
 CODE_KEYWORDS = [
     "fn", "pub", "import", "def", "class", "function", "return", "const", "let", "var", "public",
     "private", "static", "void", "struct", "enum", "impl", "trait", "match", "async", "await",
@@ -38,7 +38,7 @@ _CODE_OPENING = rf"\A(?:{'|'.join(CODE_KEYWORDS + COMMANDS)})(?:[{tx.WS}]|\z)"
 
 def _log_line(line: Column) -> Column:
     """A level word, an ISO time or a bracketed tag opens the line."""
-    level = tx.starts_with_any(F.upper(F.substring(line, 1, 5)), [w.upper() for w in LOG_LEVELS])
+    level = tx.starts_with_any(F.upper(F.substring(line, 1, 5)), LOG_LEVELS)
     dated = (
         (F.substring(line, 5, 1) == "-")
         & (F.octet_length(line) >= 19)

@@ -107,7 +107,10 @@ def _verbless_lines(long_lines: Column) -> Column:
 
 
 def lint_findings(text: Column) -> Column:
-    """All document findings of a text, as an array in report order."""
+    """All document findings of a text, as an array in report order.
+
+    The rule names and messages are fixed values.
+    """
     none = F.array().cast(f"array<{_FINDING}>")
 
     def one(condition: Column, finding: Column) -> Column:
