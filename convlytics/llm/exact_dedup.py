@@ -23,8 +23,8 @@ from convlytics.llm.common import in_pieces, map_arrow
 #: Characters that do not count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of labels that one trie may hold before it spills a subtree.
-TRIE_BYTES = 64 << 20
-_PIECE_BYTES = 8 << 20
+TRIE_BYTES = 32 << 20
+_PIECE_BYTES = 2 << 20
 
 
 class _Node:

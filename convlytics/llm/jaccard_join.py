@@ -149,13 +149,18 @@ def _candidates(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            shared, alone = batch.column("shared"), batch.column("alone")
+            flat = shared.flatten()
+            level, df, token = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("level", "df", "token"))
+            late = alone.flatten().to_numpy(zero_copy_only=False)
+            ends, late_ends = shared.offsets.to_numpy() - shared.offsets[0].as_py(), alone.offsets.to_numpy() - alone.offsets[0].as_py()
             sigs, docs = [], []
-            for row in batch.to_pylist():
-                unsigned = [(s["level"], s["df"], s["token"] & 0xFFFFFFFFFFFFFFFF) for s in row["shared"]]
-                unsigned += [(1, 1, t & 0xFFFFFFFFFFFFFFFF) for t in row["alone"]]
-                found = _signatures(row["n"], row["own"], sorted(unsigned), percent, frequent)
+            for i, (doc, n, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "own")), strict=True)):
+                a, b, c, d = ends[i], ends[i + 1], late_ends[i], late_ends[i + 1]
+                met = zip(level[a:b].tolist(), df[a:b].tolist(), token[a:b].view(np.uint64).tolist(), strict=True)
+                found = _signatures(n, own, sorted([*met, *((1, 1, t) for t in late[c:d].view(np.uint64).tolist())]), percent, frequent)
                 sigs.extend(found)
-                docs.extend([row["doc_id"]] * len(found))
+                docs.extend([doc] * len(found))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(docs, pa.int64())], names=["sig", "doc_id"])
 
     return map_arrow(per_set, run, "sig long, doc_id long")

@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlytics.llm.common import cut, map_arrow
+from convlytics.llm.common import cut, in_pieces, map_arrow
 from convlytics.plans.packaging import ship_package
 
 #: Rows of the labelled sample and terms of the lexicon.
@@ -39,7 +38,8 @@ FOLDS, CALIBRATION_FOLD = (1, 2, 3, 4), 1
 LEAST_TEXTS, LEAST_Z, LEAST_LOG_ODDS = 3, 4.5, 2.0
 NEAR = 5
 _BEGINNINGS = (4, 5, 6)
-_MOST_CHUNKS = 300_000
+_MOST_CHUNKS = 150_000
+_PIECE_BYTES = 1 << 20
 
 # Common English insults and second-person words of four languages.
 INSULTS = frozenset("asshole bastard bitch clown creep cretin dumb dumbass fool garbage idiot imbecile jerk loser moron pathetic scum stupid trash ugly worthless".split())
@@ -150,7 +150,7 @@ def _lexicons(sample: DataFrame, most_terms: int) -> dict[int, dict[str, float]]
     """By fold the lexicon of all other folds; under 0 that of all folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, "text", 4 * _PIECE_BYTES):
             found: Counter[tuple[str, int, int]] = Counter()
             for fold, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "toxic", "text")), strict=True):
                 words = {clean_word(c) for c in set((text or "").lower().split())}
@@ -199,11 +199,15 @@ class ToxicityModel:
         ship_package(docs.sparkSession)
         lexicon = self.lexicon
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             chunks = _Chunks(lexicon)
             for some in texts:
-                yield pd.Series([features_of(t, chunks) for t in some])
+                # A batch may hold tens of megabytes of text: only a slice of it becomes Python strings.
+                pieces = in_pieces(iter([pa.RecordBatch.from_arrays([some], names=["text"])]), "text", _PIECE_BYTES)
+                found = [features_of(t, chunks) for piece in pieces for t in piece.column("text").to_pylist()]
+                yield pa.array(found, pa.list_(pa.float64()))
+            pa.default_memory_pool().release_unused()
 
         kept = [F.col(f"`{c}`") for c in docs.columns if c != score_col]
         rows = docs.select(*kept, array_to_vector(features(F.col(f"`{text_col}`"))).alias("__features"))
@@ -228,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = {f: _Chunks(lexicons[f]) for f in FOLDS}
-        for batch in batches:
+        for batch in in_pieces(batches, "text", _PIECE_BYTES):
             rows = [features_of(t, chunks[f]) for f, t in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["fold", "toxic", "features"])
 

@@ -16,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Chunks that one Python worker remembers before it starts afresh.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 250_000
 _END_OF_WORD = "</w>"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Up to U+024F the letters are the same in every version of Unicode; only U+0130 has a longer lower case.
