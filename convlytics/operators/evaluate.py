@@ -33,7 +33,10 @@ def percentile_linear(df: DataFrame, by: list[str], value: str, probability: flo
     box = known.groupBy(*by).agg(F.percentile_approx("__v", ends, _SKETCH).alias("__box"), F.count(F.lit(1)).alias("__all"))
     placed = known.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")).join(box, by)
     low, high = F.get("__box", F.lit(0)), F.get("__box", F.lit(1))
-    below = placed.groupBy(*by).agg(F.sum(F.when(F.col("__v") < low, F.col("__n")).otherwise(0)).alias("__below"))
+    # In a small group the upper neighbour may be the first value behind the bracket.
+    below = placed.groupBy(*by).agg(
+        F.sum(F.when(F.col("__v") < low, F.col("__n")).otherwise(0)).alias("__below"), F.min(F.when(F.col("__v") > high, F.col("__v"))).alias("__next")
+    )
     inside = placed.where(F.col("__v").between(low, high)).join(below, by)
     upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__v")) + F.col("__below")
     place = F.lit(probability) * (F.col("__all") - 1)
@@ -42,8 +45,9 @@ def percentile_linear(df: DataFrame, by: list[str], value: str, probability: flo
         F.min(F.when(F.col("__upto") > F.col("__at"), F.col("__v"))).alias("__a"),
         F.min(F.when(F.col("__upto") > F.col("__at") + 1, F.col("__v"))).alias("__b"),
         F.max("__part").alias("__part"),
+        F.max("__next").alias("__next"),
     )
-    return found.select(*by, (F.col("__a") + (F.coalesce("__b", "__a") - F.col("__a")) * F.col("__part")).alias(out))
+    return found.select(*by, (F.col("__a") + (F.coalesce("__b", "__next", "__a") - F.col("__a")) * F.col("__part")).alias(out))
 
 
 def paired_summary(observations: DataFrame, by: list[str] | None = None, interval: bool = False) -> DataFrame:
