@@ -33,16 +33,17 @@ def percentile_linear(df: DataFrame, by: list[str], value: str, probability: flo
     box = known.groupBy(*by).agg(F.percentile_approx("__v", ends, _SKETCH).alias("__box"), F.count(F.lit(1)).alias("__all"))
     placed = known.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")).join(box, by)
     low, high = F.get("__box", F.lit(0)), F.get("__box", F.lit(1))
-    # In a small group the upper neighbour may be the first value behind the bracket.
+    # In a small group a neighbour may be the last value before the bracket or the first behind it.
     below = placed.groupBy(*by).agg(
-        F.sum(F.when(F.col("__v") < low, F.col("__n")).otherwise(0)).alias("__below"), F.min(F.when(F.col("__v") > high, F.col("__v"))).alias("__next")
+        F.sum(F.when(F.col("__v") < low, F.col("__n")).otherwise(0)).alias("__below"), F.min(F.when(F.col("__v") > high, F.col("__v"))).alias("__next"),
+        F.max(F.when(F.col("__v") < low, F.col("__v"))).alias("__last"),
     )
     inside = placed.where(F.col("__v").between(low, high)).join(below, by)
     upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__v")) + F.col("__below")
     place = F.lit(probability) * (F.col("__all") - 1)
     ranked = inside.withColumns({"__upto": upto, "__at": F.floor(place), "__part": place - F.floor(place)})
     found = ranked.groupBy(*by).agg(
-        F.min(F.when(F.col("__upto") > F.col("__at"), F.col("__v"))).alias("__a"),
+        F.min(F.when(F.col("__at") < F.col("__below"), F.col("__last")).when(F.col("__upto") > F.col("__at"), F.col("__v"))).alias("__a"),
         F.min(F.when(F.col("__upto") > F.col("__at") + 1, F.col("__v"))).alias("__b"),
         F.max("__part").alias("__part"),
         F.max("__next").alias("__next"),
