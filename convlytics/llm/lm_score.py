@@ -24,7 +24,7 @@ from convlytics.llm.shingles import gram_hashes, word_hashes
 from convlytics.plans.once import attach_row
 
 ALPHA = 0.4
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 _WORDS, _GRAMS, _TOTALS = 0, 1, 2
 _PACKED = "dest long, batch long, kind int, q long, a binary, b binary, c binary"
 _NAMES = [f.split()[0] for f in _PACKED.split(", ")]
