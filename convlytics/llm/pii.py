@@ -4,7 +4,8 @@ One pattern finds candidates; each is validated (check digits, ranges, calendar)
 permuted within its format by a Feistel network whose round function is a keyed SHA-512, so
 equal values get equal pseudonyms in every document and different values different ones:
 
-* card numbers (Luhn): digits permuted, check digit made anew, separators kept,
+* card numbers (Luhn): digits permuted, check digit made anew, separators kept; they are
+  looked for in all neighbouring groups of a run of numbers,
 * telephone numbers: digits permuted, country code and punctuation kept,
 * social security numbers: digits permuted, walking on until the result is a valid one,
 * IPv4 addresses: two halves of 16 bits,
@@ -26,16 +27,19 @@ ROUNDS = 10
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MAIL = r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.)+[A-Za-z]{2,24}"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9A-Za-z])"
-_DATE = r"(?:(?:19|20)[0-9]{2}([\-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9A-Za-z])"
+_YEAR = "(?:19|20)[0-9]{2}"
+_DATE = rf"(?:{_YEAR}(?:-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}|[0-9]{{2}}(?:\.[0-9]{{2}}\.|/[0-9]{{2}}/){_YEAR})(?![0-9A-Za-z])"
 _SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-_PHONE = (
+_INTERNATIONAL = (
     r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"
     r"|\+[2-9][0-9]{7,14}(?![0-9A-Za-z])|\+[2-9][0-9]{0,2}(?:[ \-][0-9]{2,4}){2,4}(?![0-9A-Za-z])"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|[0-9]{3}([.\-])[0-9]{3}\3[0-9]{4}(?![0-9A-Za-z])"
 )
-_CARD = "[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+_NATIONAL = r"(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}(?:\.[0-9]{3}\.|-[0-9]{3}-)[0-9]{4})(?![0-9A-Za-z])"
+#: Numbers beside each other that may hold card numbers, up to a number that starts another kind of value.
+_DOTTED = r"[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9A-Za-z])"
+_RUN = rf"(?=(?:[0-9][ -]?){{12}}[0-9])[0-9]++(?![A-Za-z@])(?:[ -](?!{_IP}|{_DATE}|{_SSN}|{_DOTTED})[0-9]++(?![A-Za-z@]))*+"
 #: A value starts where no letter, digit or part of a longer number stands before it.
-PATTERN = rf"(?<![A-Za-z0-9._%+\-]){_MAIL}|(?<![A-Za-z0-9])(?<![0-9][.\-])(?:{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
+PATTERN = rf"(?<![A-Za-z0-9._%+\-]){_MAIL}|(?<![A-Za-z0-9])(?<![0-9][.\-])(?:{_IP}|{_DATE}|{_SSN}|{_INTERNATIONAL}|{_RUN}|{_NATIONAL})"
 #: Texts without any of these hold no value.
 MAYBE = r"@[A-Za-z0-9]|[0-9][ .\-/()]{0,2}[0-9]"
 _DAYS = (229, 319)  # 73,049 days from 1900-01-01 to 2099-12-31
@@ -122,11 +126,71 @@ def _laid_out(layout: Column, digits: Column) -> Column:
     return F.aggregate(F.split(layout, ""), start, step, lambda s: s["out"])
 
 
+def _is_card(digits: Column) -> Column:
+    return F.when(F.length(digits).between(13, 19), F.pmod(_luhn(digits, 1), F.lit(10)) == 0).otherwise(False)
+
+
+def _interleaved(gaps: Column, values: Column, filler: Column) -> Column:
+    """gap, value, gap, ..., gap: there is one value less than gaps."""
+    return F.flatten(F.zip_with(gaps, F.concat(values, F.array(filler)), lambda a, b: F.array(a, b)))
+
+
+def _cards_apart(run: Column) -> Column:
+    """``run`` cut into pieces such that each card number in it is one.
+
+    Of all valid sequences of neighbouring groups the longest is taken, then the longest of
+    those beside it and so on; of equal lengths one with an issuer's first digit, then the first.
+    """
+
+    def cut(groups: Column, seps: Column) -> Column:
+        last = F.size(groups) - 1
+
+        def candidates(i: Column) -> Column:
+            ends = F.sequence(i, F.least(i + 18, last))
+            each = F.transform(ends, lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("d")))
+            return F.filter(each, lambda c: _is_card(c["d"]))
+
+        ranked = F.array_sort(
+            F.transform(
+                F.flatten(F.transform(F.sequence(F.lit(0), last), candidates)),
+                lambda c: F.struct((-F.length(c["d"])).alias("size"), (~c["d"].rlike("^[2-6]")).cast("int").alias("other"), c["i"].alias("i"), c["j"].alias("j")),
+            )
+        )
+        none = F.array().cast("array<struct<size:int,other:int,i:int,j:int>>")
+        taken = F.aggregate(ranked, none, lambda t, c: F.when(F.exists(t, lambda x: (x["i"] <= c["j"]) & (c["i"] <= x["j"])), t).otherwise(F.concat(t, F.array(c))))
+
+        def pieces(cards: Column) -> Column:
+            # A separator of its own stands between groups; inside a card they are joined again.
+            between = lambda a, b: F.array_join(F.flatten(F.transform(F.sequence(a, b), lambda g: F.array(F.when(g > a, F.get(seps, g)).otherwise(F.lit("")), F.get(groups, g)))), "")
+            inside = lambda g: F.exists(cards, lambda x: (x["i"] < g) & (g <= x["j"]))
+            parts = F.transform(
+                F.sequence(F.lit(0), last),
+                lambda g: let(
+                    F.get(F.filter(cards, lambda x: x["i"] == g), F.lit(0)),
+                    lambda x: F.when(x.isNotNull(), F.array(F.get(seps, g), between(g, x["j"]))).when(inside(g), F.array().cast("array<string>")).otherwise(F.array(F.get(seps, g), F.get(groups, g))),
+                ),
+            )
+            return F.concat(F.flatten(parts), F.array(F.get(seps, last + 1)))
+
+        return let(taken, lambda t: F.when(F.size(t) == 0, F.array(run)).otherwise(pieces(t)))
+
+    both = F.struct(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)).alias("groups"), F.split(run, "[0-9]+", -1).alias("seps"))
+    return F.when(F.length(_digits(run)) < 13, F.array(run)).otherwise(let(both, lambda x: cut(x["groups"], x["seps"])))
+
+
+def _pieces(value: Column) -> Column:
+    """A candidate as pieces of one value or none each: only numbers beside each other have more than one."""
+    phones = rf"(?<![0-9])(?<![0-9][.\-]){_NATIONAL}"
+    numbers = value.rlike("^[0-9][0-9 -]*$") & ~value.rlike(f"^(?:{_DATE}|{_SSN}|{_NATIONAL})$")
+    parts = _interleaved(F.transform(F.split(value, phones, -1), _cards_apart), F.transform(F.regexp_extract_all(value, F.lit(phones), F.lit(0)), lambda v: F.array(v)), F.array().cast("array<string>"))
+    return F.when(~numbers | _is_card(_digits(value)), F.array(value)).otherwise(F.flatten(parts))
+
+
 def _card(key: str, value: Column) -> Column:
     def moved(d: Column) -> Column:
         payload = _permuted(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
         full = let(payload, lambda p: F.concat(p, F.pmod(10 - F.pmod(_luhn(p, 0), F.lit(10)), F.lit(10)).cast("string")))
-        return F.when(F.pmod(_luhn(d, 1), F.lit(10)) == 0, _laid_out(value, full)).otherwise(value)
+        return F.when(_is_card(d), _laid_out(value, full)).otherwise(value)
 
     return let(_digits(value), moved)
 
@@ -182,7 +246,7 @@ def pseudonym(key: str, value: Column) -> Column:
         .when(whole(_IP), _ip(key, value))
         .when(whole(_DATE), _date(key, value))
         .when(whole(_SSN), _ssn(key, value))
-        .when(whole(_PHONE.replace(r"\3", r"\1")), _phone(key, value))
+        .when(whole(rf"{_INTERNATIONAL}|{_NATIONAL}"), _phone(key, value))
         .otherwise(_card(key, value))
     )
 
@@ -197,10 +261,9 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     """
     text = F.col(f"`{text_col}`")
     found = F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = evaluate_once(docs.drop(count_col), {"__found": found})
-    renamed = evaluate_once(rows, {"__new": F.transform("__found", lambda v: pseudonym(key, v))})
-    gaps = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.col("__new"), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    rows = evaluate_once(docs.drop(count_col), {"__found": F.transform(found, _pieces)})
+    renamed = evaluate_once(rows, {"__new": F.transform("__found", lambda some: F.transform(some, lambda v: pseudonym(key, v)))})
+    joined = F.array_join(_interleaved(F.split(text, PATTERN, -1), F.transform("__new", lambda some: F.array_join(some, "")), F.lit("")), "")
+    changed = F.size(F.filter(F.zip_with(F.flatten("__found"), F.flatten("__new"), lambda a, b: a != b), lambda x: x))
     kept = [F.when(F.size("__found") > 0, joined).otherwise(text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
     return renamed.select(*kept, F.when(text.isNull(), 0).otherwise(changed).cast("int").alias(count_col))

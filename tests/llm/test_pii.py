@@ -138,3 +138,21 @@ def test_a_very_long_text(spark):
 def test_no_python_on_the_executors(awkward):
     plan = pii.pseudonymise(awkward, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_cards_with_numbers_beside_them(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    texts = [
+        "card 4111 1111 1111 1111 12/27", "4111111111111111 123", "row 12 4111 1111 1111 1111 ok", f"{card} {other} 7", f"1 {card} 05.03.1990",
+        f"{card} 97.51.17.173 9", f"555-123-4567 {card}", f"{card} 555-123-4567 555.123.4567", f"{card} 12x", "1 2 3 " * 2000 + card,
+    ]
+    got = replaced(spark, texts)
+    assert [got[i][1] for i in range(9)] == [1, 1, 1, 2, 2, 2, 2, 3, 1]
+    shapes = lambda t: re.sub("[0-9]", "0", t)
+    assert [shapes(got[i][0]) for i in range(10) if i != 5] == [shapes(t) for i, t in enumerate(texts) if i != 5]
+    assert re.fullmatch(r"[\d ]{19} [\d.]+ 9", got[5][0]) and "97.51.17.173" not in got[5][0]
+    hidden = replaced(spark, [card])[0][0]
+    assert hidden != card and luhn(hidden.replace(" ", ""))
+    assert got[0][0] == f"card {hidden} 12/27" and got[2][0] == f"row 12 {hidden} ok" and got[6][0].endswith(hidden)
+    assert got[1][0] == hidden.replace(" ", "") + " 123" and got[3][0] == f"{hidden} {replaced(spark, [other])[0][0]} 7"
+    assert card not in got[9][0]
