@@ -28,15 +28,24 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MAIL = r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.)+[A-Za-z]{2,24}"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9A-Za-z])"
 _YEAR = "(?:19|20)[0-9]{2}"
-_DATE = rf"(?:{_YEAR}(?:-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}|[0-9]{{2}}(?:\.[0-9]{{2}}\.|/[0-9]{{2}}/){_YEAR})(?![0-9A-Za-z])"
+_PLACE = "[0-9]{1,2}"
+_DATE = (
+    rf"(?:{_YEAR}(?:-{_PLACE}-|/{_PLACE}/){_PLACE}|{_PLACE}(?:\.{_PLACE}\.|/{_PLACE}/|-{_PLACE}-){_YEAR})"
+    r"(?![0-9A-Za-z])"
+)
 _SSN = "[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+#: 8 to 15 digits in groups of any length, up to a number that starts another kind of value.
 _INTERNATIONAL = (
     r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"
-    r"|\+[2-9][0-9]{7,14}(?![0-9A-Za-z])|\+[2-9][0-9]{0,2}(?:[ \-][0-9]{2,4}){2,4}(?![0-9A-Za-z])"
+    rf"|\+[2-9](?:(?![ .\-](?:{_IP}|{_DATE}|{_SSN}))[ .\-]?[0-9]){{7,14}}(?![0-9A-Za-z])"
+    r"|\+[2-9][0-9]{0,2}[ .\-]?(?:\([0-9]{1,2}\)(?:[ .\-]?[0-9]){6,10}|\([0-9]{3,4}\)(?:[ .\-]?[0-9]){4,8})(?![0-9A-Za-z])"
+)
+_NATIONAL = (
+    r"(?:(?:1[ .\-]?)?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|(?:1[ .\-])?[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})"
+    r"(?![0-9A-Za-z])"
 )
-_NATIONAL = r"(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}(?:\.[0-9]{3}\.|-[0-9]{3}-)[0-9]{4})(?![0-9A-Za-z])"
 #: Numbers beside each other that may hold card numbers, up to a number that starts another kind of value.
-_DOTTED = r"[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9A-Za-z])"
+_DOTTED = r"(?:1\.)?[0-9]{3}(?:\.[0-9]{3}[ .\-]|[ \-][0-9]{3}\.)[0-9]{4}(?![0-9A-Za-z])"
 _RUN = rf"(?=(?:[0-9][ -]?){{12}}[0-9])[0-9]++(?![A-Za-z@])(?:[ -](?!{_IP}|{_DATE}|{_SSN}|{_DOTTED})[0-9]++(?![A-Za-z@]))*+"
 #: A value starts where no letter, digit or part of a longer number stands before it.
 PATTERN = rf"(?<![A-Za-z0-9._%+\-]){_MAIL}|(?<![A-Za-z0-9])(?<![0-9][.\-])(?:{_IP}|{_DATE}|{_SSN}|{_INTERNATIONAL}|{_RUN}|{_NATIONAL})"
@@ -197,7 +206,8 @@ def _card(key: str, value: Column) -> Column:
 
 def _phone(key: str, value: Column) -> Column:
     def moved(d: Column) -> Column:
-        kept = F.when(~value.startswith("+"), 0).when(value.startswith("+1"), 1).otherwise(2)
+        national = F.when(F.length(d) == 11, 1).otherwise(0)  # the 1 before a national number stays
+        kept = F.when(~value.startswith("+"), national).when(value.startswith("+1"), 1).otherwise(2)
         return let(kept, lambda k: _laid_out(value, F.concat(F.substring(d, F.lit(1), k), _permuted(key, "phone", F.substring(d, k + 1, F.length(d))))))
 
     return let(_digits(value), moved)
@@ -225,15 +235,25 @@ def _date(key: str, value: Column) -> Column:
         return let(done, lambda s: F.date_add(first, (s["a"] * size_b + s["b"]).cast("int")))
 
     read = lambda form: F.try_to_timestamp(value, F.lit(form)).cast("date")
-    all_days = lambda form: let(read(form), lambda d: F.when(d.isNull(), value).otherwise(F.date_format(permute(d), form)))
-    # Where the first number can't be a month, the day stands first; such days stay such.
+    single = value.rlike("(?:^|[./-])[0-9](?:[./-]|$)")  # some day or month has one digit
+
+    def written(form: str, step) -> Column:
+        # Days and months without a zero before them are written without one again.
+        short = form.replace("dd", "d").replace("MM", "M")
+        shown = lambda d: F.when(single, F.date_format(d, short)).otherwise(F.date_format(d, form))
+        return let(F.coalesce(read(form), F.when(single, read(short))), lambda d: F.when(d.isNull(), value).otherwise(let(step(d), shown)))
+
+    all_days = lambda form: written(form, permute)
+    # Where one of the first two numbers can't be a month, it is the day; such days stay such.
     late = lambda d: F.dayofmonth(d) > 12
-    day_first = let(read("dd/MM/yyyy"), lambda d: F.when(d.isNull(), value).otherwise(F.date_format(_walked(d, permute, late), "dd/MM/yyyy")))
+    late_days = lambda form: written(form, lambda d: _walked(d, permute, late))
+    place = lambda i: F.get(F.split(value, "[./-]"), F.lit(i)).cast("int")
     return (
-        F.when(value.rlike("^....-"), all_days("yyyy-MM-dd"))
-        .when(value.rlike("^..../"), all_days("yyyy/MM/dd"))
+        F.when(value.rlike("^[0-9]{4}-"), all_days("yyyy-MM-dd"))
+        .when(value.rlike("^[0-9]{4}/"), all_days("yyyy/MM/dd"))
         .when(value.contains("."), all_days("dd.MM.yyyy"))
-        .otherwise(F.when(F.substring(value, 1, 2) <= "12", all_days("MM/dd/yyyy")).otherwise(day_first))
+        .when(value.contains("-"), F.when(place(1) > 12, late_days("MM-dd-yyyy")).otherwise(all_days("dd-MM-yyyy")))
+        .otherwise(F.when(place(0) <= 12, all_days("MM/dd/yyyy")).otherwise(late_days("dd/MM/yyyy")))
     )
 
 

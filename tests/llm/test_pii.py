@@ -156,3 +156,37 @@ def test_cards_with_numbers_beside_them(spark):
     assert got[0][0] == f"card {hidden} 12/27" and got[2][0] == f"row 12 {hidden} ok" and got[6][0].endswith(hidden)
     assert got[1][0] == hidden.replace(" ", "") + " 123" and got[3][0] == f"{hidden} {replaced(spark, [other])[0][0]} 7"
     assert card not in got[9][0]
+
+
+def test_further_telephone_and_date_forms(spark):
+    phones = [
+        "+44 7911 123456", "+49 30 1234567", "+49 170 1234567", "+33 1 23 45 67 89", "+442079460958", "+44 (0)20 7946 0958", "+7 (495) 123-45-67", "(555) 123 4567", "(555) 123-4567",
+        "555 123 4567", "555.123.4567", "1-800-555-1234", "1 (800) 555-1234", "1.800.555.1234", "+49 30 1234567 1990-05-03",
+    ]
+    dates = ["3/5/1990", "13/5/1990", "5/13/1990", "13-5-1990", "15-03-1990", "03-15-1990", "5-3-1990", "3.5.1990", "1990-3-5", "1990/3/15"]
+    got = replaced(spark, [f"x {v}, y" for v in phones + dates])
+    shapes = lambda t: re.sub("[0-9]", "0", t)
+    for i, v in enumerate(phones):
+        assert got[i][1] == 1 + (i == len(phones) - 1), v
+        assert shapes(got[i][0]) == shapes(f"x {v}, y") and v not in got[i][0]
+        kept = re.match(r"\+[2-9][0-9]|\+1|1(?=[ .-])|", v)[0]
+        assert got[i][0].startswith(f"x {kept}")
+    for i, v in enumerate(dates, len(phones)):
+        assert got[i][1] == 1 and v not in got[i][0], v
+        assert re.sub("[0-9]+", "0", got[i][0]) == re.sub("[0-9]+", "0", f"x {v}, y")
+
+
+@pytest.mark.parametrize(("form", "late"), [("%d-%m-%Y", False), ("%m-%d-%Y", True)])
+def test_dates_with_dashes_are_permuted_not_merged(spark, form, late):
+    days = [date.fromordinal(date(1900, 1, 1).toordinal() + i) for i in range(0, 73049, 97)]
+    texts = [d.strftime(form) for d in days if not late or d.day > 12]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.text for r in frame.select(pii.pseudonym("k", F.col("text")).alias("text")).collect()]
+    assert len(set(got)) == len(texts) and sum(a == b for a, b in zip(got, texts, strict=True)) < 3
+    assert all((int(g[3:5]) > 12) == late for g in got)
+
+
+def test_what_is_still_no_phone_or_date(spark):
+    texts = ["32-05-1990 31/2/1990 30-2-1990", "+44 1234 x +2 345", "12 345 678", "1.2.3 3.141 592", "555 1234"]
+    got = replaced(spark, texts)
+    assert [got[i] for i in range(len(texts))] == [(t, 0) for t in texts]
