@@ -40,6 +40,29 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "Copyright. All rights reserved.",
 }
+# Whole licences, compared with passages of texts (`licence_passages`).
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+FULL_TEXTS = {
+    "mit-full": TEMPLATES["mit-notice"]
+    + ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause-full": _BSD + _BSD_DISCLAIMER,
+    "bsd-3-clause-full": _BSD + _BSD_THIRD + _BSD_DISCLAIMER,
+}
 #: Dice coefficient in percent from which a unit matches.
 PERCENT = 80
 _WORD = "[a-z0-9]+(?:[.\\-][a-z0-9]+)*"
@@ -83,6 +106,13 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
 
 
+def _anchored(text: Column, known: list[tuple]) -> Column:
+    """A match holds a rare bigram, so it holds the longer word of one: most texts end here."""
+    anchors = sorted({max(g.split(" "), key=len) for _, _, _, _, rare in known for g in rare})
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lower.rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors)) + ")(?![a-z0-9])")
+
+
 def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and template that a unit of it matches.
 
@@ -94,10 +124,7 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
     """
     known = _prepared(templates or TEMPLATES, percent)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    anchors = sorted({w for _, _, _, _, rare in known for g in rare for w in (max(g.split(" "), key=len),)})
-    # A match holds a rare bigram, so it holds the longer word of one: most texts end here.
-    hit = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, anchors)) + ")(?![a-z0-9])")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter(hit)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter(_anchored(text, known))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) > 2)
     units = F.when(F.size(F.split("text", "\n")) > 1, F.concat(lines, F.array("text"))).otherwise(F.array("text"))
     least, most = min(k[2] for k in known), max(k[3] for k in known)
@@ -121,3 +148,45 @@ def licence_matches(docs: DataFrame, templates: dict[str, str] | None = None, *,
     best = F.max(F.struct((F.col("shared") / F.col("united")).alias("share"), (-F.col("united")).alias("size"), "shared"))
     per = met.groupBy("doc_id", "licence").agg(best.alias("best"), F.count("*").alias("units"))
     return per.select("doc_id", "licence", F.col("best.shared").cast("long").alias("shared"), (-F.col("best.size")).cast("long").alias("united"), "units")
+
+
+def licence_passages(docs: DataFrame, templates: dict[str, str] | None = None, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and template that a passage of it matches: ``doc_id, licence, shared, united``.
+
+    A passage is any run of neighbouring words that has as many bigrams as a match can have, across
+    lines, sentences and marks, so wrapped and embedded notices are found.  The best passage
+    counts as in `licence_matches`.  It starts and ends with bigrams of the template (others
+    only lower its coefficient), so only such runs are compared, where enough of them are near.
+    """
+    known = _prepared(templates or TEMPLATES | FULL_TEXTS, percent)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter(_anchored(text, known))
+    words = _words(F.col("text"))
+    rows = evaluate_once(rows, {"words": words}).select("doc_id", "words").filter(F.size("words") > 1)
+    rows = evaluate_once(rows, {"pairs": F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))})
+    every = sorted({g for _, _, _, _, rare in known for g in rare})
+    rows = evaluate_once(rows.select("doc_id", "pairs"), {"marks": F.array_intersect("pairs", F.array(*map(F.lit, every)))}).filter(F.size("marks") > 0)
+
+    def best(name: str, some: list[str], least: int, most: int) -> Column:
+        enough = math.ceil(percent * (len(some) + least) / 200)
+        hits = F.filter(F.transform("pairs", lambda g, i: F.when(g.isin(some), F.struct(i.alias("at"), g.alias("gram")))), lambda h: h.isNotNull())
+
+        def passage(hits: Column, i: Column, j: Column) -> Column:
+            first, last = F.get(hits, i)["at"], F.get(hits, j)["at"]
+            shared = F.size(F.array_distinct(F.transform(F.slice(hits, i + 1, j - i + 1), lambda h: h["gram"])))
+            united = F.size(F.array_distinct(F.slice("pairs", first + 1, last - first + 1))) + len(some)
+            return F.struct((shared / united).alias("share"), (-united).alias("size"), shared.alias("shared"))
+
+        def of_start(hits: Column, i: Column) -> Column:
+            near = F.filter(F.sequence(i + (enough - 1), F.least(i + (most - 1), F.size(hits) - 1)), lambda j: F.get(hits, j)["at"] - F.get(hits, i)["at"] < most)
+            fits = F.get(hits, i + (enough - 1))["at"] - F.get(hits, i)["at"] < most
+            return F.when(fits, F.array_max(F.transform(near, lambda j: passage(hits, i, j))))
+
+        of_hits = lambda h: F.when(F.size(h) >= enough, F.array_max(F.transform(F.sequence(F.lit(0), F.size(h) - enough), lambda i: of_start(h, i))))
+        return F.struct(F.lit(name).alias("licence"), F.get(F.transform(F.array(hits), of_hits), F.lit(0)).alias("best"))
+
+    found = F.array(*(F.when(F.arrays_overlap("marks", F.array(*map(F.lit, rare))), best(name, some, low, high)) for name, some, low, high, rare in known))
+    met = evaluate_once(rows, {"found": found}).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.licence", "m.best")
+    met = met.filter(F.col("best.shared") * 200 >= -F.col("best.size") * percent)
+    per = met.groupBy("doc_id", "licence").agg(F.max("best").alias("best"))
+    return per.select("doc_id", "licence", F.col("best.shared").cast("long").alias("shared"), (-F.col("best.size")).cast("long").alias("united"))

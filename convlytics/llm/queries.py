@@ -26,6 +26,11 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_matches(_table(spark, sf_dir, "documents"))
 
 
+def op2_licence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices and whole licences anywhere in a text, also wrapped or inside a longer line."""
+    return licences.licence_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its personal values replaced: ``doc_id, text, n_replaced``."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
@@ -62,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op2_licences, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op2_licences, op2_licence_passages, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
 
 
 def _licence_sql() -> str:

@@ -1,7 +1,7 @@
 from collections import Counter
 
 from convlytics.llm import licences
-from convlytics.llm.licences import TEMPLATES, bigrams, normal_words
+from convlytics.llm.licences import FULL_TEXTS, TEMPLATES, bigrams, normal_words, size_bounds
 
 
 def brute(rows, percent=80):
@@ -58,3 +58,40 @@ def test_every_template_meets_itself(spark):
 def test_no_python_on_the_executors(awkward):
     plan = licences.licence_matches(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_passages(rows, percent=80):
+    """Every run of words whose number of bigrams lies within the bounds."""
+    best = {}
+    for doc, text in rows:
+        words = normal_words(text or "")
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for name, template in (TEMPLATES | FULL_TEXTS).items():
+            some = set(bigrams(normal_words(template)))
+            least, most = size_bounds(len(some), percent)
+            for i in range(len(pairs)):
+                for j in range(i + least, min(i + most, len(pairs)) + 1):
+                    own = set(pairs[i:j])
+                    shared, united = len(own & some), len(own) + len(some)
+                    if 200 * shared >= percent * united:
+                        best[doc, name] = max(best.get((doc, name), (-1, 0, 0)), (shared / united, -united, shared))
+    return sorted(((d, n, s, -u) for (d, n), (_, u, s) in best.items()), key=str)
+
+
+def test_passages_equal_all_word_windows(spark, nothing):
+    gpl, mit = TEMPLATES["gpl-3.0-notice"].split(), FULL_TEXTS["mit-full"].split()
+    wrapped = "".join("// " + " ".join(gpl[i : i + 11]) + "\n" for i in range(0, len(gpl), 11))
+    texts = [
+        "The tool does things. Released under the MIT License. See the docs for more of it.", "#include <x>\n" + wrapped + "int main() { return 0; }\n",
+        "MIT License\n\nCopyright (c) 2020 X\n\n" + "".join(" ".join(mit[i : i + 12]) + "\n" for i in range(0, len(mit), 12)), "# Copyright 2020\n# " + TEMPLATES["apache-2.0-notice"].replace(" you may", "\n# you may"),
+        "Copyright 2020. All rights reserved", "all rights the under License of the Software and of the " * 8, " ".join(gpl[::2]), None, "", "x",
+        "a " + TEMPLATES["cc0-1.0"] + " b " + TEMPLATES["cc-by-4.0"] + " c", " ".join(w for i, w in enumerate(gpl) if i % 12) + " end",
+    ]
+    rows = [*enumerate(texts), (0, texts[0])]
+    got = licences.licence_passages(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_passages(rows)
+    names = {(r.doc_id, r.licence) for r in got.collect()}
+    assert {(0, "mit"), (1, "gpl-3.0-notice"), (2, "mit-full"), (3, "apache-2.0-notice")} <= names
+    assert licences.licence_passages(nothing).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
