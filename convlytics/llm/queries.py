@@ -22,6 +22,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")])
 
 
+def op1_lm_score_order5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores with n-grams of up to five words; the SQL of `op1_lm_score` has bigrams."""
+    scores = lm_score.backoff_scores(_table(spark, sf_dir, "documents"), order=5)
+    return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")])
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_matches(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op2_licences, op2_licence_passages, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op1_lm_score_order5, op2_licences, op2_licence_passages, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
 
 
 def _licence_sql() -> str:

@@ -58,3 +58,13 @@ def test_copies_are_likelier_than_noise(spark):
     rows = [(1, "the cat sat on the mat"), (2, "the cat sat on the mat"), (3, "zq xv kj pw"), (4, "mat the on sat cat the")]
     score = {r.doc_id: r.mean_log_score for r in lm_score.backoff_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert score[1] == score[2] > score[4] > score[3]
+
+
+def test_the_query_of_order_5_sees_word_order_beyond_pairs(spark, tmp_path):
+    from convlytics.llm.queries import QUERIES
+
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "x b c y"), (4, "y a b x c d")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in QUERIES["op1_lm_score_order5"](spark, str(tmp_path)).collect()}
+    assert got == {d: pytest.approx(s, abs=1e-4) for d, _, s in brute(rows, 5)}
+    assert got != {d: pytest.approx(s, abs=1e-4) for d, _, s in brute(rows, 2)}
