@@ -150,18 +150,20 @@ def _pack(columns: list[str], encode: Callable[..., Iterator[tuple[bytes, int]]]
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), added_tokens: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset``.
 
     ``vocabulary`` is the path of a tokenizer file that every node has.  All tokens of a
     document bear loss.  NULL and empty texts are the end id alone; a text longer than a
     sequence gives whole sequences and one rest; repeated rows and NULL ids are packed like
-    any other row; an empty table gives no piece.  Other columns are not read.
+    any other row; an empty table gives no piece.  Other columns are not read.  With
+    ``added_tokens`` the strings of the vocabulary's added tokens give their ids, as they do by
+    the tokenizer's default; otherwise they are ordinary text.
     """
     end = END_ID.to_bytes(4, "little")
 
     def encode(texts: list[str | None]) -> Iterator[tuple[bytes, int]]:
-        return ((ids + end, 0) for ids in chunk_ids(vocabulary).encode(texts))
+        return ((ids + end, 0) for ids in chunk_ids(vocabulary, added_tokens).encode(texts))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, _pack(["doc_id", "text"], encode, limits), SCHEMA)

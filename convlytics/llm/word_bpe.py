@@ -30,16 +30,17 @@ def _bytes_of_characters() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
 
 
-_loaded: dict[str, ChunkIds] = {}
+_loaded: dict[tuple[str, bool], ChunkIds] = {}
 
 
 class ChunkIds:
     """Chunks and their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Without added tokens, their strings in a text are ordinary text; with them, one id as by default.
+        self.tokenizer.encode_special_tokens = not added_tokens
         byte_of = _bytes_of_characters()
         ranks = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -99,8 +100,9 @@ class ChunkIds:
         return [b"".join(map(self.known.__getitem__, some)) for some in chunks]
 
 
-def chunk_ids(path: str) -> ChunkIds:
+def chunk_ids(path: str, added_tokens: bool = False) -> ChunkIds:
     """The vocabulary of this worker, loaded once."""
-    if path not in _loaded:
-        _loaded[path] = ChunkIds(path)
-    return _loaded[path]
+    key = path, added_tokens
+    if key not in _loaded:
+        _loaded[key] = ChunkIds(path, added_tokens)
+    return _loaded[key]

@@ -103,3 +103,17 @@ def test_forgetting_changes_nothing(documents, monkeypatch):
     monkeypatch.setattr("convlytics.llm.word_bpe.MOST_CHUNKS", 50)
     small = ChunkIds(PATH)
     assert [small.encode([t])[0] for t in texts] == want
+
+
+def test_the_query_takes_added_tokens_as_the_plain_call_does(spark, tmp_path):
+    from convlytics.llm.queries import QUERIES
+
+    plain = Tokenizer.from_file(PATH)
+    random.seed(6)
+    letters = [*"abÇ日 İΣ '.-/1\t\n\r\x85\xa0 <|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "hi", "don't"]
+    texts = ["hi <|endoftext|> you", *("".join(random.choices(letters, k=random.randint(0, 15))) for _ in range(1500))]
+    want = [array.array("I", plain.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert ChunkIds(PATH, added_tokens=True).encode(texts) == want
+    spark.createDataFrame(list(enumerate(texts[:20])), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.doc_tokens for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(ids) // 4 + 1 for i, ids in enumerate(want[:20])}
