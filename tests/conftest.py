@@ -36,7 +36,3 @@ def texts(spark):
         return spark.createDataFrame(list(enumerate(values)), f"id bigint, {column} string")
 
     return make
-
-
-def values(df, column, key="id"):
-    return [r[column] for r in df.orderBy(key).collect()]

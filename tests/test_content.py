@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from conftest import values
+from frame_values import values
 from pyspark.sql import functions as F
 
 from convlytics.operators import content

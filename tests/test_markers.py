@@ -1,6 +1,6 @@
 import random
 
-from conftest import values
+from frame_values import values
 from pyspark.sql import functions as F
 
 from convlytics.operators import health, lint, render, signals
