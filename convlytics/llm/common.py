@@ -6,18 +6,30 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlytics.plans.packaging import ship_package
-from convlytics.plans.storage import fresh_path
+from convlytics.plans.storage import fresh_path, shared_dir
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a frame to the shared folder and read it back: its lineage ends there.  Also the table's path."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that `written` made, once nothing reads it any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is no intermediate table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def marked_ids(ids: DataFrame, id_col: str, bits: int = 1 << 24) -> DataFrame:

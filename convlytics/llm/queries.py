@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlytics.llm import byte_bpe, exact_dedup, jaccard_join, kd_search, licences, lm_score, packing, pii, toxicity, warc
+from convlytics.llm import byte_bpe, centroids, corpus_sql, exact_dedup, jaccard_join, kd_search, licences, lm_score, merkle, mixing, packing, pii, toxicity, warc
+from convlytics.llm.ranks import met
 
 #: The key of the registered queries; a real run passes its own secret.
 PSEUDONYM_KEY = "convlytics-demo-key"
@@ -73,7 +74,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op1_lm_score_order5, op2_licences, op2_licence_passages, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; a fifth of the rows claims a text in lower case, which its proof must refuse."""
+    docs = _table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    checked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claimed = F.when(checked, merkle.leaf_of(*(lowered if c == "text" else F.col(c) for c in merkle.COLUMNS)))
+    proofs = merkle.manifest(docs, also={"claimed": claimed})
+    digests = proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.coalesce("claimed", "leaf"), F.col("proof")).alias("folded_root"))
+    return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, quotas = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
+    rows = taken.withColumn("source", F.col("sources")[0])
+    return met(rows, quotas, ["source"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, found = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    digests = centroids.per_cluster([centroids.digest(c) for c in found] or [""])
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digests.alias("centroid_sha256"))
+
+
+QUERIES = {fn.__name__: fn for fn in (op1_lm_score, op1_lm_score_order5, op2_licences, op2_licence_passages, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_warc, op7_toxicity, op8_kd_search, op9_packing, op10_byte_bpe, op11_merkle, op12_mixing, op13_centroids)}
 
 
 def _licence_sql() -> str:
@@ -174,4 +198,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
         FROM ranked
     """,
+    "op11_merkle": corpus_sql.manifest_sql(),
+    "op12_mixing": corpus_sql.mix_sql(),
+    "op13_centroids": corpus_sql.clusters_sql(),
 }

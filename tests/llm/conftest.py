@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Columns that operators use inside or return: they must not disturb an input that has them too.
-CLASHES = "n kept keep_id group_size score predicted tokens found body owner rows points best dim shard id family label own shared token sig probability prediction rawPrediction features fold toxic term text_sha256 n_replaced start length sequence_id component_id".split()
+CLASHES = "n kept keep_id group_size score predicted tokens found body owner rows points best dim shard id family label own shared token sig probability prediction rawPrediction features fold toxic term text_sha256 n_replaced start length sequence_id component_id leaf claimed position leaves partition way subroot root proof size key pattern words members taken cuts ends".split()
 
 LONG = " ".join(f"w{i % 977} filler{i % 13}" for i in range(60_000))
 ROWS = [

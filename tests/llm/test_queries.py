@@ -15,6 +15,9 @@ COLUMNS = {
     "op7_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op8_kd_search": {"query_id", "rank", "vec_id", "score"},
     "op9_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op11_merkle": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op13_centroids": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
     "op10_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
 }
 
