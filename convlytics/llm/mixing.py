@@ -235,7 +235,8 @@ def mix(
     lines = cut(flows.select("pattern", "place", upto.alias("upto"), "words").select("pattern", "place", F.expr("upto div words").alias("rounds"), (F.col("upto") % F.col("words")).alias("rest")), "lines")
     edges = _boundaries(rows.select("pattern", "key", "size"), lines.filter("rest > 0").select("pattern", "place", "rest"))
     named = lines.drop("rest").join(edges, ["pattern", "place"], "left").join(targets.select("place", "source"), "place")
-    cuts = named.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("place", "source", "rounds", "edge", "rest", "tied"))).alias("cuts"))
+    # Written, so that its size is known and documents of few patterns stay where they are.
+    cuts = cut(named.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("place", "source", "rounds", "edge", "rest", "tied"))).alias("cuts")), "cuts")
 
     lined = rows.join(cuts, "pattern", "left")
     size, at = F.col("size"), F.col("key")
