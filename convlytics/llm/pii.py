@@ -25,7 +25,8 @@ from convlytics.plans.once import evaluate_once
 
 ROUNDS = 10
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_MAIL = r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.)+[A-Za-z]{2,24}"
+#: A domain has at most 253 characters, so 126 labels before the last; the bound keeps the search off the stack.
+_MAIL = r"[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,126}[A-Za-z]{2,24}"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9A-Za-z])"
 _YEAR = "(?:19|20)[0-9]{2}"
 _PLACE = "[0-9]{1,2}"
@@ -157,31 +158,44 @@ def _cards_apart(run: Column) -> Column:
         def candidates(i: Column) -> Column:
             ends = F.sequence(i, F.least(i + 18, last))
             each = F.transform(ends, lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("d")))
-            return F.filter(each, lambda c: _is_card(c["d"]))
-
-        ranked = F.array_sort(
-            F.transform(
-                F.flatten(F.transform(F.sequence(F.lit(0), last), candidates)),
-                lambda c: F.struct((-F.length(c["d"])).alias("size"), (~c["d"].rlike("^[2-6]")).cast("int").alias("other"), c["i"].alias("i"), c["j"].alias("j")),
-            )
-        )
-        none = F.array().cast("array<struct<size:int,other:int,i:int,j:int>>")
-        taken = F.aggregate(ranked, none, lambda t, c: F.when(F.exists(t, lambda x: (x["i"] <= c["j"]) & (c["i"] <= x["j"])), t).otherwise(F.concat(t, F.array(c))))
+            valid = F.filter(each, lambda c: _is_card(c["d"]))
+            return F.transform(valid, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), F.length(c["d"]).alias("size"), (~c["d"].rlike("^[2-6]")).alias("other")))
+
+        def before(cards: Column, k: Column) -> Column:
+            """The last group of the card before the k-th."""
+            return F.coalesce(F.get(cards, k - 1)["j"], F.lit(-1))
+
+        def marked(cards: Column) -> Column:
+            """A byte per group up to the last card: 1 where a card lies."""
+            bits = F.transform(cards, lambda x, k: F.concat(F.repeat(F.lit("0"), x["i"] - before(cards, k) - 1), F.repeat(F.lit("1"), x["j"] - x["i"] + 1)))
+            return F.array_join(bits, "").cast("binary")
+
+        def beside(cards: Column, found: Column, kind: Column) -> Column:
+            """``cards`` and, from the left, the found ones of a length and kind that overlap none."""
+            free = lambda x, busy: F.hex(F.substring(busy, x["i"] + 1, x["j"] - x["i"] + 1)).contains("31") == F.lit(False)
+            mine = let(marked(cards), lambda busy: F.filter(found, lambda x: (x["size"] == kind["size"]) & (x["other"] == kind["other"]) & free(x, busy)))
+            start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<i:int,j:int,size:int,other:boolean>>").alias("t"))
+            more = F.aggregate(mine, start, lambda s, x: F.when(x["i"] > s["end"], F.struct(x["j"].alias("end"), F.concat(s["t"], F.array(x)).alias("t"))).otherwise(s), lambda s: s["t"])
+            return F.array_sort(F.concat(cards, more))
+
+        def chosen(found: Column) -> Column:
+            none = F.array().cast("array<struct<i:int,j:int,size:int,other:boolean>>")
+            kinds = F.array(*(F.struct(F.lit(n).alias("size"), F.lit(o).alias("other")) for n in range(19, 12, -1) for o in (False, True)))
+            return F.when(F.size(found) == 0, none).otherwise(F.aggregate(kinds, none, lambda t, kind: beside(t, found, kind)))
+
+        def plain(a: Column, b: Column) -> Column:
+            """The groups from a to b, each behind its separator."""
+            each = F.flatten(F.transform(F.sequence(a, b), lambda g: F.array(F.get(seps, g), F.get(groups, g))))
+            return F.when(a <= b, each).otherwise(F.array().cast("array<string>"))
 
         def pieces(cards: Column) -> Column:
             # A separator of its own stands between groups; inside a card they are joined again.
-            between = lambda a, b: F.array_join(F.flatten(F.transform(F.sequence(a, b), lambda g: F.array(F.when(g > a, F.get(seps, g)).otherwise(F.lit("")), F.get(groups, g)))), "")
-            inside = lambda g: F.exists(cards, lambda x: (x["i"] < g) & (g <= x["j"]))
-            parts = F.transform(
-                F.sequence(F.lit(0), last),
-                lambda g: let(
-                    F.get(F.filter(cards, lambda x: x["i"] == g), F.lit(0)),
-                    lambda x: F.when(x.isNotNull(), F.array(F.get(seps, g), between(g, x["j"]))).when(inside(g), F.array().cast("array<string>")).otherwise(F.array(F.get(seps, g), F.get(groups, g))),
-                ),
-            )
-            return F.concat(F.flatten(parts), F.array(F.get(seps, last + 1)))
-
-        return let(taken, lambda t: F.when(F.size(t) == 0, F.array(run)).otherwise(pieces(t)))
+            joined = lambda x: F.concat(F.get(groups, x["i"]), F.array_join(plain(x["i"] + 1, x["j"]), ""))
+            parts = F.transform(cards, lambda x, k: F.concat(plain(before(cards, k) + 1, x["i"] - 1), F.array(F.get(seps, x["i"]), joined(x))))
+            return F.concat(F.flatten(parts), plain(before(cards, F.size(cards)) + 1, last), F.array(F.get(seps, last + 1)))
+
+        found = F.flatten(F.transform(F.sequence(F.lit(0), last), candidates))
+        return let(let(found, chosen), lambda t: F.when(F.size(t) == 0, F.array(run)).otherwise(pieces(t)))
 
     both = F.struct(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)).alias("groups"), F.split(run, "[0-9]+", -1).alias("seps"))
     return F.when(F.length(_digits(run)) < 13, F.array(run)).otherwise(let(both, lambda x: cut(x["groups"], x["seps"])))
