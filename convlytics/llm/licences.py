@@ -65,7 +65,8 @@ FULL_TEXTS = {
 }
 #: Dice coefficient in percent from which a unit matches.
 PERCENT = 80
-_WORD = "[a-z0-9]+(?:[.\\-][a-z0-9]+)*"
+#: Possessive, so that a word of any length takes no stack.
+_WORD = "[a-z0-9]++(?:[.\\-][a-z0-9]++)*+"
 
 
 def normal_words(text: str) -> list[str]:
