@@ -30,6 +30,7 @@ from convlytics.plans.storage import fresh_path
 LEAST_BYTES = 100
 RECORDS_PER_ARCHIVE = 2_000
 _EPOCH = "2024-01-01 00:00:00"
+_YEAR_SECONDS = 366 * 86_400
 ENTRY = "url_key string, captured string, page_id long, archive string, place long, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean"
 _ENTRY_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 _ENTRY = pa.schema([(f.split()[0], _ENTRY_TYPES[f.split()[1]]) for f in ENTRY.split(", ")])
@@ -48,7 +49,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     first = groups.filter("n > 1").select("digest", "first")
     rows = rows.join(first, "digest", "left").withColumn("revisits", F.coalesce(F.col("page") > F.col("first"), F.col("first").isNotNull() & F.col("page").isNull()))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
-    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(_EPOCH)) + F.coalesce("page", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Pages carry no time of their own: the id gives a second of one year, whatever its size.
+    second = F.pmod(F.coalesce("page", F.lit(0)), F.lit(_YEAR_SECONDS))
+    date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(_EPOCH)) + second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     reference = F.concat(
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
