@@ -40,14 +40,21 @@ class Limits:
     pool: int = 512
 
 
+#: Whole documents: as many segments as a sequence has tokens.
+DOCUMENTS = Limits(segments=4096)
+
+
 class VectorPacker:
     """Packs (id, ids, loss_from): from token ``loss_from`` on, tokens bear loss."""
 
     def __init__(self, limits: Limits, first_id: int):
         self.limits, self.next_id = limits, first_id
         self.items: list[list] = []  # id, ids, start, end, loss_from, doc_tokens
-        self.tokens = np.zeros(limits.pool, np.float64)
-        self.loss = np.zeros(limits.pool, np.float64)
+        # Pieces wait until they are many and can fill two sequences: each has a token at least.
+        most = max(limits.pool, 2 * limits.tokens)
+        self.tokens = np.zeros(most, np.float64)
+        self.loss = np.zeros(most, np.float64)
+        self.waiting = 0
 
     def _take(self, item: list, tokens: int, loss: int) -> int:
         """How many of the item's next tokens fit."""
@@ -58,6 +65,7 @@ class VectorPacker:
     def _piece(self, item: list, length: int, sequence: int, offset: int) -> tuple:
         doc, ids, start, _, loss_from, total = item
         item[2] = start + length
+        self.waiting -= length
         return doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, self._bearing(start, start + length, loss_from), sequence, offset
 
     @staticmethod
@@ -68,12 +76,17 @@ class VectorPacker:
         _, _, start, end, loss_from, _ = self.items[i]
         self.tokens[i], self.loss[i] = end - start, self._bearing(start, end, loss_from)
 
+    def _ample(self) -> bool:
+        """Enough waits for full sequences: by tokens, or by what segments allow."""
+        return self.waiting >= 2 * self.limits.tokens or len(self.items) >= 2 * self.limits.segments
+
     def add(self, doc, ids: bytes, loss_from: int) -> Iterator[tuple]:
         total = len(ids) // 4
         item = [doc, ids, 0, total, loss_from, total]
         while total - item[2] > self.limits.tokens or self._bearing(item[2], total, loss_from) > self.limits.loss:
             length = self._take(item, self.limits.tokens, self.limits.loss)
             if length == self.limits.tokens:
+                self.waiting += length
                 yield self._piece(item, length, self.next_id, 0)
                 self.next_id += 1
             else:  # the loss limit ends this piece: it shares a sequence
@@ -83,9 +96,10 @@ class VectorPacker:
 
     def _wait(self, item: list) -> Iterator[tuple]:
         self.items.append(item)
+        self.waiting += item[3] - item[2]
         self._measure(len(self.items) - 1)
-        if len(self.items) == self.limits.pool:
-            while len(self.items) > self.limits.pool // 2:
+        if len(self.items) >= self.limits.pool:
+            while len(self.items) > self.limits.pool // 2 and self._ample():
                 yield from self._fill()
 
     def finish(self) -> Iterator[tuple]:
@@ -150,7 +164,7 @@ def _pack(columns: list[str], encode: Callable[..., Iterator[tuple[bytes, int]]]
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = DOCUMENTS, added_tokens: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset``.
 
     ``vocabulary`` is the path of a tokenizer file that every node has.  All tokens of a

@@ -37,7 +37,7 @@ def whole(frame, limits):
 
 
 def test_awkward_rows(awkward, tokenizer):
-    limits = Limits()
+    limits = packing.DOCUMENTS
     rows, _ = whole(packing.pack_documents(awkward, PATH), limits)
     want, got = [], {}
     for r in awkward.collect():
@@ -57,7 +57,7 @@ def test_awkward_rows(awkward, tokenizer):
 
 
 def test_little_padding(documents):
-    rows, by_sequence = whole(packing.pack_documents(documents.coalesce(1), PATH), Limits())
+    rows, by_sequence = whole(packing.pack_documents(documents.coalesce(1), PATH), packing.DOCUMENTS)
     assert {r["doc_id"] for r in rows} == {r.doc_id for r in documents.collect()}
     assert sum(4096 - sum(r["length"] for r in s) for s in by_sequence.values()) <= 4096 + 16 * len(by_sequence)
 
@@ -117,3 +117,17 @@ def test_the_query_takes_added_tokens_as_the_plain_call_does(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts[:20])), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.doc_tokens for r in QUERIES["op9_packing"](spark, str(tmp_path)).collect()}
     assert got == {i: len(ids) // 4 + 1 for i, ids in enumerate(want[:20])}
+
+
+@pytest.mark.parametrize(("least", "most"), [(2, 20), (1, 2), (1, 9000)])
+def test_short_and_mixed_pieces_fill_sequences(least, most):
+    dice = random.Random(least + most)
+    packer, rows, total = VectorPacker(packing.DOCUMENTS, 0), [], 0
+    for doc in range(20_000 if most < 100 else 400):
+        n = dice.randrange(least, most + 1)
+        total += n
+        rows.extend(packer.add(doc, array.array("I", range(n)).tobytes(), 0))
+        assert len(packer.items) <= 2 * 4096
+    rows.extend(packer.finish())
+    assert sum(r[2] for r in rows) == total
+    assert len({r[6] for r in rows}) <= total / 4096 / 0.99 + 1
