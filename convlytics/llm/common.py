@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,7 +59,16 @@ def _place(value: Column, bits: int) -> Column:
 def frugal(rows: Iterator) -> Iterator:
     """The same values; at the end the worker, which lives on, gives free memory back."""
     yield from rows
+    release_free()
+
+
+def release_free() -> None:
+    """Give freed memory back to the system, Arrow's and that of the C library."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:

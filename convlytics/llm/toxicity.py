@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convlytics.llm.common import cut, in_pieces, map_arrow
+from convlytics.llm.common import cut, in_pieces, map_arrow, release_free
 from convlytics.plans.packaging import ship_package
 
 #: Rows of the labelled sample and terms of the lexicon.
@@ -38,7 +38,8 @@ FOLDS, CALIBRATION_FOLD = (1, 2, 3, 4), 1
 LEAST_TEXTS, LEAST_Z, LEAST_LOG_ODDS = 3, 4.5, 2.0
 NEAR = 5
 _BEGINNINGS = (4, 5, 6)
-_MOST_CHUNKS = 150_000
+#: Chunks that a task remembers (some 250 bytes each) before it starts afresh.
+_MOST_CHUNKS = 65_536
 _PIECE_BYTES = 1 << 20
 
 # Common English insults and second-person words of four languages.
@@ -70,12 +71,12 @@ def clean_word(chunk: str) -> str:
 class _Chunks(dict):
     """Chunk to None if it says nothing, else (weight, insult, second person, obfuscated, stretched, word)."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], most: int = _MOST_CHUNKS):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.most = lexicon, most
 
     def __missing__(self, chunk: str):
-        if len(self) >= _MOST_CHUNKS:
+        if len(self) >= self.most:
             self.clear()
         word = clean_word(chunk)
         weight = max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0) if word else 0.0
@@ -150,7 +151,8 @@ def _lexicons(sample: DataFrame, most_terms: int) -> dict[int, dict[str, float]]
     """By fold the lexicon of all other folds; under 0 that of all folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_pieces(batches, "text", 4 * _PIECE_BYTES):
+        for batch in in_pieces(batches, "text", _PIECE_BYTES // 4):
+            # Terms are counted by Spark; a piece of text only merges what repeats in it.
             found: Counter[tuple[str, int, int]] = Counter()
             for fold, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "toxic", "text")), strict=True):
                 words = {clean_word(c) for c in set((text or "").lower().split())}
@@ -207,7 +209,8 @@ class ToxicityModel:
                 pieces = in_pieces(iter([pa.RecordBatch.from_arrays([some], names=["text"])]), "text", _PIECE_BYTES)
                 found = [features_of(t, chunks) for piece in pieces for t in piece.column("text").to_pylist()]
                 yield pa.array(found, pa.list_(pa.float64()))
-            pa.default_memory_pool().release_unused()
+            chunks.clear()
+            release_free()
 
         kept = [F.col(f"`{c}`") for c in docs.columns if c != score_col]
         rows = docs.select(*kept, array_to_vector(features(F.col(f"`{text_col}`"))).alias("__features"))
@@ -231,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     lexicons = _lexicons(sample, most_terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = {f: _Chunks(lexicons[f]) for f in FOLDS}
+        chunks = {f: _Chunks(lexicons[f], _MOST_CHUNKS // len(FOLDS)) for f in FOLDS}
         for batch in in_pieces(batches, "text", _PIECE_BYTES):
             rows = [features_of(t, chunks[f]) for f, t in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["fold", "toxic", "features"])

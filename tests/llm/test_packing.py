@@ -100,7 +100,7 @@ def test_ids_equal_the_tokenizer(tokenizer):
 def test_forgetting_changes_nothing(documents, monkeypatch):
     texts = [r.text for r in documents.limit(20).collect()]
     want = ChunkIds(PATH).encode(texts)
-    monkeypatch.setattr("convlytics.llm.word_bpe.MOST_CHUNKS", 50)
+    monkeypatch.setattr("convlytics.llm.word_bpe.MOST_BYTES", 10_000)
     small = ChunkIds(PATH)
     assert [small.encode([t])[0] for t in texts] == want
 
