@@ -151,10 +151,11 @@ def with_halo(
     return df.withColumn(block, F.explode(copies)).withColumn(own, F.col(block) == home)
 
 
-def lower_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def lower_median(df: DataFrame, keys: Sequence[str], value: str, out: str, times: str | None = None) -> DataFrame:
     """Exact element ``(n - 1) div 2`` of the sorted, non-negative values of each key.
 
-    Equal values are counted before the shuffle.  A logarithmic histogram locates the
+    Equal values are counted before the shuffle; ``times`` names the column that says how
+    often a row counts.  A logarithmic histogram locates the
     bucket that holds the median; only that bucket's values are ranked.
     """
     bucket = F.when(F.col(value) > 0, F.floor(F.log2(F.col(value)) * 4096)).otherwise(
@@ -162,7 +163,7 @@ def lower_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     )
     counted = (
         df.groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("__n"))
         .withColumn("__bucket", bucket.cast("bigint"))
     )
     histogram = counted.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__bn"))

@@ -1,165 +1,159 @@
-"""Repetition found continuously: each micro-batch runs the batch operators.
+"""Repetition found continuously, with keyed state per session that expires when it idles.
 
-What a later batch needs from the earlier ones is small and kept as tables: the event
-keys and result digests already seen, the edit calls, each session's last calls, and the
-failed edit a session is waiting to retry.  They join the new events as carried rows, so
-a very busy session is spread over tasks exactly as in the batch form.
+Input rows are tool events with ``event_time``.  A session's state holds what its later events
+are compared with: the event keys and result digests it has seen, its edit calls, its last
+calls and whether a failed edit waits for the next one.  A micro-batch reads and writes the
+state of its own sessions only, so its cost follows its own events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from convlytics.operators.repeats import (
-    PRIOR_CALLS,
-    drop_replays,
-    edit_fail_edit,
-    exact_repeats,
-    link_results,
-    near_repeats,
-    receipts_from,
-)
-from convlytics.plans.ordered import number_rows
-from convlytics.plans.storage import fresh_path
-from convlytics.streaming.sink import run_available
+import sys
+from collections import deque
+from collections.abc import Iterator
 
-_EVENT = (
-    "session_id string, seq bigint, session_turn bigint, event_key string, kind string, call_key string,"
-    " tool string, tokens array<string>, is_edit boolean, digest string, wire_cheap boolean, failed boolean"
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from convlytics.operators.repeats import PRIOR_CALLS, SIMILARITY
+from convlytics.operators.sessions import TTL_SECS
+
+COUNTS = [
+    "exact_repeated_tool_results", "expensive_exact_repeated_tool_results", "wire_cheap_exact_repeated_tool_results",
+    "near_repeated_tool_calls", "edit_fail_edit_cycles", "score",
+]
+OUTPUT = T.StructType(
+    [T.StructField("session_id", T.StringType()), T.StructField("session_turn", T.LongType())]
+    + [T.StructField(c, T.LongType()) for c in COUNTS]
 )
-
-
-class CarriedState:
-    """Tables that grow by appending a folder per batch, or are replaced by each batch.
-
-    ``keep_batches`` bounds what is remembered, as an idle timeout would: keys, digests
-    and edit calls of older batches are forgotten, and their folders are not read.
+_EVENT = ["seq", "session_turn", "event_key", "kind", "call_key", "tool", "tokens", "is_edit", "digest", "wire_cheap", "failed"]
+
+
+class _Seen:
+    """Members of a keyed set: state is asked once per value and batch."""
+
+    def __init__(self, state):
+        self._state, self._known = state, {}
+
+    def __contains__(self, value: str | None) -> bool:
+        if value not in self._known:
+            self._known[value] = self._state.containsKey(self._key(value))
+        return self._known[value]
+
+    def add(self, value: str | None) -> None:
+        if value not in self:
+            self._state.updateValue(self._key(value), (True,))
+            self._known[value] = True
+
+    @staticmethod
+    def _key(value: str | None) -> tuple[str]:
+        return ("-" if value is None else f"={value}",)
+
+
+class Repeats(StatefulProcessor):
+    def __init__(self, ttl_ms: int, prior: int, threshold: float):
+        self._ttl_ms, self._prior, self._threshold = ttl_ms, prior, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._head = handle.getValueState("head", "latest STRING, pending BOOLEAN, deadline BIGINT")
+        self._keys = handle.getMapState("keys", "value STRING", "seen BOOLEAN")
+        self._digests = handle.getMapState("digests", "value STRING", "seen BOOLEAN")
+        self._edits = handle.getMapState("edits", "value STRING", "seen BOOLEAN")
+        self._calls = handle.getListState("calls", "tool STRING, tokens ARRAY<STRING>")
+
+    def _similar(self, tool: str, tokens: frozenset, calls: deque) -> bool:
+        for other, before in calls:
+            if other == tool and before != tokens:
+                shared = len(before & tokens)
+                if shared >= self._threshold * (len(before) + len(tokens) - shared):
+                    return True
+        return False
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest, pending, deadline = self._head.get() or (None, False, 0)
+        keys, digests, edits = _Seen(self._keys), _Seen(self._digests), _Seen(self._edits)
+        calls = deque(((tool, frozenset(tokens)) for tool, tokens in self._calls.get()), self._prior)
+        events, until = [], deadline
+        for batch in rows:
+            at = [int(t.timestamp() * 1000) for t in batch["event_time"]]
+            events.extend(zip(*(batch[c] for c in _EVENT), at, strict=True))
+        events.sort(key=lambda e: e[0])
+        found: dict[int, list[int]] = {}
+        called = False
+        for _, turn, event, kind, call, tool, tokens, is_edit, digest, cheap, failed, at in events:
+            if until and at > until:  # idle for too long, though no timer has fired yet
+                self._forget()
+                latest, pending, called = None, False, True
+                keys, digests, edits = _Seen(self._keys), _Seen(self._digests), _Seen(self._edits)
+                calls.clear()
+            until = max(until, at + self._ttl_ms)
+            event, call, tool, digest = (None if pd.isna(x) else x for x in (event, call, tool, digest))
+            if event in keys:
+                continue
+            keys.add(event)
+            counts = found.setdefault(int(turn), [0] * len(COUNTS))
+            if kind == "call":
+                latest = call if call is not None else latest
+                if tokens is not None and tool is not None:
+                    tokens = frozenset(t for t in tokens if t is not None)
+                    counts[3] += bool(tokens) and self._similar(tool, tokens, calls)
+                calls.append((tool, frozenset() if tokens is None else tokens))
+                called = True
+                if is_edit is not None and not pd.isna(is_edit) and is_edit:
+                    counts[4] += pending
+                    pending = False
+                    edits.add(call)
+            elif kind == "result":
+                cheap = not pd.isna(cheap) and bool(cheap)
+                if digest in digests:
+                    counts[0] += 1
+                    counts[2 if cheap else 1] += 1
+                digests.add(digest)
+                link = call if call is not None else latest
+                if not pd.isna(failed) and failed and link is not None and link in edits:
+                    pending = True
+        if called:
+            self._calls.put([(tool, sorted(tokens)) for tool, tokens in calls])
+        if until != deadline:
+            self._handle.registerTimer(until)
+        self._head.update((latest, pending, until))
+        out = []
+        for turn, counts in found.items():
+            counts[5] = counts[0] + counts[3] + counts[4]
+            if counts[5]:
+                out.append((key[0], turn, *counts))
+        if out:
+            yield pd.DataFrame(out, columns=OUTPUT.fieldNames())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The session was idle for its time to live: nothing of it is kept."""
+        head = self._head.get()
+        if head and expiredTimerInfo.getExpiryTimeInMs() >= head[2]:
+            self._forget()
+        return iter([])
+
+    def _forget(self) -> None:
+        for state in (self._head, self._keys, self._digests, self._edits, self._calls):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def thrash_stream(
+    events: DataFrame, ttl: int = TTL_SECS, delay: str = "10 minutes", prior: int = PRIOR_CALLS, threshold: float = SIMILARITY
+) -> DataFrame:
+    """Receipts per (session, turn) of each micro-batch with any repetition; sums over batches are the turn's.
+
+    A session that gets no event for ``ttl`` seconds of event time is forgotten, as a live session
+    is; events behind the watermark are dropped.  Start it from ``stateful_session``.
     """
-
-    def __init__(self, spark: SparkSession, path: str, keep_batches: int | None = None):
-        self._spark, self._path, self._keep = spark, path, keep_batches
-
-    def appended(self, name: str, before: int, schema: str) -> DataFrame:
-        """Rows of the remembered batches before ``before``."""
-        if before == 0:
-            return self._spark.createDataFrame([], schema)
-        first = 0 if self._keep is None else max(before - self._keep, 0)
-        whole = self._spark.read.schema(f"{schema}, batch int").parquet(f"{self._path}/{name}")
-        return whole.where((F.col("batch") >= first) & (F.col("batch") < before)).drop("batch")
-
-    def replaced(self, name: str, before: int, schema: str) -> DataFrame:
-        """The version that the batch just before ``before`` left."""
-        if before == 0:
-            return self._spark.createDataFrame([], schema)
-        return self._spark.read.schema(schema).parquet(f"{self._path}/{name}/batch={before - 1}")
-
-    def write(self, name: str, number: int, rows: DataFrame) -> DataFrame:
-        """Store a batch's version and return it as read back."""
-        path = f"{self._path}/{name}/batch={number}"
-        rows.write.mode("overwrite").parquet(path)
-        return self._spark.read.schema(rows.schema).parquet(path)
-
-
-def _as_events(rows: DataFrame, **known) -> DataFrame:
-    """Fill a carried row up to the event columns."""
-    columns = []
-    for part in _EVENT.split(", "):
-        name, kind = part.strip().split(" ", 1)
-        if name in known:
-            columns.append(known[name].cast(kind).alias(name))
-        elif name in rows.columns:
-            columns.append(F.col(name).cast(kind).alias(name))
-        else:
-            columns.append(F.lit(None).cast(kind).alias(name))
-    return rows.select(*columns)
-
-
-def thrash_batch(state: CarriedState, batch: DataFrame, number: int) -> DataFrame:
-    """Receipts of one micro-batch, and the state for the next one."""
-    keys = state.appended("keys", number, "session_id string, event_key string")
-    fresh_events = drop_replays(batch).join(keys, ["session_id", "event_key"], "left_anti")
-    # Written once, so that the steps below do not repeat the input's work.
-    new = state.write("events", number, fresh_events.select(*batch.columns))
-    sessions = new.select("session_id").distinct()
-
-    tail = state.replaced("tail", number, _EVENT)
-    carried_calls = tail.join(sessions, "session_id", "left_semi").withColumn(
-        "session_turn", F.lit(None).cast("bigint")
-    )
-    linked = link_results(carried_calls.unionByName(new)).where("session_turn IS NOT NULL")
-
-    digests = state.appended("digests", number, "session_id string, digest string")
-    seen = digests.join(
-        new.where("kind = 'result'").select("session_id", "digest").distinct(),
-        ["session_id", "digest"],
-        "left_semi",
-    )
-    carried_results = _as_events(
-        seen, seq=F.lit(-1), session_turn=F.lit(-1), kind=F.lit("result"), wire_cheap=F.lit(False)
-    )
-    exact = exact_repeats(linked.unionByName(carried_results)).where("session_turn >= 0")
-
-    near = near_repeats(carried_calls.unionByName(new)).where("session_turn IS NOT NULL")
-
-    edits = state.appended("edits", number, "session_id string, seq bigint, call_key string")
-    pending = state.replaced("pending", number, "session_id string, seq bigint, call_key string")
-    waiting = pending.join(sessions, "session_id", "left_semi")
-    wanted = (
-        linked.where("kind = 'result' AND failed")
-        .select("session_id", "call_key")
-        .unionByName(waiting.select("session_id", "call_key"))
-        .distinct()
-    )
-    carried_edits = _as_events(
-        edits.join(wanted, ["session_id", "call_key"], "left_semi"),
-        kind=F.lit("call"), is_edit=F.lit(True), failed=F.lit(False),
-    )
-    carried_failures = _as_events(
-        waiting, kind=F.lit("result"), is_edit=F.lit(False), failed=F.lit(True)
-    )
-    story = linked.unionByName(carried_edits).unionByName(carried_failures)
-    cycles = edit_fail_edit(story).where("session_turn IS NOT NULL")
-
-    state.write("keys", number, new.select("session_id", "event_key"))
-    fresh_digests = new.where("kind = 'result'").select("session_id", "digest").distinct()
-    state.write("digests", number, fresh_digests.join(digests, ["session_id", "digest"], "left_anti"))
-    calls = new.where("kind = 'call'")
-    state.write("edits", number, calls.where("is_edit").select("session_id", "seq", "call_key"))
-    state.write("tail", number, last_calls(tail.unionByName(calls)))
-    state.write("pending", number, pending_failures(story, pending, sessions))
-    return receipts_from(exact, near, cycles)
-
-
-def last_calls(calls: DataFrame, kept: int = PRIOR_CALLS) -> DataFrame:
-    """The newest ``kept`` calls of each session."""
-    total = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("__total"))
-    placed = number_rows(calls, ["session_id"], "seq", "__position").join(total, "session_id")
-    return placed.where(F.col("__position") > F.col("__total") - kept).drop("__position", "__total")
-
-
-def pending_failures(story: DataFrame, pending: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per session: a failed edit result that no later edit call has answered yet."""
-    edits = story.where("kind = 'call' AND is_edit")
-    last_edit = edits.groupBy("session_id").agg(F.max("seq").alias("__edit"))
-    known = edits.select("session_id", "call_key", F.col("seq").alias("__since"))
-    failed = (
-        story.where("kind = 'result' AND failed")
-        .join(known, ["session_id", "call_key"])
-        .where(F.col("seq") > F.col("__since"))
-        .join(last_edit, "session_id")
-        .where(F.col("seq") > F.col("__edit"))
-        .groupBy("session_id")
-        .agg(F.max(F.struct("seq", "call_key")).alias("f"))
-        .select("session_id", "f.seq", "f.call_key")
-    )
-    return pending.join(sessions, "session_id", "left_anti").unionByName(failed)
-
-
-def thrash_stream(events: DataFrame, keep_batches: int | None = None) -> str:
-    """Process the available events and return the folder of receipts."""
-    spark = events.sparkSession
-    state = CarriedState(spark, fresh_path(spark, "thrash-state"), keep_batches)
-    return run_available(
-        events, "thrash", transform=lambda batch, number: thrash_batch(state, batch, number)
-    )
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in the assembler
+    timed = events.where("session_id IS NOT NULL").withWatermark("event_time", delay)
+    keyed = timed.select("session_id", "event_time", *_EVENT).groupBy("session_id")
+    return keyed.transformWithStateInPandas(Repeats(ttl * 1000, prior, threshold), OUTPUT, outputMode="Append", timeMode="EventTime")

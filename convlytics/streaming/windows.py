@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from convlytics.operators.health import format_counters
 from convlytics.operators.usage import session_price
+from convlytics.plans.ordered import lower_median
 
 COUNTERS = ["text_responses", "zero_sigil_responses", "table_runs", "malformed_table_runs"]
 
@@ -25,6 +26,42 @@ def cost_burn_stream(costs: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+def price_histogram_stream(costs: DataFrame, window: str = "1 hour", slide: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Per session and sliding hour, how often each price occurred: state that merges and has all medians."""
+    priced = costs.where("session_id IS NOT NULL AND observed_billing_usd IS NOT NULL")
+    return (
+        priced.withWatermark("event_time", delay)
+        .groupBy(F.window("event_time", window, slide).alias("w"), "session_id", session_price().alias("price"))
+        .agg(F.count(F.lit(1)).alias("turns"))
+        .select(F.col("w.start").alias("window_start"), "session_id", "price", "turns")
+    )
+
+
+def burn_of_windows(histogram: DataFrame) -> DataFrame:
+    """Per window what `cost_burn` says at its end, from the newest rows of the price histogram.
+
+    Sessions and their lower medians, sessions above three times the median total, the spend of one
+    more turn each and the projection.
+    """
+    by = ["window_start"]
+    exact = F.col("price").cast("decimal(20,12)") * F.col("turns").cast("decimal(10,0)")
+    totals = histogram.groupBy(*by, "session_id").agg(F.sum(exact).cast("double").alias("total"))
+    next_turn = lower_median(histogram, [*by, "session_id"], "price", "median", "turns").groupBy(*by).agg(F.sum("median").alias("next_turn"))
+    overall = lower_median(totals, by, "total", "overall")
+    above = (F.col("overall") > 0) & (F.col("total").cast("decimal(38,12)") > F.col("overall").cast("decimal(38,12)") * 3)
+    spent = totals.join(overall, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("active_cost_sessions"),
+        F.max("overall").alias("session_median_observed_billing_usd"),
+        F.count_if(above).alias("sessions_above_three_x_median"),
+        F.sum("total").alias("spent"),
+    )
+    return spent.join(next_turn, by).select(
+        *by, "active_cost_sessions", "session_median_observed_billing_usd", "sessions_above_three_x_median",
+        F.col("next_turn").alias("next_turn_estimated_billing_usd"),
+        (F.col("spent") + F.col("next_turn")).alias("projected_billing_after_next_turn_usd"),
+    )
+
+
 def health_stream(responses: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Format counters per window, provider and model.  ``responses`` has ``event_time``."""
     counted = format_counters(responses.withWatermark("event_time", delay))

@@ -1278,6 +1278,33 @@ oracle(
     "SELECT seq AS stream_id, content, rendered FROM rendered WHERE content <> ''",
 )
 oracle("thrash_stream", ORACLES["thrash_receipts"])
+oracle("stitch_stream", ORACLES["stitched_sessions"])
+oracle(
+    "cost_burn_medians_stream",
+    with_(
+        COSTS,
+        """active AS (SELECT session_id, GREATEST(observed_billing_usd, 0) AS price,
+              UNNEST(list_transform(range(0, 12), lambda i: recorded_at_secs // 300 * 300 - i * 300)) AS window_start
+            FROM costs WHERE observed_billing_usd IS NOT NULL)""",
+        "per AS (SELECT window_start, session_id, SUM(price) AS total, quantile_disc(price, 0.5) AS median FROM active GROUP BY ALL)",
+        "mid AS (SELECT window_start, quantile_disc(total, 0.5) AS m FROM per GROUP BY ALL)",
+    ),
+    """SELECT window_start, COUNT(*) AS active_cost_sessions, ROUND(MAX(m), 6) AS session_median_observed_billing_usd,
+      COUNT(*) FILTER (WHERE m > 0 AND ROUND(total, 9) > ROUND(m * 3.0, 9)) AS sessions_above_three_x_median,
+      ROUND(SUM(median), 6) AS next_turn_estimated_billing_usd, ROUND(SUM(total) + SUM(median), 6) AS projected_billing_after_next_turn_usd
+    FROM per JOIN mid USING (window_start) GROUP BY window_start""",
+)
+oracle(
+    "late_rows_stream",
+    """WITH base AS (SELECT event_id, CAST(FLOOR(epoch(ts)) AS BIGINT) AS secs FROM events), sent AS (
+      SELECT event_id, CASE WHEN event_id % 50 = 0 THEN secs - 40 * 86400 WHEN event_id % 70 = 0 THEN secs + 4000 * 86400 ELSE secs END AS secs,
+        (SELECT MAX(secs) FROM base) AS now,
+        LEAST(FLOOR((event_id - (SELECT MIN(event_id) FROM base)) / ((SELECT MAX(event_id) - MIN(event_id) FROM base) + 1e-9) * 3), 2) AS part
+      FROM base),
+    marks AS (SELECT p.part, MAX(s.secs) AS mark FROM (SELECT DISTINCT part FROM sent) p LEFT JOIN sent s ON s.part < p.part AND s.secs <= s.now GROUP BY p.part)
+    SELECT event_id, secs, CASE WHEN secs > now THEN 'future' WHEN secs < mark - 30 * 86400 THEN 'late' ELSE 'kept' END AS fate
+    FROM sent JOIN marks USING (part)""",
+)
 oracle(
     "replay_stream",
     """SELECT CAST(user_id AS VARCHAR) AS session_id, COUNT(*) AS events, CAST(SUM(event_id) AS BIGINT) AS event_sum

@@ -24,7 +24,7 @@ from convlytics.operators import (
 from convlytics.plans.storage import fresh_path, spread
 from convlytics.sources import ledgers
 from convlytics.sources import requests as rq
-from convlytics.streaming import assemble, windows
+from convlytics.streaming import admission, assemble, stitching, windows
 from convlytics.streaming import repeats as thrash
 from convlytics.streaming.sink import stateful_session, write_batches
 from registry import views
@@ -1056,10 +1056,11 @@ def stream_session(spark) -> SparkSession:
     return session
 
 
-def replayed(spark, frame: DataFrame, ranges: int, order: str, step: Callable[[DataFrame], None]) -> None:
+def replayed(spark, frame: DataFrame, ranges: int, order: str, step: Callable[[DataFrame], None]) -> str:
     """Let a table arrive in equal ranges of ``order``; ``step`` runs the stream over what is new.
 
-    A range arrives as the files that its own tasks write, and is read by as many tasks.
+    A range arrives as the files that its own tasks write, and is read by as many tasks.  Returns
+    the folder of the input, into which more may arrive.
     """
     path = fresh_path(spark, "stream-input")
     place = F.col(order).cast("double")
@@ -1067,6 +1068,7 @@ def replayed(spark, frame: DataFrame, ranges: int, order: str, step: Callable[[D
     part = F.least(F.floor((place - low) / (high - low + 1e-9) * ranges), F.lit(ranges - 1))
     for number in range(ranges):
         arrive(spark, frame.where(part == number), path, step)
+    return path
 
 
 def arrive(spark, rows: DataFrame, path: str, step: Callable[[DataFrame], None]) -> None:
@@ -1164,13 +1166,70 @@ def assembled_stream(spark, sf):
 
 @query
 def thrash_stream(spark, sf):
+    """Repetition per session from keyed state; the events of a session are minutes apart."""
     session = stream_session(spark)
-    state = thrash.CarriedState(session, fresh_path(session, "thrash-state"))
-    path, step = stored(session, "thrash", lambda events: events, transform=lambda batch, number: thrash.thrash_batch(state, batch, number))
-    replayed(session, digested_events(session, sf), 3, "seq", step)
+    events = digested_events(session, sf).withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("seq", F.lit(500))))
+    path, step = stored(session, "thrash", thrash.thrash_stream)
+    replayed(session, events, 3, "seq", step)
     out = spark.read.parquet(path).drop("batch")
-    counts = [c for c in out.columns if c not in ("session_id", "session_turn")]
-    return out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in counts])
+    return out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in thrash.COUNTS])
+
+
+@query
+def stitch_stream(spark, sf):
+    """The sessions of requests that arrive in no order."""
+    session = stream_session(spark)
+    first = views.fx_first_messages(session, sf)
+    requests = first.selectExpr(
+        "CAST(request_id AS STRING) AS request_id", "request_id AS seq", "first_message",
+        "timestamp_seconds(1700000000 + turn * 600) AS event_time", "xxhash64(request_id) AS arrival",
+    )
+    path, step = stored(session, "stitched", lambda stream: stitching.stitch_stream(stream, delay="1 day"))
+    source = replayed(session, requests, 3, "arrival", step)
+    end = session.range(2).selectExpr(
+        "'end' || id AS request_id", "-1L AS seq", "CAST(NULL AS STRING) AS first_message",
+        "timestamp_seconds(1800000000 + id * 1000000) AS event_time", "id AS arrival",
+    )
+    for number in (0, 1):
+        arrive(session, end.where(F.col("arrival") == number), source, step)
+    found = spark.read.parquet(path).drop("batch")
+    known = first.select(F.col("request_id").cast("string").alias("__id"), "request_id", "expected_session")
+    return known.join(found.withColumnRenamed("request_id", "__key"), F.col("__id") == F.col("__key")).select(
+        "request_id", "expected_session", "session_id", "opened"
+    )
+
+
+@query
+def cost_burn_medians_stream(spark, sf):
+    """Per sliding hour: session medians, sessions far above them and the spend of one more turn each."""
+    session = stream_session(spark)
+    costs = fx_costs(session, sf).select(
+        "seq", "session_id", "observed_billing_usd", F.timestamp_seconds("recorded_at_secs").alias("event_time")
+    )
+    path, step = stored(session, "prices", windows.price_histogram_stream, "update")
+    replayed(session, costs, 3, "seq", step)
+    newest = windows.latest_rows(spark.read.parquet(path), ["window_start", "session_id", "price"])
+    out = windows.burn_of_windows(newest).withColumn("window_start", F.unix_seconds("window_start"))
+    return rounded(
+        out, "session_median_observed_billing_usd", "next_turn_estimated_billing_usd", "projected_billing_after_next_turn_usd"
+    )
+
+
+@query
+def late_rows_stream(spark, sf):
+    """Events of which some come days late and some are dated in the future: the fate of each."""
+    session = stream_session(spark)
+    base = table(session, sf, "events").selectExpr(
+        "event_id", "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS secs"
+    )
+    now = base.agg(F.max("secs")).first()[0]
+    events = base.selectExpr(
+        "event_id", "CASE WHEN event_id % 50 = 0 THEN secs - 40 * 86400 WHEN event_id % 70 = 0 THEN secs + 4000 * 86400 ELSE secs END AS secs"
+    )
+    edge = admission.Admission(session, fresh_path(session, "admission"), F.col("secs"), delay_secs=30 * 86400, clock=lambda: now)
+    path, step = stored(session, "admitted", lambda stream: stream, transform=edge)
+    replayed(session, events, 3, "event_id", step)
+    return spark.read.parquet(path).select("event_id", "secs", "fate")
 
 
 @query

@@ -122,16 +122,33 @@ def test_edit_tools(spark):
     assert [r[0] for r in df.select(repeats.is_edit_tool(F.col("t"))).collect()] == [True, False, True]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Three micro-batches with carried state give the receipts of one batch."""
-    from convlytics.streaming.repeats import thrash_stream
+def streamed(spark, folder, rows, batches, at, **options):
+    """Receipts of the keyed stream over several micro-batches; ``at`` gives the second of a row."""
+    from convlytics.streaming.repeats import COUNTS, thrash_stream
+    from convlytics.streaming.sink import run_available, stateful_session
+
+    session = stateful_session(spark)
+    timed = [(*r, at(r)) for r in rows]
+    df = session.createDataFrame(timed, f"{SCHEMA}, secs bigint").withColumn("event_time", F.timestamp_seconds("secs"))
+    for part in range(batches):
+        df.where(f"seq div {-(-len(rows) // batches)} = {part}").coalesce(1).write.mode("append").parquet(folder)
+    stream = session.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = spark.read.parquet(run_available(thrash_stream(stream, **options), "thrash")).drop("batch")
+    return out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
 
+def test_stream_equals_batch(spark, tmp_path):
+    """Three micro-batches with keyed state give the receipts of one batch."""
     rows = random_events(12, 4, 240)
-    df = spark.createDataFrame(rows, SCHEMA)
-    for part in range(3):
-        df.where(f"seq div 80 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = spark.read.parquet(thrash_stream(stream)).drop("batch")
-    counts = [c for c in out.columns if c not in ("session_id", "session_turn")]
-    summed = out.groupBy("session_id", "session_turn").agg(*[F.sum(c).alias(c) for c in counts])
-    assert found(summed) == want(rows)
+    assert found(streamed(spark, str(tmp_path / "in"), rows, 3, lambda r: 1_700_000_000 + r[1])) == want(rows)
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """Each batch comes hours after the one before: it is compared with nothing older."""
+    rows = random_events(21, 2, 160)
+    parts = [[r for r in rows if r[1] // 40 == part] for part in range(4)]
+    got = streamed(spark, str(tmp_path / "in"), rows, 4, lambda r: 1_700_000_000 + r[1] // 40 * 20_000 + r[1], ttl=3600)
+    apart = {}
+    for part in parts:
+        apart.update(want(part))  # turns of ten events lie inside one batch
+    assert found(got) == apart != want(rows)
