@@ -49,7 +49,7 @@ def _file_ranges(spark: SparkSession, path: str) -> DataFrame:
     has one narrow row per file; a file takes its size and 2^33 places, so a billion fit.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    batch = F.regexp_extract("path", rf"/{_BATCH}(\d{{20}})/", 1)
+    batch = F.regexp_extract("path", rf"/{_BATCH}(\d{{20}})(?:-[0-9a-f]+-\d+)?/", 1)
     when = F.when(batch != "", batch.cast("bigint")).otherwise(F.unix_micros("modificationTime"))
     order = Window.orderBy(when, F.regexp_replace("path", r"\.1$", ""), F.when(F.col("path").endswith(".1"), 0).otherwise(1))
     before = F.sum(F.col("length") + F.lit(_ROW_IN_PARTITION + 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -152,6 +152,24 @@ def append_folder(path: str) -> str:
     return f"{path.rstrip('/')}/{_BATCH}{time.time_ns() // 1000:020d}"
 
 
+def ledger_checkpoint(spark: SparkSession, path: str) -> str:
+    """Where a stream into the ledger at ``path`` keeps its progress."""
+    return f"{shared_dir(spark)}/ledger-{_stream_name(path)}"
+
+
+def _stream_name(path: str) -> str:
+    return hashlib.sha256(path.encode()).hexdigest()[:16]
+
+
+def _batch_folder(spark: SparkSession, path: str, number: int) -> str:
+    """The folder of a stream's batch: the one it had before, or one that starts now."""
+    name = f"{_stream_name(path)}-{number}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{_BATCH}*-{name}")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return found[0].getPath().toString() if found else f"{append_folder(path)}-{name}"
+
+
 def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery | None:
     """Append rows to a ledger; a streaming frame appends through a checkpointed sink.
 
@@ -162,19 +180,34 @@ def append_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery
     if not df.isStreaming:
         df.write.format(fmt).save(append_folder(path))
         return None
-    name = hashlib.sha256(path.encode()).hexdigest()[:16]
-    checkpoint = f"{shared_dir(df.sparkSession)}/ledger-{name}"
     return (
         df.writeStream.format(fmt)
         .outputMode("append")
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", ledger_checkpoint(df.sparkSession, path))
         .option("path", path)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def stream_ledger(df: DataFrame, path: str, fmt: str = "json") -> StreamingQuery:
+    """Append a stream's micro-batches to a ledger that other writers append to as well.
+
+    A batch is a folder like any other append and is found by the batch's number: one that runs
+    again, after a crash or from an older checkpoint, overwrites itself and keeps its place in
+    the order.  The checkpoint belongs to the ledger.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.format(fmt).mode("overwrite").save(_batch_folder(batch.sparkSession, path, number))
+
+    return df.writeStream.foreachBatch(store).option("checkpointLocation", ledger_checkpoint(df.sparkSession, path)).trigger(availableNow=True).start()
+
+
 def read_response_chunks(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Stream response chunks from JSON files; the assembler splits them into records."""
+    """Stream response chunks from JSON files; the assembler splits them into records.
+
+    ``data`` holds raw bytes (Base64 in the files), since a chunk may end inside a character.
+    """
     reader = spark.readStream.schema(schemas.CHUNK).option("maxFilesPerTrigger", files_per_trigger)
     return reader.option("recursiveFileLookup", True).json(path)

@@ -129,6 +129,6 @@ CHUNK = struct(
     chunk_seq=BIGINT,
     event_time=T.TimestampType(),
     provider=STRING,
-    data=STRING,
+    data=T.BinaryType(),
     closed=BOOLEAN,
 )

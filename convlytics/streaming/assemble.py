@@ -1,8 +1,8 @@
 """Assemble response streams: deltas in, settled text and one record per response out.
 
 Input rows: ``stream_id, chunk_seq, event_time, provider, data, closed``; ``data`` is a
-piece of the server-sent event text and may cut a record anywhere.  Chunks may arrive
-out of order.  ``closed`` marks a clean end.
+piece of the server-sent event text, as bytes or a string, and may cut a record anywhere, also
+inside a character.  Chunks may arrive out of order.  ``closed`` marks a clean end.
 
 The keyed state only decides which text is settled.  Rendering it is left to the same
 column expressions that the batch form uses.
@@ -25,7 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from convlytics.operators.render import render_segment
 from convlytics.operators.usage import USAGE_FIELDS
 
-_RECORD_END = re.compile(r"\r\n\r\n|\n\n")
+_RECORD_END = re.compile(rb"\r\n\r\n|\n\n")
 _FIELD = re.compile(r"data:|event:|id:|retry:|:")
 _TERMINAL = re.compile(r"[.?x](\s|$)")
 
@@ -122,16 +122,17 @@ class Assembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         # next chunk, unparsed text, done, deadline, pieces, usage counts
-        head = "next BIGINT, buffer STRING, done BOOLEAN, deadline BIGINT, pieces BIGINT, usage ARRAY<BIGINT>"
+        head = "next BIGINT, buffer BINARY, done BOOLEAN, deadline BIGINT, pieces BIGINT, usage ARRAY<BIGINT>"
         self._head = handle.getValueState("head", head)
-        chunk = "data STRING, closed BOOLEAN"
+        chunk = "data BINARY, closed BOOLEAN"
         self._waiting = handle.getMapState("waiting", "chunk_seq BIGINT", chunk)
         block = "original STRING, rest STRING, fenced BOOLEAN"
         self._blocks = handle.getMapState("blocks", "block BIGINT", block)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        head = self._head.get() or (0, "", False, 0, 0, None)
+        head = self._head.get() or (0, b"", False, 0, 0, None)
         following, buffer, done, deadline, pieces, usage = head
+        buffer = bytes(buffer)
         usage = list(usage) if usage else [None] * len(USAGE_FIELDS)
         out: list[tuple] = []
         provider, latest = "openai", deadline
@@ -190,9 +191,9 @@ class Assembler(StatefulProcessor):
                 data, closed = self._waiting.getValue((following,))
                 self._waiting.removeKey((following,))
             following += 1
-            buffer += data or ""
+            buffer += bytes(data or b"")
             while (end := _RECORD_END.search(buffer)) is not None:
-                value, buffer = record_data(buffer[: end.start()]), buffer[end.end() :]
+                value, buffer = record_data(buffer[: end.start()].decode(errors="replace")), buffer[end.end() :]
                 if value is None or value == "[DONE]":
                     continue
                 try:
@@ -205,7 +206,7 @@ class Assembler(StatefulProcessor):
                 flush()
                 whole = "\n".join(opened[index][0] for index in sorted(opened))
                 out.append((key[0], "record", None, pieces, whole, None, None, *usage))
-                done, buffer = True, ""
+                done, buffer = True, b""
         if done:
             self._blocks.clear()
             self._waiting.clear()
@@ -243,7 +244,7 @@ def assemble_stream(chunks: DataFrame, delay: str = "10 minutes", timeout_secs:
     # The worker that prepares the state store does not see files added to the session,
     # so the processor travels by value.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    keyed = chunks.withWatermark("event_time", delay).groupBy("stream_id")
+    keyed = chunks.withColumn("data", F.col("data").cast("binary")).withWatermark("event_time", delay).groupBy("stream_id")
     return keyed.transformWithStateInPandas(
         Assembler(timeout_secs * 1000), OUTPUT, outputMode="Append", timeMode="EventTime"
     )

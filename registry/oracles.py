@@ -1310,3 +1310,5 @@ oracle(
     """SELECT CAST(user_id AS VARCHAR) AS session_id, COUNT(*) AS events, CAST(SUM(event_id) AS BIGINT) AS event_sum
     FROM events GROUP BY user_id""",
 )
+oracle("retain_stream", ORACLES["retain_served"])
+oracle("ledger_stream", ORACLES["cost_ledger"])

@@ -24,7 +24,7 @@ from convlytics.operators import (
 from convlytics.plans.storage import fresh_path, spread
 from convlytics.sources import ledgers
 from convlytics.sources import requests as rq
-from convlytics.streaming import admission, assemble, stitching, windows
+from convlytics.streaming import admission, assemble, retention, stitching, windows
 from convlytics.streaming import repeats as thrash
 from convlytics.streaming.sink import stateful_session, write_batches
 from registry import views
@@ -1131,29 +1131,37 @@ def session_stream(spark, sf):
 
 
 def response_chunks(spark, sf) -> DataFrame:
-    """The assistant texts as server-sent event text, cut into chunks."""
+    """The assistant texts as server-sent event text; every event is cut in two inside its bytes."""
     deltas = views.fx_chunks(spark, sf)
     event = F.concat(
         F.lit("data: "),
         F.to_json(F.struct(F.array(F.struct(F.struct(F.col("delta").alias("content")).alias("delta"))).alias("choices"))),
         F.lit("\n\n"),
     )
-    return deltas.select(
+    cut = F.octet_length("wire").cast("int") - 12 + F.pmod(F.col("chunk_seq").cast("int"), F.lit(9))
+    part = lambda start, size: F.substring(F.col("wire").cast("binary"), start, size)
+    halves = F.array(
+        F.struct((F.col("chunk_seq") * 2).alias("chunk_seq"), part(F.lit(1), cut).alias("data"), F.lit(False).alias("closed")),
+        F.struct((F.col("chunk_seq") * 2 + 1).alias("chunk_seq"), part(cut + 1, F.lit(1 << 20)).alias("data"), F.col("closed").alias("closed")),
+    )
+    return deltas.withColumn("wire", event).select(
         "stream_id",
-        "chunk_seq",
         F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("stream_id") / 1000)).alias("event_time"),
         F.lit("openai").alias("provider"),
-        event.alias("data"),
-        "closed",
+        F.inline(halves),
     )
 
 
 @query
 def assembled_stream(spark, sf):
-    """Reassembled texts of the response streams, and how many pieces settled."""
+    """Reassembled texts of the response streams, read from chunk files, and how many pieces settled."""
     session = stream_session(spark)
     path, step = stored(session, "assembled", assemble.assemble_stream)
-    replayed(session, response_chunks(session, sf), 2, "stream_id", step)
+    files = fresh_path(session, "chunks")
+    # Second halves arrive first: records are split across files, and streams across batches.
+    for half in (1, 0):
+        ledgers.append_ledger(response_chunks(session, sf).where(F.col("chunk_seq") % 2 == half), files)
+        step(ledgers.read_response_chunks(session, files))
     rows = spark.read.parquet(path)
     pieces = assemble.render_pieces(rows)
     rendered = pieces.groupBy("stream_id").agg(
@@ -1232,6 +1240,43 @@ def late_rows_stream(spark, sf):
     return spark.read.parquet(path).select("event_id", "secs", "fate")
 
 
+@query
+def retain_stream(spark, sf):
+    """The served log kept up to date as entries arrive, at the clock of the batch form."""
+    session = stream_session(spark)
+    served = served_log(session, sf).withColumn("arrival", F.xxhash64("digest"))
+    log = retention.RetainedLog(session, fresh_path(session, "retained"), clock=lambda: 1_000_000 + store.RETENTION_SECS - 500_000)
+    checkpoint = fresh_path(session, "retained-checkpoint")
+    replayed(session, served, 3, "arrival", lambda stream: retention.retain_stream(stream, log, checkpoint).awaitTermination())
+    return log.entries().groupBy(F.col("served_at_secs").isNull().alias("unreadable")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query
+def ledger_stream(spark, sf):
+    """Costs streamed into a ledger; the commit of a batch is lost, so it runs twice."""
+    session = stream_session(spark)
+    path = fresh_path(session, "streamed-ledger")
+    rows = cost_rows(session, sf).withColumn("arrival", F.xxhash64("session_id", "recorded_at_secs", "usage"))
+    done = []
+
+    def step(stream):
+        if len(done) == 2:
+            lose_commit(session, ledgers.ledger_checkpoint(session, path), 1)
+        ledgers.stream_ledger(stream.drop("arrival"), path).awaitTermination()
+        done.append(path)
+
+    replayed(session, rows, 3, "arrival", step)
+    return cost_totals(ledgers.read_costs(spark, path))
+
+
+def lose_commit(spark, checkpoint: str, number: int) -> None:
+    """What a crash leaves between a batch's write and its commit."""
+    jvm = spark.sparkContext._jvm
+    for name in (str(number), f".{number}.crc"):
+        place = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{name}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False)
+
+
 @query
 def replay_stream(spark, sf):
     """Each event sent twice close together: the copies are dropped."""
@@ -1249,21 +1294,27 @@ def replay_stream(spark, sf):
 
 # ------------------------------------------------------------------------------ ledgers
 
-@query
-def cost_ledger(spark, sf):
-    """Append the costs as JSON lines, read them back and total them."""
-    path = fresh_path(spark, "cost-ledger")
-    rows = fx_costs(spark, sf).selectExpr(
+def cost_rows(spark, sf) -> DataFrame:
+    return fx_costs(spark, sf).selectExpr(
         "2 AS schema_version",
         "CASE provider WHEN 'openai' THEN 'open_ai' ELSE provider END AS provider",
         "CASE WHEN seq % 10 = 0 THEN NULL ELSE model END AS model",
         "recorded_at_secs", "session_id", "session_turn", "usage", "observed_billing_usd", "estimated_savings_usd",
     )
-    ledgers.append_ledger(rows, path)
-    back = ledgers.read_costs(spark, path)
-    out = back.groupBy("provider", "model").agg(
+
+
+def cost_totals(costs: DataFrame) -> DataFrame:
+    out = costs.groupBy("provider", "model").agg(
         F.count(F.lit(1)).alias("records"), F.sum("observed_billing_usd").alias("usd"),
         F.sum("usage.input_tokens").alias("input_tokens"),
     )
     return rounded(out, "usd")
 
+
+@query
+def cost_ledger(spark, sf):
+    """Append the costs as JSON lines, read them back and total them."""
+    path = fresh_path(spark, "cost-ledger")
+    ledgers.append_ledger(cost_rows(spark, sf), path)
+    return cost_totals(ledgers.read_costs(spark, path))
+

@@ -70,6 +70,45 @@ def test_burn_of_windows_equals_cost_burn(spark, tmp_path):
         assert {k: round(v, 9) for k, v in want.items()} == {k: round(got[k], 9) for k in want}
 
 
+def test_a_streamed_ledger_repeats_no_row(spark, tmp_path):
+    """A batch whose commit was lost runs again into its own folder, in its old place."""
+    from convlytics.sources import ledgers
+    from registry.queries import lose_commit
+
+    row = lambda n: (n, "open_ai", "m", (n, n))
+    schema = "schema_version int, provider string, model string, usage struct<input_tokens: bigint, output_tokens: bigint>"
+    frames = [spark.createDataFrame([row(i * 10 + j) for j in range(10)], schema) for i in range(3)]
+    folder, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
+    ledgers.stream_ledger(arriving(spark, folder, frames[:2]), ledger).awaitTermination()
+    before = sorted(p.name for p in (tmp_path / "ledger").iterdir())
+    ledgers.append_ledger(spark.createDataFrame([row(99)], schema), ledger)  # another writer
+    lose_commit(spark, ledgers.ledger_checkpoint(spark, ledger), 1)
+    ledgers.stream_ledger(arriving(spark, folder, frames[2:]), ledger).awaitTermination()
+    assert len(before) == 2 and set(before) < {p.name for p in (tmp_path / "ledger").iterdir()}
+    rows = ledgers.read_costs(spark, ledger).orderBy("seq").collect()
+    assert [r.schema_version // 10 for r in rows] == [0] * 10 + [1] * 10 + [9] + [2] * 10
+    assert sorted(r.schema_version for r in rows) == [*range(30), 99]
+
+
+def test_the_served_log_forgets(spark, tmp_path):
+    from convlytics.streaming.retention import RetainedLog, retain_stream
+
+    day, now = 86_400, [40 * 86_400]
+    log = RetainedLog(spark, str(tmp_path / "log"), max_age=10 * day, clock=lambda: now[0])
+    rows = [[("a", 31 * day), ("b", 40 * day), ("c", None), ("d", 41 * day), ("e", 20 * day)], [("f", 36 * day + 5), ("g", 30 * day)]]
+    frames = [spark.createDataFrame(r, "digest string, served_at_secs bigint") for r in rows]
+    for part in frames:
+        retain_stream(arriving(spark, str(tmp_path / "in"), [part]), log, str(tmp_path / "progress")).awaitTermination()
+    kept = lambda: {r.digest for r in log.entries().collect()}
+    assert kept() == {"a", "b", "c", "f", "g"}
+    log.store(frames[1], 1)  # a repeated batch overwrites itself
+    assert log.entries().count() == 5
+    now[0] = 46 * day + 5
+    assert kept() == {"b", "c", "f"} and log.expire() == 2
+    now[0] = 90 * day
+    assert log.expire() == 2 and kept() == {"c"}
+
+
 def test_a_restarted_sink_repeats_no_row(spark, tmp_path):
     """A batch whose commit was lost runs again and overwrites itself."""
     import shutil

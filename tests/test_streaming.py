@@ -72,6 +72,26 @@ def test_stream_equals_batch_at_every_split(spark, tmp_path):
     assert {i: "".join(pieces.get(i, [])) for i in texts} == rendered
 
 
+def test_chunks_cut_inside_characters(spark, tmp_path):
+    """Raw files of single bytes and of cuts inside records give the whole text."""
+    from convlytics.sources import ledgers
+
+    texts = {1: "é日🙂 ünd\n. döne 🙂", 2: "§ plain\n"}
+    rows = []
+    for i, text in texts.items():
+        wire = (delta(text[:3]) + delta(text[3:])).encode().replace(b"\n\n", b"\r\n\r\n" if i == 2 else b"\n\n")
+        size = 1 if i == 1 else 7
+        chunks = [bytearray(wire[a : a + size]) for a in range(0, len(wire), size)]
+        rows += [(i, n, "openai", c, n == len(chunks) - 1) for n, c in enumerate(chunks)]
+    session = stateful_session(spark)
+    frame = session.createDataFrame(rows, SCHEMA.replace("data string", "data binary")).withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000)))
+    for part in (1, 0):
+        ledgers.append_ledger(frame.where(f"chunk_seq % 2 = {part}"), str(tmp_path / "chunks"))
+    stream = ledgers.read_response_chunks(session, str(tmp_path / "chunks"), files_per_trigger=2)
+    out = spark.read.parquet(run_available(assemble.assemble_stream(stream), "assembled"))
+    assert {r.stream_id: r.text for r in out.where("kind = 'record'").collect()} == texts
+
+
 def test_settling_holds_what_may_change():
     assert assemble.settle("|a|b\n|1", False, False) == ([], "|a|b\n|1", False)
     assert assemble.settle(". done\n\n", False, False) == ([], ". done\n\n", False)
