@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import SPAN, Nearest, carry, number_rows, running_sum, with_halo
 
 PRIOR_CALLS = 128
@@ -78,30 +79,50 @@ def similarity(left: Column, right: Column) -> Column:
     return F.coalesce(shared / F.nullif(union, F.lit(0)), F.lit(0.0))
 
 
+def _signature(tokens: Column) -> Column:
+    """A bit per token hash: a bit that the other set lacks is a token that it lacks."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda t: F.call_function("shiftleft", one, F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda s, t: s.bitwiseOR(bit(t)))
+
+
 def near_repeats(
-    events: DataFrame, prior: int = PRIOR_CALLS, threshold: float = SIMILARITY, block_rows: int = 1 << 14
+    events: DataFrame, prior: int = PRIOR_CALLS, threshold: float = SIMILARITY, block_rows: int = 1 << 10
 ) -> DataFrame:
     """Calls with a similar but different earlier call of the same tool.
 
     Only the ``prior`` calls before a call count.  Calls are numbered inside their
     session, cut into blocks, and each block is given the last ``prior`` rows of the one
-    before it: no group grows with its session.
+    before it: no group grows with its session.  A block is one array, of which a call looks
+    at a slice; sizes and 64-bit signatures of the token sets bound what two calls can share,
+    and only pairs that pass both bounds are intersected.
     """
     calls = events.where("kind = 'call'").select(
         "session_id", "seq", "session_turn", "tool", F.array_sort(F.array_distinct("tokens")).alias("tokens")
     )
-    placed = number_rows(calls, ["session_id"], "seq", "position")
+    signed = evaluate_once(calls, {"tokens": F.col("tokens"), "n": F.size("tokens"), "bits": _signature(F.col("tokens"))})
+    placed = number_rows(signed, ["session_id"], "seq", "position")
     blocks = with_halo(placed, "position", prior, "block", "own", block_rows)
-    before = Window.partitionBy("session_id", "block").orderBy("position").rowsBetween(-prior, -1)
-    # Distinct signatures are enough: a repeat needs one similar call.
-    seen = blocks.withColumn("__prior", F.collect_set(F.struct("tool", "tokens")).over(before))
-    similar = F.exists(
-        "__prior",
-        lambda p: (p["tool"] == F.col("tool"))
-        & (p["tokens"] != F.col("tokens"))
-        & (similarity(p["tokens"], F.col("tokens")) >= threshold),
-    )
-    return seen.where(F.col("own") & similar).select("session_id", "seq", "session_turn", "tool")
+    row = F.struct("position", "own", "seq", "session_turn", "tool", "n", "bits", "tokens")
+    whole = blocks.groupBy("session_id", "block").agg(F.array_sort(F.collect_list(row)).alias("calls"))
+
+    def lacking(a: Column, b: Column) -> Column:
+        return F.bit_count(a["bits"].bitwiseAND(F.bitwise_not(b["bits"])))
+
+    def similar(p: Column, c: Column) -> Column:
+        least = (p["n"] + c["n"]) * (threshold / (1 + threshold)) - 1e-9  # tokens that both must have
+        return (
+            (p["tool"] == c["tool"]) & (p["n"] >= least) & (c["n"] >= least)
+            & (c["n"] - lacking(c, p) >= least) & (p["n"] - lacking(p, c) >= least)
+            & (p["tokens"] != c["tokens"]) & (similarity(p["tokens"], c["tokens"]) >= threshold)
+        )
+
+    def repeats(c: Column, i: Column) -> Column:
+        before = F.slice(F.col("calls"), F.greatest(i - prior, F.lit(0)) + 1, F.least(i, F.lit(prior)))
+        return c["own"] & F.exists(before, lambda p: similar(p, c))
+
+    hits = whole.select("session_id", F.explode(F.filter("calls", repeats)).alias("c"))
+    return hits.select("session_id", "c.seq", "c.session_turn", "c.tool")
 
 
 def edit_fail_edit(events: DataFrame) -> DataFrame:
