@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlytics.functions import text as tx
+from convlytics.plans.membership import one_of_each, without
 from convlytics.plans.once import evaluate_once
 
 DIGEST = "^[0-9a-fA-F]{64}$"
@@ -24,12 +25,13 @@ def _recent(served_at: Column, now: Column | int, window: int) -> Column:
 def put_blobs(incoming: DataFrame, existing: DataFrame | None = None, value_col: str = "bytes") -> DataFrame:
     """New ``(digest, bytes)`` rows: each content once, and only if not stored yet.
 
-    Copies collapse on the digest before the bytes are compared with the store.
+    Digests are counted and compared first; bytes move only where a digest is repeated or may be
+    stored already, as a filter of fixed size tells.
     """
     keyed = evaluate_once(incoming, {"digest": digest(F.col(value_col))})
     fresh = keyed.select("digest", F.col(value_col).cast("binary").alias("bytes"))
-    fresh = fresh.dropDuplicates(["digest"])
-    return fresh if existing is None else fresh.join(existing.select("digest"), "digest", "left_anti")
+    fresh = one_of_each(fresh, "digest")
+    return fresh if existing is None else without(fresh, "digest", existing)
 
 
 def get_blobs(refs: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def collectable_blobs(
     pinned = session_blobs.join(live.select("session_id"), "session_id", "left_semi").select("digest")
     # One row per digest: a content that everyone has seen must not load one task.
     pins = pinned.union(recently_served(served, now, window)).distinct()
-    return blobs.where(F.col("digest").rlike(DIGEST)).join(pins, "digest", "left_anti")
+    return without(blobs.where(F.col("digest").rlike(DIGEST)), "digest", pins)
 
 
 def retain_served(served: DataFrame, now: int, max_age: int = RETENTION_SECS) -> DataFrame:
