@@ -595,7 +595,8 @@ oracle(
     f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN {sorted_json(masked('raw'))}
       ELSE {no_final_newline(masked('text'))} END AS redacted FROM docs""",
 )
-oracle("redact_turns", with_(TURNS), f"SELECT seq, {no_final_newline(masked('content'))} AS redacted FROM turns")
+EVERY_TURN = f"turns AS (SELECT conv_id * 1000 + turn AS seq, {views.TURN_CONTENT} AS content FROM conversations)"
+oracle("redact_turns", with_(EVERY_TURN), f"SELECT seq, {no_final_newline(masked('content'))} AS redacted FROM turns")
 oracle(
     "secret_counts",
     """SELECT source, 0 AS authorization, 0 AS cookie,
@@ -1012,9 +1013,10 @@ oracle(
 # ----------------------------------------------------------------------------- sessions
 
 RECENT = """
-requests AS (SELECT conv_id AS request_id, conv_id, turn AS pos, role, text
-  FROM conversations JOIN (SELECT conv_id, MAX(turn) AS last_turn FROM conversations GROUP BY conv_id) USING (conv_id)
-  WHERE turn <= last_turn - conv_id % 2)"""
+requests AS (SELECT conv_id * 2 + shorter AS request_id, conv_id, turn AS pos, role, text
+  FROM conversations JOIN (SELECT conv_id, MAX(turn) AS last_turn FROM conversations GROUP BY conv_id) USING (conv_id),
+    (VALUES (0), (1)) s(shorter)
+  WHERE turn <= last_turn - shorter)"""
 oracle(
     "stitched_sessions",
     """SELECT turn * 1000000 + conv_id AS request_id, conv_id AS expected_session,

@@ -336,7 +336,7 @@ def redact_secrets(spark, sf):
 
 @query
 def redact_turns(spark, sf):
-    return content.redact(fx_messages(spark, sf)).select("seq", "redacted")
+    return content.redact(views.fx_every_message(spark, sf)).select("seq", "redacted")
 
 
 @query

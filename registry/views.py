@@ -69,8 +69,12 @@ def fx_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def fx_messages(spark: SparkSession, sf: str) -> DataFrame:
     """As ``fx_turns`` but without turn numbers, for work that needs no order."""
-    rows = table(spark, sf, "conversations").where("role IN ('user', 'assistant')")
-    return spread(rows, "conv_id", "turn").selectExpr(
+    return fx_every_message(spark, sf).where("role IN ('user', 'assistant')")
+
+
+def fx_every_message(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages of all roles."""
+    return spread(table(spark, sf, "conversations"), "conv_id", "turn").selectExpr(
         "CAST(conv_id AS STRING) AS session_id",
         "conv_id * 1000 + turn AS seq",
         "role",
@@ -228,11 +232,12 @@ def fx_planted(spark: SparkSession, sf: str, planted: str) -> DataFrame:
 
 
 def fx_whole_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """One request per conversation with its whole history; every second one lacks the last turn."""
+    """Two requests per conversation: its whole history, and the one before without the last turn."""
     raw = table(spark, sf, "conversations")
     last = raw.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
-    return raw.join(last, "conv_id").where("turn <= last_turn - conv_id % 2").selectExpr(
-        "conv_id AS request_id", "conv_id", "turn AS pos", "role", "text"
+    sent = raw.join(last, "conv_id").withColumn("shorter", F.explode(F.array(F.lit(0), F.lit(1))))
+    return sent.where("turn <= last_turn - shorter").selectExpr(
+        "conv_id * 2 + shorter AS request_id", "conv_id", "turn AS pos", "role", "text"
     )
 
 
