@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlytics.llm.common import in_pieces, map_arrow
-from convlytics.llm.word_bpe import chunk_ids
+from convlytics.llm.word_bpe import chunk_ids, unload
 
 #: The id behind the last token of every document.
 END_ID = 2
@@ -143,7 +143,7 @@ class VectorPacker:
             self.items.pop()
 
 
-def _pack(columns: list[str], encode: Callable[..., Iterator[tuple[bytes, int]]], limits: Limits, forget: Callable[[], None]):
+def _pack(columns: list[str], encode: Callable[..., Iterator[tuple[bytes, int]]], limits: Limits, leave: Callable[[], None]):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -160,7 +160,7 @@ def _pack(columns: list[str], encode: Callable[..., Iterator[tuple[bytes, int]]]
                 rows = []
         if rows := list(packer.finish()):
             yield out(rows)
-        forget()
+        leave()
 
     return run
 
@@ -181,7 +181,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
         return ((ids + end, 0) for ids in chunk_ids(vocabulary, added_tokens).encode(texts))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, _pack(["doc_id", "text"], encode, limits, lambda: chunk_ids(vocabulary, added_tokens).forget()), SCHEMA)
+    return map_arrow(rows, _pack(["doc_id", "text"], encode, limits, lambda: unload(vocabulary, added_tokens)), SCHEMA)
 
 
 def pack_examples(examples: DataFrame, vocabulary: str, *, id_col: str, prompt_col: str, response_col: str, limits: Limits = Limits(loss=2048)) -> DataFrame:
@@ -193,4 +193,4 @@ def pack_examples(examples: DataFrame, vocabulary: str, *, id_col: str, prompt_c
         return ((asked + said + end, len(asked) // 4) for asked, said in zip(ids.encode(prompts), ids.encode(responses), strict=True))
 
     rows = examples.select(F.col(id_col).cast("long").alias("doc_id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"))
-    return map_arrow(rows, _pack(["doc_id", "prompt", "response"], encode, limits, lambda: chunk_ids(vocabulary).forget()), SCHEMA)
+    return map_arrow(rows, _pack(["doc_id", "prompt", "response"], encode, limits, lambda: unload(vocabulary)), SCHEMA)
