@@ -15,9 +15,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Bytes of chunks and ids that a Python worker remembers before it starts afresh, and that it keeps
-#: for its next task; an entry takes some 200 bytes besides.
-MOST_BYTES, KEPT_BYTES, _ENTRY_BYTES = 32 << 20, 8 << 20, 200
+#: Bytes of chunks and ids that a Python worker remembers before it starts afresh; an entry takes some 200 bytes besides.
+MOST_BYTES, _ENTRY_BYTES = 32 << 20, 200
 _END_OF_WORD = "</w>"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Up to U+024F the letters are the same in every version of Unicode; only U+0130 has a longer lower case.
@@ -89,16 +88,12 @@ class ChunkIds:
         for chunk, word, marks in parts:
             known[chunk] = known[word] + known[marks]
 
-    def forget(self, most_bytes: int = KEPT_BYTES) -> None:
-        """Back to the start if more than ``most_bytes`` are remembered."""
-        if self.bytes > most_bytes:
-            self.known, self.bytes = dict(self.fixed), 0
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; NULL and empty texts have none."""
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         needed = set().union(*chunks)
-        self.forget(MOST_BYTES)
+        if self.bytes > MOST_BYTES:
+            self.known, self.bytes = dict(self.fixed), 0
         new = needed.difference(self.known)
         self._learn(new)
         self.bytes += sum(map(len, new)) * 2 + len(new) * _ENTRY_BYTES
