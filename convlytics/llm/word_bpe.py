@@ -15,8 +15,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Bytes of chunks and ids that a Python worker remembers before it starts afresh; an entry takes some 200 bytes besides.
-MOST_BYTES, _ENTRY_BYTES = 32 << 20, 200
+#: Bytes of chunks and ids that a Python worker remembers, in two generations; an entry takes some 200 bytes besides.
+MOST_BYTES, _ENTRY_BYTES = 48 << 20, 200
 _END_OF_WORD = "</w>"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Up to U+024F the letters are the same in every version of Unicode; only U+0130 has a longer lower case.
@@ -55,7 +55,7 @@ class ChunkIds:
         for word, ids in zip(plain, self._split(self._ids(" ".join(plain)), len(plain)), strict=True):
             if len(ids) > 4:
                 self.known[word] = ids
-        self.fixed, self.bytes = dict(self.known), 0
+        self.fixed, self.old, self.bytes = dict(self.known), {}, 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -92,11 +92,13 @@ class ChunkIds:
         """The ids of each text; NULL and empty texts have none."""
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         needed = set().union(*chunks)
-        if self.bytes > MOST_BYTES:
-            self.known, self.bytes = dict(self.fixed), 0
-        new = needed.difference(self.known)
-        self._learn(new)
-        self.bytes += sum(map(len, new)) * 2 + len(new) * _ENTRY_BYTES
+        if self.bytes > MOST_BYTES // 2:  # what comes again before the next change of generation stays
+            self.old, self.known, self.bytes = self.known, dict(self.fixed), 0
+        missing = needed.difference(self.known)
+        again = missing.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self._learn(missing - again)
+        self.bytes += sum(map(len, missing)) * 2 + len(missing) * _ENTRY_BYTES
         return [b"".join(map(self.known.__getitem__, some)) for some in chunks]
 
 
