@@ -1,11 +1,13 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-The plan is that of a relational count and join, on packed rows: a task hashes the n-grams of a
-batch of documents, and sends the distinct ones of each batch to the partition of their hash.
-There the counts of all batches are summed (the count table of that partition) and each batch
-gets the totals of its own n-grams back (the join).  A second exchange brings totals and words
-of a batch together, where every document is scored.  A frequent n-gram is one entry per batch,
-however often it occurs, so no key is hot; the exchanged rows grow with the corpus.
+The plan is relational.  Documents are tokenised into batches of bounded size, one row each.  A
+batch explodes to its distinct n-grams, rows of (hash, batch, occurrences), which are partitioned by
+hash; their sums are the n-gram count table.  It is joined back to the exploded n-grams, and a batch
+gets the totals of those n-grams that others hold too (for the rest its own count is the total).
+Batch and totals meet in a cogroup, where every document is scored as the sum over its words.
+
+A frequent n-gram is one row per batch, however often it occurs, so no key is hot.  Rows grow in
+proportion to the corpus, a task streams or sorts them, and the only groups held are batches.
 """
 
 from __future__ import annotations
@@ -19,35 +21,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlytics.llm.common import cut, in_pieces, map_arrow, runs
+from convlytics.llm.common import cut, forget, in_pieces, map_arrow, written
 from convlytics.llm.shingles import gram_hashes, word_hashes
 from convlytics.plans.once import attach_row
+from convlytics.plans.packaging import ship_package
 
 ALPHA = 0.4
+ORDER = 3
 BATCH_BYTES = 8 << 20
-_WORDS, _GRAMS, _TOTALS = 0, 1, 2
-_PACKED = "dest long, batch long, kind int, q long, a binary, b binary, c binary"
-_NAMES = [f.split()[0] for f in _PACKED.split(", ")]
-
-
-def _row(dest: int, batch: int, kind: int, q: int, a: bytes, b: bytes = b"", c: bytes = b"") -> tuple:
-    return dest, batch, kind, q, a, b, c
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
-
-
-def _sent(values: np.ndarray) -> bytes:
-    """Rising numbers as differences, their bytes by place: the high ones are zero and compress."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _received(data: bytes) -> np.ndarray:
-    places = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(places.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+ROWS_SENT = 1 << 16
+_BATCH = "batch long, head binary, known binary, places binary"
+_BATCH_TYPES = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("head", "known", "places"))])
+_GRAM = "hash long, batch long, n int"
+_PART = "doc_id long, n_words long, part double, divided long"
 
 
 def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,92 +48,81 @@ def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndar
     return out
 
 
-def _partition(hashes: np.ndarray, partitions: int) -> np.ndarray:
-    """Partitions are ranges of the hash, so totals come back in the order of the hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
-
+def _batches(batch_bytes: int):
+    """Rows of documents to rows of batches: ids and sizes, known words, and the word at each place."""
 
-def _counted(order: int, partitions: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for piece in in_pieces(batches, "text", batch_bytes):
             words, counts = word_hashes(piece.column("text"))
-            doc = np.repeat(np.arange(len(counts)), counts)
             known, at = np.unique(words, return_inverse=True)
             ids = piece.column("doc_id")
-            none = np.array(ids.is_null(), np.uint8)
-            ids = np.array(ids.fill_null(0), np.int64)
-            head = np.concatenate([ids, none.astype(np.int64), counts.astype(np.int64)])
-            places = zlib.compress(at.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes(), 1)
-            rows = [_row(partitions + number, number, _WORDS, -1, head.tobytes(), _sent(known), places)]
-            grams, sums = np.unique(np.concatenate([g for g, _ in _grams(words, doc, order)]), return_counts=True)
-            cuts = np.searchsorted(_partition(grams, partitions), np.arange(partitions + 1))
-            for q in range(partitions):
-                some = slice(cuts[q], cuts[q + 1])
-                if some.stop > some.start:
-                    rows.append(_row(q, number, _GRAMS, q, _sent(grams[some]), zlib.compress(sums[some].astype(np.uint32).tobytes(), 1)))
-            yield _batch(rows)
+            head = np.concatenate([np.array(ids.fill_null(0), np.int64), np.array(ids.is_null(), np.int64), counts.astype(np.int64)])
+            places = at.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
+            row = [number, zlib.compress(head.tobytes(), 1), known.tobytes(), zlib.compress(places.tobytes(), 1)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_BATCH_TYPES.names, row, strict=True))], _BATCH_TYPES)
             number += 1
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by destination: totals of its n-grams for every batch; words pass on."""
-    for _, rows in runs(batches, ["dest"]):
-        if rows["kind"][0].as_py() == _WORDS:
-            yield from rows.to_batches()
-            continue
-        grams = [_received(a) for a in rows["a"].to_pylist()]
-        sums = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint32) for b in rows["b"].to_pylist()])
-        known, at = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(at, sums, len(known)).astype(np.uint64)[at]
-        start, out = 0, []
-        for batch, q, some in zip(rows["batch"].to_pylist(), rows["q"].to_pylist(), grams, strict=True):
-            out.append(_row(q, batch, _TOTALS, q, zlib.compress(totals[start : start + len(some)].tobytes(), 1)))
-            start += len(some)
-        yield _batch(out)
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, flags of NULL ids and sizes), the words in order, and the document of each."""
+    head = np.frombuffer(zlib.decompress(row["head"]), np.int64).reshape(3, -1)
+    known = np.frombuffer(row["known"], np.uint64)
+    places = np.frombuffer(zlib.decompress(row["places"]), np.uint16 if len(known) < 1 << 16 else np.uint32)
+    return head, known[places], np.repeat(np.arange(head.shape[1]), head[2])
 
 
-def _scored(order: int, alpha: float):
+def _exploded(order: int):
+    """The distinct n-grams of each batch, in rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (number,), rows in runs(batches, ["batch"]):
-            rows = rows.to_pylist()
-            if rows[0]["kind"] != _WORDS:
-                raise ValueError(f"batch {number} has totals but no words")
-            head = np.frombuffer(rows[0]["a"], np.int64).reshape(3, -1)
-            known = _received(rows[0]["b"])
-            at = np.frombuffer(zlib.decompress(rows[0]["c"]), np.uint16 if len(known) < 1 << 16 else np.uint32)
-            words, doc = known[at], np.repeat(np.arange(head.shape[1]), head[2])
-            totals = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(zlib.decompress(r["a"]), np.uint64) for r in rows[1:])]).astype(np.float64)
-            grams = _grams(words, doc, order)
-            distinct = np.unique(np.concatenate([g for g, _ in grams]))
-            seen = np.zeros((order + 1, len(words)))  # occurrences in other documents of the n-gram that ends here
-            for n, (hashes, ends) in enumerate(grams, 1):
-                place = np.searchsorted(distinct, hashes)
-                _, own, times = np.unique(doc[ends] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
-                seen[n, ends] = totals[place] - times[own]
-            log_share = np.full(len(words), np.nan)
-            backed = np.log(alpha)
-            for n in range(order, 1, -1):
-                before = np.concatenate([[0.0], seen[n - 1, :-1]])
-                best = np.isnan(log_share) & (seen[n] > 0)
-                steps = np.minimum(order, _places(head[2])) - n  # from the longest n-gram that starts in the document
-                log_share[best] = np.log(seen[n, best] / before[best]) + steps[best] * backed
-            rest = np.isnan(log_share)
-            steps = np.minimum(order, _places(head[2])) - 1
-            # The size of the corpus is not known here: the last division is by all other words.
-            log_share[rest] = np.log(np.maximum(seen[1, rest], 1)) + (steps[rest] + (seen[1, rest] == 0)) * backed
-            docs = head.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(head[0], pa.int64(), mask=head[1] == 1),
-                    pa.array(head[2], pa.int64()),
-                    pa.array(np.bincount(doc, log_share, docs), pa.float64()),
-                    pa.array(np.bincount(doc, rest, docs).astype(np.int64), pa.int64()),
-                ],
-                names=["doc_id", "n_words", "part", "divided"],
-            )
+        for rows in batches:
+            for row in rows.to_pylist():
+                _, words, doc = _opened(row)
+                for hashes, _ in _grams(words, doc, order):
+                    grams, times = np.unique(hashes, return_counts=True)
+                    for start in range(0, len(grams), ROWS_SENT):
+                        some = grams[start : start + ROWS_SENT].view(np.int64)
+                        columns = [some, np.full(len(some), row["batch"]), times[start : start + ROWS_SENT].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "batch", "n"])
+
+    return run
+
+
+def _scored(order: int, alpha: float):
+    """A batch and the totals of its n-grams to one row per document."""
+
+    def run(batch: pa.Table, shared: pa.Table) -> pa.Table:
+        head, words, doc = _opened(batch.to_pylist()[0])
+        grams = _grams(words, doc, order)
+        distinct, totals = np.unique(np.concatenate([g for g, _ in grams]), return_counts=True)
+        totals = totals.astype(np.float64)
+        totals[np.searchsorted(distinct, np.array(shared.column("hash"), np.int64).view(np.uint64))] = np.array(shared.column("total"), np.float64)
+        seen = np.zeros((order + 1, len(words)))  # occurrences in other documents of the n-gram that ends here
+        for n, (hashes, ends) in enumerate(grams, 1):
+            place = np.searchsorted(distinct, hashes)
+            _, own, times = np.unique(doc[ends] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
+            seen[n, ends] = totals[place] - times[own]
+        longest = np.minimum(order, _places(head[2]))  # of the n-grams that end here and start in the document
+        log_share, backed = np.full(len(words), np.nan), np.log(alpha)
+        for n in range(order, 1, -1):
+            before = np.concatenate([[0.0], seen[n - 1, :-1]])
+            best = np.isnan(log_share) & (seen[n] > 0)
+            log_share[best] = np.log(seen[n, best] / before[best]) + (longest[best] - n) * backed
+        rest = np.isnan(log_share)
+        # The size of the corpus is not known here: the last division is by all other words.
+        log_share[rest] = np.log(np.maximum(seen[1, rest], 1)) + (longest[rest] - 1 + (seen[1, rest] == 0)) * backed
+        docs = head.shape[1]
+        return pa.table(
+            {
+                "doc_id": pa.array(head[0], pa.int64(), mask=head[1] == 1),
+                "n_words": pa.array(head[2], pa.int64()),
+                "part": pa.array(np.bincount(doc, log_share, docs), pa.float64()),
+                "divided": pa.array(np.bincount(doc, rest, docs).astype(np.int64), pa.int64()),
+            }
+        )
 
     return run
 
@@ -158,7 +133,7 @@ def _places(counts: np.ndarray) -> np.ndarray:
     return np.arange(1, (ends[-1] if len(ends) else 0) + 1) - np.repeat(ends - counts, counts)
 
 
-def backoff_scores(docs: DataFrame, *, order: int = 2, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def backoff_scores(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
 
     Words are runs of anything but blanks, A-Z in lower case.  Each word is scored by the
@@ -172,12 +147,15 @@ def backoff_scores(docs: DataFrame, *, order: int = 2, alpha: float = ALPHA, id_
     documents; NULL ids are kept; an empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = map_arrow(rows, _counted(order, partitions, batch_bytes), _PACKED)
-    summed = map_arrow(counted.repartition("dest").sortWithinPartitions("dest"), _summed, _PACKED)
-    met = summed.repartition("batch").sortWithinPartitions("batch", "kind", "q")
-    parts = cut(map_arrow(met, _scored(order, alpha), "doc_id long, n_words long, part double, divided long"), "scores")
+    batches, path = written(map_arrow(rows, _batches(batch_bytes), _BATCH), "batches")
+    grams = map_arrow(batches, _exploded(order), _GRAM).repartition("hash")
+    # Both sides of the join read all columns of one exchange, which is then made once.
+    counts = grams.groupBy("hash").agg(F.sum("n").alias("total"), F.count("batch").alias("holders"))
+    shared = grams.join(counts.where("holders > 1").hint("merge"), "hash").where("NOT total <=> n").select("batch", "hash", "total")
+    parts = cut(batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_scored(order, alpha), _PART), "scores")
+    forget(spark, path)
     full = attach_row(parts, parts.agg(F.sum("n_words").alias("__all")))
     others = F.greatest(F.col("__all") - F.col("n_words"), F.lit(1))
     scored = full.select("doc_id", "n_words", (F.col("part") - F.when(F.col("divided") > 0, F.col("divided") * F.log(others)).otherwise(0.0)).alias("log_score"))

@@ -24,7 +24,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_score_order5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores with n-grams of up to five words; the SQL of `op1_lm_score` has bigrams."""
+    """The scores with n-grams of up to five words; `op1_lm_score` and its SQL have three."""
     scores = lm_score.backoff_scores(_table(spark, sf_dir, "documents"), order=5)
     return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log_score")])
 
@@ -131,24 +131,28 @@ _WORDS = r"""
 ORACLES: dict[str, str] = {
     "op1_lm_score": rf"""
         WITH {_WORDS}, places AS (
-            SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM words
-        ), pairs AS (
-            SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM places
-        ), one AS (SELECT x, count(*) AS n FROM places GROUP BY x),
-        own_one AS (SELECT doc_id, x, count(*) AS n FROM places GROUP BY doc_id, x),
-        two AS (SELECT p, x, count(*) AS n FROM pairs WHERE p IS NOT NULL GROUP BY p, x),
-        own_two AS (SELECT doc_id, p, x, count(*) AS n FROM pairs GROUP BY doc_id, p, x),
+            SELECT doc_id, unnest(w) AS z, unnest(range(1, len(w) + 1)) AS i FROM words
+        ), threes AS (
+            SELECT doc_id, z, lag(z) OVER (PARTITION BY doc_id ORDER BY i) AS y, lag(z, 2) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM places
+        ), own_one AS (SELECT doc_id, z, count(*) AS n FROM threes GROUP BY ALL),
+        own_two AS (SELECT doc_id, y, z, count(*) AS n FROM threes WHERE y IS NOT NULL GROUP BY ALL),
+        own_three AS (SELECT doc_id, x, y, z, count(*) AS n FROM threes GROUP BY ALL),
+        one AS (SELECT *, sum(n) OVER (PARTITION BY z) - n AS others_hold FROM own_one),
+        two AS (SELECT *, sum(n) OVER (PARTITION BY y, z) - n AS others_hold FROM own_two),
+        three AS (SELECT *, sum(n) OVER (PARTITION BY x, y, z) - n AS others_hold FROM own_three),
         sized AS (SELECT doc_id, len(w) AS n_words, greatest((SELECT sum(len(w)) FROM words) - len(w), 1) AS others FROM words),
         scored AS (
-            SELECT o.doc_id, o.n * CASE
-                WHEN o.p IS NOT NULL AND t.n > o.n THEN ln((t.n - o.n) / (b.n - ob.n))
-                WHEN a.n > oa.n THEN ln((a.n - oa.n) / others) + CASE WHEN o.p IS NULL THEN 0 ELSE ln(0.4) END
-                ELSE -ln(others) + CASE WHEN o.p IS NULL THEN 1 ELSE 2 END * ln(0.4) END AS s
-            FROM own_two o JOIN sized z ON z.doc_id = o.doc_id JOIN one a ON a.x = o.x JOIN own_one oa ON oa.doc_id = o.doc_id AND oa.x = o.x
-            LEFT JOIN two t ON t.p = o.p AND t.x = o.x LEFT JOIN one b ON b.x = o.p LEFT JOIN own_one ob ON ob.doc_id = o.doc_id AND ob.x = o.p
+            SELECT t.doc_id, t.n * CASE
+                WHEN t.x IS NOT NULL AND t.others_hold > 0 THEN ln(t.others_hold / xy.others_hold)
+                WHEN t.y IS NOT NULL AND yz.others_hold > 0 THEN ln(yz.others_hold / y1.others_hold) + CASE WHEN t.x IS NULL THEN 0 ELSE ln(0.4) END
+                ELSE ln(greatest(z1.others_hold, 1) / others)
+                    + ln(0.4) * (CASE WHEN t.y IS NULL THEN 0 WHEN t.x IS NULL THEN 1 ELSE 2 END + CASE WHEN z1.others_hold = 0 THEN 1 ELSE 0 END) END AS s
+            FROM three t JOIN sized d ON d.doc_id = t.doc_id
+                JOIN one z1 ON z1.doc_id = t.doc_id AND z1.z = t.z LEFT JOIN one y1 ON y1.doc_id = t.doc_id AND y1.z = t.y
+                LEFT JOIN two yz ON yz.doc_id = t.doc_id AND yz.y = t.y AND yz.z = t.z LEFT JOIN two xy ON xy.doc_id = t.doc_id AND xy.y = t.x AND xy.z = t.y
         ), summed AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
-        SELECT z.doc_id, n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 4) END AS mean_log_score
-        FROM sized z LEFT JOIN summed u ON u.doc_id = z.doc_id
+        SELECT d.doc_id, n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 4) END AS mean_log_score
+        FROM sized d LEFT JOIN summed u ON u.doc_id = d.doc_id
     """,
     "op5_jaccard_join": rf"""
         WITH RECURSIVE {_WORDS}, sets AS (
