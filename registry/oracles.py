@@ -1252,6 +1252,33 @@ oracle(
     WHERE served_at_secs IS NULL OR served_at_secs <> 999900 GROUP BY digest""",
 )
 
+oracle(
+    "receipt_ledger",
+    """SELECT lang AS transform, COUNT(*) AS receipts, CAST(SUM(strlen(COALESCE(text, ''))) AS BIGINT) AS original_bytes,
+      arg_min(sha256(COALESCE(text, '')), doc_id) AS first_digest, MAX(doc_id) AS last_secs FROM documents WHERE doc_id % 10 <> 0 GROUP BY lang""",
+)
+oracle(
+    "eval_case_files",
+    """WITH terms AS (SELECT doc_id, text, lang, [upper(lang), 'the', source] AS terms FROM documents),
+      held AS (SELECT *, len(list_filter(terms, lambda t: contains(lower(COALESCE(text, '')), lower(t)))) AS found FROM terms)
+    SELECT 'case-' || doc_id AS case_id, len(terms) AS required_terms, found AS required_found, found = len(terms) AS quality_floor_passed,
+      substring(text, 1, 40) AS prompt, 'in ' || lang AS expected_structure FROM held""",
+)
+oracle(
+    "eval_corpus_files",
+    """WITH sized AS (SELECT *, 'v' || (COUNT(*) OVER (PARTITION BY doc_id // 200)) % 7 AS corpus_version FROM documents)
+    SELECT corpus_version, lang AS expected_outcome, COUNT(*) AS tasks, COUNT(source) FILTER (WHERE doc_id % 3 > 0) AS classified,
+      CAST(SUM(strlen(text)) AS BIGINT) AS prompt_bytes, MIN('task-' || doc_id) AS first_id FROM sized GROUP BY corpus_version, lang""",
+)
+oracle(
+    "priced_ledger",
+    with_(COSTS),
+    """SELECT provider, model, COUNT(*) AS records, COUNT(usd) AS priced, ROUND(SUM(usd), 6)::DOUBLE AS usd FROM (SELECT provider, model, CASE provider
+      WHEN 'openai' THEN input_tokens * 2.5 + output_tokens * 10.0 + (COALESCE(cache_read_tokens, 0) + COALESCE(cache_creation_tokens, 0)) * 2.5
+      WHEN 'anthropic' THEN input_tokens * 3.0 + output_tokens * 15.0 + COALESCE(cache_read_tokens, 0) * 3.0 + COALESCE(cache_creation_tokens, 0) * 3.75
+      END / 1000000.0 AS usd FROM costs) GROUP BY provider, model""",
+)
+
 # ---------------------------------------------------------------------------- streaming
 
 oracle(

@@ -1045,6 +1045,66 @@ def served_ledger(spark, sf):
     return back.groupBy("digest").agg(F.count(F.lit(1)).alias("entries"), F.max("served_at_secs").alias("last_served"))
 
 
+@query
+def receipt_ledger(spark, sf):
+    """Receipts of transformed texts, some without a proper digest, through a ledger of several appends."""
+    receipts = table(spark, sf, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 10 = 0 THEN 'no digest' ELSE sha2(coalesce(text, ''), 256) END AS digest", "lang AS transform",
+        "octet_length(coalesce(text, '')) AS original_bytes", "doc_id AS at_secs",
+    )
+    back = ledgers.read_transform_receipts(spark, appended(spark, receipts, "doc_id", "receipts"))
+    return back.groupBy("transform").agg(
+        F.count(F.lit(1)).alias("receipts"), F.sum("original_bytes").alias("original_bytes"), F.min_by("digest", "seq").alias("first_digest"), F.max_by("at_secs", "seq").alias("last_secs")
+    )
+
+
+def eval_files(rows: DataFrame, name: str, document: Callable[[Column], Column], *fields: str) -> str:
+    """Evaluation files of up to 200 entries each, as written by hand: one JSON document over many lines."""
+    path = fresh_path(rows.sparkSession, name)
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", *fields))), lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    grouped = rows.groupBy(F.expr("doc_id div 200").alias("part")).agg(entries.alias("entries"))
+    grouped.select("part", F.to_json(document(F.col("entries")), {"pretty": "true"}).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@query
+def eval_case_files(spark, sf):
+    """Cases read from files, and the texts that answer them held against their terms."""
+    docs = table(spark, sf, "documents")
+    rows = docs.selectExpr("doc_id", "concat('case-', doc_id) AS id", "substring(text, 1, 40) AS prompt", "array(upper(lang), 'the', source) AS required_terms", "concat('in ', lang) AS expected_structure")
+    cases = ledgers.read_eval_cases(spark, eval_files(rows, "cases", lambda e: F.struct(e.alias("cases")), "id", "prompt", "required_terms", "expected_structure"))
+    answers = docs.selectExpr("concat('case-', doc_id) AS case_id", "coalesce(text, '') AS content")
+    covered = evaluate.term_coverage(answers, cases).select("case_id", "required_terms", "required_found", "quality_floor_passed")
+    return covered.join(cases.select("case_id", "prompt", "expected_structure"), "case_id")
+
+
+@query
+def eval_corpus_files(spark, sf):
+    """Tasks read from files, by their version and what they expect."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "concat('task-', doc_id) AS id", "text AS prompt", "lang AS expected_outcome", "CASE WHEN doc_id % 3 > 0 THEN source END AS follow_up_classification")
+    version = lambda e: F.concat(F.lit("v"), F.size(e) % 7)
+    path = eval_files(rows, "corpus", lambda e: F.struct(version(e).alias("corpus_version"), e.alias("tasks")), "id", "prompt", "expected_outcome", "follow_up_classification")
+    return ledgers.read_eval_corpus(spark, path).groupBy("corpus_version", "expected_outcome").agg(
+        F.count(F.lit(1)).alias("tasks"), F.count("follow_up_classification").alias("classified"), F.sum(F.octet_length("prompt")).alias("prompt_bytes"), F.min("id").alias("first_id")
+    )
+
+
+@query
+def priced_ledger(spark, sf):
+    """Bills under prices of a configuration: optional prices left out, and a provider without any."""
+    prices = ledgers.pricing_dim(
+        spark,
+        {
+            "openai": {"input_per_million_usd": 2.5, "output_per_million_usd": 10.0},
+            "anthropic": {"input_per_million_usd": 3.0, "output_per_million_usd": 15.0, "cache_write_per_million_usd": 3.75},
+            "unused": {"input_per_million_usd": 1.0, "output_per_million_usd": 1.0},
+        },
+    )
+    billed = usage.bill_usage(fx_costs(spark, sf), prices)
+    out = billed.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("records"), F.count("observed_billing_usd").alias("priced"), F.sum("observed_billing_usd").alias("usd"))
+    return rounded(out, "usd")
+
+
 # ---------------------------------------------------------------------------- streaming
 
 def stream_session(spark) -> SparkSession:
