@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPAN = 1 << 20
 _BLOCK = "__block"
@@ -41,15 +42,19 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(renamed, condition, "left").drop(*[f"__c_{k}" for k in (*keys, _BLOCK)])
 
 
-def _block_ends(scanned: DataFrame, keys: Sequence[str], order: str, reverse: bool = False) -> DataFrame:
-    """The last row of each block in scan order.
+def _by_block(df: DataFrame, keys: Sequence[str], order: str, span: int, values: dict[str, Column]) -> DataFrame:
+    """The rows with their block and the values, in one exchange for the scan and the summaries."""
+    return _blocked(df, order, span).withColumns(values).repartition(*keys, _BLOCK)
 
-    Looking at all columns of the next row keeps this branch on the very shuffle that the
-    scan itself uses, so the input is read and moved once.
+
+def _summaries(rows: DataFrame, keys: Sequence[str], totals: Sequence[Column]) -> DataFrame:
+    """One row per key and block.
+
+    Looking at all columns keeps this branch on the very exchange that the scan uses, so the
+    input is read and moved once; the aggregate itself holds only keys, totals and that check.
     """
-    within = _ordered([*keys, _BLOCK], order, reverse)
-    following = F.lead(F.struct(*scanned.columns)).over(within)
-    return scanned.withColumn("__next", following).where("__next IS NULL")
+    entries = [F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rows.schema.fields]
+    return rows.groupBy(*keys, _BLOCK).agg(*totals, F.bit_xor(F.xxhash64(*entries)).alias("__read")).where("__read IS NOT NULL")
 
 
 def running_sum(
@@ -60,13 +65,12 @@ def running_sum(
     Select the columns you need first: the scan keeps all of them.
     """
     inputs = {f"__v_{name}": F.coalesce(expr, F.lit(0)) for name, expr in sums.items()}
-    rows = _blocked(df, order, span).withColumns(inputs)
+    rows = _by_block(df, keys, order, span, inputs)
     inside = _ordered([*keys, _BLOCK], order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({name: F.sum(f"__v_{name}").over(inside) for name in sums})
     before = _ordered(keys, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    edges = _block_ends(local, keys, order).select(
-        *keys, _BLOCK, *[F.sum(name).over(before).alias(f"__k_{name}") for name in sums]
-    )
+    totals = _summaries(rows, keys, [F.sum(f"__v_{name}").alias(name) for name in sums])
+    edges = totals.select(*keys, _BLOCK, *[F.sum(name).over(before).alias(f"__k_{name}") for name in sums])
     joined = _join_carry(local, edges, keys)
     total = {
         name: F.col(name) + F.coalesce(F.col(f"__k_{name}"), F.lit(0)) for name in sums
@@ -103,9 +107,7 @@ def carry(
     This is an as-of lookup without pairing rows: both sides live in one table ordered
     by ``order``.
     """
-    rows = _blocked(df, order, span).withColumns(
-        {f"__v_{n}": look.value for n, look in lookups.items()}
-    )
+    rows = _by_block(df, keys, order, span, {f"__v_{n}": look.value for n, look in lookups.items()})
 
     def beyond(name: str, look: Nearest) -> Column:
         outer = _ordered(keys, _BLOCK, look.forward).rowsBetween(Window.unboundedPreceding, -1)
@@ -116,15 +118,13 @@ def carry(
         return F.last(f"__v_{name}", ignorenulls=True).over(near)
 
     # A block hands on the last value seen at its end in the direction of the lookup.
-    whole = Window.partitionBy(*keys, _BLOCK)
-    handed = {
-        f"__s_{n}": (F.min_by if look.forward else F.max_by)(
+    handed = [
+        (F.min_by if look.forward else F.max_by)(
             f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))
-        ).over(whole)
+        ).alias(f"__s_{n}")
         for n, look in lookups.items()
-    }
-    ends = _block_ends(rows.withColumns(handed), keys, order)
-    edges = ends.select(*keys, _BLOCK, *[beyond(n, look) for n, look in lookups.items()])
+    ]
+    edges = _summaries(rows, keys, handed).select(*keys, _BLOCK, *[beyond(n, look) for n, look in lookups.items()])
     local = rows.withColumns(
         {n: inside(n, look, 0 if look.inclusive else -1) for n, look in lookups.items()}
     )

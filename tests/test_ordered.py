@@ -87,3 +87,18 @@ def test_the_input_is_read_once(spark, skewed, tmp_path):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1
+
+
+def test_columns_of_any_type_pass_through(skewed):
+    wide = skewed.withColumns({"m": F.create_map(F.lit("a"), "v"), "s": F.struct("v", F.array("seq").alias("l"))})
+    for frame in (running_sum(wide, ["k"], "seq", {"total": F.col("v")}, span=100), carry(wide, ["k"], "seq", {"near": Nearest(F.col("v"))}, span=100)):
+        rows = frame.collect()
+        assert len(rows) == wide.count() and all(r.m == {"a": r.v} and r.s.l == [r.seq] for r in rows)
+
+
+def test_the_input_is_moved_once(spark):
+    rows = spark.createDataFrame([("a", i, i % 3, f"t{i}") for i in range(300)], "k string, seq bigint, v bigint, text string")
+    for frame in (running_sum(rows, ["k"], "seq", {"total": F.col("v")}, span=100), carry(rows, ["k"], "seq", {"near": Nearest(F.col("v"))}, span=100)):
+        assert len(frame.collect()) == 300
+        final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("ReusedExchange") == 1 and final.count("Scan ExistingRDD") == 1
