@@ -158,6 +158,10 @@ def licence_passages(docs: DataFrame, templates: dict[str, str] | None = None, *
     lines, sentences and marks, so wrapped and embedded notices are found.  The best passage
     counts as in `licence_matches`.  It starts and ends with bigrams of the template (others
     only lower its coefficient), so only such runs are compared, where enough of them are near.
+
+    NULL and empty texts and texts of fewer than two words match nothing; whole texts of any length
+    are compared; rows with equal ids give one result, the best of their passages; a NULL id is
+    kept as one; an empty table gives no row.  Other columns are not read, whatever their names.
     """
     known = _prepared(templates or TEMPLATES | FULL_TEXTS, percent)
     text = F.coalesce(F.col(text_col), F.lit(""))

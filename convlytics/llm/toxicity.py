@@ -255,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def toxic_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    Only the text enters a score.  Repeated rows get equal scores; a NULL id is not held out;
+    Only the text enters a score, whole, however long; NULL and empty texts get the score of a text
+    without any feature.  Repeated rows get equal scores; a NULL id is not held out;
     an empty table gives an empty result; columns of other names are not read.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)

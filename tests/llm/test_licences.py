@@ -95,3 +95,16 @@ def test_passages_equal_all_word_windows(spark, nothing):
     assert licences.licence_passages(nothing).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_passages_of_awkward_rows(awkward, spark):
+    from pyspark.sql import functions as F
+
+    clashing = awkward.withColumns({c: F.lit("x") for c in ("words", "pairs", "marks", "hits", "at", "gram", "licence", "shared", "united", "share")})
+    got = sorted((tuple(r) for r in licences.licence_passages(clashing).collect()), key=str)
+    rows = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect() if len(r.text or "") < 10_000]
+    assert got == brute_passages(rows) and {r[0] for r in got} == {12}
+    notice = TEMPLATES["cc0-1.0"]
+    rows = [(None, notice), (None, "b " + notice), (2, notice + " x"), (2, notice), (2, notice), (3, "w " * 50_000 + notice + " v" * 50_000)]
+    many = licences.licence_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("licence = 'cc0-1.0'").collect()
+    assert sorted((str(r.doc_id) for r in many)) == ["2", "3", "None"] and len({(r.shared, r.united) for r in many}) == 1
