@@ -70,6 +70,36 @@ def test_burn_of_windows_equals_cost_burn(spark, tmp_path):
         assert {k: round(v, 9) for k, v in want.items()} == {k: round(got[k], 9) for k in want}
 
 
+def test_slides_hold_what_sliding_windows_hold(spark, tmp_path):
+    """State has a turn once, not once per window; late turns count where Spark's own windows count them."""
+    from convlytics.operators.usage import session_price
+
+    dice = random.Random(6)
+    rows = []
+    for n in range(600):
+        late = dice.choice([0, 0, 300, 900, 2500, 4000, 9000])
+        at = None if n % 40 == 7 else 1_700_000_000 + n * 30 - late
+        rows.append((n, dice.choice(["a", "b", None]), dice.choice([None, -1.0, 0.1, 0.3, 0.7, 2.5]), at))
+    timed = spark.createDataFrame(rows, "seq bigint, session_id string, observed_billing_usd double, secs bigint").withColumn(
+        "event_time", F.timestamp_seconds("secs")
+    )
+    stream = arriving(spark, str(tmp_path / "in"), [timed.where(f"seq div 75 = {i}") for i in range(8)])
+    priced = stream.where("session_id IS NOT NULL AND observed_billing_usd IS NOT NULL").withWatermark("event_time", "10 minutes")
+    plain = priced.groupBy(F.window("event_time", "1 hour", "5 minutes").alias("w"), "session_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.sum(session_price()).alias("usd")
+    ).select("w.start", "session_id", "turns", "usd")
+    want = windows.latest_rows(spark.read.parquet(run_available(plain, "plain", "update")), ["start", "session_id"])
+    want = {(r.start, r.session_id): (r.turns, round(r.usd, 9)) for r in want.collect()}
+
+    sums = ["priced_turns", "observed_billing_usd"]
+    stored = spark.read.parquet(run_available(windows.cost_burn_stream(stream), "slides", "update"))
+    assert stored.select("window_start", "session_id").distinct().count() < len(want)
+    slides = windows.added_rows(stored, ["window_start", "session_id"], sums)
+    got = windows.sliding(slides, ["session_id"], sums).collect()
+    assert {(r[0], r[1]): (r[2], round(float(r[3]), 9)) for r in got} == want
+    assert len(want) > 90 and sum(t for t, _ in want.values()) < 12 * stored.agg(F.sum("priced_turns")).first()[0]
+
+
 def test_a_streamed_ledger_repeats_no_row(spark, tmp_path):
     """A batch whose commit was lost runs again into its own folder, in its old place."""
     from convlytics.sources import ledgers
