@@ -3,12 +3,13 @@
 Input rows are tool events with ``event_time``.  A session's state holds what its later events
 are compared with: the event keys and result digests it has seen, its edit calls, its last
 calls and whether a failed edit waits for the next one.  A micro-batch reads and writes the
-state of its own sessions only, so its cost follows its own events.
+state of its own sessions only, in parts of bounded size, so its cost follows its own events.
 """
 
 from __future__ import annotations
 
 import sys
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,28 +31,64 @@ OUTPUT = T.StructType(
     [T.StructField("session_id", T.StringType()), T.StructField("session_turn", T.LongType())]
     + [T.StructField(c, T.LongType()) for c in COUNTS]
 )
-_EVENT = ["seq", "session_turn", "event_key", "kind", "call_key", "tool", "tokens", "is_edit", "digest", "wire_cheap", "failed"]
+_EVENT = ["seq", "session_turn", "event_key", "kind", "call_key", "tool", "tokens", "is_edit", "digest", "wire_cheap", "failed", "at"]
 
 
-class _Seen:
-    """Members of a keyed set: state is asked once per value and batch."""
+_KEY, _DIGEST, _EDIT = "k", "d", "e"
+#: Values in a part of a session's set, on average at most.
+_PART = 128
 
-    def __init__(self, state):
-        self._state, self._known = state, {}
 
-    def __contains__(self, value: str | None) -> bool:
-        if value not in self._known:
-            self._known[value] = self._state.containsKey(self._key(value))
-        return self._known[value]
+def _known(value):
+    """None for what pandas has for NULL."""
+    return None if value is None or value != value else value
 
-    def add(self, value: str | None) -> None:
-        if value not in self:
-            self._state.updateValue(self._key(value), (True,))
-            self._known[value] = True
 
-    @staticmethod
-    def _key(value: str | None) -> tuple[str]:
-        return ("-" if value is None else f"={value}",)
+class _Seen:
+    """The values that a session has seen, in parts: one is read or written as a whole, once per batch."""
+
+    def __init__(self, state, parts: int = 1, size: int = 0):
+        self._state, self.parts, self.size = state, parts, size
+        self._read: dict[int, set[str]] = {}
+        self._changed: set[int] = set()
+
+    def _part(self, number: int) -> set[str]:
+        if number not in self._read:
+            held = self._state.getValue((number,))
+            self._read[number] = set(held[0]) if held else set()
+        return self._read[number]
+
+    def _place(self, name: str) -> int:
+        return zlib.crc32(name.encode()) % self.parts
+
+    def add(self, kind: str, value: str | None) -> bool:
+        """Whether the value is new."""
+        name = f"{kind}-" if value is None else f"{kind}={value}"
+        place = self._place(name)
+        part = self._part(place)
+        if name in part:
+            return False
+        part.add(name)
+        self.size += 1
+        self._changed.add(place)
+        return True
+
+    def holds(self, kind: str, value: str) -> bool:
+        name = f"{kind}={value}"
+        return name in self._part(self._place(name))
+
+    def store(self) -> None:
+        if self.size > self.parts * _PART:  # so seldom that each value is moved a few times in all
+            every = [name for number in range(self.parts) for name in self._part(number)]
+            while self.size > self.parts * _PART // 2:
+                self.parts *= 2
+            self._read = {number: set() for number in range(self.parts)}
+            for name in every:
+                self._read[self._place(name)].add(name)
+            self._changed = set(self._read)
+        for number in self._changed:
+            self._state.updateValue((number,), (sorted(self._read[number]),))
+        self._changed.clear()
 
 
 class Repeats(StatefulProcessor):
@@ -60,11 +97,12 @@ class Repeats(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._head = handle.getValueState("head", "latest STRING, pending BOOLEAN, deadline BIGINT")
-        self._keys = handle.getMapState("keys", "value STRING", "seen BOOLEAN")
-        self._digests = handle.getMapState("digests", "value STRING", "seen BOOLEAN")
-        self._edits = handle.getMapState("edits", "value STRING", "seen BOOLEAN")
-        self._calls = handle.getListState("calls", "tool STRING, tokens ARRAY<STRING>")
+        self._head = handle.getValueState(
+            "head",
+            "latest STRING, pending BOOLEAN, deadline BIGINT, parts INT, size INT,"
+            " calls ARRAY<STRUCT<tool: STRING, tokens: ARRAY<STRING>>>",
+        )
+        self._seen = handle.getMapState("seen", "part INT", "members ARRAY<STRING>")
 
     def _similar(self, tool: str, tokens: frozenset, calls: deque) -> bool:
         for other, before in calls:
@@ -75,27 +113,23 @@ class Repeats(StatefulProcessor):
         return False
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest, pending, deadline = self._head.get() or (None, False, 0)
-        keys, digests, edits = _Seen(self._keys), _Seen(self._digests), _Seen(self._edits)
-        calls = deque(((tool, frozenset(tokens)) for tool, tokens in self._calls.get()), self._prior)
+        latest, pending, deadline, parts, size, held = self._head.get() or (None, False, 0, 1, 0, [])
+        seen = _Seen(self._seen, parts, size)
+        calls = deque(((tool, frozenset(tokens)) for tool, tokens in held), self._prior)
         events, until = [], deadline
         for batch in rows:
-            at = [int(t.timestamp() * 1000) for t in batch["event_time"]]
-            events.extend(zip(*(batch[c] for c in _EVENT), at, strict=True))
+            events.extend(zip(*(batch[c] for c in _EVENT), strict=True))
         events.sort(key=lambda e: e[0])
         found: dict[int, list[int]] = {}
-        called = False
         for _, turn, event, kind, call, tool, tokens, is_edit, digest, cheap, failed, at in events:
             if until and at > until:  # idle for too long, though no timer has fired yet
                 self._forget()
-                latest, pending, called = None, False, True
-                keys, digests, edits = _Seen(self._keys), _Seen(self._digests), _Seen(self._edits)
+                latest, pending, seen = None, False, _Seen(self._seen)
                 calls.clear()
-            until = max(until, at + self._ttl_ms)
-            event, call, tool, digest = (None if pd.isna(x) else x for x in (event, call, tool, digest))
-            if event in keys:
+            until = max(until, int(at) + self._ttl_ms)
+            if not seen.add(_KEY, _known(event)):
                 continue
-            keys.add(event)
+            call, tool, is_edit, failed = _known(call), _known(tool), _known(is_edit), _known(failed)
             counts = found.setdefault(int(turn), [0] * len(COUNTS))
             if kind == "call":
                 latest = call if call is not None else latest
@@ -103,25 +137,21 @@ class Repeats(StatefulProcessor):
                     tokens = frozenset(t for t in tokens if t is not None)
                     counts[3] += bool(tokens) and self._similar(tool, tokens, calls)
                 calls.append((tool, frozenset() if tokens is None else tokens))
-                called = True
-                if is_edit is not None and not pd.isna(is_edit) and is_edit:
+                if is_edit:
                     counts[4] += pending
                     pending = False
-                    edits.add(call)
+                    seen.add(_EDIT, call)
             elif kind == "result":
-                cheap = not pd.isna(cheap) and bool(cheap)
-                if digest in digests:
+                if not seen.add(_DIGEST, _known(digest)):
                     counts[0] += 1
-                    counts[2 if cheap else 1] += 1
-                digests.add(digest)
+                    counts[2 if _known(cheap) else 1] += 1
                 link = call if call is not None else latest
-                if not pd.isna(failed) and failed and link is not None and link in edits:
+                if failed and link is not None and seen.holds(_EDIT, link):
                     pending = True
-        if called:
-            self._calls.put([(tool, sorted(tokens)) for tool, tokens in calls])
+        seen.store()
         if until != deadline:
             self._handle.registerTimer(until)
-        self._head.update((latest, pending, until))
+        self._head.update((latest, pending, until, seen.parts, seen.size, [(tool, sorted(tokens)) for tool, tokens in calls]))
         out = []
         for turn, counts in found.items():
             counts[5] = counts[0] + counts[3] + counts[4]
@@ -138,8 +168,8 @@ class Repeats(StatefulProcessor):
         return iter([])
 
     def _forget(self) -> None:
-        for state in (self._head, self._keys, self._digests, self._edits, self._calls):
-            state.clear()
+        self._head.clear()
+        self._seen.clear()
 
     def close(self) -> None:
         pass
@@ -155,5 +185,5 @@ def thrash_stream(
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in the assembler
     timed = events.where("session_id IS NOT NULL").withWatermark("event_time", delay)
-    keyed = timed.select("session_id", "event_time", *_EVENT).groupBy("session_id")
+    keyed = timed.withColumn("at", F.unix_millis("event_time")).select("session_id", "event_time", *_EVENT).groupBy("session_id")
     return keyed.transformWithStateInPandas(Repeats(ttl * 1000, prior, threshold), OUTPUT, outputMode="Append", timeMode="EventTime")

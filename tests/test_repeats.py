@@ -152,3 +152,31 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     for part in parts:
         apart.update(want(part))  # turns of ten events lie inside one batch
     assert found(got) == apart != want(rows)
+
+
+def test_long_sessions_keep_their_state_in_parts(spark, tmp_path):
+    """State is read and written by parts, not by value, and parts stay small as a session grows."""
+    from convlytics.streaming.repeats import _PART, _Seen
+
+    class Counted(dict):
+        asked = 0
+
+        def getValue(self, key):
+            self.asked += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.asked += 1
+            self[key] = value
+
+    state, parts, size = Counted(), 1, 0
+    for batch in range(20):
+        seen = _Seen(state, parts, size)
+        names = [f"v{n % 5000}" for n in range(batch * 300, batch * 300 + 600)]
+        assert [seen.add("k", n) for n in names] == [n >= (300 if batch else 0) and batch * 300 + n < 5000 for n in range(600)]
+        seen.store()
+        parts, size = seen.parts, seen.size
+    assert size == 5000 == sum(len(v[0]) for v in state.values()) and state.asked < 20 * 600 / 5
+    assert max(len(v[0]) for v in state.values()) < 2 * _PART
+    rows = random_events(8, 1, 900)
+    assert found(streamed(spark, str(tmp_path / "in"), rows, 3, lambda r: 1_700_000_000 + r[1])) == want(rows)
