@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convlytics.functions import text as tx
 from convlytics.plans.membership import one_of_each, without
 from convlytics.plans.once import evaluate_once
+from convlytics.plans.storage import fresh_path
 
 DIGEST = "^[0-9a-fA-F]{64}$"
 RETENTION_SECS = 30 * 24 * 3600
@@ -58,22 +59,23 @@ def put_originals(df: DataFrame, policy: str = "first_wins") -> DataFrame:
 
     ``first_wins`` keeps the first original of a key.  ``fail_closed`` returns the rows
     that agree with the first one, and marks the others as rejected.
+
+    Texts are cleaned and hashed once and stored with their hashes; originals are compared by digest.
     """
-    keyed = evaluate_once(df, {"key": tx.normalized_hash(F.col("text"))})
+    if policy not in ("first_wins", "fail_closed"):
+        raise ValueError(f"unknown policy: {policy}")
+    hashed = evaluate_once(df, {"key": tx.normalized_hash(F.col("text")), "__sum": digest(F.col("original"))})
+    path = fresh_path(df.sparkSession, "originals")
+    hashed.write.parquet(path)
+    keyed = df.sparkSession.read.parquet(path)
     # The place of the first original is a hash aggregate of numbers; then one text per key is fetched.
     places = keyed.groupBy("key").agg(F.min("seq").alias("seq"))
-    first = keyed.join(places, ["key", "seq"], "left_semi").select("key", "seq", "original")
+    first = keyed.join(places, ["key", "seq"], "left_semi")
     if policy == "first_wins":
-        return first
-    if policy != "fail_closed":
-        raise ValueError(f"unknown policy: {policy}")
-    winners = first.select(
-        F.col("key").alias("__key"), F.col("original").alias("__original")
-    )
+        return first.select("key", "seq", "original")
+    winners = first.select(F.col("key").alias("__key"), F.col("__sum").alias("__winner"))
     joined = keyed.join(winners, F.col("key") == F.col("__key"))
-    return joined.select(
-        *df.columns, "key", (F.col("original") != F.col("__original")).alias("rejected")
-    )
+    return joined.select(*df.columns, "key", (F.col("__sum") != F.col("__winner")).alias("rejected"))
 
 
 def dedup_repeat_reads(

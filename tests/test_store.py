@@ -28,6 +28,22 @@ def test_recovery_maps(spark):
     assert closed == {1: False, 2: True, 3: False, 4: False}
 
 
+def test_recovery_reads_each_text_once(spark):
+    """Texts are costly to make: they are made once, and repeated rows meet each copy of the first one."""
+    made = spark.sparkContext.accumulator(0)
+
+    def clean(text):
+        made.add(1)
+        return text.strip()
+
+    rows = [(1, "fix "), (1, "fix "), (2, "fix"), (3, "other"), (4, None)]
+    df = spark.createDataFrame(rows, "seq bigint, original string").where("original IS NOT NULL")
+    df = df.withColumn("text", F.udf(clean, "string")("original"))
+    closed = sorted((r.seq, r.rejected) for r in store.put_originals(df, "fail_closed").collect())
+    assert closed == [(1, False)] * 4 + [(2, True)] * 2 + [(3, False)]
+    assert made.value == 4
+
+
 def test_dedup_of_reads(spark):
     rows = [("s", 1, 1, b"x"), ("s", 2, 1, b"x"), ("s", 3, 2, b"x"), ("t", 4, 1, b"x"), ("s", 5, 2, b"served"), ("s", 6, 3, b"served")]
     df = spark.createDataFrame([(s, q, t, bytearray(b)) for s, q, t, b in rows], "session_id string, seq bigint, session_turn bigint, bytes binary")
