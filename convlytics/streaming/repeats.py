@@ -13,9 +13,8 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +30,7 @@ OUTPUT = T.StructType(
     [T.StructField("session_id", T.StringType()), T.StructField("session_turn", T.LongType())]
     + [T.StructField(c, T.LongType()) for c in COUNTS]
 )
+_RECEIPT = Row(*OUTPUT.fieldNames())
 _EVENT = ["seq", "session_turn", "event_key", "kind", "call_key", "tool", "tokens", "is_edit", "digest", "wire_cheap", "failed", "at"]
 
 
@@ -112,13 +112,12 @@ class Repeats(StatefulProcessor):
                     return True
         return False
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         latest, pending, deadline, parts, size, held = self._head.get() or (None, False, 0, 1, 0, [])
         seen = _Seen(self._seen, parts, size)
         calls = deque(((tool, frozenset(tokens)) for tool, tokens in held), self._prior)
         events, until = [], deadline
-        for batch in rows:
-            events.extend(zip(*(batch[c] for c in _EVENT), strict=True))
+        events.extend(tuple(row)[-len(_EVENT):] for row in rows)
         events.sort(key=lambda e: e[0])
         found: dict[int, list[int]] = {}
         for _, turn, event, kind, call, tool, tokens, is_edit, digest, cheap, failed, at in events:
@@ -152,15 +151,12 @@ class Repeats(StatefulProcessor):
         if until != deadline:
             self._handle.registerTimer(until)
         self._head.update((latest, pending, until, seen.parts, seen.size, [(tool, sorted(tokens)) for tool, tokens in calls]))
-        out = []
         for turn, counts in found.items():
             counts[5] = counts[0] + counts[3] + counts[4]
             if counts[5]:
-                out.append((key[0], turn, *counts))
-        if out:
-            yield pd.DataFrame(out, columns=OUTPUT.fieldNames())
+                yield _RECEIPT(key[0], turn, *counts)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The session was idle for its time to live: nothing of it is kept."""
         head = self._head.get()
         if head and expiredTimerInfo.getExpiryTimeInMs() >= head[2]:
@@ -186,4 +182,4 @@ def thrash_stream(
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in the assembler
     timed = events.where("session_id IS NOT NULL").withWatermark("event_time", delay)
     keyed = timed.withColumn("at", F.unix_millis("event_time")).select("session_id", "event_time", *_EVENT).groupBy("session_id")
-    return keyed.transformWithStateInPandas(Repeats(ttl * 1000, prior, threshold), OUTPUT, outputMode="Append", timeMode="EventTime")
+    return keyed.transformWithState(Repeats(ttl * 1000, prior, threshold), OUTPUT, outputMode="Append", timeMode="EventTime")
