@@ -349,15 +349,15 @@ def _mask_json_text(line: str | None) -> str | None:
 def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> DataFrame:
     """Add ``out``: the text without recognised secrets; the number of lines is kept.
 
-    Only texts with a line that may be JSON pass through Python, which walks values of any
-    shape; a line that turns out to be none is masked like any other.
+    Only texts with a line that may be JSON pass through Python (of others a NULL), which walks
+    values of any shape; a line that turns out to be none is masked like any other.
     """
     ship_package(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def mask_json_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda found: [_mask_json_text(line) for line in found])
+            yield batch.map(lambda found: None if found is None else [_mask_json_text(line) for line in found])
 
     opens = r'[ \t\r]*(?:[{\["]|-?[0-9]|(?:true|false|null)\s*$)'
 
@@ -377,11 +377,13 @@ def redact(df: DataFrame, text_col: str = "content", out: str = "redacted") -> D
     parts = F.transform(parts, lambda p: F.regexp_replace(p, r"\n\z", ""))
     walks = F.coalesce(text.rlike(f"(?md)^{opens}"), F.lit(False))
 
-    without = evaluate_once(df.filter(~walks), {out: F.array_join(F.transform(parts, plain), "\n")})
-    staged = evaluate_once(df.filter(walks), {"__parts": parts})
-    staged = staged.withColumn("__masked", mask_json_lines(F.transform("__parts", lambda p: F.when(looks_json(p), p))))
-    result = F.array_join(F.zip_with("__parts", "__masked", lambda p, m: F.coalesce(m, plain(p))), "\n")
-    return without.union(evaluate_once(staged, {out: result}).select(*without.columns))
+    # One pass: two branches by ``walks`` would run the whole input twice.
+    staged = evaluate_once(df, {"__parts": parts, "__walks": walks})
+    found = F.when(F.col("__walks"), F.transform("__parts", lambda p: F.when(looks_json(p), p)))
+    staged = staged.withColumn("__masked", mask_json_lines(found))
+    result = F.array_join(F.transform("__parts", lambda p, i: F.coalesce(F.get("__masked", i), plain(p))), "\n")
+    kept = [c for c in df.columns if c != out]
+    return evaluate_once(staged, {out: result}).select(*kept, out)
 
 
 def _on_mask(pattern: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from convlytics.plans.once import evaluate_once
 from convlytics.plans.ordered import SPAN, Nearest, carry, number_rows, running_sum, with_halo
+from convlytics.plans.storage import fresh_path
 
 PRIOR_CALLS = 128
 SIMILARITY = 0.60
@@ -98,7 +99,7 @@ def near_repeats(
     and only pairs that pass both bounds are intersected.
     """
     calls = events.where("kind = 'call'").select(
-        "session_id", "seq", "session_turn", "tool", F.array_sort(F.array_distinct("tokens")).alias("tokens")
+        "session_id", "seq", "session_turn", "tool", F.sort_array(F.array_distinct("tokens")).alias("tokens")
     )
     signed = evaluate_once(calls, {"tokens": F.col("tokens"), "n": F.size("tokens"), "bits": _signature(F.col("tokens"))})
     placed = number_rows(signed, ["session_id"], "seq", "position")
@@ -165,7 +166,11 @@ def edit_fail_edit(events: DataFrame) -> DataFrame:
 
 def thrash_receipts(events: DataFrame) -> DataFrame:
     """Per request with any repetition: the three counts and their sum."""
-    clean = drop_replays(events)
+    # Seven scans read the cleaned events, each other columns: replays are looked for once, before them.
+    path = fresh_path(events.sparkSession, "clean-events")
+    cleaned = drop_replays(events)
+    cleaned.write.parquet(path)
+    clean = events.sparkSession.read.schema(cleaned.schema).parquet(path)
     # Only the edit cycles look at which call a result belongs to.
     used = ["session_id", "seq", "session_turn", "kind", "call_key", "is_edit", "failed"]
     cycles = edit_fail_edit(link_results(clean.select(*used)))

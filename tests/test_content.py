@@ -211,3 +211,9 @@ def test_redaction_is_linear_in_lines(spark, texts):
 
     spent(1000)
     assert spent(40_000) < 10 * max(1.0, spent(5_000))
+
+
+def test_redaction_runs_its_input_once(texts):
+    lines = texts(['{"password": "abc"}', "token=abc", None])
+    assert content.redact(lines, "text")._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert values(content.redact(lines, "text"), "redacted") == ['{"password":"[REDACTED]"}', "token=[REDACTED]", None]

@@ -180,3 +180,11 @@ def test_long_sessions_keep_their_state_in_parts(spark, tmp_path):
     assert max(len(v[0]) for v in state.values()) < 2 * _PART
     rows = random_events(8, 1, 900)
     assert found(streamed(spark, str(tmp_path / "in"), rows, 3, lambda r: 1_700_000_000 + r[1])) == want(rows)
+
+
+def test_replays_are_looked_for_once(spark):
+    rows = [call(1, 1, "a", "a", ["x"]), result(2, 1, "b", "a", "d"), result(3, 1, "c", "a", "d"), result(4, 2, "c", "a", "d")]
+    found = repeats.thrash_receipts(spark.createDataFrame(rows, SCHEMA))
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert all(leaves.apply(i).toString().startswith("Relation [") for i in range(leaves.size()))
+    assert [(r.session_turn, r.score) for r in found.collect()] == [(1, 1)]
