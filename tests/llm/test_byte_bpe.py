@@ -1,6 +1,7 @@
 import array
 import base64
 import codecs
+import gc
 import hashlib
 import random
 
@@ -101,3 +102,27 @@ def test_real_rows(documents, plain):
 
 def test_empty_table(nothing):
     assert byte_bpe.round_trips(nothing, PATH, PATTERN).collect() == []
+
+
+def test_pieces_that_come_again_stay(plain, monkeypatch):
+    codec, made = Codec(PATH, PATTERN), []
+    encode = codec.transducer.encode
+    monkeypatch.setattr(byte_bpe, "MOST_PIECES", 10)
+    monkeypatch.setattr(codec.transducer, "encode", lambda piece: made.append(piece) or encode(piece))
+    for i in range(40):
+        text = " the " + "ab" * (i + 1)
+        assert codec.encode(text) == packed(plain.encode_ordinary(text))
+    assert made.count(b" the") == 1 and len(codec) + len(codec.old) <= 10
+
+
+def test_a_full_table_leaves_no_cycles(ranks):
+    random.seed(8)
+    small = Transducer(ranks, most_states=40)
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(200):
+            small.encode("".join(random.choices("aehinorst", k=50)).encode())
+        assert gc.collect() < 40
+    finally:
+        gc.enable()
