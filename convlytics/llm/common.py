@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from convlytics.plans.packaging import ship_package
 from convlytics.plans.storage import fresh_path, shared_dir
 
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a frame to the shared folder and read it back: its lineage ends there.  Also the table's path."""
@@ -26,6 +28,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
+def released(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`written`; the shuffle files behind the table go at once, not when the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    old = conf.get(_SHUFFLES_GO, None)
+    conf.set(_SHUFFLES_GO, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(_SHUFFLES_GO) if old is None else conf.set(_SHUFFLES_GO, old)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that `written` made, once nothing reads it any more."""
     if not path.startswith(shared_dir(spark) + "/"):

@@ -1,10 +1,12 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-The plan is relational.  Documents are tokenised into batches of bounded size, one row each.  A
-batch explodes to its distinct n-grams, rows of (hash, batch, occurrences), which are partitioned by
-hash; their sums are the n-gram count table.  It is joined back to the exploded n-grams, and a batch
-gets the totals of those n-grams that others hold too (for the rest its own count is the total).
-Batch and totals meet in a cogroup, where every document is scored as the sum over its words.
+The plan is relational.  Documents are tokenised into batches of bounded size, one row each.  The
+range of n-gram hashes is cut into a fixed number of equal slices, counted one after the other, so
+that the rows of one slice only are on disk at a time.  In a slice, a batch explodes to its distinct
+n-grams, rows of (hash, batch, rank within the batch and slice, occurrences), which are partitioned by
+hash; a window over the hash gives each row the sum of the other batches.  Where there is any it goes
+back to its batch, whose sums are kept by rank in one row a slice.  Batch and sums meet in a cogroup,
+where every document is scored as the sum over its words.
 
 A frequent n-gram is one row per batch, however often it occurs, so no key is hot.  Rows grow in
 proportion to the corpus, a task streams or sorts them, and the only groups held are batches.
@@ -14,15 +16,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlytics.llm.common import cut, forget, in_pieces, map_arrow, written
-from convlytics.llm.shingles import gram_hashes, word_hashes
+from convlytics.llm.common import forget, in_pieces, map_arrow, release_free, released, written
+from convlytics.llm.shingles import longer_hashes, word_hashes
 from convlytics.plans.once import attach_row
 from convlytics.plans.packaging import ship_package
 
@@ -30,21 +33,26 @@ ALPHA = 0.4
 ORDER = 3
 BATCH_BYTES = 8 << 20
 ROWS_SENT = 1 << 16
+#: Slices of the hashes for n-grams of up to ``ORDER`` words, in proportion for others.
+SLICES = 4
 _BATCH = "batch long, head binary, known binary, places binary"
 _BATCH_TYPES = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("head", "known", "places"))])
-_GRAM = "hash long, batch long, n int"
+_GRAM = "hash long, batch long, rank int, n int"
+_OTHERS = "batch long, rank int, others long"
+_PACKED = "batch long, slice int, ranks binary, others binary"
 _PART = "doc_id long, n_words long, part double, divided long"
 
 
 def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each n up to ``order``: hashes of the n-grams within a document, and the places they end at."""
-    out = []
+    out, runs = [], np.zeros(len(words), np.uint64)
     for n in range(1, order + 1):
         if len(words) < n:
             out.append((words[:0], np.zeros(0, np.int64)))
             continue
+        runs = longer_hashes(runs, words[n - 1 :])
         whole = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
-        out.append((gram_hashes(words, n)[whole], whole + n - 1))
+        out.append((runs[whole], whole + n - 1))
     return out
 
 
@@ -71,40 +79,84 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = np.frombuffer(zlib.decompress(row["head"]), np.int64).reshape(3, -1)
     known = np.frombuffer(row["known"], np.uint64)
     places = np.frombuffer(zlib.decompress(row["places"]), np.uint16 if len(known) < 1 << 16 else np.uint32)
-    return head, known[places], np.repeat(np.arange(head.shape[1]), head[2])
+    return head, known[places], np.repeat(np.arange(head.shape[1], dtype=np.int32), head[2])
 
 
-def _exploded(order: int):
-    """The distinct n-grams of each batch, in rows."""
+def _edges(slices: int) -> np.ndarray:
+    """Where each slice of the hashes but the first begins."""
+    return np.array([(i << 64) // slices for i in range(1, slices)], np.uint64)
+
+
+def _exploded(order: int, part: int, slices: int):
+    """The distinct n-grams of each batch whose hashes lie in a slice, in rows."""
+    edges = _edges(slices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
                 _, words, doc = _opened(row)
-                for hashes, _ in _grams(words, doc, order):
-                    grams, times = np.unique(hashes, return_counts=True)
-                    for start in range(0, len(grams), ROWS_SENT):
-                        some = grams[start : start + ROWS_SENT].view(np.int64)
-                        columns = [some, np.full(len(some), row["batch"]), times[start : start + ROWS_SENT].astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "batch", "n"])
+                some = [h[_inside(h, part, edges)] for h, _ in _grams(words, doc, order)]
+                grams, times = np.unique(np.concatenate(some), return_counts=True)
+                for start in range(0, len(grams), ROWS_SENT):
+                    hashes = grams[start : start + ROWS_SENT].view(np.int64)
+                    ranks = np.arange(start, start + len(hashes), dtype=np.int32)
+                    columns = [hashes, np.full(len(hashes), row["batch"]), ranks, times[start : start + ROWS_SENT].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "batch", "rank", "n"])
+
+    return run
+
+
+def _inside(hashes: np.ndarray, part: int, edges: np.ndarray) -> np.ndarray:
+    inside = np.ones(len(hashes), bool)
+    if part:
+        inside &= hashes >= edges[part - 1]
+    if part < len(edges):
+        inside &= hashes < edges[part]
+    return inside
+
+
+def _packed(part: int):
+    """The rows of a batch and slice to one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rank = np.asarray(rows.column("rank"))
+        order = np.argsort(rank)
+        ranks = np.diff(rank[order], prepend=np.int32(0)).astype(np.int32)
+        others = np.asarray(rows.column("others"))[order]
+        row = {"batch": rows.column("batch")[0].as_py(), "slice": part, "ranks": zlib.compress(ranks.tobytes(), 1), "others": zlib.compress(others.tobytes(), 1)}
+        return pa.Table.from_pylist([row], pa.schema([("batch", pa.int64()), ("slice", pa.int32()), ("ranks", pa.binary()), ("others", pa.binary())]))
 
     return run
 
 
-def _scored(order: int, alpha: float):
-    """A batch and the totals of its n-grams to one row per document."""
+def _scored(order: int, alpha: float, slices: int):
+    """A batch and what others hold of its n-grams to one row per document."""
+    edges = _edges(slices)
 
-    def run(batch: pa.Table, shared: pa.Table) -> pa.Table:
+    def run(batch: pa.Table, packed: pa.Table) -> pa.Table:
         head, words, doc = _opened(batch.to_pylist()[0])
         grams = _grams(words, doc, order)
-        distinct, totals = np.unique(np.concatenate([g for g, _ in grams]), return_counts=True)
-        totals = totals.astype(np.float64)
-        totals[np.searchsorted(distinct, np.array(shared.column("hash"), np.int64).view(np.uint64))] = np.array(shared.column("total"), np.float64)
+        hashes, owner = np.concatenate([g for g, _ in grams]), np.concatenate([doc[ends] for _, ends in grams])
+        by = np.argsort(hashes, kind="stable")  # equal n-grams stay in the order of their documents
+        grams = [ends for _, ends in grams]
+        hashes, owner = hashes[by], owner[by]
+        begins = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+        starts = np.flatnonzero(begins)
+        totals = np.diff(starts, append=len(hashes))
+        first = np.concatenate([[0], np.searchsorted(hashes[starts], edges)])
+        for part, ranks, others in zip(*(packed.column(c).to_pylist() for c in ("slice", "ranks", "others")), strict=True):
+            totals[first[part] + np.cumsum(np.frombuffer(zlib.decompress(ranks), np.int32))] += np.frombuffer(zlib.decompress(others), np.int64)
+        begins[1:] |= owner[1:] != owner[:-1]
+        times = np.diff(np.flatnonzero(begins), append=len(hashes))
+        elsewhere = np.empty(len(hashes), np.int64)
+        elsewhere[by] = np.repeat(totals, np.diff(starts, append=len(hashes))) - np.repeat(times, times)
+        del hashes, owner, by, begins, starts, totals, times
         seen = np.zeros((order + 1, len(words)))  # occurrences in other documents of the n-gram that ends here
-        for n, (hashes, ends) in enumerate(grams, 1):
-            place = np.searchsorted(distinct, hashes)
-            _, own, times = np.unique(doc[ends] * np.int64(len(distinct) + 1) + place, return_inverse=True, return_counts=True)
-            seen[n, ends] = totals[place] - times[own]
+        at = 0
+        for n, ends in enumerate(grams, 1):
+            seen[n, ends] = elsewhere[at : at + len(ends)]
+            at += len(ends)
+        del elsewhere, grams
         longest = np.minimum(order, _places(head[2]))  # of the n-grams that end here and start in the document
         log_share, backed = np.full(len(words), np.nan), np.log(alpha)
         for n in range(order, 1, -1):
@@ -115,6 +167,8 @@ def _scored(order: int, alpha: float):
         # The size of the corpus is not known here: the last division is by all other words.
         log_share[rest] = np.log(np.maximum(seen[1, rest], 1)) + (longest[rest] - 1 + (seen[1, rest] == 0)) * backed
         docs = head.shape[1]
+        del seen
+        release_free()
         return pa.table(
             {
                 "doc_id": pa.array(head[0], pa.int64(), mask=head[1] == 1),
@@ -150,12 +204,19 @@ def backoff_scores(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA,
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     batches, path = written(map_arrow(rows, _batches(batch_bytes), _BATCH), "batches")
-    grams = map_arrow(batches, _exploded(order), _GRAM).repartition("hash")
-    # Both sides of the join read all columns of one exchange, which is then made once.
-    counts = grams.groupBy("hash").agg(F.sum("n").alias("total"), F.count("batch").alias("holders"))
-    shared = grams.join(counts.where("holders > 1").hint("merge"), "hash").where("NOT total <=> n").select("batch", "hash", "total")
-    parts = cut(batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_scored(order, alpha), _PART), "scores")
-    forget(spark, path)
+    slices, tables, paths = -(-SLICES * order // ORDER), [], [path]
+    for part in range(slices):
+        grams = map_arrow(batches, _exploded(order, part, slices), _GRAM).repartition("hash")
+        # The count table beside its n-grams; a window holds one n-gram's rows, one per batch at most.
+        counted = grams.withColumn("others", F.sum("n").over(Window.partitionBy("hash")) - F.col("n"))
+        shared = counted.where("others > 0").select("batch", "rank", "others")
+        packed, path = released(shared.groupBy("batch").applyInArrow(_packed(part), _PACKED), "shared")
+        tables.append(packed)
+        paths.append(path)
+    shared = reduce(DataFrame.unionAll, tables)
+    parts, _ = released(batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_scored(order, alpha, slices), _PART), "scores")
+    for path in paths:
+        forget(spark, path)
     full = attach_row(parts, parts.agg(F.sum("n_words").alias("__all")))
     others = F.greatest(F.col("__all") - F.col("n_words"), F.lit(1))
     scored = full.select("doc_id", "n_words", (F.col("part") - F.when(F.col("divided") > 0, F.col("divided") * F.log(others)).otherwise(0.0)).alias("log_score"))

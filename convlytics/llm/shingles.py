@@ -74,6 +74,11 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+def longer_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of runs that are one word longer: of ``hashes[i]`` and then ``words[i]``."""
+    return mix(hashes[: len(words)] * _ODD + words)
+
+
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Each text's distinct shingles of ``n`` words, sorted; fewer words are one shingle."""
     words, counts = word_hashes(texts)

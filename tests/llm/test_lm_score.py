@@ -74,3 +74,39 @@ def test_the_query_of_order_5_sees_word_order_beyond_three(spark, tmp_path):
 def test_sums_do_not_depend_on_partitions(spark, documents):
     one, many = (sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_score.backoff_scores(documents.repartition(n), batch_bytes=b).collect()) for n, b in ((1, 1 << 30), (7, 3000)))
     assert one == many
+
+
+def test_the_slices_of_the_hashes_hold_every_ngram_once():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hashes = np.concatenate([rng.integers(0, 2**64, 1000, np.uint64), np.array([0, 2**62, 2**63, 2**64 - 1], np.uint64)])
+    for slices in (1, 3, 4):
+        edges = lm_score._edges(slices)
+        parts = [lm_score._inside(hashes, part, edges) for part in range(slices)]
+        assert (sum(p.astype(int) for p in parts) == 1).all() and all(p.sum() > 200 for p in parts)
+
+
+def test_rows_on_disk_are_those_of_one_slice(spark, monkeypatch):
+    """No shuffle holds all n-grams at once, each goes with its write, and the tables between are deleted."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 997}" for j in range(300))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made, gone, old = [], [], (lm_score.released, lm_score.forget)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+
+    def released(df, name):
+        table, path = old[0](df, name)
+        made.append((name, path))
+        return table, path
+
+    def forget(session, path):
+        gone.append(path)
+        old[1](session, path)
+
+    monkeypatch.setattr(lm_score, "released", released)
+    monkeypatch.setattr(lm_score, "forget", forget)
+    check(frame, 3, batch_bytes=4000)
+    assert [name for name, _ in made] == ["shared"] * lm_score.SLICES + ["scores"]
+    assert {path for name, path in made if name == "shared"} < set(gone) and len(gone) == lm_score.SLICES + 1
+    assert spark.conf.get(key, None) == before
