@@ -55,3 +55,27 @@ def test_awkward_and_empty_tables_pass(awkward, nothing, spark):
             docs = corpus_pipeline.cut(docs, "awkward")
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
         assert bool(packed) == (start is awkward)
+
+
+def test_batches_to_python_are_bounded_by_bytes_unless_the_session_says_otherwise(spark):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    docs = spark.createDataFrame([(i,) for i in range(200)], "doc_id bigint").selectExpr("doc_id", "repeat('some words ', 10000) AS text").coalesce(1)
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            spark.conf.unset(key)
+            stage(spark, docs, "")
+            assert docs.mapInArrow(sizes, "bytes long").agg({"bytes": "max"}).first()[0] < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(key, "12345678")
+        corpus_pipeline.pack(spark, docs, "")
+        assert spark.conf.get(key) == "12345678"
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
