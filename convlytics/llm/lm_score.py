@@ -3,13 +3,14 @@
 The plan is relational.  Documents are tokenised into batches of bounded size, one row each.  The
 range of n-gram hashes is cut into a fixed number of equal slices, counted one after the other, so
 that the rows of one slice only are on disk at a time.  In a slice, a batch explodes to its distinct
-n-grams, rows of (hash, batch, rank within the batch and slice, occurrences), which are partitioned by
-hash; a window over the hash gives each row the sum of the other batches.  Where there is any it goes
-back to its batch, whose sums are kept by rank in one row a slice.  Batch and sums meet in a cogroup,
-where every document is scored as the sum over its words.
+n-grams, rows of (hash, batch, rank within the batch and slice with occurrences), which are partitioned
+and sorted by hash; each row gets the sum of the other batches over its run of equal hashes.  Where
+there is any it goes back to its batch: a task keeps what it found for one batch in one row, never more
+rows than n-grams found.  Batch and sums meet in a cogroup, where every document is scored as the sum
+over its words.
 
 A frequent n-gram is one row per batch, however often it occurs, so no key is hot.  Rows grow in
-proportion to the corpus, a task streams or sorts them, and the only groups held are batches.
+proportion to the corpus, a task streams or sorts them, and the only groups held are batches and runs.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlytics.llm.common import forget, in_pieces, map_arrow, release_free, released, written
-from convlytics.llm.shingles import longer_hashes, word_hashes
+from convlytics.llm.shingles import forget_powers, longer_hashes, word_hashes
 from convlytics.plans.once import attach_row
 from convlytics.plans.packaging import ship_package
 
@@ -33,13 +34,15 @@ ALPHA = 0.4
 ORDER = 3
 BATCH_BYTES = 8 << 20
 ROWS_SENT = 1 << 16
+#: Rows of a task that are counted at once, and counts that wait to be packed by batch.
+ROWS_COUNTED = 1 << 18
+ROWS_PACKED = 1 << 21
 #: Slices of the hashes for n-grams of up to ``ORDER`` words, in proportion for others.
 SLICES = 4
 _BATCH = "batch long, head binary, known binary, places binary"
 _BATCH_TYPES = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("head", "known", "places"))])
-_GRAM = "hash long, batch long, rank int, n int"
-_OTHERS = "batch long, rank int, others long"
-_PACKED = "batch long, slice int, ranks binary, others binary"
+_GRAM = "hash long, batch long, rank_n long"
+_PACKED = "batch long, slice int, size int, packed binary"
 _PART = "doc_id long, n_words long, part double, divided long"
 
 
@@ -56,6 +59,56 @@ def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndar
     return out
 
 
+def _ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable argsort of unsigned numbers, and the sorted numbers.
+
+    Plain sorting is several times faster than numpy's argsort, so the upper bits are sorted with the
+    places below them; where numbers differ in the lower bits only, the nearly sorted rest is mended.
+    """
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    by = values & ~low
+    by |= np.arange(len(values), dtype=np.uint64)
+    by.sort()
+    by &= low
+    by = by.view(np.int64)
+    found = values[by]
+    if (found[1:] < found[:-1]).any():
+        mend = np.argsort(found, kind="stable")
+        by, found = by[mend], found[mend]
+    return by, found
+
+
+def _begins(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)]
+
+
+def _numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers in as few bytes of seven bits as each needs, and how many bytes each takes."""
+    sizes, rest = np.ones(len(values), np.int64), values >> np.uint64(7)
+    while rest.any():
+        sizes += rest > 0
+        rest >>= np.uint64(7)
+    out, at, rest = np.empty(sizes.sum(), np.uint8), np.cumsum(sizes) - sizes, values
+    while len(rest):
+        more = rest > 127
+        out[at] = (rest & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
+        at, rest = at[more] + 1, rest[more] >> np.uint64(7)
+    return out, sizes
+
+
+def _read_numbers(data: np.ndarray) -> np.ndarray:
+    """The numbers that `_numbers` wrote."""
+    ends = np.flatnonzero(data < 128)
+    at = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    values, which, shift = np.zeros(len(ends), np.uint64), np.arange(len(ends)), 0
+    while len(which):
+        values[which] |= (data[at] & 127).astype(np.uint64) << np.uint64(shift)
+        more = data[at] > 127
+        at, which, shift = at[more] + 1, which[more], shift + 7
+    return values
+
+
 def _batches(batch_bytes: int):
     """Rows of documents to rows of batches: ids and sizes, known words, and the word at each place."""
 
@@ -63,13 +116,22 @@ def _batches(batch_bytes: int):
         number = TaskContext.get().partitionId() << 32
         for piece in in_pieces(batches, "text", batch_bytes):
             words, counts = word_hashes(piece.column("text"))
-            known, at = np.unique(words, return_inverse=True)
+            by, found = _ordered(words)
+            begins = _begins(found)
+            known = found[begins]
+            times = np.diff(np.flatnonzero(begins), append=len(found))
+            often = np.argsort(-times, kind="stable")  # frequent words have small numbers
+            number_of = np.empty(len(known), np.uint32)
+            number_of[often] = np.arange(len(known), dtype=np.uint32)
+            places = np.empty(len(words), np.uint32)
+            places[by] = np.repeat(number_of, times)
+            planes = np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T)
             ids = piece.column("doc_id")
             head = np.concatenate([np.array(ids.fill_null(0), np.int64), np.array(ids.is_null(), np.int64), counts.astype(np.int64)])
-            places = at.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
-            row = [number, zlib.compress(head.tobytes(), 1), known.tobytes(), zlib.compress(places.tobytes(), 1)]
+            row = [number, zlib.compress(head.tobytes(), 1), known[often].tobytes(), pa.compress(planes.tobytes(), "zstd", asbytes=True)]
             yield pa.RecordBatch.from_pylist([dict(zip(_BATCH_TYPES.names, row, strict=True))], _BATCH_TYPES)
             number += 1
+        forget_powers()
 
     return run
 
@@ -78,7 +140,8 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, flags of NULL ids and sizes), the words in order, and the document of each."""
     head = np.frombuffer(zlib.decompress(row["head"]), np.int64).reshape(3, -1)
     known = np.frombuffer(row["known"], np.uint64)
-    places = np.frombuffer(zlib.decompress(row["places"]), np.uint16 if len(known) < 1 << 16 else np.uint32)
+    planes = np.frombuffer(pa.decompress(row["places"], int(head[2].sum()) * 4, "zstd", asbytes=True), np.uint8)
+    places = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
     return head, known[places], np.repeat(np.arange(head.shape[1], dtype=np.int32), head[2])
 
 
@@ -99,9 +162,9 @@ def _exploded(order: int, part: int, slices: int):
                 grams, times = np.unique(np.concatenate(some), return_counts=True)
                 for start in range(0, len(grams), ROWS_SENT):
                     hashes = grams[start : start + ROWS_SENT].view(np.int64)
-                    ranks = np.arange(start, start + len(hashes), dtype=np.int32)
-                    columns = [hashes, np.full(len(hashes), row["batch"]), ranks, times[start : start + ROWS_SENT].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "batch", "rank", "n"])
+                    rank_n = np.arange(start, start + len(hashes)) << 32 | times[start : start + ROWS_SENT]
+                    columns = [hashes, np.full(len(hashes), row["batch"]), rank_n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "batch", "rank_n"])
 
     return run
 
@@ -115,20 +178,72 @@ def _inside(hashes: np.ndarray, part: int, edges: np.ndarray) -> np.ndarray:
     return inside
 
 
-def _packed(part: int):
-    """The rows of a batch and slice to one."""
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of a partition sorted by its first, many rows at a time, no run of equal values cut."""
+    held, size, most = [], 0, ROWS_COUNTED
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        size += batch.num_rows
+        if size < most:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        end = int(np.searchsorted(columns[0], columns[0][-1]))
+        if end:
+            yield [c[:end] for c in columns]
+        held, size = [[c[end:].copy() for c in columns]], size - end
+        most = max(ROWS_COUNTED, 2 * size)
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _counted(part: int):
+    """Rows of n-grams sorted by hash to what other batches hold of them, one row per batch at a time."""
+
+    def packed(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        batch, rank, others = (np.concatenate(c) for c in zip(*found, strict=True))
+        known = np.unique(batch)
+        at = np.searchsorted(known, batch)
+        place = (at * (rank.max() + 1) + rank).astype(np.uint64)
+        by, _ = _ordered(place << np.uint64(64 - int(place.max()).bit_length()) if place.any() else place)
+        sizes = np.bincount(at, minlength=len(known))
+        starts = np.cumsum(sizes) - sizes
+        rank = rank[by]
+        steps = np.diff(rank, prepend=0)
+        steps[starts] = rank[starts]
+        data, widths = _numbers(np.stack([steps, others[by]], 1).ravel().astype(np.uint64))
+        edges = np.concatenate([[0], np.cumsum(np.add.reduceat(widths, 2 * starts))]).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        columns = [pa.array(known), pa.array(np.full(len(known), part, np.int32)), pa.array(sizes.astype(np.int32)), values]
+        return pa.RecordBatch.from_arrays(columns, names=["batch", "slice", "size", "packed"])
 
-    def run(rows: pa.Table) -> pa.Table:
-        rank = np.asarray(rows.column("rank"))
-        order = np.argsort(rank)
-        ranks = np.diff(rank[order], prepend=np.int32(0)).astype(np.int32)
-        others = np.asarray(rows.column("others"))[order]
-        row = {"batch": rows.column("batch")[0].as_py(), "slice": part, "ranks": zlib.compress(ranks.tobytes(), 1), "others": zlib.compress(others.tobytes(), 1)}
-        return pa.Table.from_pylist([row], pa.schema([("batch", pa.int64()), ("slice", pa.int32()), ("ranks", pa.binary()), ("others", pa.binary())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for hashes, batch, rank_n in _whole_runs(batches):
+            starts = np.flatnonzero(_begins(hashes))
+            n = rank_n & 0xFFFFFFFF
+            others = np.repeat(np.add.reduceat(n, starts), np.diff(starts, append=len(hashes))) - n
+            some = np.flatnonzero(others)
+            if len(some):
+                found.append((batch[some], rank_n[some] >> 32, others[some]))
+                size += len(some)
+            if size >= ROWS_PACKED:
+                yield packed(found)
+                found, size = [], 0
+        if found:
+            yield packed(found)
 
     return run
 
 
+def _unpacked(packed: pa.Table, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of n-grams among those of their batch, given where each slice begins, and what others hold."""
+    sizes = np.asarray(packed.column("size"), np.int64)
+    values = _read_numbers(np.frombuffer(b"".join(packed.column("packed").to_pylist()), np.uint8)).astype(np.int64)
+    steps, others = values[::2], values[1::2]
+    places, starts = np.cumsum(steps), np.cumsum(sizes) - sizes
+    return places + np.repeat(first[np.asarray(packed.column("slice"))] - (places[starts] - steps[starts]), sizes), others
+
+
 def _scored(order: int, alpha: float, slices: int):
     """A batch and what others hold of its n-grams to one row per document."""
     edges = _edges(slices)
@@ -136,16 +251,17 @@ def _scored(order: int, alpha: float, slices: int):
     def run(batch: pa.Table, packed: pa.Table) -> pa.Table:
         head, words, doc = _opened(batch.to_pylist()[0])
         grams = _grams(words, doc, order)
-        hashes, owner = np.concatenate([g for g, _ in grams]), np.concatenate([doc[ends] for _, ends in grams])
-        by = np.argsort(hashes, kind="stable")  # equal n-grams stay in the order of their documents
-        grams = [ends for _, ends in grams]
-        hashes, owner = hashes[by], owner[by]
-        begins = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+        hashes, grams = np.concatenate([g for g, _ in grams]), [ends for _, ends in grams]
+        by, hashes = _ordered(hashes)  # equal n-grams stay in the order of their documents
+        owner = np.concatenate([doc[ends] for ends in grams])[by]
+        begins = _begins(hashes)
         starts = np.flatnonzero(begins)
         totals = np.diff(starts, append=len(hashes))
         first = np.concatenate([[0], np.searchsorted(hashes[starts], edges)])
-        for part, ranks, others in zip(*(packed.column(c).to_pylist() for c in ("slice", "ranks", "others")), strict=True):
-            totals[first[part] + np.cumsum(np.frombuffer(zlib.decompress(ranks), np.int32))] += np.frombuffer(zlib.decompress(others), np.int64)
+        if packed.num_rows:
+            places, others = _unpacked(packed, first)
+            totals[places] += others
+            del places, others
         begins[1:] |= owner[1:] != owner[:-1]
         times = np.diff(np.flatnonzero(begins), append=len(hashes))
         elsewhere = np.empty(len(hashes), np.int64)
@@ -206,11 +322,9 @@ def backoff_scores(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA,
     batches, path = written(map_arrow(rows, _batches(batch_bytes), _BATCH), "batches")
     slices, tables, paths = -(-SLICES * order // ORDER), [], [path]
     for part in range(slices):
-        grams = map_arrow(batches, _exploded(order, part, slices), _GRAM).repartition("hash")
-        # The count table beside its n-grams; a window holds one n-gram's rows, one per batch at most.
-        counted = grams.withColumn("others", F.sum("n").over(Window.partitionBy("hash")) - F.col("n"))
-        shared = counted.where("others > 0").select("batch", "rank", "others")
-        packed, path = released(shared.groupBy("batch").applyInArrow(_packed(part), _PACKED), "shared")
+        # The count table beside its n-grams: a run of one hash has one row per batch at most.
+        grams = map_arrow(batches, _exploded(order, part, slices), _GRAM).repartition("hash").sortWithinPartitions("hash")
+        packed, path = released(map_arrow(grams, _counted(part), _PACKED), "shared")
         tables.append(packed)
         paths.append(path)
     shared = reduce(DataFrame.unionAll, tables)

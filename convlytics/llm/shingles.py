@@ -37,6 +37,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget_powers() -> None:
+    """Free the powers kept for the longest input so far: the worker lives on."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the words of all texts, number of words of each text).
 
@@ -59,7 +64,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends[edges - 1] = word[edges - 1]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     power, inverse = _power(len(data))
-    running = np.cumsum(_BYTE[_LOWER[data]] * power)
+    running = _BYTE[_LOWER[data]]
+    running *= power
+    np.cumsum(running, out=running)
     hashes = running[last]
     hashes[first > 0] -= running[first[first > 0] - 1]
     hashes = mix(hashes * inverse[first] + (last - first).astype(np.uint64))

@@ -110,3 +110,42 @@ def test_rows_on_disk_are_those_of_one_slice(spark, monkeypatch):
     assert [name for name, _ in made] == ["shared"] * lm_score.SLICES + ["scores"]
     assert {path for name, path in made if name == "shared"} < set(gone) and len(gone) == lm_score.SLICES + 1
     assert spark.conf.get(key, None) == before
+
+
+def test_a_slice_is_shuffled_once_and_kept_in_few_rows(spark, monkeypatch):
+    """Counts go back to their batch without a second exchange of n-gram rows."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(300))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    plans, kept, old = [], [], lm_score.released
+
+    def released(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        table, path = old(df, name)
+        kept.append((name, table.count(), df.rdd.getNumPartitions()))
+        return table, path
+
+    monkeypatch.setattr(lm_score, "released", released)
+    check(frame, 3, batch_bytes=20000)
+    shared = [plan for name, plan in plans if name == "shared"]
+    assert len(shared) == lm_score.SLICES
+    assert all(p.count("Repartition") == 1 and "FlatMapGroups" not in p and "Window" not in p for p in shared)
+    assert all(0 < n <= 40 * tasks for name, n, tasks in kept if name == "shared")
+
+
+def test_numbers_order_and_runs_come_back_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    edges = np.array([0, 1, 127, 128, 2**14 - 1, 2**14, 2**32, 2**63, 2**64 - 1], np.uint64)
+    for values in (edges[:0], edges, edges[::-1], rng.integers(0, 3, 500).astype(np.uint64), rng.integers(0, 2**64, 5000, np.uint64)):
+        data, sizes = lm_score._numbers(values)
+        assert (lm_score._read_numbers(data) == values).all() and sizes.sum() == len(data)
+        by, found = lm_score._ordered(values)
+        assert (by == np.argsort(values, kind="stable")).all() and (found == np.sort(values)).all()
+    monkeypatch.setattr(lm_score, "ROWS_COUNTED", 10)
+    keys = np.sort(np.concatenate([rng.integers(-50, 50, 200), np.full(75, 7)]))
+    batches = pa.table({"k": keys, "v": np.arange(len(keys))}).to_batches(max_chunksize=8)
+    chunks = list(lm_score._whole_runs(iter(batches)))
+    assert len(chunks) > 5 and all(a[0][-1] < b[0][0] for a, b in zip(chunks, chunks[1:], strict=False))
+    assert (np.concatenate([c[0] for c in chunks]) == keys).all() and (np.concatenate([c[1] for c in chunks]) == np.arange(len(keys))).all()
